@@ -1,4 +1,772 @@
-"""All queries over the driver's tables, and the SQL that gives the same rows."""
+"""All queries over the driver's tables, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
+Signals are the event types of ``events``; a row's idx is its rank by time and id. Computed reals are
+rounded on both sides, since engines add in different orders.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.functions.numbers import ALPHAS, image_tokens, upper_z
+from vigil.operators import embeddings as E
+from vigil.operators import evaluate as V
+from vigil.operators import intervals as I
+from vigil.operators import normalise as N
+from vigil.operators import prompts as P
+from vigil.operators import thresholds as T
+from vigil.operators import windows as W
+from vigil.operators.signals import daily_points, event_points
+from vigil.plans import detectors as D
+from vigil.sources.files import pending, with_fallback
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+# --- SQL building blocks
+
+POINTS = """p AS (SELECT event_type AS series_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS BIGINT) AS idx,
+  ts, value FROM events), n AS (SELECT series_id, count(*) AS t FROM p GROUP BY series_id)"""
+TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
+
+
+def _islands_sql(name: str, rows: str, keys: str = "series_id") -> str:
+    return f"""{name} AS (SELECT {keys}, min(idx) AS "start", max(idx) AS "end", count(*) AS n_points, avg(value) AS severity,
+  min(ts) AS start_ts, max(ts) AS end_ts FROM (SELECT *, idx - row_number() OVER (PARTITION BY {keys} ORDER BY idx) AS g FROM {rows}) GROUP BY {keys}, g)"""
+
+
+def _above_sql(name: str, alpha: float) -> str:
+    return f"""{name} AS (SELECT p.* FROM p JOIN (SELECT series_id, avg(value) AS m, stddev_pop(value) AS s FROM p GROUP BY series_id) q
+  USING (series_id) WHERE value > m + {upper_z(alpha)!r}::DOUBLE * s)"""
+
+
+#: Found intervals at alpha 0.1 and true ones at 0.01 serve interval queries.
+FOUND = f"{_above_sql('hi', 0.1)}, {_islands_sql('d', 'hi')}, {_above_sql('top', 0.01)}, {_islands_sql('g', 'top')}"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _found(points: DataFrame, alpha: float) -> DataFrame:
+    return T.threshold_intervals(points, (alpha,)).select("series_id", "start", "end", "severity")
+
+
+def _time(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+def _rounded(c: str, digits: int = 6):
+    return F.round(c, digits).alias(c)
+
+
+# --- signals and scaling
+
+
+@query("signal_points", f"WITH {POINTS} SELECT series_id, idx, {TIME.format('ts')}, value FROM p")
+def signal_points(spark, sf):
+    return event_points(spark, sf).select("series_id", "idx", _time("ts"), "value")
+
+
+@query(
+    "daily_signal",
+    """SELECT o_orderpriority AS series_id, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY ts) - 1 AS BIGINT) AS idx,
+  strftime(ts, '%Y-%m-%d') AS ts, round(value, 2) AS value
+  FROM (SELECT o_orderpriority, date_trunc('day', o_orderdate) AS ts, sum(o_totalprice) AS value FROM orders GROUP BY ALL)""",
+)
+def daily_signal(spark, sf):
+    return daily_points(spark, sf).select("series_id", "idx", F.date_format("ts", "yyyy-MM-dd").alias("ts"), _rounded("value", 2))
+
+
+@query(
+    "normalise_minmax",
+    f"WITH {POINTS} SELECT series_id, idx, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) AS value FROM p WINDOW w AS (PARTITION BY series_id)",
+)
+def normalise_minmax(spark, sf):
+    return N.scaled(event_points(spark, sf)).select("series_id", "idx", _rounded("value"))
+
+
+@query(
+    "scale_0_10",
+    f"WITH {POINTS} SELECT series_id, idx, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 10, 6) AS value FROM p WINDOW w AS (PARTITION BY series_id)",
+)
+def scale_0_10(spark, sf):
+    return N.scaled(event_points(spark, sf), top=10.0, constant=5.0).select("series_id", "idx", _rounded("value"))
+
+
+@query(
+    "detrend_minmax",
+    f"""WITH {POINTS}, f AS (SELECT series_id, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a FROM p GROUP BY series_id),
+  r AS (SELECT p.series_id, idx, value - (a + b * idx) AS v FROM p JOIN f USING (series_id))
+  SELECT series_id, idx, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 5) AS value FROM r WINDOW w AS (PARTITION BY series_id)""",
+)
+def detrend_minmax(spark, sf):
+    return N.scaled(N.detrended(event_points(spark, sf))).select("series_id", "idx", _rounded("value", 5))
+
+
+# --- thresholds and islands
+
+
+@query(
+    "global_threshold_intervals",
+    f"WITH {POINTS}, {', '.join(_above_sql(f'a{k}', a) + ', ' + _islands_sql(f'i{k}', f'a{k}') for k, a in enumerate(ALPHAS))} "
+    + " UNION ALL ".join(
+        f"""SELECT series_id, {a}::DOUBLE AS alpha, "start", "end", n_points, round(severity, 6) AS severity, {TIME.format('start_ts')}, {TIME.format('end_ts')} FROM i{k}"""
+        for k, a in enumerate(ALPHAS)
+    ),
+)
+def global_threshold_intervals(spark, sf):
+    found = T.threshold_intervals(event_points(spark, sf))
+    return found.select("series_id", "alpha", "start", "end", "n_points", _rounded("severity"), _time("start_ts"), _time("end_ts"))
+
+
+@query(
+    "median_mad_threshold",
+    f"""WITH {POINTS}, m AS (SELECT series_id, median(value) AS med FROM p GROUP BY series_id),
+  a AS (SELECT p.series_id, median(abs(value - med)) AS mad FROM p JOIN m USING (series_id) GROUP BY p.series_id)
+  SELECT p.series_id, idx FROM p JOIN m USING (series_id) JOIN a USING (series_id) WHERE value > med + {upper_z(0.01)!r}::DOUBLE * mad""",
+)
+def median_mad_threshold(spark, sf):
+    return T.above_median(event_points(spark, sf), 0.01).select("series_id", "idx")
+
+
+@query(
+    "percentile_baseline",
+    f"""WITH {POINTS}, q AS (SELECT series_id, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM p GROUP BY series_id)
+  SELECT p.series_id, idx FROM p JOIN q USING (series_id) WHERE value <= lo OR value >= hi""",
+)
+def percentile_baseline(spark, sf):
+    return T.outside_percentiles(event_points(spark, sf)).select("series_id", "idx")
+
+
+@query(
+    "sliding_threshold_flags",
+    f"""WITH {POINTS}, w AS (SELECT series_id, greatest(1, t // 3) AS size, greatest(1, t // 10) AS step, t FROM n),
+  k AS (SELECT series_id, unnest(generate_series(0, (t - size) // step)) AS window_id, size, step FROM w),
+  x AS (SELECT p.series_id, idx, value, window_id FROM p JOIN k ON p.series_id = k.series_id AND idx >= window_id * step AND idx < window_id * step + size),
+  s AS (SELECT series_id, window_id, avg(value) AS m, stddev_pop(value) AS s FROM x GROUP BY ALL)
+  SELECT DISTINCT x.series_id, idx FROM x JOIN s USING (series_id, window_id) WHERE value > m + {upper_z(0.01)!r}::DOUBLE * s""",
+)
+def sliding_threshold_flags(spark, sf):
+    return T.sliding_flags(event_points(spark, sf), 0.01)
+
+
+@query("islands_inclusive", f'WITH {POINTS}, {FOUND} SELECT series_id, "start", "end", n_points FROM d')
+def islands_inclusive(spark, sf):
+    return I.islands(T.above_mean(event_points(spark, sf), (0.1,)), ["series_id"], F.count(F.lit(1)).alias("n_points"))
+
+
+@query("islands_exclusive", f'WITH {POINTS}, {FOUND} SELECT series_id, "start", "end" + 1 AS "end" FROM d')
+def islands_exclusive(spark, sf):
+    return I.islands(T.above_mean(event_points(spark, sf), (0.1,)), ["series_id"], exclusive=True)
+
+
+def _merge_sql(rows: str, gap: int, extra: str = "") -> str:
+    return f"""x AS (SELECT *, max("end") OVER (PARTITION BY series_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {rows}),
+  y AS (SELECT *, sum(CASE WHEN m IS NULL OR "start" > m + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY "start", "end") AS grp FROM x)
+  SELECT series_id, min("start") AS "start", max("end") AS "end" {extra} FROM y GROUP BY series_id, grp"""
+
+
+@query(
+    "intervals_pad_merge",
+    f"""WITH {POINTS}, {FOUND}, q AS (SELECT d.series_id, greatest(0, "start" - 3) AS "start", least(t - 1, "end" + 3) AS "end" FROM d JOIN n USING (series_id)),
+  {_merge_sql('q', 1)}""",
+)
+def intervals_pad_merge(spark, sf):
+    points = event_points(spark, sf)
+    return I.merged(I.padded(_found(points, 0.1), T.lengths(points), 3))
+
+
+@query("intervals_merge_adjacent", f"WITH {POINTS}, {FOUND}, {_merge_sql('d', 1, ', round(avg(severity), 6) AS severity')}")
+def intervals_merge_adjacent(spark, sf):
+    return I.merged(_found(event_points(spark, sf), 0.1), 1, severity="severity").withColumn("severity", F.round("severity", 6))
+
+
+@query("intervals_merge_gap", f"WITH {POINTS}, {FOUND}, {_merge_sql('d', 28)}")
+def intervals_merge_gap(spark, sf):
+    return I.merged(_found(event_points(spark, sf), 0.1), 28)
+
+
+_IN = "EXISTS (SELECT 1 FROM d WHERE d.series_id = p.series_id AND p.idx BETWEEN d.\"start\" AND d.\"end\")"
+
+
+@query("interval_to_vector", f"WITH {POINTS}, {FOUND} SELECT series_id, idx, CASE WHEN {_IN} THEN 1::BIGINT ELSE 0::BIGINT END AS flag FROM p")
+def interval_to_vector(spark, sf):
+    points = event_points(spark, sf)
+    return I.to_vector(_found(points, 0.1), points)
+
+
+@query("points_in_intervals", f"WITH {POINTS}, {FOUND} SELECT series_id, idx, value FROM p WHERE {_IN}")
+def points_in_intervals(spark, sf):
+    points = event_points(spark, sf)
+    return I.covered(points, _found(points, 0.1)).select("series_id", "idx", "value")
+
+
+_OVERLAP = """o AS (SELECT g.series_id, g."start" AS ts_, d."start" AS ds_ FROM g JOIN d ON g.series_id = d.series_id AND d."start" <= g."end" AND g."start" <= d."end"),
+  c AS (SELECT n.series_id, (SELECT count(*) FROM o WHERE o.series_id = n.series_id) AS tp,
+   (SELECT count(*) FROM d WHERE d.series_id = n.series_id AND NOT EXISTS (SELECT 1 FROM o WHERE o.series_id = d.series_id AND o.ds_ = d."start")) AS fp,
+   (SELECT count(*) FROM g WHERE g.series_id = n.series_id AND NOT EXISTS (SELECT 1 FROM o WHERE o.series_id = g.series_id AND o.ts_ = g."start")) AS fn FROM n)"""
+
+
+@query(
+    "interval_overlap_prf",
+    f"""WITH {POINTS}, {FOUND}, {_OVERLAP}, r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS q FROM c)
+  SELECT series_id, tp, fp, fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM r""",
+)
+def interval_overlap_prf(spark, sf):
+    points = event_points(spark, sf)
+    out = V.overlap_metrics(I.overlap_counts(_found(points, 0.01), _found(points, 0.1)))
+    return out.select("series_id", "tp", "fp", "fn", *(_rounded(m) for m in ("precision", "recall", "f1")))
+
+
+def _prf_sql(rows: str, keys: str, truth: str, found: str) -> str:
+    return f"""c AS (SELECT {keys}, count(*) FILTER ({truth} = 1 AND {found} = 1) AS tp, count(*) FILTER ({truth} = 0 AND {found} = 1) AS fp,
+   count(*) FILTER ({truth} = 1 AND {found} = 0) AS fn FROM {rows} GROUP BY {keys}),
+  r AS (SELECT *, CASE WHEN tp + fp + fn = 0 THEN 1 WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fp + fn = 0 THEN 1 WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS q FROM c)
+  SELECT {keys}, tp, fp, fn, round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4) AS f1 FROM r"""
+
+
+@query("pointwise_prf", f"WITH x AS (SELECT source, quality, toxic FROM labels JOIN documents USING (doc_id)), {_prf_sql('x', 'source', 'quality', 'toxic')}")
+def pointwise_prf(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    return V.point_metrics(spark.read.parquet(f"{sf}/labels.parquet").join(docs, "doc_id"), ["source"], "quality", "toxic")
+
+
+_SPANS = """sp AS (SELECT g.series_id, g.start_ts - INTERVAL 1 HOUR AS start_ts, g.end_ts + INTERVAL 1 HOUR AS end_ts FROM g)"""
+
+
+@query(
+    "asof_index_left_right",
+    f"""WITH {POINTS}, {FOUND}, {_SPANS} SELECT sp.series_id, {TIME.format('start_ts')}, {TIME.format('end_ts')},
+  CAST(least(count(*) FILTER (p.ts < start_ts), count(*) - 1) AS BIGINT) AS "start", CAST(greatest(0, count(*) FILTER (p.ts <= end_ts) - 1) AS BIGINT) AS "end"
+  FROM sp JOIN p ON p.series_id = sp.series_id GROUP BY sp.series_id, start_ts, end_ts""",
+)
+def asof_index_left_right(spark, sf):
+    points = event_points(spark, sf)
+    spans = T.threshold_intervals(points, (0.01,)).select(
+        "series_id", F.expr("start_ts - INTERVAL 1 HOUR").alias("start_ts"), F.expr("end_ts + INTERVAL 1 HOUR").alias("end_ts")
+    )
+    return I.index_of_times(points, spans).select("series_id", _time("start_ts"), _time("end_ts"), F.col("start").cast("long"), F.col("end").cast("long"))
+
+
+@query(
+    "index_to_timestamp_clamped",
+    f"""WITH {POINTS}, {FOUND}, q AS (SELECT d.series_id, "end" + 50 AS "start", "start" - 50 AS "end",
+   greatest(0, least(t - 1, "start" - 50)) AS a, greatest(0, least(t - 1, "end" + 50)) AS b FROM d JOIN n USING (series_id))
+  SELECT q.series_id, q."start", q."end", strftime(x.ts, '%Y-%m-%d %H:%M:%S') AS start_ts, strftime(y.ts, '%Y-%m-%d %H:%M:%S') AS end_ts
+  FROM q JOIN p x ON x.series_id = q.series_id AND x.idx = a JOIN p y ON y.series_id = q.series_id AND y.idx = b""",
+)
+def index_to_timestamp_clamped(spark, sf):
+    points = event_points(spark, sf)
+    spans = _found(points, 0.1).select("series_id", (F.col("end") + 50).alias("start"), (F.col("start") - 50).alias("end"))
+    return I.times_of_index(points, spans).select("series_id", "start", "end", _time("start_ts"), _time("end_ts"))
+
+
+# --- evaluation and summaries
+
+_ALPHA_ROWS = "ap AS (SELECT l_returnflag AS model, l_linestatus AS dataset, l_suppkey AS signal, CASE l_linenumber % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.01 ELSE 0.001 END::DOUBLE AS alpha, l_linenumber % 3 AS alpha_pos, round(avg(l_discount), 2) AS f1, round(avg(l_tax), 4) AS precision FROM lineitem GROUP BY ALL)"
+
+
+def _alpha_rows(spark, sf):
+    pos = F.col("l_linenumber") % 3
+    alpha = F.when(pos == 0, 0.1).when(pos == 1, 0.01).otherwise(0.001)
+    return (
+        spark.read.parquet(f"{sf}/lineitem.parquet")
+        .groupBy(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("dataset"), F.col("l_suppkey").alias("signal"), alpha.alias("alpha"), pos.alias("alpha_pos"))
+        .agg(F.round(F.avg("l_discount"), 2).alias("f1"), F.round(F.avg("l_tax"), 4).alias("precision"))
+    )
+
+
+@query("f1max_per_signal", f"WITH {_ALPHA_ROWS} SELECT model, dataset, signal, max(f1) AS f1_max FROM ap GROUP BY ALL")
+def f1max_per_signal(spark, sf):
+    return _alpha_rows(spark, sf).groupBy("model", "dataset", "signal").agg(F.max("f1").alias("f1_max"))
+
+
+@query(
+    "f1max_argmax_ties",
+    f"WITH {_ALPHA_ROWS} SELECT model, dataset, signal, alpha, f1 FROM ap QUALIFY row_number() OVER (PARTITION BY model, dataset, signal ORDER BY f1 DESC, alpha_pos) = 1",
+)
+def f1max_argmax_ties(spark, sf):
+    return V.best_alpha(_alpha_rows(spark, sf), ["model", "dataset", "signal"]).select("model", "dataset", "signal", "alpha", "f1")
+
+
+@query(
+    "summary_mean_std_count",
+    "SELECT event_type AS series_id, round(avg(value), 4) AS avg_value, round(stddev_samp(value), 4) AS std_value, count(*) AS n FROM events GROUP BY event_type",
+)
+def summary_mean_std_count(spark, sf):
+    rows = event_points(spark, sf).groupBy("series_id")
+    return rows.agg(F.round(F.avg("value"), 4).alias("avg_value"), F.round(F.stddev_samp("value"), 4).alias("std_value"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "latest_per_key",
+    """SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(CASE WHEN value > 5 THEN value END, ts) AS value, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events GROUP BY user_id""",
+)
+def latest_per_key(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type", F.when(F.col("value") > 5, F.col("value")).alias("value"), "ts")
+    return V.latest(rows, ["user_id"], "ts").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(
+    "macro_average_two_level",
+    """SELECT o_orderstatus AS model, round(avg(m), 4) AS macro, count(*) AS categories FROM (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS m FROM orders GROUP BY ALL) GROUP BY o_orderstatus""",
+)
+def macro_average_two_level(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").withColumnRenamed("o_orderstatus", "model")
+    return V.macro_average(rows, ["model"], "o_orderpriority", "o_totalprice").withColumn("macro", F.round("macro", 4))
+
+
+@query(
+    "summary_by_segment",
+    "SELECT n_name AS dataset, c_mktsegment AS model, round(avg(c_acctbal), 4) AS avg_c_acctbal, count(*) AS n_signals FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
+)
+def summary_by_segment(spark, sf):
+    nations = spark.read.parquet(f"{sf}/nation.parquet")
+    rows = spark.read.parquet(f"{sf}/customer.parquet").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return V.summary(rows.select(F.col("n_name").alias("dataset"), F.col("c_mktsegment").alias("model"), "c_acctbal"), ["dataset", "model"], ["c_acctbal"])
+
+
+@query("resume_anti_join", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def resume_anti_join(spark, sf):
+    tasks = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct()
+    done = spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return pending(tasks, done, ["o_custkey"])
+
+
+@query(
+    "fallback_tables",
+    """SELECT doc_id, CAST(score AS BIGINT) AS score FROM (SELECT doc_id, quality AS score FROM labels UNION ALL SELECT doc_id, n_chars AS score FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))""",
+)
+def fallback_tables(spark, sf):
+    first = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").cast("long").alias("score"))
+    return with_fallback([first, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("n_chars").alias("score"))], ["doc_id"])
+
+
+@query(
+    "win_tie_loss",
+    """WITH x AS (SELECT l_returnflag AS model, round(l_discount - l_tax, 4) AS d FROM lineitem)
+  SELECT model, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std FROM x GROUP BY model""",
+)
+def win_tie_loss(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumnRenamed("l_returnflag", "model")
+    out = V.win_tie_loss(rows, ["model"], F.round(F.col("l_discount") - F.col("l_tax"), 4))
+    return out.select("model", "wins", "ties", "losses", _rounded("mean"), _rounded("std"))
+
+
+@query(
+    "pivot_best_condition",
+    f"""WITH {_ALPHA_ROWS}, x AS (SELECT dataset, signal, max(f1) FILTER (model = 'A') AS a, max(f1) FILTER (model = 'N') AS n, max(f1) FILTER (model = 'R') AS r FROM ap GROUP BY dataset, signal)
+  SELECT *, CASE WHEN coalesce(a, -1) >= coalesce(n, -1) AND coalesce(a, -1) >= coalesce(r, -1) THEN 'A' WHEN coalesce(n, -1) >= coalesce(r, -1) THEN 'N' ELSE 'R' END AS best FROM x""",
+)
+def pivot_best_condition(spark, sf):
+    wide = _alpha_rows(spark, sf).groupBy("dataset", "signal").pivot("model", ["A", "N", "R"]).agg(F.max("f1"))
+    a, n, r = (F.coalesce(c, F.lit(-1)) for c in ("A", "N", "R"))
+    best = F.when((a >= n) & (a >= r), "A").when(n >= r, "N").otherwise("R")
+    return wide.select("dataset", "signal", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"), best.alias("best"))
+
+
+@query(
+    "eda_statistics",
+    f"""WITH {POINTS}, {FOUND}, k AS (SELECT n.series_id, t, count(d."start") AS c, coalesce(sum(d."end" - d."start" + 1), 0) AS inside FROM n LEFT JOIN d USING (series_id) GROUP BY n.series_id, t)
+  SELECT count(*) AS series, round(avg(CASE WHEN c = 0 THEN 1.0 ELSE 0.0 END), 6) AS share_without, round(avg(c), 6) AS mean_intervals, max(c) AS max_intervals, round(avg(t), 6) AS mean_length,
+  max(t) AS max_length, round(sum(inside) / sum(t), 6) AS ratio FROM k""",
+)
+def eda_statistics(spark, sf):
+    points = event_points(spark, sf)
+    out = V.corpus_statistics(points, _found(points, 0.1))
+    return out.select("series", _rounded("share_without"), _rounded("mean_intervals"), "max_intervals", _rounded("mean_length"), "max_length", _rounded("ratio"))
+
+
+@query("affiliation_prf")
+def affiliation_prf(spark, sf):
+    points = event_points(spark, sf)
+    return V.affiliation_metrics(_found(points, 0.01), _found(points, 0.1), T.lengths(points))
+
+
+# --- windows
+
+SIZE, STEP = 224, 56
+_HOP = f"""k AS (SELECT series_id, unnest(generate_series(0, (t - {SIZE}) // {STEP})) AS window_id FROM n WHERE t >= {SIZE}),
+  x AS (SELECT p.series_id, window_id, idx, value, ts FROM k JOIN p ON p.series_id = k.series_id AND idx >= window_id * {STEP} AND idx < window_id * {STEP} + {SIZE})"""
+
+
+def _hops(points):
+    return T.hopping(points.join(T.lengths(points), "series_id"), F.lit(SIZE), F.lit(STEP))
+
+
+@query(
+    "hopping_windows_stats",
+    f"WITH {POINTS}, {_HOP} SELECT series_id, window_id, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, max(value) AS high FROM x GROUP BY ALL",
+)
+def hopping_windows_stats(spark, sf):
+    out = _hops(event_points(spark, sf)).groupBy("series_id", "window_id")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.max("value").alias("high"))
+
+
+@query(
+    "chunk_right_aligned",
+    f"""WITH {POINTS}, x AS (SELECT p.series_id, idx // 300 AS chunk, idx, value FROM p JOIN n USING (series_id) WHERE t <= 300 OR t % 300 = 0 OR idx // 300 < t // 300
+   UNION ALL SELECT p.series_id, t // 300 AS chunk, idx, value FROM p JOIN n USING (series_id) WHERE t > 300 AND t % 300 <> 0 AND idx >= t - 300)
+  SELECT series_id, chunk, min(idx) AS first_idx, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY ALL""",
+)
+def chunk_right_aligned(spark, sf):
+    out = W.chunks(event_points(spark, sf), 300).groupBy("series_id", "chunk")
+    return out.agg(F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _columns(points):
+    """Scores per window and column: value times window number plus one."""
+    return _hops(points).select(
+        "series_id", "window_id", (F.col("idx") - F.col("window_id") * STEP).alias("col"), (F.col("value") / (F.col("window_id") + 1)).alias("score")
+    )
+
+
+@query("stitch_average", f"WITH {POINTS}, {_HOP} SELECT series_id, idx AS pos, round(avg(value / (window_id + 1)), 9) AS score FROM x GROUP BY ALL")
+def stitch_average(spark, sf):
+    return W.stitched(_columns(event_points(spark, sf)), STEP).withColumn("score", F.round("score", 9))
+
+
+@query("stitch_max", f"WITH {POINTS}, {_HOP} SELECT series_id, idx AS pos, round(max(value / (window_id + 1)), 9) AS score FROM x GROUP BY ALL")
+def stitch_max(spark, sf):
+    return W.stitched(_columns(event_points(spark, sf)), STEP, "max").withColumn("score", F.round("score", 9))
+
+
+@query(
+    "topk_mean_per_column",
+    f"""WITH {POINTS}, {_HOP}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id, window_id ORDER BY value DESC) AS k, count(*) OVER (PARTITION BY series_id, window_id) AS c FROM x)
+  SELECT series_id, window_id, round(avg(value), 6) AS score FROM r WHERE k <= ceil(c * 0.25) GROUP BY ALL""",
+)
+def topk_mean_per_column(spark, sf):
+    return W.top_mean(_hops(event_points(spark, sf)), ["series_id", "window_id"], "value", 0.25).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "align_interpolate_extrapolate",
+    f"""WITH {POINTS}, s AS (SELECT series_id, idx AS pos, value AS score FROM p WHERE idx < 100),
+  q AS (SELECT series_id, count(*) AS c FROM s GROUP BY series_id),
+  gr AS (SELECT series_id, c, unnest(generate_series(0, 249)) AS k FROM q), gx AS (SELECT *, k * (c - 1) / 249.0::DOUBLE AS x FROM gr),
+  dr AS (SELECT gx.series_id, k, a.score + (b.score - a.score) * (x - floor(x)) AS v FROM gx JOIN s a ON a.series_id = gx.series_id AND a.pos = floor(x)
+    JOIN s b ON b.series_id = gx.series_id AND b.pos = least(floor(x) + 1, c - 1)),
+  en AS (SELECT series_id, max(v) FILTER (k = 249) AS l, max(v) FILTER (k = 249) - max(v) FILTER (k = 248) AS sl FROM dr GROUP BY series_id)
+  SELECT series_id, CAST(k AS BIGINT) AS idx, round(v, 6) AS score FROM dr JOIN n USING (series_id) WHERE k < t
+  UNION ALL SELECT series_id, CAST(k AS BIGINT), round(l + sl * (k - 249), 6) FROM (SELECT en.series_id, l, sl, unnest(generate_series(250, t - 1)) AS k FROM en JOIN n USING (series_id) WHERE t > 250)""",
+)
+def align_interpolate_extrapolate(spark, sf):
+    points = event_points(spark, sf)
+    first = points.where("idx < 100").select("series_id", F.col("idx").alias("pos"), F.col("value").alias("score"))
+    return W.aligned(first, T.lengths(points), 250).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "ewm_alpha",
+    f"""WITH {POINTS} SELECT a.series_id, a.idx, round(sum(CASE WHEN b.idx = 0 THEN 1.0::DOUBLE ELSE 0.3 END * power(0.7::DOUBLE, a.idx - b.idx) * b.value), 5) AS smooth
+  FROM p a JOIN p b ON a.series_id = b.series_id AND b.idx <= a.idx AND b.idx > a.idx - 120 GROUP BY ALL""",
+)
+def ewm_alpha(spark, sf):
+    return N.ewm_alpha(event_points(spark, sf), 0.3).select("series_id", "idx", _rounded("smooth", 5))
+
+
+@query(
+    "ewm_span",
+    f"""WITH {POINTS}, r AS (SELECT series_id, 1 - 2.0::DOUBLE / (greatest(1, CAST(floor(0.01 * t) AS BIGINT)) + 1) AS q, greatest(1, CAST(floor(0.01 * t) AS BIGINT)) AS s FROM n)
+  SELECT a.series_id, a.idx, round(sum(power(q, a.idx - b.idx) * b.value) / sum(power(q, a.idx - b.idx)), 5) AS smooth
+  FROM p a JOIN r ON r.series_id = a.series_id JOIN p b ON a.series_id = b.series_id AND b.idx <= a.idx AND b.idx > a.idx - 20 * s - 20 GROUP BY a.series_id, a.idx""",
+)
+def ewm_span(spark, sf):
+    return N.ewm_span(event_points(spark, sf)).select("series_id", "idx", _rounded("smooth", 5))
+
+
+@query(
+    "autocorr_lags",
+    f"""WITH {POINTS}, c AS (SELECT series_id, idx, value - avg(value) OVER (PARTITION BY series_id) AS v FROM p), l AS (SELECT unnest(generate_series(0, 30)) AS lag)
+  SELECT a.series_id, CAST(lag AS BIGINT) AS lag, round(sum(a.v * b.v), 3) AS acf FROM c a CROSS JOIN l JOIN c b ON b.series_id = a.series_id AND b.idx = a.idx + lag GROUP BY a.series_id, lag""",
+)
+def autocorr_lags(spark, sf):
+    return N.autocorrelation(event_points(spark, sf), 30).select("series_id", "lag", F.round("acf", 3).alias("acf"))
+
+
+@query(
+    "seasonal_deseasonalise",
+    f"""WITH {POINTS}, m AS (SELECT p.series_id, idx, value, t, (sum(value) OVER (w ROWS BETWEEN 11 PRECEDING AND 11 FOLLOWING) + (lag(value, 12) OVER w + lead(value, 12) OVER w) / 2) / 24 AS tr
+   FROM p JOIN n USING (series_id) WINDOW w AS (PARTITION BY p.series_id ORDER BY idx)),
+  f AS (SELECT series_id, idx % 24 AS ph, avg(CASE WHEN idx >= 12 AND idx < t - 12 THEN value - tr END) AS m FROM m GROUP BY ALL),
+  s AS (SELECT series_id, ph, m - avg(m) OVER (PARTITION BY series_id) AS sea FROM f)
+  SELECT p.series_id, idx, round(sea, 5) AS seasonal, round(value - sea, 5) AS value FROM p JOIN s ON s.series_id = p.series_id AND ph = idx % 24""",
+)
+def seasonal_deseasonalise(spark, sf):
+    return N.deseasonalised(event_points(spark, sf), 24).select("series_id", "idx", _rounded("seasonal", 5), _rounded("value", 5))
+
+
+@query(
+    "segment_cv_strategy",
+    f"""WITH {POINTS}, g AS (SELECT series_id, value, ntile(10) OVER (PARTITION BY series_id ORDER BY idx) AS k FROM p), v AS (SELECT series_id, k, var_pop(value) AS v FROM g GROUP BY ALL)
+  SELECT series_id, round(stddev_pop(v) / (avg(v) + 1e-8), 6) AS cv, CASE WHEN stddev_pop(v) / (avg(v) + 1e-8) > 0.3 THEN 'ltr_k5' ELSE 'early_ref' END AS strategy FROM v GROUP BY series_id""",
+)
+def segment_cv_strategy(spark, sf):
+    return N.segment_variation(event_points(spark, sf)).select("series_id", _rounded("cv"), "strategy")
+
+
+@query("zoom_candidates", f"WITH {POINTS}, q AS (SELECT series_id, quantile_cont(value, 0.7) AS c FROM p GROUP BY series_id) SELECT p.series_id, idx FROM p JOIN q USING (series_id) WHERE value >= c")
+def zoom_candidates(spark, sf):
+    return T.zoom_candidates(event_points(spark, sf)).select("series_id", "idx")
+
+
+@query("zoom_fusion_weighted", f"WITH {POINTS} SELECT series_id, idx, round(CASE WHEN idx % 3 = 0 THEN 0.3 * value + 0.7 * (value * value / 10) ELSE value END, 9) AS score FROM p")
+def zoom_fusion_weighted(spark, sf):
+    coarse = event_points(spark, sf).select("series_id", "idx", F.col("value").alias("score"))
+    fine = coarse.where("idx % 3 = 0").select("series_id", "idx", (F.col("score") * F.col("score") / 10).alias("score"))
+    return W.fused(coarse, fine, 0.7).withColumn("score", F.round("score", 9))
+
+
+@query("zoom_fusion_max", f"WITH {POINTS} SELECT series_id, idx, round(CASE WHEN idx % 3 = 0 THEN greatest(value, value * value / 10) ELSE value END, 9) AS score FROM p")
+def zoom_fusion_max(spark, sf):
+    coarse = event_points(spark, sf).select("series_id", "idx", F.col("value").alias("score"))
+    fine = coarse.where("idx % 3 = 0").select("series_id", "idx", (F.col("score") * F.col("score") / 10).alias("score"))
+    return W.fused(coarse, fine).withColumn("score", F.round("score", 9))
+
+
+@query("rank_min_desc", f"WITH {_ALPHA_ROWS} SELECT model, dataset, signal, alpha, rank() OVER (PARTITION BY model, dataset ORDER BY f1 DESC) AS rank FROM ap")
+def rank_min_desc(spark, sf):
+    return W.rank_min(_alpha_rows(spark, sf), ["model", "dataset"], "f1").select("model", "dataset", "signal", "alpha", "rank")
+
+
+# --- embeddings
+
+EMB = """e AS (SELECT CAST(label AS BIGINT) AS series_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS w, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
+  x AS (SELECT series_id, w, unnest(generate_series(0, 63)) AS dim, unnest(v) AS v FROM e)"""
+_GLOBAL = "gm AS (SELECT series_id, dim, quantile_disc(v, 0.5) AS v FROM x GROUP BY ALL)"
+_REF = f"{_GLOBAL}, rf AS (SELECT series_id, list(v ORDER BY dim) AS r FROM gm GROUP BY series_id)"
+
+
+@query("embed_global_median", f"WITH {EMB}, {_GLOBAL} SELECT series_id, CAST(dim AS BIGINT) AS dim, round(v, 6) AS v FROM gm")
+def embed_global_median(spark, sf):
+    return E.global_median(E.embedding_windows(spark, sf)).select("series_id", F.col("dim").cast("long").alias("dim"), _rounded("v"))
+
+
+@query(
+    "embed_early_median",
+    f"WITH {EMB}, c AS (SELECT series_id, least(greatest(5, floor(0.2 * count(*))), count(*) - 1) AS k FROM e GROUP BY series_id) SELECT x.series_id, CAST(dim AS BIGINT) AS dim, round(quantile_disc(v, 0.5), 6) AS v FROM x JOIN c USING (series_id) WHERE w < k GROUP BY x.series_id, dim",
+)
+def embed_early_median(spark, sf):
+    return E.early_median(E.embedding_windows(spark, sf)).select("series_id", F.col("dim").cast("long").alias("dim"), _rounded("v"))
+
+
+@query(
+    "embed_ltr_median",
+    f"WITH {EMB} SELECT a.series_id, a.w, CAST(a.dim AS BIGINT) AS dim, round(quantile_disc(b.v, 0.5), 6) AS v FROM x a JOIN x b ON a.series_id = b.series_id AND a.dim = b.dim AND abs(a.w - b.w) <= 5 AND a.w <> b.w GROUP BY a.series_id, a.w, a.dim",
+)
+def embed_ltr_median(spark, sf):
+    return E.local_median(E.embedding_windows(spark, sf), 5).select("series_id", "w", F.col("dim").cast("long").alias("dim"), _rounded("v"))
+
+
+@query("embed_cosine_to_median", f"WITH {EMB}, {_REF} SELECT e.series_id, w, round((1 - list_cosine_similarity(v, r)) / 2, 6) AS score FROM e JOIN rf USING (series_id)")
+def embed_cosine_to_median(spark, sf):
+    windows = E.embedding_windows(spark, sf)
+    return E.dissimilarity(windows, E.global_median(windows), ["series_id"]).withColumn("score", F.round("score", 6))
+
+
+_POOL = """c AS (SELECT series_id, w, dim % 4 AS k, avg(v) AS m, sqrt(avg(v * v)) AS q FROM x GROUP BY ALL),
+  u AS (SELECT series_id, w, list(m ORDER BY k) AS m, list(q ORDER BY k) AS q, sqrt(sum(m * m)) AS nm, sqrt(sum(q * q)) AS nq FROM c GROUP BY series_id, w)"""
+
+
+@query("gap_pooled", f"WITH {EMB}, {_POOL} SELECT series_id, w, CAST(k - 1 AS BIGINT) AS k, round(m[k] / nm, 6) AS v FROM (SELECT *, unnest(generate_series(1, 4)) AS k FROM u)")
+def gap_pooled(spark, sf):
+    out = E.pooled(E.embedding_windows(spark, sf), 4, rms=False).select("series_id", "w", F.posexplode("embedding").alias("k", "v"))
+    return out.select("series_id", "w", F.col("k").cast("long").alias("k"), _rounded("v"))
+
+
+@query(
+    "gap_rms_pooled",
+    f"WITH {EMB}, {_POOL} SELECT series_id, w, CAST(k - 1 AS BIGINT) AS k, round(CASE WHEN k <= 4 THEN m[k] / nm ELSE q[k - 4] / nq END, 6) AS v FROM (SELECT *, unnest(generate_series(1, 8)) AS k FROM u)",
+)
+def gap_rms_pooled(spark, sf):
+    out = E.pooled(E.embedding_windows(spark, sf), 4, rms=True).select("series_id", "w", F.posexplode("embedding").alias("k", "v"))
+    return out.select("series_id", "w", F.col("k").cast("long").alias("k"), _rounded("v"))
+
+
+def _patch_sql(condition: str) -> str:
+    return f"""WITH {EMB}, {_REF}, a AS (SELECT series_id, w, patch, v[patch * 4 + 1 : patch * 4 + 4] AS v FROM (SELECT *, unnest(generate_series(0, 15)) AS patch FROM e)),
+  b AS (SELECT series_id, patch, r[patch * 4 + 1 : patch * 4 + 4] AS r FROM (SELECT *, unnest(generate_series(0, 15)) AS patch FROM rf))
+  SELECT a.series_id, w, CAST(a.patch AS BIGINT) AS patch, round(min((1 - list_cosine_similarity(v, r)) / 2), 6) AS score FROM a JOIN b ON a.series_id = b.series_id {condition} GROUP BY a.series_id, w, a.patch"""
+
+
+def _best_patch(spark, sf, same_row: bool):
+    windows = E.embedding_windows(spark, sf)
+    out = E.best_patch_match(windows, E.global_median(windows), 4, 4, same_row)
+    return out.select("series_id", "w", F.col("patch").cast("long").alias("patch"), _rounded("score"))
+
+
+@query("patch_best_match", _patch_sql(""))
+def patch_best_match(spark, sf):
+    return _best_patch(spark, sf, False)
+
+
+@query("patch_best_match_rowwise", _patch_sql("AND a.patch // 4 = b.patch // 4"))
+def patch_best_match_rowwise(spark, sf):
+    return _best_patch(spark, sf, True)
+
+
+def _members_sql(group: int) -> str:
+    return f"mem AS (SELECT g AS group_id, (g // {9 - group} + k // {group}) * 8 + g % {9 - group} + k % {group} AS cell FROM (SELECT unnest(generate_series(0, {(9 - group) ** 2 - 1})) AS g) CROSS JOIN (SELECT unnest(generate_series(0, {group * group - 1})) AS k))"
+
+
+_GROUPS = "gs AS (SELECT series_id, w, group_id, avg(abs(v) + 0.01::DOUBLE) AS s FROM x JOIN mem ON cell = dim GROUP BY ALL)"
+
+
+def _cells(spark, sf):
+    return E.dimensions(E.embedding_windows(spark, sf)).select("series_id", "w", F.col("dim").cast("long").alias("cell"), (F.abs("v") + 0.01).alias("s"))
+
+
+@query("multi_scale_pool", f"WITH {EMB}, {_members_sql(3)}, {_GROUPS} SELECT series_id, w, CAST(group_id AS BIGINT) AS group_id, round(s, 6) AS s FROM gs")
+def multi_scale_pool(spark, sf):
+    return E.group_scores(_cells(spark, sf), E.membership(spark, 8, 3)).withColumn("s", F.round("s", 6))
+
+
+def _harmonic_sql(shift: int) -> str:
+    return f"""WITH {EMB}, {_members_sql(2)}, {_GROUPS}, h AS (SELECT series_id, w, cell - {shift} AS dim, count(*) / sum(1 / s) AS score FROM gs JOIN mem USING (group_id) GROUP BY ALL)
+  SELECT x.series_id, x.w, CAST(x.dim AS BIGINT) AS cell, round(coalesce(score, 0), 6) AS score FROM x LEFT JOIN h ON h.series_id = x.series_id AND h.w = x.w AND h.dim = x.dim"""
+
+
+def _harmonic(spark, sf, shift: int):
+    cells, members = _cells(spark, sf), E.membership(spark, 8, 2)
+    return E.harmonic(E.group_scores(cells, members), members, cells, shift).withColumn("score", F.round("score", 6))
+
+
+@query("harmonic_membership_shifted", _harmonic_sql(1))
+def harmonic_membership_shifted(spark, sf):
+    return _harmonic(spark, sf, 1)
+
+
+@query("harmonic_membership", _harmonic_sql(0))
+def harmonic_membership(spark, sf):
+    return _harmonic(spark, sf, 0)
+
+
+# --- prompts and answers
+
+_TEXTS = {
+    "plain": ("printf('%.2f', value)", "' '"),
+    "csv": ("(idx + 1)::VARCHAR || ',' || printf('%.2f', value)", "chr(10)"),
+    "digits": ("rtrim(regexp_replace(replace(printf('%.2f', value), '.', ''), '(\\d)', '\\1 ', 'g'))", "' , '"),
+    "indexed": ("'(' || idx::VARCHAR || ', ' || printf('%.2f', value) || ')'", "' '"),
+}
+for _form, (_each, _between) in _TEXTS.items():
+    QUERIES[f"series_to_text_{_form}"] = lambda spark, sf, form=_form: P.series_text(event_points(spark, sf), form)
+    SQL[f"series_to_text_{_form}"] = f"WITH {POINTS} SELECT series_id, string_agg({_each}, {_between} ORDER BY idx) AS text FROM p GROUP BY series_id"
+
+
+@query(
+    "chat_request",
+    """SELECT conv_id, turn, 2::BIGINT AS n_messages, 'system,user' AS roles, text AS user_text, 0.4::DOUBLE AS temperature FROM conversations WHERE role = 'user'""",
+)
+def chat_request(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
+    made = rows.select("conv_id", "turn", P.chat_request(F.lit("Find anomalies."), F.col("text")).alias("json"))
+    shape = "messages array<struct<role:string,content:array<struct<type:string,text:string,image_url:string>>>>, temperature double"
+    read = made.select("conv_id", "turn", F.from_json("json", shape).alias("r"))
+    return read.select(
+        "conv_id", "turn", F.size("r.messages").cast("long").alias("n_messages"), F.array_join("r.messages.role", ",").alias("roles"),
+        F.col("r.messages")[1]["content"][0]["text"].alias("user_text"), F.col("r.temperature").alias("temperature"),
+    )
+
+
+def _answers(points, alpha: float, form: str) -> DataFrame:
+    """An answer text per series that lists its intervals."""
+    found = _found(points, alpha).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("i"))
+    if form == "list":
+        body = F.concat(F.lit("Anomalies: "), F.to_json("i"), F.lit(" as asked."))
+    else:
+        pairs = F.transform("i", lambda x: F.array(x["end"], x["start"]))
+        sure = F.transform("i", lambda x: x["start"] % 3 + 1)
+        body = F.concat(
+            F.lit("```json\n"), F.to_json(F.struct(pairs.alias("interval_index"), F.slice(sure, 1, 5).alias("confidence"), F.lit("x").alias("abnormal_description"))), F.lit("\n```")
+        )
+    return found.select("series_id", body.alias("answer"))
+
+
+@query("parse_interval_answer", f'WITH {POINTS}, {FOUND} SELECT series_id, "start", "end" FROM g')
+def parse_interval_answer(spark, sf):
+    answers = _answers(event_points(spark, sf), 0.01, "list")
+    each = answers.select("series_id", F.explode(P.parse_intervals(F.col("answer"))).alias("x"))
+    return each.select("series_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
+
+
+@query(
+    "parse_vlm_answer",
+    f"""WITH {POINTS}, {FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY "start") AS k FROM g)
+  SELECT series_id, "start", "end", CASE WHEN k <= 5 THEN "start" % 3 + 1 ELSE 1 END AS severity FROM r""",
+)
+def parse_vlm_answer(spark, sf):
+    return P.verdict_intervals(_answers(event_points(spark, sf), 0.01, "verdict"), "answer")
+
+
+@query("parse_timestamp_answer", f"WITH {POINTS}, {FOUND} SELECT series_id, {TIME.format('start_ts')}, {TIME.format('end_ts')} FROM g")
+def parse_timestamp_answer(spark, sf):
+    found = T.threshold_intervals(event_points(spark, sf), (0.01,)).select("series_id", _time("start_ts"), _time("end_ts"))
+    each = F.to_json(F.struct(F.col("start_ts").alias("start"), F.col("end_ts").alias("end")))
+    texts = found.groupBy("series_id").agg(F.concat(F.lit("Found {bad} and "), F.array_join(F.collect_list(each), " or ")).alias("answer"))
+    read = texts.select("series_id", F.explode(P.parse_times(F.col("answer"))).alias("x"))
+    return read.select("series_id", F.date_format("x.start", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), F.date_format("x.end", "yyyy-MM-dd HH:mm:ss").alias("end_ts"))
+
+
+@query(
+    "rescale_answer_digits",
+    f"""WITH {POINTS}, {FOUND} SELECT series_id, '[{{"start": ' || CAST(floor("start" / 0.3::DOUBLE) AS BIGINT) || ', "end": ' || CAST(floor("end" / 0.3::DOUBLE) AS BIGINT) || '}}]' AS answer FROM d""",
+)
+def rescale_answer_digits(spark, sf):
+    found = _found(event_points(spark, sf), 0.1)
+    text = F.concat(F.lit('[{"start": '), F.col("start").cast("string"), F.lit(', "end": '), F.col("end").cast("string"), F.lit("}]"))
+    return found.select("series_id", P.rescale_digits(text, 0.3).alias("answer"))
+
+
+@query(
+    "image_token_estimate",
+    """SELECT p_partkey, CAST(ceil(w * least(1.0::DOUBLE, 768.0::DOUBLE / greatest(w, h)) / 256) * ceil(h * least(1.0::DOUBLE, 768.0::DOUBLE / greatest(w, h)) / 256) * 258 AS BIGINT) AS tokens
+  FROM (SELECT p_partkey, CAST(p_size * 40 + 100 AS DOUBLE) AS w, CAST(p_retailprice AS DOUBLE) AS h FROM part)""",
+)
+def image_token_estimate(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    return parts.select("p_partkey", image_tokens((F.col("p_size") * 40 + 100).cast("double"), F.col("p_retailprice").cast("double")).alias("tokens"))
+
+
+# --- detectors
+
+
+@query("detect_global")
+def detect_global(spark, sf):
+    return D.detect(event_points(spark, sf), D.DETECTORS["global"], ALPHAS)
+
+
+@query("detect_local")
+def detect_local(spark, sf):
+    return D.detect(event_points(spark, sf), D.DETECTORS["local"], ALPHAS)
+
+
+@query("detect_early")
+def detect_early(spark, sf):
+    return D.detect(event_points(spark, sf), D.DETECTORS["early"], ALPHAS)
+
+
+@query("detect_dual_anchor")
+def detect_dual_anchor(spark, sf):
+    return D.detect(event_points(spark, sf), D.DETECTORS["dual_anchor"], ALPHAS)
+
+
+@query("detect_zoom")
+def detect_zoom(spark, sf):
+    return D.detect(event_points(spark, sf), D.DETECTORS["zoom"], ALPHAS)
+
+
+@query("window_sizes")
+def window_sizes(spark, sf):
+    return N.window_sizes(event_points(spark, sf))
