@@ -11,10 +11,10 @@ coordinates estimates the Jaccard similarity with concentration bounds.
 
 Banding: coordinates are hashed in bands of ``rows``; documents that share a band are candidates. With
 32 bands of 4 a pair at similarity 0.8 shares none with probability 5e-8. In each bucket all members
-are compared with the smallest one, which is linear in its size. Links so confirmed are contracted to
-components; then, in buckets whose other members still lie in several components, pairs across
-components are compared too. Every comparison first estimates from sketches (a pair at 0.8 fails that
-filter with probability about 1e-8) and is then confirmed on the full sets.
+are compared with the smallest one, which is linear in its size; an estimate from sketches comes first (a pair at
+0.8 fails it with probability about 1e-8), then full sets confirm. Links so confirmed are contracted to
+components; then, in buckets whose other members still lie in several components, members are
+compared across components on full sets, in blocks that return links to the smallest member only.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than the
 width make one shingle; repeated rows are copies; rows with a null id link with nothing and are kept,
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +34,15 @@ from pyspark.sql import functions as F
 
 from vigil.llm.graph import components
 from vigil.llm.storage import stored, table
+from vigil.llm.vectors import smallest_connected
 from vigil.llm.words import WordHashes, mixed, seeded, shingles, utf8, words
 
 #: Coordinates of a sketch, and how many make a band.
 COORDINATES, ROWS = 128, 4
 #: Pairs whose sketches agree in a smaller share aren't verified: 6 standard deviations below 0.8.
 SKETCH_LEAST = 0.58
+#: Members of a block, and shingles that a comparison of blocks holds at once.
+BLOCK, WIDE = 400, 16_384
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -153,8 +157,8 @@ def _sized(a: str, b: str, percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
+    left = sets.hint("merge").select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.hint("merge").select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - F.col("both")
     return (
@@ -166,6 +170,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def compare_members(part: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links across components within a block: rows (a, b), each member linked to the smallest it reaches."""
+    part = part.sort_values("rep", kind="stable").reset_index(drop=True)
+    ids, sizes = part["rep"].to_numpy(), part["shingles"].map(len).to_numpy()
+    flat, owner = np.concatenate(part["shingles"].to_list()), np.repeat(np.arange(len(part)), sizes)
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    number = np.cumsum(n > 1) - 1
+    col, row = number[at[shared]], owner[shared]
+    both = np.zeros((len(part), len(part)), np.float32)
+    for start in range(0, int(col.max(initial=-1)) + 1, WIDE):
+        some = (col >= start) & (col < start + WIDE)
+        has = np.zeros((len(part), WIDE), np.float32)
+        has[row[some], col[some] - start] = 1
+        both += has @ has.T
+    union = sizes[:, None] + sizes[None, :] - both
+    component = part["component"].to_numpy()
+    linked = (both * 100 >= union * percent) & (component[:, None] != component[None, :])
+    least = smallest_connected(linked, ids)
+    return pd.DataFrame({"a": ids, "b": least})[least != ids]
+
+
+def _across(crowd: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket that lie in several components (all were compared with its head).
+
+    Whole sets meet in blocks of at most 2 * BLOCK members, so a large bucket is many tasks and no pair
+    is ever a row.
+    """
+    labelled = (
+        crowd.where("n > 2 AND rep <> head")
+        .join(joined, F.col("rep") == F.col("node"), "left")
+        .select("hash", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    )
+    several = (
+        labelled.groupBy("hash")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .where("least <> most")
+        .select("hash")
+    )
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    cut = (
+        labelled.join(several, "hash", "left_semi")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("hash", "rep", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+    return (
+        cut.join(sets.hint("merge"), "rep")
+        .groupBy("hash", "low", "high")
+        .applyInPandas(lambda part: compare_members(part, percent), "a long, b long")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -179,64 +236,43 @@ def near_duplicates(
     reps = stored(
         reps.select("c.rep", "r.h1", "r.h2", "n_shingles", "bands", "short").dropDuplicates(["h1", "h2"]), "classes"
     )
-    member = reps.select("rep", "n_shingles", "short", F.posexplode("bands").alias("band", "hash"))
+    member = reps.select("rep", F.explode("bands").alias("hash"))  # a band's number is part of its hash
     # the smallest member of each bucket that has others
     heads = (
-        member.groupBy("band", "hash")
-        .agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("band", "hash", "head", "n")
+        member.groupBy("hash").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    )
+    crowd = stored(member.join(heads, "hash"), "buckets")
+    one, two = (
+        reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("short").alias(f"short_{c}"))
+        for c in ("a", "b")
     )
-    crowd = stored(member.join(heads, ["band", "hash"]), "buckets")
-    lead = reps.select(F.col("rep").alias("head"), F.col("n_shingles").alias("n_head"), F.col("short").alias("short_b"))
     star = (
         crowd.where("rep <> head")
-        .groupBy(F.col("rep"), F.col("head"))
-        .agg(F.first("n_shingles").alias("n_shingles"), F.first("short").alias("short_a"))
-        .join(lead, "head")
-        .where(_sized("n_shingles", "n_head", percent))
-        .select(F.col("rep").alias("a"), F.col("head").alias("b"), "short_a", "short_b")
+        .select(F.col("rep").alias("a"), F.col("head").alias("b"))
+        .distinct()
+        .join(one, "a")
+        .join(two, "b")
+        .where(_sized("n_a", "n_b", percent))
     )
     tried = stored(_alike(star, SKETCH_LEAST), "pairs")
-    # whole sets of those documents only that some candidate needs
-    source = docs.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
-    wanted = tried.select(F.col("a").alias("doc_id")).unionAll(tried.select(F.col("b").alias("doc_id"))).distinct()
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        found = shingle_sets(source.join(ids, "doc_id", "left_semi"), width)
-        return found.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "shingles")
-
-    links = stored(_confirmed(tried, sets_of(wanted), percent), "links")
-    joined = components(links)
-    # buckets whose other members lie in several components
-    labelled = (
-        crowd.where("n > 2 AND rep <> head")
-        .join(joined, F.col("rep") == F.col("node"), "left")
-        .select("band", "hash", "rep", "n_shingles", "short", F.coalesce("component", "rep").alias("component"))
+    # whole sets of those documents only that a comparison may need
+    wanted = (
+        tried.select(F.col("a").alias("doc_id"))
+        .unionAll(tried.select("b"))
+        .unionAll(crowd.where("n > 2").select("rep"))
+        .distinct()
     )
-    mixed_up = (
-        labelled.groupBy("band", "hash")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least <> most")
-        .select("band", "hash")
+    source = docs.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
+    found = shingle_sets(source.join(wanted.hint("merge"), "doc_id", "left_semi"), width)
+    sets = stored(
+        found.join(reps.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "shingles"),
+        "sets",
     )
-    rest = stored(labelled.join(mixed_up, ["band", "hash"], "left_semi"), "rest")
-    if not rest.isEmpty():
-        one, two = (
-            rest.select(*(F.col(c).alias(f"{c}_{s}") if c not in ("band", "hash") else c for c in rest.columns))
-            for s in ("a", "b")
-        )
-        across = (
-            one.join(two, ["band", "hash"])
-            .where("rep_a < rep_b AND component_a <> component_b")
-            .where(_sized("n_shingles_a", "n_shingles_b", percent))
-            .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "short_a", "short_b")
-        )
-        more = stored(_alike(across, SKETCH_LEAST).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            wanted = more.select(F.col("a").alias("doc_id")).unionAll(more.select(F.col("b").alias("doc_id"))).distinct()
-            links = stored(links.unionAll(_confirmed(more, sets_of(wanted), percent)), "links")
-            joined = components(links)
+    links = stored(_confirmed(tried, sets, percent), "links")
+    joined = components(links)
+    more = stored(_across(crowd, joined, sets, percent), "links")
+    if not more.isEmpty():
+        joined = components(links.unionAll(more))
     of_class = (
         reps.select("h1", "h2", "rep")
         .join(joined, F.col("rep") == F.col("node"), "left")
