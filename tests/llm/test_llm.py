@@ -1,0 +1,340 @@
+"""Text preparation operators against brute force, and their defined results on awkward rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vigil.llm import chat, cotraining, html, lm, minhash, packing, secrets, sharding, spaced, vectors
+from vigil.llm.graph import components
+
+LONG = "alpha beta gamma delta " * 4000
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, rep long, chunk string, rank int, label int, hash string"
+
+
+def frame(spark, texts, ids=None):
+    ids = ids or list(range(len(texts)))
+    return spark.createDataFrame([(i, t, None, "s", None, 1, "c", 2, 3, "h") for i, t in zip(ids, texts)], SHAPE)
+
+
+AWKWARD = [None, "", " \n\t", "one", "one", LONG, "password=abcdef1 x", "Ünïcode é 中文"]
+
+
+def prose(n, seed, size=80):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(900)]
+    return [" ".join(r.choice(vocabulary) for _ in range(r.randint(5, size))) for _ in range(n)]
+
+
+def edited(text, share, seed):
+    r = random.Random(seed)
+    return " ".join("zz%d" % r.randint(0, 10**6) if r.random() < share else w for w in text.split())
+
+
+def test_secrets(spark):
+    tricky = [
+        "token=token:abcdefgh", "Password : 'xY12345' AKIA" + "A" * 16, "a" * 30 + " " + "f" * 23,
+        "api_key=\"abc\" secret = zzzzzz", "login: bob\nhost=db.example.com key Zx9Qw8Er7Ty6Ui5Op4 AKIA" + "B1" * 8,
+    ]
+    texts = AWKWARD + tricky
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(frame(spark, texts)).collect()}
+    assign = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    for i, text in enumerate(texts):
+        t = text or ""
+        spans = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
+    linked = got[len(texts) - 1]["spans"]
+    assert "key:" in linked and "access:" in linked
+    lone = secrets.scan_text("key Zx9Qw8Er7Ty6Ui5Op4 alone and https://x.example.com/a" + " far" * 200 + " pwd")
+    assert lone[0] == [] and [k for _, _, k in lone[1]] == ["key"]  # weak secret next to an endpoint
+    assert secrets.scan_text("only Zx9Qw8Er7Ty6Ui5Op4 here")[1] == []
+    clean = secrets.redact_secrets(frame(spark, texts)).orderBy("doc_id").collect()
+    assert "abcdef1" not in clean[6]["text"] and clean[0]["text"] is None and len(clean) == len(texts)
+
+
+def test_classifier_learns_and_scores_everything(spark):
+    r = random.Random(5)
+    good, bad = prose(400, 1), [t.upper().replace(" ", "!! ") for t in prose(120, 2)]
+    toxic = [t + " " + " ".join(r.sample(["scum", "moron", "loser", "idiot"], 2)) for t in prose(120, 3)]
+    texts = good + bad + toxic
+    docs = frame(spark, texts + AWKWARD)
+    known = [(i, int(not len(good) <= i < len(good) + len(bad)), int(i >= len(good) + len(bad))) for i in range(len(texts)) if i % 2]
+    labels = spark.createDataFrame(known + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    model = cotraining.train(docs, labels)
+    got = {x["doc_id"]: x for x in cotraining.score_documents(docs, model).collect()}
+    assert len(got) == len(texts) + len(AWKWARD)
+    unseen = [i for i in range(len(texts)) if i % 2 == 0]
+    right = sum(got[i]["keep"] == (i < len(good)) for i in unseen)
+    assert right / len(unseen) > 0.95
+    kept = cotraining.keep_documents(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(x["keep"] for x in got.values())
+    nothing = cotraining.train(docs, labels.limit(0))
+    assert cotraining.score_documents(docs, nothing).where("keep").count() == len(got)
+    assert cotraining.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(500, 560)] + [(700, i) for i in range(701, 760)]
+    label = {v: v for e in edges for v in e}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        label[y] = x
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges + [(None, 1)], "a long, b long")).collect()}
+    assert got == {v: find(v) for v in label if find(v) != v}
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rng = np.random.default_rng(0)
+    base = rng.standard_normal((12, 16))
+    rows = []
+    for k in range(150):
+        v = base[k % 12] + rng.standard_normal(16) * (0.05 if k % 3 else 0.5)
+        rows.append((k, v.astype(np.float32).tolist(), k % 2))
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, rows[0][1], None), (203, None, 0), (204, [0.0] * 16, 0)]
+    rows += [(205, [float("nan")] * 16, 0), (206, [None] * 16, 0), (207, [1.0], 0), (208, [2.0], 0), (209, [], 0), (None, rows[0][1], 0)]
+    got = vectors.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    x = {i: np.array(v, float) for i, v, l in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v) and l is not None}
+    lab = {i: l for i, _, l in rows}
+    links = collections.defaultdict(set)
+    for a in x:
+        for b in x:
+            if a != b and lab[a] == lab[b] and len(x[a]) == len(x[b]) and x[a] @ x[b] / np.sqrt((x[a] @ x[a]) * (x[b] @ x[b])) >= 0.98:
+                links[a].add(b)
+    for r in got:
+        i = r["vec_id"]
+        if i is None:
+            assert r["kept"] and r["n_links"] == 0
+            continue
+        seen, todo = {i}, [i]
+        while todo:
+            for n in links[todo.pop()] - seen:
+                seen.add(n)
+                todo.append(n)
+        assert (r["n_links"], r["component_id"], r["kept"]) == (len(links[i]), min(seen), i == min(seen))
+
+
+def test_hyperplane_recall():
+    rng = np.random.default_rng(2)
+    bits, tables = vectors.tables_needed(1_000_000, 0.98, 1e-7)
+    a = rng.standard_normal((2000, 32))
+    b = vectors.unit_rows(a) * 0.98 + vectors.unit_rows(rng.standard_normal((2000, 32))) * 0.19
+    assert (vectors.bucket_codes(a, bits, tables) == vectors.bucket_codes(b, bits, tables)).any(axis=1).mean() > 0.999
+
+
+def brute_components(texts, width, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    label = {i: i for i in texts}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both * 100 >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_minhash(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 10)
+    texts = prose(60, 7) + AWKWARD
+    for k in range(5):
+        base = prose(1, 50 + k, 200)[0]
+        texts += [base] * 3 + [edited(base, 0.02 * (j % 5), 100 * k + j) for j in range(25)]
+    got = minhash.near_duplicates(frame(spark, texts), width=4).collect()
+    want = brute_components(dict(enumerate(texts)), 4, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    again = frame(spark, ["a b c d e"] * 2 + ["x y z q r", None], [4, 4, None, None])
+    rows = minhash.near_duplicates(again).collect()
+    assert len(rows) == 4 and all(r["kept"] for r in rows) and sum(r["component_id"] == 4 for r in rows) == 2
+    assert minhash.near_duplicates(again.limit(0)).count() == 0
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 60, 3000):
+        a = np.unique(rng.integers(0, 2**63, 2 * n).astype(np.uint64))
+        x, y = a[: int(1.5 * n) or 1], a[n // 2 :]
+        s = minhash.fast_sketch(x)
+        assert (s != minhash._EMPTY).all()
+        if n > 1:
+            true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            assert abs((s == minhash.fast_sketch(y)).mean() - true) < 0.2
+
+
+def test_decontamination(spark):
+    items = prose(12, 11, 60)[:12]
+    items = [t for t in items if len(t.split()) >= 18] + ["tiny item", None, ""]
+    filler = prose(40, 12, 120)
+    texts, leaks = list(filler), set()
+    for k, t in enumerate(items[:-3]):
+        words = t.split()
+        sub = ["SUB" if j % 6 == 3 else w for j, w in enumerate(words)]
+        leaks.add((len(texts), k))
+        texts.append(filler[k] + " " + t.upper() + " " + filler[k + 1])
+        leaks.add((len(texts), k))
+        texts.append(filler[k + 2] + " " + " ".join(sub))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in spaced.find_leaks(frame(spark, texts + AWKWARD), bench).collect()}
+    assert got == leaks
+    assert spaced.find_leaks(frame(spark, ["it is a tiny item here"]), bench).select("n_matched").collect()[0][0] == 2
+    assert spaced.find_leaks(frame(spark, texts), bench.limit(0)).count() == 0
+
+
+PAGE = (
+    "<html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>"
+    "<div class='cookie-notice'><p>We use cookies on this site, and a long sentence about them follows here.</p></div>{}"
+    "<aside>More</aside><div id=comments><p>I like this article very much, it is long and good and well written.</p></div><footer>c 2020</footer></body></html>"
+)
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><div>{}</div></main>", "<div class='post'><div id='content'>{}</div></div>"])
+def test_html(wrap):
+    body = "<h2>Title &amp; more</h2><p>First paragraph  with\n<b>bold</b> text that is long enough.<br><p>Ok.</p><div class=ad>Buy now</div><form><p>Mail us</p></form><p>Last &eacute; paragraph of the article, with a <a href=x>link</a>.</p><script>var a='<p>';</script>"
+    text = html.extract_text(PAGE.replace("{}", wrap.format(body)))
+    assert text == "Title & more\n\nFirst paragraph with bold text that is long enough.\n\nOk.\n\nLast é paragraph of the article, with a link."
+
+
+def test_html_rows(spark):
+    pages = spark.createDataFrame([(1, "u", None, 0), (2, None, "", 0), (3, "u", "<p>a", 0), (3, "u", "<nav>x</nav>", 0)], "page_id long, url string, html string, text int")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract_pages(pages).collect())
+    assert got == [(1, "", 0), (2, "", 0), (3, "", 0), (3, "a", 1)]
+
+
+def test_encoder_equals_tokenizer():
+    e = packing.RunEncoder(packing.default_tokenizer())
+    r = random.Random(9)
+    letters = "aZ'sStd.<|>09½²éÉΣσṇ̱̃́ \n\x1c\x85_-中ßİſKǅ٣😀"
+    samples = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    for t in [*samples, *filter(None, AWKWARD), "a<|endoftext|>b don't I'LL"]:
+        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing(spark):
+    texts = AWKWARD + prose(300, 21, 900)
+    got = packing.pack_documents(frame(spark, texts), packing.default_tokenizer()).toPandas()
+    e = packing.RunEncoder(packing.default_tokenizer())
+    for i, t in enumerate(texts):
+        ids = e.encode(t or "") + b"\1\0\0\0"
+        parts = got[got["doc_id"] == i].sort_values("start")
+        assert parts["start"].tolist() == [0, *np.cumsum(parts["length"])[:-1]] and parts["length"].sum() == len(ids) // 4
+        for p in parts.itertuples():
+            assert p.ids_crc32 == zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)]) and p.doc_tokens == len(ids) // 4
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s["offset"].tolist() == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= 2048
+    n = got["sequence_id"].nunique()
+    assert sorted(got["sequence_id"].unique()) == list(range(n)) and got["length"].sum() > 0.97 * 2048 * (n - 1)
+    assert packing.pack_documents(frame(spark, texts).limit(0), packing.default_tokenizer()).count() == 0
+
+
+def test_shortest_pack_first_uses_every_piece():
+    r = random.Random(3)
+    histogram = {r.randint(1, 64): r.randint(1, 50) for _ in range(40)}
+    used = collections.Counter()
+    for pattern, count in packing.shortest_pack_first(histogram, 64):
+        assert sum(pattern) <= 64
+        for size in pattern:
+            used[size] += count
+    assert used == histogram
+
+
+def test_lm_equals_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 500)
+    texts = prose(120, 31, 40) + AWKWARD[:5] + [AWKWARD[6]]
+    rows = {r["doc_id"]: r for r in lm.score_texts(frame(spark, texts)).collect()}
+    tokens = {i: (t or "").encode().lower().split() + ["END"] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    pairs = collections.Counter(p for i, t in tokens.items() if not held[i] for p in zip(["START", *t[:-1]], t))
+    n, v = sum(c.values()), len(c)
+
+    def counts(x):
+        k = collections.Counter(x.values())
+        return np.array([k.get(i, 0) for i in range(7)], float)
+
+    d1, d2 = lm.discounts(counts(c)), lm.discounts(counts(pairs))
+    kept = lambda d, r: (d[r] if r <= 5 else 1) * r
+    p1 = {w: kept(d1, k) / n for w, k in c.items()}
+    unknown = 1 - sum(p1.values())
+    after = collections.defaultdict(dict)
+    for (h, w), k in pairs.items():
+        after[h][w] = k
+
+    def p(h, w):
+        base = p1.get(w, unknown)
+        if h not in after:
+            return base
+        total, seen = sum(after[h].values()), after[h]
+        closed = all(k > 5 for k in seen.values())
+        if w in seen:
+            return kept(d2, seen[w]) / (total + closed)
+        left = 1 / (total + 1) if closed else 1 - sum(kept(d2, k) for k in seen.values()) / total
+        return left / (1 - sum(p1[x] for x in seen)) * base
+
+    for h in [*list(after)[:20], "START"]:
+        assert sum(p(h, w) for w in c) + p(h, "never seen") == pytest.approx(1)
+    for i, t in tokens.items():
+        r = rows[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        assert r["score"] == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip(["START", *t[:-1]], t)))
+    assert lm.score_texts(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_sharding(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 5)
+    texts = prose(600, 41) + [t for t in AWKWARD if t != LONG] + ["the same text again"] * 300
+    got = sharding.assign_shards(frame(spark, texts), 6).toPandas()
+    assert len(got) == len(texts)
+    for _, s in got.groupby("shard"):
+        assert sorted(s["slot"]) == list(range(len(s)))
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() < 1.02 * load.mean()
+    assert sharding.assign_shards(frame(spark, texts).limit(0), 6).count() == 0
+
+
+def test_chat(spark):
+    r = random.Random(8)
+    marks = chat.INSTRUCTION_TEMPLATE.controls() + ["\\", "<", "[", "/", "s>", "ok", "<\\/s>"]
+    rows = []
+    for c in range(60):
+        for t in range(r.randint(1, 6)):
+            rows.append((c, t, r.choice(["user", "assistant", "system", "tool", None, "[TEXT]"]), "".join(r.choice(marks) for _ in range(r.randint(0, 8))), 1))
+    rows += [(99, None, "user", None, 1), (None, 0, "user", "x", 1), (98, 0, "user", "a", 1), (98, 1, "assistant", "b", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments int")
+    done = chat.format_conversations(df)
+    got = {x["conv_id"]: x for x in done.withColumn("turns", chat.parse_formatted(F.col("formatted"))).collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text, _ in rows:
+        by[c].append(((t is not None, t or 0), role or "", text or ""))
+    for c, turns in by.items():
+        want = [(b, x) for _, b, x in sorted(turns)]
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == want
+        assert "".join(s["text"] for s in got[c]["segments"]) == got[c]["formatted"]
+    assert got[98]["valid"] and not got[99]["valid"]

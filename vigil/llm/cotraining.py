@@ -334,7 +334,7 @@ def _batch_scores(batch: pa.RecordBatch, known: WordFeatures, model: Model) -> d
     for target in TARGETS:
         for name, values in zip(("text", "meta", "both"), model.scores(target, text, rows), strict=True):
             out[f"{target}_{name}"] = values
-    out["keep"] = (out["quality_both"] >= 0.5) & (out["toxic_both"] < 0.5)
+    out["keep"] = (out["quality_both"] >= 0.5) & (out["toxic_both"] <= 0.5)
     return out
 
 

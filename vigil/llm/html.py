@@ -68,11 +68,11 @@ SIGMA = 1.0
 
 
 class LineParser(HTMLParser):
-    """Collects (text, tags, path of region numbers, boilerplate) of each line."""
+    """Collects (text, tags, path of region numbers) of each line that isn't boilerplate."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.stack: list[tuple[str, bool, tuple[int, ...]]] = []
         self.regions: list[str] = ["page"]
         self.text: list[str] = []
@@ -85,8 +85,7 @@ class LineParser(HTMLParser):
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                hidden, path = self.state()
-                self.lines.append((text, max(1, self.tags), path, hidden))
+                self.lines.append((text, max(1, self.tags), self.state()[1]))
             self.text.clear()
         self.tags = 0
 
@@ -158,7 +157,8 @@ class LineParser(HTMLParser):
                 return  # a stray end tag doesn't close a block
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.state()[0]:
+            self.text.append(data)
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -176,15 +176,14 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content_lines(lines: list[tuple[str, int, tuple[int, ...], bool]], regions: list[str]) -> list[str]:
-    shown = [line for line in lines if not line[3]]
+def content_lines(shown: list[tuple[str, int, tuple[int, ...]]], regions: list[str]) -> list[str]:
     if not shown:
         return []
-    ratios = smoothed([len(text) / tags for text, tags, _, _ in shown])
+    ratios = smoothed([len(text) / tags for text, tags, _ in shown])
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)) / 2
     votes: dict[int, int] = {}
-    for (text, _, path, _), ratio in zip(shown, ratios, strict=True):
+    for (text, _, path), ratio in zip(shown, ratios, strict=True):
         if ratio >= threshold:
             for region in path:
                 votes[region] = votes.get(region, 0) + len(text)
@@ -194,7 +193,7 @@ def content_lines(lines: list[tuple[str, int, tuple[int, ...], bool]], regions:
     else:
         # later regions lie deeper or further on; the deepest with over half of the votes
         best = max((r for r in votes if 2 * votes[r] > votes.get(0, 0)), default=0)
-    return [text for text, _, path, _ in shown if best in path]
+    return [text for text, _, path in shown if best in path]
 
 
 def extract_text(html: str) -> str:
