@@ -19,6 +19,7 @@ rejected without evidence.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,15 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.storage import table
-from vigil.llm.words import WordHashes, utf8
+from vigil.llm.words import utf8
 
-LABELLED, POOL = 12_000, 4_000
+LABELLED, POOL = 5_000, 1_500
 ROUNDS = 3
 #: Answers at least this sure teach the other view, and at most this share of the pool in a round.
 CONFIDENT, PER_ROUND = 0.97, 0.1
-#: Features are numbered by hash.
-BITS = 20
-SPACE = 1 << BITS
+#: Features are numbered by hash; the statistics' numbers come after them.
+SPACE = 1 << 30
+#: Rows that are scored together.
+AT_ONCE = 500
 #: Bytes of a word's beginnings, which inflected and compound words share.
 BEGINNINGS = (5, 7)
 #: Least z-score of the log-odds of a word between the classes.
@@ -60,25 +62,27 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
-class WordFeatures(WordHashes):
-    """Word -> feature numbers of the word without the marks around it and of two beginnings, side by side."""
+class WordFeatures(dict):
+    """Word -> feature numbers of two beginnings and of the word, without the marks around it; 4 bytes each."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= 300_000:
             self.clear()
-        core, value = word.strip(_EDGES), 0
-        for length in (*BEGINNINGS, None):
-            part = core if length is None else b"%d:" % length + core[:length]
-            value = value << BITS | xxhash.xxh3_64_intdigest(part) % SPACE
-        self[word] = value
+        core = word.strip(_EDGES)
+        parts = (*(b"%d:" % n + core[:n] for n in BEGINNINGS), core)
+        value = self[word] = struct.pack("<3i", *(xxhash.xxh3_64_intdigest(x) % SPACE for x in parts))
         return value
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4").reshape(-1, 3)
+
 
 def text_features(text: bytes, known: WordFeatures) -> tuple[np.ndarray, list[float]]:
     """Numbers of the distinct words and beginnings, and statistics of the text."""
     words = text.lower().split()
-    distinct, repeats = np.unique(known.of(words).astype(np.int64), return_counts=True)
-    ids = np.unique(np.concatenate([distinct >> (BITS * k) & (SPACE - 1) for k in range(3)]))
+    found = known.of(words)
+    distinct, repeats = np.unique(found[:, 2], return_counts=True)
+    ids = np.unique(found)
     seen = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     n, w = max(1, len(text)), max(1, len(words))
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -109,7 +113,7 @@ def meta_features(lang, source, n_chars) -> list[int]:
 def binned(statistics: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Feature numbers of statistics: after the words, BINS for each."""
     at = np.stack([np.searchsorted(edges[k], statistics[:, k]) for k in range(STATISTICS)], axis=1)
-    return SPACE + np.arange(STATISTICS) * BINS + at
+    return (SPACE + np.arange(STATISTICS) * BINS + at).astype(np.int32)
 
 
 @dataclass
@@ -122,10 +126,11 @@ class Rows:
     @staticmethod
     def of(parts: list[np.ndarray]) -> Rows:
         lengths = np.array([len(p) for p in parts], np.int64)
-        return Rows(np.concatenate(parts) if parts else np.empty(0, np.int64), lengths)
+        return Rows(np.concatenate(parts) if parts else np.empty(0, np.int32), lengths)
 
-    def sums(self, weights: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(weights[self.features])))
+    def sums(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(ids, self.features), len(ids) - 1)
+        total = np.concatenate(([0.0], np.cumsum(np.where(ids[at] == self.features, weights[at], 0.0))))
         ends = np.cumsum(self.lengths)
         return total[ends] - total[ends - self.lengths]
 
@@ -139,13 +144,14 @@ class Rows:
 class View:
     """Logistic regression over sets of features, with calibration."""
 
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(SPACE + STATISTICS * BINS, np.float32))
+    ids: np.ndarray = field(default_factory=lambda: np.full(1, -1, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
     def raw(self, rows: Rows) -> np.ndarray:
-        return rows.sums(self.weights) + self.bias
+        return rows.sums(self.ids, self.weights) + self.bias
 
     def logit(self, rows: Rows) -> np.ndarray:
         return self.slope * self.raw(rows) + self.shift
@@ -162,19 +168,20 @@ def fit_view(rows: Rows, y: np.ndarray, weight: np.ndarray, select: bool, steps:
     view.bias = float(np.log(share / (1 - share)))
     if total == 0 or positive == 0 or positive == total:
         return view
-    owner = np.repeat(np.arange(len(y)), rows.lengths)
-    size = len(view.weights)
-    a = np.bincount(rows.features, weights=(y * weight)[owner], minlength=size)
-    b = np.bincount(rows.features, weights=((1 - y) * weight)[owner], minlength=size)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), rows.lengths)
+    names, numbers = np.unique(rows.features, return_inverse=True)
+    a = np.bincount(numbers, weights=(y * weight)[owner])
+    b = np.bincount(numbers, weights=((1 - y) * weight)[owner])
     odds = np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (total - positive + 1))
     z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     used = np.flatnonzero((a + b >= 2) & ((z >= TELLING) if select else (a + b > 0)))
     if not len(used):
         return view
-    place = np.full(size, -1, np.int64)
+    place = np.full(len(names), -1, np.int32)
     place[used] = np.arange(len(used))
-    at = place[rows.features]
+    at = place[numbers]
     col, row = at[at >= 0], owner[at >= 0]
+    del numbers, owner, at
     w, m, v, bias = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1), view.bias
     w[-1] = bias
     for step in range(1, steps + 1):
@@ -183,7 +190,7 @@ def fit_view(rows: Rows, y: np.ndarray, weight: np.ndarray, select: bool, steps:
         g = np.append(np.bincount(col, weights=error[row], minlength=len(used)) + penalty * w[:-1], error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    view.weights[used], view.bias = w[:-1], float(w[-1])
+    view.ids, view.weights, view.bias = names[used], w[:-1], float(w[-1])
     return view
 
 
@@ -252,7 +259,7 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, hold: np.ndarray, rounds: in
     for k in (0, 1):  # the rows held back train the final weights too; the calibration stays
         train[k] = np.concatenate((train[k], check))
         final = fit_view(views[k].take(train[k]), labels[k][train[k]], weights[k][train[k]], select=k == 0)
-        models[k].weights, models[k].bias = final.weights, final.bias
+        models[k].ids, models[k].weights, models[k].bias = final.ids, final.weights, final.bias
     share = (y[y >= 0].sum() + 1) / ((y >= 0).sum() + 2)
     return models[0], models[1], float(np.log(share / (1 - share)))
 
@@ -292,7 +299,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
             ids_, statistics, meta = _features(batch, words_)
             arrays = [batch.column(c) for c in ("doc_id", "quality", "toxic")]
             arrays += [
-                pa.array(ids_, pa.list_(pa.int64())),
+                pa.array(ids_, pa.list_(pa.int32())),
                 pa.array(list(statistics), pa.list_(pa.float64())),
                 pa.array(meta, pa.list_(pa.int64())),
             ]
@@ -302,7 +309,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.mapInArrow(
         work,
         f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, toxic {kinds['toxic']},"
-        " words array<long>, statistics array<double>, meta array<long>",
+        " words array<int>, statistics array<double>, meta array<long>",
     )
 
 
@@ -316,8 +323,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     words_ = got["words"].combine_chunks()
     flat = words_.flatten().to_numpy(zero_copy_only=False)
     parts = np.split(flat, np.cumsum(words_.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if n else []
-    text = Rows.of([np.append(w, e) for w, e in zip(parts, extra, strict=True)])
-    meta = Rows.of([np.array(m, np.int64) for m in got["meta"].to_pylist()])
+    text = Rows.of([np.concatenate((w, e)) for w, e in zip(parts, extra, strict=True)])
+    meta = Rows.of([np.array(m, np.int32) for m in got["meta"].to_pylist()])
     hold = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) % 5 == 0 for i in got["doc_id"].to_pylist()], bool)
     views, prior = {}, {}
     for target in TARGETS:
@@ -327,13 +334,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _batch_scores(batch: pa.RecordBatch, known: WordFeatures, model: Model) -> dict[str, np.ndarray]:
-    ids, statistics, meta = _features(batch, known)
-    text = Rows.of([np.append(w, e) for w, e in zip(ids, binned(statistics, model.edges), strict=True)])
-    rows = Rows.of([np.array(m, np.int64) for m in meta])
-    out = {}
-    for target in TARGETS:
-        for name, values in zip(("text", "meta", "both"), model.scores(target, text, rows), strict=True):
-            out[f"{target}_{name}"] = values
+    parts: dict[str, list[np.ndarray]] = {f"{t}_{v}": [np.empty(0)] for t in TARGETS for v in ("text", "meta", "both")}
+    for at in range(0, batch.num_rows, AT_ONCE):
+        ids, statistics, meta = _features(batch.slice(at, AT_ONCE), known)
+        text = Rows.of([np.concatenate((w, e)) for w, e in zip(ids, binned(statistics, model.edges), strict=True)])
+        rows = Rows.of([np.array(m, np.int32) for m in meta])
+        for target in TARGETS:
+            for name, values in zip(("text", "meta", "both"), model.scores(target, text, rows), strict=True):
+                parts[f"{target}_{name}"].append(values)
+    out = {name: np.concatenate(values) for name, values in parts.items()}
     out["keep"] = (out["quality_both"] >= 0.5) & (out["toxic_both"] <= 0.5)
     return out
 
@@ -341,7 +350,7 @@ def _batch_scores(batch: pa.RecordBatch, known: WordFeatures, model: Model) -> d
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """One row per input row: doc_id, keep, and probabilities of good quality and of toxicity by each view and both."""
     rows = docs.select(*COLUMNS)
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # fixed size: 4 views of SPACE weights
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample's features
     names = [f"{t}_{v}" for t in TARGETS for v in ("text", "meta", "both")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
