@@ -2,8 +2,8 @@
 
 Equal vectors of a label form a class at once. Of each class one vector is hashed in several tables: the
 signs of its projections on ``bits`` random hyperplanes name its bucket, and vectors of a bucket are
-compared exactly, in double precision. Bits grow with the logarithm of the number of vectors, so that
-buckets keep their size; tables grow with them so that a pair at the threshold shares no bucket with
+compared exactly, in double precision. Bits grow with the logarithm of the number of vectors of the
+largest label, so that buckets keep their size; tables grow with them so that a pair at the threshold shares no bucket with
 probability ``miss`` at most. A pair counts only in the first table that brings it together, so nothing
 needs to be made unique afterwards. A bucket of over ``BLOCK`` vectors is cut into blocks, and each
 pair of blocks is a task of its own. Tasks return a row per vector with its number of links and the
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from vigil.llm.graph import components
 from vigil.llm.storage import stored, table
 
-#: Vectors that a bucket should hold on average, and the most that a task compares with each other.
-BUCKET, BLOCK = 128, 1500
+#: Vectors that a bucket of the largest label should hold on average (about where comparing costs as much
+#: as starting on a bucket), and the most that a task compares with each other.
+BUCKET, BLOCK = 512, 1500
 SEED = 20_240_517
 
 
@@ -125,7 +126,8 @@ def linked_vectors(
         .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")),
         "vector-classes",
     )
-    bits, tables = tables_needed(classes.count(), threshold, miss)
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, tables = tables_needed(largest, threshold, miss)
 
     def hashed(parts):
         for part in parts:
