@@ -15,6 +15,7 @@ from vigil.functions.numbers import ALPHAS, image_tokens, upper_z
 from vigil.operators import embeddings as E
 from vigil.operators import evaluate as V
 from vigil.operators import intervals as I
+from vigil.operators import ledger as L
 from vigil.operators import normalise as N
 from vigil.operators import prompts as P
 from vigil.operators import thresholds as T
@@ -739,6 +740,87 @@ def image_token_estimate(spark, sf):
     return parts.select("p_partkey", image_tokens((F.col("p_size") * 40 + 100).cast("double"), F.col("p_retailprice").cast("double")).alias("tokens"))
 
 
+@query(
+    "series_resample",
+    f"""WITH {POINTS}, gr AS (SELECT series_id, t, unnest(generate_series(0, CAST(floor(t * 0.3::DOUBLE) AS BIGINT) - 1)) AS k, CAST(floor(t * 0.3::DOUBLE) AS BIGINT) AS n FROM n),
+  gx AS (SELECT *, k * (t - 1) / greatest(1, n - 1)::DOUBLE AS x FROM gr)
+  SELECT gx.series_id, k AS idx, round(a.value + (b.value - a.value) * (x - floor(x)), 6) AS value FROM gx JOIN p a ON a.series_id = gx.series_id AND a.idx = floor(x)
+   JOIN p b ON b.series_id = gx.series_id AND b.idx = least(floor(x) + 1, t - 1)""",
+)
+def series_resample(spark, sf):
+    return P.resampled(event_points(spark, sf), 0.3).select("series_id", "idx", _rounded("value"))
+
+
+@query(
+    "series_description",
+    f"""WITH {POINTS}, s AS (SELECT series_id, min(value) AS low, max(value) AS high, median(value) AS middle, stddev_pop(value) AS spread, regr_slope(value, idx) AS slope FROM p GROUP BY series_id)
+  SELECT series_id, low, high, round(middle, 6) AS middle, round(spread, 6) AS spread, round(slope, 6) AS slope,
+   CASE WHEN slope > 0.03 THEN 'increasing' WHEN slope < -0.03 THEN 'decreasing' ELSE 'stable' END AS trend FROM s""",
+)
+def series_description(spark, sf):
+    out = P.described(event_points(spark, sf))
+    return out.select("series_id", "low", "high", _rounded("middle"), _rounded("spread"), _rounded("slope"), "trend")
+
+
+@query(
+    "adaptive_k",
+    f"WITH {POINTS}, w AS (SELECT series_id, CASE WHEN t >= 224 THEN (t - 224) // 56 + 1 ELSE 0 END AS windows FROM n) SELECT series_id, windows, CAST(CASE WHEN windows < 15 THEN 0 ELSE greatest(3, least(10, windows // 10)) END AS BIGINT) AS k FROM w",
+)
+def adaptive_k(spark, sf):
+    windows = F.greatest(F.lit(0), F.floor((F.col("t") - 224) / 56) + 1).cast("long")
+    known = T.lengths(event_points(spark, sf)).select("series_id", windows.alias("windows"))
+    return known.withColumn("k", N.neighbours_for(F.col("windows")))
+
+
+# --- ledgers and comparisons
+
+
+@query(
+    "batch_match",
+    """SELECT coalesce(c_custkey, o_custkey) AS custom_id, o_custkey IS NOT NULL AS answered, CASE WHEN c_custkey IS NULL THEN 'no request' WHEN o_custkey IS NULL THEN 'no answer' ELSE 'both' END AS match
+  FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey""",
+)
+def batch_match(spark, sf):
+    asked = spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("custom_id"))
+    answers = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("custom_id")).distinct()
+    out = L.matched(asked, answers)
+    return out.select("custom_id", (F.col("match") != "no answer").alias("answered"), "match")
+
+
+@query(
+    "cache_read_through",
+    """SELECT DISTINCT o_custkey, CASE WHEN c_acctbal > 0 THEN 'cache' ELSE 'computed' END AS origin FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+)
+def cache_read_through(spark, sf):
+    tasks = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct()
+    held = spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("cache").alias("origin"))
+    return L.read_through(tasks, held, ["o_custkey"], lambda new: new.withColumn("origin", F.lit("computed")))
+
+
+@query(
+    "compare_models",
+    """WITH m AS (SELECT l_returnflag AS model, round(avg(l_discount), 4) AS l_discount, round(avg(l_tax), 4) AS l_tax FROM lineitem GROUP BY l_returnflag)
+  SELECT *, model = (SELECT model FROM m ORDER BY l_discount DESC, model LIMIT 1) AS wins FROM m""",
+)
+def compare_models(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumnRenamed("l_returnflag", "model")
+    return L.compared(rows, "model", "l_discount", ["l_discount", "l_tax"])
+
+
+@query("seeded_sample", "SELECT o_orderkey FROM orders ORDER BY sha256('42:' || o_orderkey::VARCHAR), o_orderkey LIMIT 100")
+def seeded_sample(spark, sf):
+    return L.seeded_sample(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey"), "o_orderkey", 100, 42)
+
+
+@query(
+    "custom_order",
+    "SELECT o_orderstatus, count(*) AS n, CAST(CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS BIGINT) AS position FROM orders GROUP BY o_orderstatus",
+)
+def custom_order(spark, sf):
+    counts = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return L.custom_order(counts, "o_orderstatus", ["P", "O"])
+
+
 # --- detectors
 
 

@@ -95,6 +95,12 @@ def best_period(acf: DataFrame) -> DataFrame:
     )
 
 
+def neighbours_for(windows: Column) -> Column:
+    """Windows on each side that a local reference takes, by how many windows a series has; 0 for short ones."""
+    tenth = F.floor(windows / 10)
+    return F.when(windows < 15, 0).otherwise(F.greatest(F.lit(3), F.least(F.lit(10), tenth))).cast("long")
+
+
 def deseasonalised(points: DataFrame, period: int) -> DataFrame:
     """series_id, idx, seasonal, value less it: moving average, mean per phase, centred to zero."""
     half = period // 2

@@ -22,6 +22,35 @@ def series_text(points: DataFrame, form: str) -> DataFrame:
     return shown.groupBy("series_id").agg(F.array_join(F.transform(ordered, lambda s: s["x"]), between).alias("text"))
 
 
+def resampled(points: DataFrame, scale: float) -> DataFrame:
+    """series_id, idx, value on floor(t * scale) evenly spaced places, linear between neighbours."""
+    size = points.groupBy("series_id").agg(F.count(F.lit(1)).alias("t")).withColumn("n", F.floor(F.col("t") * F.lit(scale)))
+    grid = size.where("n > 0").select("series_id", "t", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    at = F.col("k") * (F.col("t") - 1) / F.greatest(F.lit(1), F.col("n") - 1)
+    grid = grid.withColumn("x", at).withColumn("a", F.floor("x")).withColumn("b", F.least(F.col("a") + 1, F.col("t") - 1))
+    low = points.select("series_id", F.col("idx").alias("a"), F.col("value").alias("va"))
+    high = points.select("series_id", F.col("idx").alias("b"), F.col("value").alias("vb"))
+    return (
+        grid.join(low, ["series_id", "a"])
+        .join(high, ["series_id", "b"])
+        .select("series_id", F.col("k").alias("idx"), (F.col("va") + (F.col("vb") - F.col("va")) * (F.col("x") - F.col("a"))).alias("value"))
+    )
+
+
+def described(points: DataFrame) -> DataFrame:
+    """series_id, low, high, middle, spread (population), slope, trend: what a prompt's prefix says of a series."""
+    slope = F.regr_slope("value", F.col("idx").cast("double"))
+    stats = points.groupBy("series_id").agg(
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.median("value").alias("middle"),
+        F.stddev_pop("value").alias("spread"),
+        slope.alias("slope"),
+    )
+    trend = F.when(F.col("slope") > 0.03, "increasing").when(F.col("slope") < -0.03, "decreasing").otherwise("stable")
+    return stats.withColumn("trend", trend)
+
+
 def chat_request(system: Column, user: Column, image: Column | None = None, temperature: float = 0.4) -> Column:
     """JSON with messages and temperature."""
     text = F.struct(F.lit("text").alias("type"), user.alias("text"), F.lit(None).cast("string").alias("image_url"))
