@@ -25,9 +25,11 @@ def read_through(tasks: DataFrame, cache: DataFrame, keys: list[str], compute: C
 def compared(rows: DataFrame, condition: str, by: str, metrics: list[str], digits: int = 4) -> DataFrame:
     """Rounded means of the metrics per condition; ``wins`` marks the best by one of them, the first name in ties."""
     means = rows.groupBy(condition).agg(*(F.round(F.avg(m), digits).alias(m) for m in metrics))
-    # one row for each condition
     best = means.agg(F.min_by(condition, F.struct(-F.col(by), F.col(condition))).alias("_best"))
-    return means.crossJoin(F.broadcast(best)).withColumn("wins", F.col(condition) == F.col("_best")).drop("_best")
+    best = best.select("_best", F.lit(True).alias("_won"))
+    return means.join(best, F.col(condition).eqNullSafe(F.col("_best")), "left").select(
+        condition, *metrics, F.coalesce("_won", F.lit(False)).alias("wins")
+    )
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
