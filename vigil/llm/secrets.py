@@ -40,7 +40,7 @@ ENDPOINT = re.compile(
 )
 USER = re.compile(
     r"\b(?:user(?:name)?|login|account|client_id|access_key(?:_id)?)[\"']?\x20*[:=]\x20*[\"']?[\w.@-]{3,}"
-    r"|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
+    r"|\b[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+",
     re.IGNORECASE | re.ASCII,
 )
 KEY = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
