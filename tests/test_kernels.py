@@ -12,6 +12,7 @@ from vigil.operators import normalise as N
 from vigil.operators import prompts as P
 from vigil.operators import thresholds as T
 from vigil.operators.embeddings import membership
+from vigil.plans import detectors as D
 from vigil.sources.files import read_catalog, read_labels, read_signals
 
 
@@ -147,3 +148,21 @@ def test_partition_count_changes_nothing(spark):
     b = T.threshold_intervals(p.repartition(7), (0.1,)).toPandas()
     keys = ["series_id", "start", "end"]
     pd.testing.assert_frame_equal(a[keys].sort_values(keys, ignore_index=True), b[keys].sort_values(keys, ignore_index=True))
+
+
+def test_rows_behind_the_last_window_get_a_score(spark):
+    values = np.random.default_rng(5).normal(size=700)  # windows of 224 by 56 end at row 671
+    p = points(spark, values).withColumn("ts", F.col("idx").cast("timestamp"))
+    for name in ("global", "dual_anchor"):
+        got = D.scores(p, D.DETECTORS[name]).toPandas().sort_values("idx")["value"].to_numpy()
+        assert len(got) == 700 and got[671] > 0
+        slope = got[671] - got[670]
+        assert got[672:] == pytest.approx(got[671] + slope * np.arange(1, 29))
+    assert set(D.scores(p.where("idx < 200"), D.DETECTORS["global"]).toPandas()["value"]) == {0.0}
+
+
+def test_sliding_windows_reach_the_end(spark):
+    values = [0.0] * 1000
+    values[960] = 9.0  # whole windows end at row 932
+    p = points(spark, values)
+    assert T.sliding_flags(p, 0.01, tails=True).select("idx").collect() == [(960,)]

@@ -47,13 +47,16 @@ def outside_percentiles(points: DataFrame, share: float = 0.02) -> DataFrame:
     return q.where((F.col("value") <= F.col("_q")[0]) | (F.col("value") >= F.col("_q")[1]))
 
 
-def hopping(points: DataFrame, size: Column, step: Column) -> DataFrame:
+def hopping(points: DataFrame, size: Column, step: Column, tails: bool = False) -> DataFrame:
     """A row per point and window it lies in; windows start at multiples of ``step`` and end within the series.
 
+    With ``tails`` they start at every multiple below t, and the last ones are cut at the end.
     ``points`` needs t, the length of its series.
     """
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / step))
-    last = F.least(F.floor(F.col("idx") / step), F.floor((F.col("t") - size) / step))
+    last = F.floor(F.col("idx") / step)
+    if not tails:
+        last = F.least(last, F.floor((F.col("t") - size) / step))
     windows = F.when(last >= first, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>"))
     return points.withColumn("window_id", F.explode(windows))
 
@@ -62,11 +65,11 @@ def lengths(points: DataFrame) -> DataFrame:
     return points.groupBy("series_id").agg(F.count(F.lit(1)).alias("t"))
 
 
-def sliding_flags(points: DataFrame, alpha: float) -> DataFrame:
-    """series_id, idx flagged by any window of a third of the series, stepping by a tenth."""
+def sliding_flags(points: DataFrame, alpha: float, tails: bool = False) -> DataFrame:
+    """series_id, idx flagged by any window of a third of the series, stepping by a tenth; ``tails`` as in hopping."""
     size = F.greatest(F.lit(1), F.floor(F.col("t") / 3)).cast("long")
     step = F.greatest(F.lit(1), F.floor(F.col("t") / 10)).cast("long")
-    inside = hopping(points.join(lengths(points), "series_id"), size, step)
+    inside = hopping(points.join(lengths(points), "series_id"), size, step, tails)
     stats = inside.groupBy("series_id", "window_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     return (
         inside.join(stats, ["series_id", "window_id"])

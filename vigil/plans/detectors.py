@@ -103,11 +103,18 @@ def column_scores(windows: DataFrame, detector: Detector) -> DataFrame:
 
 
 def scores(points: DataFrame, detector: Detector) -> DataFrame:
-    """series_id, idx, ts, value (the score) for every point; 0 where no window reaches."""
+    """series_id, idx, ts, value (the score) for every point; 0 in series shorter than a window.
+
+    The last column of the last window goes on to the end of the series: its rows are level, so a line
+    through the last two of them is too.
+    """
     ready = scaled(detrended(points))
     cells = column_scores(encoded(ready, detector), detector)
     wide = detector.window // detector.columns
-    rows = cells.select("series_id", "window_id", F.explode(F.sequence(F.col("col") * wide, (F.col("col") + 1) * wide - 1)).alias("col"), "score")
+    known = cells.join(lengths(points), "series_id")
+    behind = F.col("t") - F.col("window_id") * detector.step - detector.window
+    extra = F.when((F.col("col") == detector.columns - 1) & (behind < detector.step), behind).otherwise(0)
+    rows = known.select("series_id", "window_id", F.explode(F.sequence(F.col("col") * wide, (F.col("col") + 1) * wide - 1 + extra)).alias("col"), "score")
     flat = stitched(rows, detector.step).select("series_id", F.col("pos").alias("idx"), "score")
     if detector.zoom:
         fine = Detector(detector.zoom, detector.ratio, detector.columns, "local", detector.k, encoder=detector.encoder)
