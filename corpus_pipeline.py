@@ -22,16 +22,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    gone = near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    # copies of a row share their id, and so does the one that stays
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each near-duplicate group stays, the one with the smallest id; all without an id stay.
+
+    Texts that share an id are documents of their own; only rows with the same id and text are copies.
+    """
+    named = docs.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(named, width=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    rows = groups.unionByName(named.select("_key", "doc_id"), allowMissingColumns=True)
+    each = rows.groupBy("_key").agg(F.min("component_id").alias("component_id"), F.min("doc_id").alias("doc_id"))
+    first = each.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
+    kept = named.join(first, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents with a passage of the benchmark go, whatever their ids."""
+    keyed = docs.withColumn("_key", F.xxhash64("text"))  # a leak depends on the text alone
+    leaks = find_leaks(keyed, table(spark, sf_dir, "benchmark"), doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vigil.llm import chat, cotraining, html, lm, minhash, packing, secrets, sharding, spaced, vectors
 from vigil.llm.graph import components
 
@@ -206,6 +207,25 @@ def test_decontamination(spark):
     assert spaced.find_leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_with_null_and_repeated_ids(spark, tmp_path):
+    items, filler = [t for t in prose(12, 11, 60) if len(t.split()) >= 18][:3], prose(6, 12, 120)
+    bench = spark.createDataFrame([(None, items[0]), (7, items[1]), (7, items[2])], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    dirty = [f"{filler[k]} {t} {filler[k + 1]}" for k, t in enumerate(items)]
+    docs = frame(spark, [*dirty, filler[4], filler[5], dirty[0]], [1, None, 2, 2, None, None])
+    found = spaced.find_leaks(docs, bench).collect()
+    assert sorted(map(str, ((r["doc_id"], r["item_id"]) for r in found))) == ["(1, None)", "(2, 7)", "(None, 7)", "(None, None)"]
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, [(2, filler[4]), (None, filler[5])]))
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    a, b, c = (t for t in prose(6, 21, 90)[:3])
+    docs = frame(spark, [a, a, b, b, c, a, b, b], [1, 2, 2, 2, 2, None, None, 3])
+    left = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, [(1, a), (2, b), (2, c), (None, a), (None, b)]))
+
+
 PAGE = (
     "<html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>"
     "<div class='cookie-notice'><p>We use cookies on this site, and a long sentence about them follows here.</p></div>{}"

@@ -64,11 +64,11 @@ def _slots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def test_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """item_id, tokens (hashes), and the hash and position of every window of every mask."""
+    """item (a number of the row), item_id, tokens (hashes), and the hash and position of every window of every mask."""
     rows = benchmark.selectExpr(f"`{item_id}` AS item_id", f"CAST(`{text}` AS STRING) AS text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, number = WordHashes(), TaskContext.get().partitionId() << 36
         for batch in batches:
             tokens, found, at = [], [], []
             for body in utf8(batch.column("text")):
@@ -79,14 +79,15 @@ def test_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
                 tokens.append(h.tobytes())
                 found.append(np.concatenate(windows).view(np.int64))
                 at.append(np.concatenate([np.arange(len(w), dtype=np.int64) for w in windows]))
-            longs = pa.list_(pa.int64())
+            longs, items = pa.list_(pa.int64()), pa.array(range(number, number + batch.num_rows), pa.int64())
+            number += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), pa.array(tokens, pa.binary()), pa.array(found, longs), pa.array(at, longs)],
-                names=["item_id", "tokens", "hashes", "positions"],
+                [items, batch.column("item_id"), pa.array(tokens, pa.binary()), pa.array(found, longs), pa.array(at, longs)],
+                names=["item", "item_id", "tokens", "hashes", "positions"],
             )
 
     kind = rows.schema["item_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"item_id {kind}, tokens binary, hashes array<long>, positions array<long>")
+    return rows.mapInArrow(work, f"item long, item_id {kind}, tokens binary, hashes array<long>, positions array<long>")
 
 
 def hash_filter(hashes: DataFrame) -> np.ndarray:
@@ -204,8 +205,8 @@ def find_leaks(
     tests = stored(test_windows(benchmark, item_id, item_text), "test-windows")
     size = tests.select((F.octet_length("tokens") / 8).cast("long").alias("n"))
     longest, shortest = size.agg(F.coalesce(F.max("n"), F.lit(0)), F.min(F.when(F.col("n") > 0, F.col("n")))).first()
-    flat = tests.select("item_id", F.explode(F.arrays_zip("hashes", "positions")).alias("w")).select(
-        "item_id", F.col("w.hashes").alias("hash"), F.col("w.positions").alias("item_at")
+    flat = tests.select("item", F.explode(F.arrays_zip("hashes", "positions")).alias("w")).select(
+        "item", F.col("w.hashes").alias("hash"), F.col("w.positions").alias("item_at")
     )
     bloom = hash_filter(flat)
     short_items = shortest is not None and shortest < WEIGHT
@@ -214,13 +215,13 @@ def find_leaks(
         "region", F.col("w.hashes").alias("hash"), (F.col("w.positions") - F.col("start")).alias("at")
     )
     diagonals = (
-        hits.join(flat, "hash").select("region", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        hits.join(flat, "hash").select("region", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     )
     pairs = (
-        diagonals.groupBy("region", "item_id")
+        diagonals.groupBy("region", "item")
         .agg(F.collect_list("shift").alias("shifts"))
         .join(regions.select("region", "doc_id", "start", F.col("tokens").alias("region_tokens")), "region")
-        .join(tests.select("item_id", F.col("tokens").alias("item_tokens")), "item_id")
+        .join(tests.select("item", "item_id", F.col("tokens").alias("item_tokens")), "item")
     )
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
