@@ -207,6 +207,36 @@ def test_decontamination(spark):
     assert spaced.find_leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_verify_finds_exact_parts_around_a_rewritten_middle():
+    def pattern(*parts):
+        return np.concatenate([np.full(n, k, bool) for k, n in parts])
+
+    def leaks(same):
+        item = np.arange(1, len(same) + 1, dtype=np.uint64)
+        return spaced.verify(np.where(same, item, np.uint64(0)), item, 0, 10, 0.7)
+
+    assert leaks(pattern((1, 20), (0, 19), (1, 20))) == [(0, 20, 20), (39, 20, 20)]
+    assert leaks(pattern((1, 12), (0, 11), (1, 12))) == [(0, 12, 12), (23, 12, 12)]
+    assert leaks(pattern((1, 7), (0, 3), (1, 7), (0, 30), (1, 12))) == [(0, 17, 14), (47, 12, 12)]
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        same = rng.random(rng.integers(1, 70)) < rng.choice([0.5, 0.6, 0.7])
+        total = np.concatenate(([0], np.cumsum(same)))
+        need = min(10, len(same))
+        some = any(total[j] - total[i] >= max(need, 0.7 * (j - i) - 1e-9) for j in range(len(total)) for i in range(j))
+        got = leaks(same)
+        assert bool(got) == some
+        assert all(m >= need and m >= 0.7 * n - 1e-9 for _, n, m in got)
+        assert all(a + n <= b for (a, n, _), (b, _, _) in zip(got, got[1:]))
+
+
+def test_each_copy_of_an_item_is_reported(spark):
+    item, gap = " ".join(f"w{k}" for k in range(30)), " ".join(f"g{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = spaced.find_leaks(frame(spark, [f"{item} {gap} {item}"]), bench).collect()
+    assert sorted((r["doc_start"], r["n_tokens"], r["n_matched"]) for r in got) == [(0, 30, 30), (50, 30, 30)]
+
+
 def test_decontamination_with_null_and_repeated_ids(spark, tmp_path):
     items, filler = [t for t in prose(12, 11, 60) if len(t.split()) >= 18][:3], prose(6, 12, 120)
     bench = spark.createDataFrame([(None, items[0]), (7, items[1]), (7, items[2])], "item_id long, text string")

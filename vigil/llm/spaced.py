@@ -9,9 +9,10 @@ The join costs no shuffle of all windows: a Bloom filter of the test hashes, of
 large the benchmark is, goes to all tasks, and a document leaves its task only as the regions around
 windows that pass. What passes wrongly is lost in the join.
 
-Verification takes the run along the diagonal with the best sum of +1 for equal and -1 for unequal
-tokens. It is a leak when at least ``least_matched`` tokens agree (or all of a shorter item) and they
-are at least ``least_share`` of the run.
+Verification finds runs along the diagonal. A run is a leak when at least ``least_matched`` tokens agree
+(or all of a shorter item) and they are at least ``least_share`` of it. The run with the best sum of +1
+for equal and -1 for unequal tokens is tried first; if that is none, any other run that is a leak; then
+what lies before and behind. Of leaks that overlap in the document the one with most equal tokens stays.
 
 Defined results: null and empty texts match nothing; items of fewer tokens than a mask's weight are
 matched whole; repeated rows are reported as often as they occur; rows with null ids are reported with
@@ -178,17 +179,49 @@ def best_run(same: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
-def verify(region: np.ndarray, item: np.ndarray, shift: int, least: int, share: float) -> tuple[int, int, int] | None:
-    """(item start, length, matched) of a leak where item token k lies at region token k + shift."""
+def dense_run(same: np.ndarray, least: int, share: float) -> tuple[int, int] | None:
+    """Bounds of the run with the best matched - share * length among those with ``least`` matched; None below 0."""
+    matched = np.concatenate(([0], np.cumsum(same)))
+    surplus = matched - share * np.arange(len(matched))
+    low = np.minimum.accumulate(surplus)
+    ends = np.flatnonzero(matched >= least)
+    if not len(ends):
+        return None
+    last = np.searchsorted(matched, matched[ends] - least, side="right") - 1  # the last start with enough behind it
+    gain = surplus[ends] - low[last]
+    k = int(np.argmax(gain))
+    if gain[k] < -1e-9:
+        return None
+    return int(np.argmin(surplus[: last[k] + 1])), int(ends[k])
+
+
+def verify(region: np.ndarray, item: np.ndarray, shift: int, least: int, share: float) -> list[tuple[int, int, int]]:
+    """(item start, length, matched) of each leak where item token k lies at region token k + shift.
+
+    Leaks don't overlap. Where any run has enough equal tokens and the share, one is found.
+    """
     low, high = max(0, -shift), min(len(item), len(region) - shift)
     if high <= low:
-        return None
+        return []
     same = region[low + shift : high + shift] == item[low:high]
-    start, end = best_run(same)
-    matched = int(same[start:end].sum())
-    if matched < min(least, len(item)) or matched < share * (end - start) or matched == 0:
-        return None
-    return low + start, end - start, matched
+    need = max(1, min(least, len(item)))
+    found, parts = [], [(0, len(same))]
+    while parts:
+        first, last = parts.pop()
+        part = same[first:last]
+        if int(part.sum()) < need:
+            continue
+        run = best_run(part)
+        matched = int(part[slice(*run)].sum())
+        if matched < need or matched < share * (run[1] - run[0]):
+            run = dense_run(part, need, share)
+            if run is None:
+                continue
+            matched = int(part[slice(*run)].sum())
+        start, end = first + run[0], first + run[1]
+        found.append((low + start, end - start, matched))
+        parts += [(first, start), (end, last)]
+    return sorted(found)
 
 
 def find_leaks(
@@ -201,7 +234,7 @@ def find_leaks(
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """One row per document region and item: doc_id, item_id, doc_start, item_start, n_tokens, n_matched, similarity."""
+    """One row per passage and item: doc_id, item_id, doc_start, item_start, n_tokens, n_matched, similarity."""
     tests = stored(test_windows(benchmark, item_id, item_text), "test-windows")
     size = tests.select((F.octet_length("tokens") / 8).cast("long").alias("n"))
     longest, shortest = size.agg(F.coalesce(F.max("n"), F.lit(0)), F.min(F.when(F.col("n") > 0, F.col("n")))).first()
@@ -229,13 +262,14 @@ def find_leaks(
             rows = []
             for r in part.itertuples(index=False):
                 region, item = np.frombuffer(r.region_tokens, np.uint64), np.frombuffer(r.item_tokens, np.uint64)
-                best = None
-                for shift in sorted(int(s) for s in r.shifts):
-                    found = verify(region, item, shift, least_matched, least_share)
-                    if found and (best is None or found[2] > best[1][2]):
-                        best = shift, found
-                if best:
-                    shift, (at, length, matched) = best
+                shifts = sorted(int(s) for s in r.shifts)
+                runs = [(shift, *run) for shift in shifts for run in verify(region, item, shift, least_matched, least_share)]
+                taken = np.zeros(len(region), bool)
+                for shift, at, length, matched in sorted(runs, key=lambda x: -x[3]):
+                    place = slice(at + shift, at + shift + length)
+                    if taken[place].any():
+                        continue  # another diagonal explains this place better
+                    taken[place] = True
                     rows.append((r.doc_id, r.item_id, r.start + at + shift, at, length, matched, matched / length))
             yield pd.DataFrame(rows, columns=names).astype({"similarity": "float64"})
 
