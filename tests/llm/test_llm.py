@@ -303,15 +303,40 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, texts).limit(0), packing.default_tokenizer()).count() == 0
 
 
-def test_shortest_pack_first_uses_every_piece():
+def test_encoder_equals_tokenizer_on_every_latin_letter():
+    e = packing.RunEncoder(packing.default_tokenizer())
+    for code in range(0x250):
+        for t in (chr(code), f"ab{chr(code)}CD", f"{chr(code)}{chr(code)} x"):
+            assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), hex(code)
+    for t in ("ƏDALƏT", "AZƏRBAYCAN", "ƁALA", "ÀÉÎ ǅ Ŵ"):
+        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def fills_one_by_one(histogram, length):
+    """How full the packs are when every single piece goes to the pack with the most room."""
+    packs = []
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            best = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if best is None or packs[best] + size > length:
+                packs.append(size)
+            else:
+                packs[best] += size
+    return sorted(packs)
+
+
+def test_shortest_pack_first_equals_placing_piece_by_piece():
     r = random.Random(3)
-    histogram = {r.randint(1, 64): r.randint(1, 50) for _ in range(40)}
-    used = collections.Counter()
-    for pattern, count in packing.shortest_pack_first(histogram, 64):
-        assert sum(pattern) <= 64
-        for size in pattern:
-            used[size] += count
-    assert used == histogram
+    for trial in range(60):
+        top = r.choice([8, 20, 64])
+        histogram = {r.randint(1, top): r.choice([1, 2, 7, 50]) for _ in range(r.randint(1, 30))}
+        used, fills = collections.Counter(), []
+        for pattern, count in packing.shortest_pack_first(histogram, 64):
+            fills += [sum(size * times for size, times in pattern)] * count
+            for size, times in pattern:
+                used[size] += count * times
+        assert used == histogram
+        assert sorted(fills) == fills_one_by_one(histogram, 64)
 
 
 def test_lm_equals_a_plain_model(spark, monkeypatch):

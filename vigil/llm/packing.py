@@ -2,9 +2,9 @@
 
 Documents are tokenised and cut into pieces of the sequence length; the rest of a document is one
 shorter piece. Only the histogram of piece lengths (at most ``length`` numbers) reaches the driver.
-There lengths are placed longest first, each into the open pattern with the most room (the shortest
+There lengths are placed longest first, piece by piece into the pack with the most room (the shortest
 pack), and the counts of patterns are updated; a pattern is a list of lengths and how many sequences
-look like that. Patterns go back as intervals: the pieces of a length have ranks, and each place in a
+look like that, and equal packs are filled in one step. Patterns go back as intervals: the pieces of a length have ranks, and each place in a
 pattern takes an interval of ranks. A piece finds its place by binary search.
 
 Ranks need no sort: a task numbers its pieces by length as it writes them, and the counts of all
@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -38,8 +39,20 @@ REMEMBERED = 500_000
 _RUNS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9 \t-\r\u00df-\u00f6\u00f8-\u024f]+"
 )
-#: ASCII and Latin letters that are composed already and lower-case one to one.
-_PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+
+
+def _plain_letters() -> str:
+    """Latin letters that are composed already and whose lower case is one letter that ``_RUNS`` knows."""
+    found = []
+    for c in map(chr, range(0xC0, 0x250)):
+        low = c.lower()
+        if c.isalpha() and len(low) == 1 and unicodedata.normalize("NFC", c) == c and "\u00df" <= low <= "\u024f":
+            found.append(c)
+    return "".join(found)
+
+
+#: ASCII and those letters; any other character goes through the whole tokenizer.
+_PLAIN = re.compile(rf"[\x00-\x7f{_plain_letters()}]*")
 
 
 def byte_letters() -> dict[int, str]:
@@ -121,53 +134,76 @@ def cut_documents(
     )
 
 
-def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[list[int], int]]:
-    """Patterns (lengths in order of placing, number of sequences)."""
-    done: list[tuple[list[int], int]] = []
-    room: dict[int, list[tuple[list[int], int]]] = {}
+#: A pattern under construction: the one it extends, a length, and how often that length comes next.
+Pattern = tuple["Pattern", int, int] | None
+
+
+def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns ((length, times) in order of placing, number of sequences).
+
+    Lengths are placed longest first, one piece at a time into a pack with the most room; a new pack is
+    opened only where no pack has room. Packs with equal patterns take their pieces together, and as long
+    as they stay the emptiest, further rounds of one piece each are made in one step.
+    """
+    done: list[tuple[Pattern, int]] = []
+    room: dict[int, list[tuple[Pattern, int]]] = {}
     widest: list[int] = []
 
-    def add(space: int, pattern: list[int], count: int) -> None:
+    def add(space: int, pattern: Pattern, count: int) -> None:
+        if not count:
+            return
         if space == 0:
             done.append((pattern, count))
             return
         if space not in room:
             heapq.heappush(widest, -space)
-        room.setdefault(space, []).append((pattern, count))
+            room[space] = []
+        room[space].append((pattern, count))
 
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         while left:
-            if widest and -widest[0] >= size:
-                space = -widest[0]
-                pattern, count = room[space].pop()
-                if not room[space]:
-                    del room[space]
-                    heapq.heappop(widest)
-                # as many of this length as the pack takes, while there are enough for all its copies
-                fit = max(1, min(space // size, left // count))
-                used = min(count, left)
-                if used < count:
-                    add(space, pattern, count - used)
-                    fit = 1
-                add(space - fit * size, pattern + [size] * fit, used)
-                left -= used * fit
-            else:
-                add(length - size, [size], left)
-                left = 0
-    return done + [p for patterns in room.values() for p in patterns]
-
-
-def places(patterns: list[tuple[list[int], int]]) -> np.ndarray:
+            if not widest or -widest[0] < size:  # a new pack stays the only one with room until it is full
+                times = length // size
+                add(length - times * size, (None, size, times), left // times)
+                if left % times:
+                    add(length - left % times * size, (None, size, left % times), 1)
+                break
+            space = -widest[0]
+            pattern, count = room[space].pop()
+            if not room[space]:
+                del room[space]
+                heapq.heappop(widest)
+            if left < count:
+                add(space, pattern, count - left)
+                add(space - size, (pattern, size, 1), left)
+                break
+            below = -widest[0] if widest else size  # the room of the next emptiest packs
+            times = min((space - max(below, size)) // size + 1, left // count)
+            add(space - times * size, (pattern, size, times), count)
+            left -= times * count
+    return [(_placed(p), n) for p, n in [*done, *(x for same in room.values() for x in same)]]
+
+
+def _placed(pattern: Pattern) -> list[tuple[int, int]]:
+    out = []
+    while pattern:
+        pattern, size, times = pattern
+        out.append((size, times))
+    return out[::-1]
+
+
+def places(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset), sorted by length and rank."""
     rows, ranks, sequence = [], {}, 0
     for pattern, count in patterns:
         offset = 0
-        for size in pattern:
-            rank = ranks.get(size, 0)
-            rows.append((size, rank, sequence, offset))
-            ranks[size] = rank + count
-            offset += size
+        for size, times in pattern:
+            for _ in range(times):
+                rank = ranks.get(size, 0)
+                rows.append((size, rank, sequence, offset))
+                ranks[size] = rank + count
+                offset += size
         sequence += count
     out = np.array(sorted(rows), np.int64).reshape(-1, 4)
     return out
