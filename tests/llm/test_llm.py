@@ -56,12 +56,84 @@ def test_secrets(spark):
     linked = got[len(texts) - 1]["spans"]
     assert "key:" in linked and "access:" in linked
     lone = secrets.scan_text("key Zx9Qw8Er7Ty6Ui5Op4 alone and https://x.example.com/a" + " far" * 200 + " pwd")
-    assert lone[0] == [] and [k for _, _, k in lone[1]] == ["key"]  # weak secret next to an endpoint
+    assert lone[0] == [] and [k for _, _, k in lone[1]] == ["key", "endpoint"]  # random string next to an endpoint
     assert secrets.scan_text("only Zx9Qw8Er7Ty6Ui5Op4 here")[1] == []
     clean = secrets.redact_secrets(frame(spark, texts)).orderBy("doc_id").collect()
     assert "abcdef1" not in clean[6]["text"] and clean[0]["text"] is None and len(clean) == len(texts)
 
 
+def plain_links(text, reach):
+    """Findings and credentials by comparing every part with every other."""
+    base = secrets.base_parts(text, text.lower())
+    weak = secrets.weak_parts(text, text.lower(), base)
+    lines, scope, at = re.split(r"(\r\n|\r|\n)", text), 0, 0
+    scope_of = {}
+    for k, line in enumerate(lines):  # a blank line between others ends a scope
+        if k % 2 == 0 and 0 < k < len(lines) - 1 and not line.strip(" \t"):
+            scope += 1
+        for c in range(at, at + len(line)):
+            scope_of[c] = scope
+        at += len(line)
+
+    def near(p, q):
+        gap = max(q[0] - p[1], p[0] - q[1])
+        return scope_of[p[0]] == scope_of[q[0]] and gap < 2 * reach
+
+    def confirms(p, q):
+        if p[2] == "key" and q[2] == "endpoint":
+            return secrets.random_looking(text[p[0] : p[1]])
+        return q[2] in secrets.NEEDS[p[2]]
+
+    out = {p for p in weak if any(confirms(p, q) and near(p, q) for q in base + weak)}
+    keys = [p for p in out if p[2] == "key"]
+    out |= {p for p in weak if p[2] != "key" and any(near(p, q) for q in keys)}
+    every, found = base + list(out), []
+    for p in sorted(every):
+        if p[2] in secrets.SECRETS:
+            best = []
+            for kinds in (secrets.IDENTIFIERS, secrets.ENDPOINTS):
+                others = [(max(q[0] - p[1], p[0] - q[1], 0), *q) for q in every if q[2] in kinds and near(p, q)]
+                best += [min(others)[1:]] if others else []
+            if best:
+                found.append((p, *best))
+    return out, found
+
+
+def test_linking_equals_comparing_all_parts():
+    r = random.Random(6)
+    pieces = ["login: bob", "user=carol7", "bob.smith@mail.example.com", "https://api.example.com/v1", "host: db1.example.com", "10.0.0.12:5432"]
+    pieces += ["Zx9Qw8Er7Ty6Ui5Op4", "k2j9x8m4n7b3v6c1q5", "release-2024-notes-version-of-things", "password=hunter22", "AKIA" + "A1" * 8]
+    pieces += ["ab12" * 7, "word", "word and another word", "\n\n", "\r\n\r\n", "\n \t\n", "\r\n", "\n", "\r\r"]
+    some = False
+    for _ in range(400):
+        text = " ".join(r.choice(pieces) for _ in range(r.randint(2, 25)))
+        for reach in (4, 30, 160):
+            base = secrets.base_parts(text, text.lower())
+            got = secrets.linked_parts(text, base, secrets.weak_parts(text, text.lower(), base), reach)
+            want, found = plain_links(text, reach)
+            assert len(set(got)) == len(got) and set(got) == want
+            assert secrets.credentials(text, base + got, reach) == found
+            some |= len(found) > 1
+    assert some
+
+
+def test_weak_secrets_need_more_than_an_address():
+    assert secrets.scan_text("See https://example.org/a for release-2024-notes-version-of-things today")[1] == []
+    for end in ("\n", "\r\n", "\r"):
+        assert secrets.scan_text(f"login: bob smith{end}{end}key Zx9Qw8Er7Ty6Ui5Op4")[1] == []
+        assert [k for _, _, k in secrets.scan_text(f"login: bob smith{end}key Zx9Qw8Er7Ty6Ui5Op4")[1]].count("key") == 1
+    long_name = "a.b" * 40 + "@example.com password=hunter22"
+    assert (0, 132, "user") in secrets.scan_text(long_name)[1]
+
+
+def test_secrets_on_long_and_empty_tables(spark):
+    texts = [LONG + "password=abcdef1 " + LONG, "@" * 100_000, "a@" * 50_000, "x" * 200_000 + "@", "token" * 40_000]
+    got = secrets.scan_secrets(frame(spark, texts).withColumn("spans", F.lit(1))).orderBy("doc_id").collect()
+    assert [r["n_assign"] for r in got] == [1, 0, 0, 0, 0]
+    assert secrets.scan_secrets(frame(spark, texts).limit(0)).count() == 0
+    assert secrets.redact_secrets(frame(spark, texts).limit(0)).count() == 0
+
+
 def test_classifier_learns_and_scores_everything(spark):
     r = random.Random(5)
     good, bad = prose(400, 1), [t.upper().replace(" ", "!! ") for t in prose(120, 2)]

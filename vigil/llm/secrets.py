@@ -3,14 +3,20 @@
 A scan of each whole text finds parts: access identifiers, secrets, endpoints, and weak candidates
 (strings that look like a secret or an account name but prove nothing alone). Base findings (``assign``,
 ``access``, ``hex``) always stand. The method links parts: a scope is a paragraph (text between blank
-lines), a part's reach is its span grown by ``REACH`` code points on both sides, and two parts of one
-scope are linked when their reaches meet. This is an interval join; a scope never leaves its document,
-so the join is a sort-merge sweep over one row's parts and nothing is shuffled. A weak candidate is
-reported only if a complementary part is linked to it: a weak secret (``key``) needs an identifier or
-an endpoint, a weak account name (``user``) needs a secret, and an endpoint is reported with a secret.
+lines, whatever the line ends are), a part's reach is its span grown by ``REACH`` code points on both
+sides within its scope, and two parts are linked when their reaches meet. This is an interval join; a
+scope never leaves its document, so the join is a sort-merge sweep over one row's parts and nothing is
+shuffled. A weak candidate is reported only if a complementary part is linked to it: a weak secret
+(``key``) needs an identifier, or an endpoint if it mixes upper case, lower case and digits as random
+strings do; a weak account name (``user``) needs a secret; an endpoint is reported with a secret.
+
+Linked parts make credentials: each reported secret with the nearest identifier and the nearest endpoint
+that are linked to it, one per secret, so that a crowded scope never yields all pairs.
 
 Defined results: null text is empty; an empty text has no spans and the digest of the empty string; the
-result has one row per input row, whatever the ids are; spans of one kind never overlap.
+result has one row per input row, whatever the ids are; spans of one kind never overlap; a table with no
+rows gives none; other columns are ignored. Patterns have no limit on how long a part is, and their cost
+is linear in the text.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ ENDPOINT = re.compile(
 )
 USER = re.compile(
     r"\b(?:user(?:name)?|login|account|client_id|access_key(?:_id)?)[\"']?\x20*[:=]\x20*[\"']?[\w.@-]{3,}"
-    r"|\b[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+",
+    r"|(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+",
     re.IGNORECASE | re.ASCII,
 )
 KEY = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
@@ -55,7 +61,8 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "endpoint", "user", "key")
 #: Roles of kinds, and those that complement them.
 SECRETS, IDENTIFIERS, ENDPOINTS = {"assign", "hex", "key"}, {"access", "user"}, {"endpoint"}
-NEEDS = {"key": {"access", "user", "endpoint"}, "user": {"assign", "hex"}, "endpoint": {"assign", "hex"}}
+NEEDS = {"key": {"access", "user"}, "user": {"assign", "hex"}, "endpoint": {"assign", "hex"}}
+_BREAK = re.compile(r"(?:\r\n|\n|\r(?!\n))[\x20\t]*(?:\r\n|\n|\r)")
 
 Part = tuple[int, int, str]
 
@@ -69,15 +76,25 @@ def base_parts(text: str, lowered: str) -> list[Part]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def mixture(word: str) -> tuple[int, int]:
+    """Changes between upper case, lower case and digits within the word, and those with a digit on one side."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "" for c in word]
+    changes = [(a, b) for a, b in zip(kinds, kinds[1:]) if a and b and a != b]
+    return len(changes), sum("d" in pair for pair in changes)
+
+
 def weak_secret(word: str) -> bool:
-    """Mixed letters and digits with many different characters."""
-    return (
-        any(c.isdigit() for c in word)
-        and any(c.isalpha() for c in word)
-        and len(set(word)) >= 10
-        and not HEX.fullmatch(word)
-        and not word.startswith("AKIA")
-    )
+    """Many different characters, and letters and digits mixed as in random strings, not as in words or dates."""
+    if len(set(word)) < 10 or HEX.fullmatch(word) or word.startswith("AKIA"):
+        return False
+    changes, with_digit = mixture(word)
+    return changes >= len(word) / 4 and with_digit >= 2
+
+
+def random_looking(word: str) -> bool:
+    """A weak secret that an endpoint confirms: all three kinds of characters, changing often."""
+    kinds = any(map(str.isupper, word)) and any(map(str.islower, word)) and any(map(str.isdigit, word))
+    return kinds and mixture(word)[0] >= len(word) / 3
 
 
 def weak_parts(text: str, lowered: str, base: list[Part]) -> list[Part]:
@@ -99,27 +116,75 @@ def weak_parts(text: str, lowered: str, base: list[Part]) -> list[Part]:
 
 def scopes(text: str) -> list[int]:
     """Where scopes end: at blank lines."""
-    return [m.start() for m in re.finditer(r"\n[\x20\t]*\n", text)]
+    return [m.start() for m in _BREAK.finditer(text)]
+
+
+class Links:
+    """The parts of a text by kind, for an interval join within scopes.
+
+    Spans of one kind don't overlap, so their starts and their ends are both sorted.
+    """
+
+    def __init__(self, text: str, parts: list[Part], reach: int):
+        self.ends, self.size, self.reach = scopes(text), len(text), reach
+        self.by_kind: dict[str, tuple[list[int], list[int]]] = {}
+        for kind in KINDS:
+            spans = sorted((s, e) for s, e, k in parts if k == kind)
+            self.by_kind[kind] = [s for s, _ in spans], [e for _, e in spans]
+
+    def bounds(self, start: int, end: int) -> tuple[int, int]:
+        """Where the reach of a linked part may begin and end."""
+        scope = bisect_right(self.ends, start)
+        low = self.ends[scope - 1] if scope else 0
+        high = self.ends[scope] if scope < len(self.ends) else self.size
+        return max(low, start - 2 * self.reach), min(high, end + 2 * self.reach)
+
+    def any(self, start: int, end: int, kinds: set[str]) -> bool:
+        low, high = self.bounds(start, end)
+        return any(bisect_left(self.by_kind[k][0], high) > bisect_right(self.by_kind[k][1], low) for k in kinds)
+
+    def nearest(self, start: int, end: int, kinds: set[str]) -> Part | None:
+        """The linked part of those kinds with the smallest gap, the first of equals."""
+        low, high = self.bounds(start, end)
+        best = None
+        for kind in kinds:
+            starts, stops = self.by_kind[kind]
+            first, last = bisect_right(stops, low), bisect_left(starts, high)
+            at = bisect_left(starts, start)
+            for k in range(max(first, at - 1), min(last, at + 1)):
+                gap = max(starts[k] - end, start - stops[k], 0)
+                best = min(best, (gap, starts[k], stops[k], kind)) if best else (gap, starts[k], stops[k], kind)
+        return best and (best[1], best[2], best[3])
+
+
+def linked_parts(text: str, base: list[Part], weak: list[Part], reach: int = REACH) -> list[Part]:
+    """The weak parts that a complementary part confirms."""
+    links = Links(text, base + weak, reach)
+    out = []
+    for start, end, kind in weak:
+        found = links.any(start, end, NEEDS[kind])
+        if not found and kind == "key" and random_looking(text[start:end]):
+            found = links.any(start, end, ENDPOINTS)
+        if found:
+            out.append((start, end, kind))
+    # an account name or an endpoint that confirmed a weak secret belongs to its credential
+    keys = [p for p in out if p[2] == "key"]
+    if keys:
+        confirmed = Links(text, keys, reach)
+        known = set(out)
+        out += [p for p in weak if p[2] in ("user", "endpoint") and p not in known and confirmed.any(p[0], p[1], {"key"})]
+    return out
 
 
-def linked_parts(text: str, base: list[Part], weak: list[Part]) -> list[Part]:
-    """Interval join of weak parts with complementary parts of the same scope."""
-    ends = scopes(text)
-    by_kind: dict[str, tuple[list[int], list[int]]] = {}
-    for kind in KINDS:
-        spans = sorted((s, e) for s, e, k in base + weak if k == kind)
-        by_kind[kind] = [s for s, _ in spans], [e for _, e in spans]
+def credentials(text: str, parts: list[Part], reach: int = REACH) -> list[tuple[Part, ...]]:
+    """Each secret with the nearest identifier and endpoint that are linked to it; secrets without any are left out."""
+    links = Links(text, parts, reach)
     out = []
-    for start, end, kind in weak:
-        scope = bisect_right(ends, start)
-        low = max(ends[scope - 1] if scope else 0, start - 2 * REACH)
-        high = min(ends[scope] if scope < len(ends) else len(text), end + 2 * REACH)
-        for other in NEEDS[kind]:
-            starts, stops = by_kind[other]
-            # spans of one kind don't overlap, so starts and stops are both sorted
-            if bisect_left(starts, high) > bisect_right(stops, low):
-                out.append((start, end, kind))
-                break
+    for start, end, kind in sorted(parts):
+        if kind in SECRETS:
+            others = [links.nearest(start, end, kinds) for kinds in (IDENTIFIERS, ENDPOINTS)]
+            if any(others):
+                out.append(((start, end, kind), *filter(None, others)))
     return out
 
 
@@ -148,7 +213,7 @@ def redacted(text: str, parts: list[Part]) -> str:
     return "".join(out) + text[at:]
 
 
-RESULT = "n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string"
+RESULT = "n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string, credentials string"
 
 
 def _strings(column: pa.Array) -> list[str]:
@@ -156,22 +221,26 @@ def _strings(column: pa.Array) -> list[str]:
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: the id, counts by base kind, digest of base spans, all spans."""
+    """One row per input row: the id, counts by base kind, digest of base spans, all spans, linked parts.
+
+    ``credentials`` lists kind:start:end of a secret and of the parts linked to it, joined by +, comma-joined.
+    """
     rows = docs.selectExpr(f"`{doc_id}` AS doc_id", f"CAST(`{text}` AS STRING) AS text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for body in _strings(batch.column("text")):
                 base, more = scan_text(body)
                 kinds = [k for _, _, k in base]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                row = (*(kinds.count(k) for k in BASE_KINDS), len(more), digest, joined(base + more))
+                whole = ",".join("+".join(f"{k}:{s}:{e}" for s, e, k in c) for c in credentials(body, base + more))
+                row = (*(kinds.count(k) for k in BASE_KINDS), len(more), digest, joined(base + more), whole)
                 for values, value in zip(out, row, strict=True):
                     values.append(value)
-            types = [pa.int64()] * 4 + [pa.string()] * 2
+            types = [pa.int64()] * 4 + [pa.string()] * 3
             arrays = [pa.array(v, t) for v, t in zip(out, types, strict=True)]
-            names = ["n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"]
+            names = ["n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans", "credentials"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -198,5 +267,5 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     return scan_secrets(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked", "credentials"
     )
