@@ -328,6 +328,59 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, [(1, a), (2, b), (2, c), (None, a), (None, b)]))
 
 
+def plain_leaks(text, item, least=10, share=0.7):
+    """Whether some diagonal with a hit of a mask has a run that is a leak, by trying all runs."""
+    a, b = ((t or "").encode().lower().split() for t in (text, item))
+    masks = [m for m in spaced.MASKS] if len(b) >= spaced.WEIGHT else ["1" * len(b)] if b else []
+    for shift in range(-len(b), len(a)):
+        same = [0 <= k + shift < len(a) and a[k + shift] == w for k, w in enumerate(b)]
+        if not any(all(same[k + j] for j, c in enumerate(m) if c == "1") and 0 <= k + shift and k + len(m) <= len(b) and k + shift + len(m) <= len(a)
+                   for m in masks for k in range(len(b) - len(m) + 1)):
+            continue
+        low, high = max(0, -shift), min(len(b), len(a) - shift)
+        total = np.concatenate(([0], np.cumsum(same[low:high])))
+        need = max(1, min(least, len(b)))
+        if any(total[j] - total[i] >= max(need, share * (j - i) - 1e-9) for j in range(len(total)) for i in range(j)):
+            return True
+    return False
+
+
+def test_decontamination_equals_comparing_all_pairs(spark):
+    r = random.Random(12)
+    vocabulary = ["tok%d" % k for k in range(12)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [" ".join(some(r.randint(1, 30))) for _ in range(25)] + ["a " * 40, "a a a", None, ""]
+    texts = [" ".join(some(r.randint(1, 60))) for _ in range(60)] + ["a " * 300, "b " * 90 + "a " * 12, None, "", "a a"]
+    for k, item in enumerate(items[:20]):
+        words_ = [w if r.random() > 0.15 else "sub" for w in item.split()]
+        texts.append(" ".join(some(8) + words_ + some(8)))
+    bench = spark.createDataFrame([(k, t, 0) for k, t in enumerate(items)], "item_id long, text string, doc_id int")
+    found = spaced.find_leaks(frame(spark, texts), bench).collect()
+    got = {(x["doc_id"], x["item_id"]) for x in found}
+    assert got == {(i, k) for i, t in enumerate(texts) for k, m in enumerate(items) if plain_leaks(t, m)} and len(got) > 40
+    for x in found:
+        a, b = texts[x["doc_id"]].split(), items[x["item_id"]].split()
+        same = sum(u == v for u, v in zip(a[x["doc_start"] :][: x["n_tokens"]], b[x["item_start"] :][: x["n_tokens"]]))
+        assert same == x["n_matched"] and x["similarity"] == same / x["n_tokens"]
+    assert spaced.find_leaks(frame(spark, texts).limit(0), bench).count() == 0
+
+
+def test_masks_find_substituted_runs():
+    rng = np.random.default_rng(1)
+    found = 0
+    for _ in range(4000):
+        same = np.ones(20, bool)
+        same[rng.choice(20, 5, replace=False)] = False
+        windows = (same[k : k + len(m)][[c == "1" for c in m]] for m in spaced.MASKS for k in range(21 - len(m)))
+        found += any(w.all() for w in windows)
+    assert found / 4000 > 0.92
+
+
+def test_filter_grows_with_the_benchmark():
+    assert spaced.filter_size(10) == spaced.FILTER_BITS[0] and spaced.filter_size(10**12) == spaced.FILTER_BITS[1]
+    assert 64 * 10**6 <= spaced.filter_size(10**6) < 128 * 10**6
+
+
 PAGE = (
     "<html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>"
     "<div class='cookie-notice'><p>We use cookies on this site, and a long sentence about them follows here.</p></div>{}"

@@ -2,12 +2,15 @@
 
 A spaced seed is a mask over consecutive tokens; positions outside the mask are ignored, so a hash
 survives substitutions there. Each mask hashes every window of the benchmark items and of the
-documents; hashes are joined; a joined pair proposes a diagonal (document position minus item
-position), and the whole overlap along it is verified token by token.
+documents; hashes are joined; a joined pair of a document's region and an item is then read token by
+token: every diagonal (document position minus item position) on which the two share a hash is
+verified along the whole overlap.
 
-The join costs no shuffle of all windows: a Bloom filter of the test hashes, of fixed size however
-large the benchmark is, goes to all tasks, and a document leaves its task only as the regions around
-windows that pass. What passes wrongly is lost in the join.
+The join costs no shuffle of all windows: a Bloom filter of the test hashes goes to all tasks, with
+``FILTER_RATIO`` bits for each distinct hash within ``FILTER_BITS``, and a document leaves its task
+only as the regions around windows that pass. What passes wrongly is lost in the join. The join is on
+distinct (region, hash) and (item, hash), so a token that repeats makes one row on each side; a window
+that r regions and k items have in common makes r * k candidates, as many as there would be leaks.
 
 Verification finds runs along the diagonal. A run is a leak when at least ``least_matched`` tokens agree
 (or all of a shorter item) and they are at least ``least_share`` of it. The run with the best sum of +1
@@ -16,7 +19,7 @@ what lies before and behind. Of leaks that overlap in the document the one with
 
 Defined results: null and empty texts match nothing; items of fewer tokens than a mask's weight are
 matched whole; repeated rows are reported as often as they occur; rows with null ids are reported with
-a null id; an empty benchmark gives an empty result.
+a null id; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ from pyspark.sql import functions as F
 from vigil.llm.storage import stored, table
 from vigil.llm.words import WordHashes, mixed, seeded, utf8, words
 
-#: Masks of six tokens; together they find 92 % of runs of 20 tokens of which a quarter is substituted.
+#: Masks of six tokens; together they find over 92 % of runs of 20 tokens of which five are substituted (tested).
 MASKS = ("111111", "11010111", "11001001101", "10100010111")
 #: Items with fewer tokens than a mask's weight get a mask of their own length.
 WEIGHT = 6
-#: Bits of the Bloom filter: 4 MB.
-FILTER_BITS = 1 << 25
+#: Bits of the Bloom filter for each distinct hash (one of 100,000 other windows passes), its least and greatest size.
+FILTER_RATIO, FILTER_BITS = 64, (1 << 24, 1 << 29)
+#: Slots of a hash in the filter.
+SLOTS = 4
 LEAST_MATCHED, LEAST_SHARE = 10, 0.7
 
 
@@ -59,47 +64,59 @@ def masks_of(shortest: bool) -> list[str]:
     return [*MASKS, *("1" * k for k in range(1, WEIGHT))] if shortest else list(MASKS)
 
 
-def _slots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(FILTER_BITS - 1)
-    return x & low, seeded(x, 77) & low
+def item_masks(tokens: int) -> list[tuple[int, str]]:
+    """Numbered masks for an item of so many tokens."""
+    if tokens < WEIGHT:
+        return [(len(MASKS) + tokens - 1, "1" * tokens)] if tokens else []
+    return list(enumerate(MASKS))
+
+
+def filter_size(hashes: int) -> int:
+    """Bits of the filter, a power of two."""
+    least, most = FILTER_BITS
+    size = least
+    while size < min(most, hashes * FILTER_RATIO):
+        size *= 2
+    return size
+
+
+def _slot(x: np.ndarray, k: int, size: int) -> np.ndarray:
+    return (seeded(x, 77 + k) if k else x) & np.uint64(size - 1)
 
 
 def test_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """item (a number of the row), item_id, tokens (hashes), and the hash and position of every window of every mask."""
+    """item (a number of the row), item_id, tokens (hashes), and the distinct hashes of the windows of every mask."""
     rows = benchmark.selectExpr(f"`{item_id}` AS item_id", f"CAST(`{text}` AS STRING) AS text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = WordHashes(), TaskContext.get().partitionId() << 36
         for batch in batches:
-            tokens, found, at = [], [], []
+            tokens, found = [], []
             for body in utf8(batch.column("text")):
                 h = known.of(words(body))
-                short = "1" * len(h)
-                chosen = [(k, m) for k, m in enumerate(masks_of(True)) if (m == short if len(h) < WEIGHT else k < len(MASKS))]
-                windows = [window_hashes(h, m, k) for k, m in chosen] or [np.empty(0, np.uint64)]
+                windows = [window_hashes(h, m, k) for k, m in item_masks(len(h))] or [np.empty(0, np.uint64)]
                 tokens.append(h.tobytes())
-                found.append(np.concatenate(windows).view(np.int64))
-                at.append(np.concatenate([np.arange(len(w), dtype=np.int64) for w in windows]))
-            longs, items = pa.list_(pa.int64()), pa.array(range(number, number + batch.num_rows), pa.int64())
+                found.append(np.unique(np.concatenate(windows)).view(np.int64))
+            items = pa.array(range(number, number + batch.num_rows), pa.int64())
             number += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [items, batch.column("item_id"), pa.array(tokens, pa.binary()), pa.array(found, longs), pa.array(at, longs)],
-                names=["item", "item_id", "tokens", "hashes", "positions"],
+                [items, batch.column("item_id"), pa.array(tokens, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                names=["item", "item_id", "tokens", "hashes"],
             )
 
     kind = rows.schema["item_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"item long, item_id {kind}, tokens binary, hashes array<long>, positions array<long>")
+    return rows.mapInArrow(work, f"item long, item_id {kind}, tokens binary, hashes array<long>")
 
 
 def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """Bloom filter of the column ``hash``. At most FILTER_BITS / 64 words reach the driver."""
+    """Bloom filter of the column ``hash``, distinct. At most a 64th of its greatest size in words reaches the driver."""
+    size = filter_size(hashes.count())
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.unique(np.concatenate(_slots(x))).astype(np.int64))], names=["bit"]
-            )
+            slots = np.concatenate([_slot(x, k, size) for k in range(SLOTS)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots).astype(np.int64))], names=["bit"])
 
     words64 = (
         hashes.select("hash")
@@ -108,28 +125,28 @@ def hash_filter(hashes: DataFrame) -> np.ndarray:
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
         .toPandas()
     )
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words64["word"].to_numpy(np.int64)] = words64["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
 
 
 def hit_regions(docs: DataFrame, filter_bytes: np.ndarray, reach: int, short_items: bool, doc_id: str, text: str) -> DataFrame:
-    """Parts of documents around windows that pass the filter: region, doc_id, start, tokens, hashes, positions."""
+    """Parts of documents around windows that pass the filter: region, doc_id, start, tokens, hashes (distinct)."""
     rows = docs.selectExpr(f"`{doc_id}` AS doc_id", f"CAST(`{text}` AS STRING) AS text")
-    shared = rows.sparkSession.sparkContext.broadcast(filter_bytes)  # fixed size: FILTER_BITS
+    shared = rows.sparkSession.sparkContext.broadcast(filter_bytes)  # at most the greatest of FILTER_BITS
     masks = masks_of(short_items)
 
     def passing(x: np.ndarray) -> np.ndarray:
-        bits = shared.value
-        one, two = _slots(x)
-        ok = np.flatnonzero(bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
-        two = two[ok]
-        return ok[(bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1) == 1]
+        bits, ok = shared.value, np.arange(len(x))
+        for k in range(SLOTS):
+            at = _slot(x[ok], k, 8 * len(bits))
+            ok = ok[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1) == 1]
+        return ok
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = WordHashes(), TaskContext.get().partitionId() << 36
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for index, body in enumerate(utf8(batch.column("text"))):
                 h = known.of(words(body))
                 at, found = [], []
@@ -147,7 +164,7 @@ def hit_regions(docs: DataFrame, filter_bytes: np.ndarray, reach: int, short_ite
                 cuts = np.flatnonzero(np.diff(position) > 2 * reach) + 1
                 for p, v in zip(np.split(position, cuts), np.split(value, cuts), strict=True):
                     start, end = max(0, int(p[0]) - reach), min(len(h), int(p[-1]) + reach)
-                    for values, one in zip(out, (number, index, start, h[start:end].tobytes(), v, p), strict=True):
+                    for values, one in zip(out, (number, index, start, h[start:end].tobytes(), np.unique(v)), strict=True):
                         values.append(one)
                     number += 1
             longs = pa.list_(pa.int64())
@@ -158,18 +175,34 @@ def hit_regions(docs: DataFrame, filter_bytes: np.ndarray, reach: int, short_ite
                     pa.array(out[2], pa.int64()),
                     pa.array(out[3], pa.binary()),
                     pa.array(out[4], longs),
-                    pa.array(out[5], longs),
                 ],
-                names=["region", "doc_id", "start", "tokens", "hashes", "positions"],
+                names=["region", "doc_id", "start", "tokens", "hashes"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
         work,
-        f"region long, doc_id {kind}, start long, tokens binary, hashes array<long>, positions array<long>",
+        f"region long, doc_id {kind}, start long, tokens binary, hashes array<long>",
     )
 
 
+def shared_diagonals(region: np.ndarray, item: np.ndarray) -> list[int]:
+    """All shifts (region position minus item position) at which a mask gives both the same hash."""
+    found: list[np.ndarray] = []
+    for number, mask in item_masks(len(item)):
+        one, two = window_hashes(region, mask, number), window_hashes(item, mask, number)
+        order = np.argsort(two, kind="stable")
+        values = two[order]
+        low, high = np.searchsorted(values, one, side="left"), np.searchsorted(values, one, side="right")
+        hit = np.flatnonzero(high > low)
+        for start in range(0, len(hit), 4096):  # a token that fills both texts makes many pairs of positions
+            at = hit[start : start + 4096]
+            n = high[at] - low[at]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.unique(np.repeat(at, n) - order[np.repeat(low[at], n) + within]))
+    return np.unique(np.concatenate(found)).tolist() if found else []
+
+
 def best_run(same: np.ndarray) -> tuple[int, int]:
     """Bounds of the run with the best sum of +1 for true and -1 for false."""
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, -1))))
@@ -238,21 +271,15 @@ def find_leaks(
     tests = stored(test_windows(benchmark, item_id, item_text), "test-windows")
     size = tests.select((F.octet_length("tokens") / 8).cast("long").alias("n"))
     longest, shortest = size.agg(F.coalesce(F.max("n"), F.lit(0)), F.min(F.when(F.col("n") > 0, F.col("n")))).first()
-    flat = tests.select("item", F.explode(F.arrays_zip("hashes", "positions")).alias("w")).select(
-        "item", F.col("w.hashes").alias("hash"), F.col("w.positions").alias("item_at")
-    )
-    bloom = hash_filter(flat)
+    flat = tests.select("item", F.explode("hashes").alias("hash"))
+    bloom = hash_filter(flat.select("hash").distinct())
     short_items = shortest is not None and shortest < WEIGHT
     regions = stored(hit_regions(docs, bloom, max(longest, 1) + 16, short_items, doc_id, text), "regions")
-    hits = regions.select("region", "start", F.explode(F.arrays_zip("hashes", "positions")).alias("w")).select(
-        "region", F.col("w.hashes").alias("hash"), (F.col("w.positions") - F.col("start")).alias("at")
-    )
-    diagonals = (
-        hits.join(flat, "hash").select("region", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    )
+    hits = regions.select("region", F.explode("hashes").alias("hash"))
     pairs = (
-        diagonals.groupBy("region", "item")
-        .agg(F.collect_list("shift").alias("shifts"))
+        hits.join(flat, "hash")
+        .select("region", "item")
+        .distinct()
         .join(regions.select("region", "doc_id", "start", F.col("tokens").alias("region_tokens")), "region")
         .join(tests.select("item", "item_id", F.col("tokens").alias("item_tokens")), "item")
     )
@@ -262,7 +289,7 @@ def find_leaks(
             rows = []
             for r in part.itertuples(index=False):
                 region, item = np.frombuffer(r.region_tokens, np.uint64), np.frombuffer(r.item_tokens, np.uint64)
-                shifts = sorted(int(s) for s in r.shifts)
+                shifts = shared_diagonals(region, item)
                 runs = [(shift, *run) for shift in shifts for run in verify(region, item, shift, least_matched, least_share)]
                 taken = np.zeros(len(region), bool)
                 for shift, at, length, matched in sorted(runs, key=lambda x: -x[3]):
@@ -276,7 +303,7 @@ def find_leaks(
     kinds = {"doc_id": regions.schema["doc_id"].dataType, "item_id": tests.schema["item_id"].dataType}
     names = ["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_matched", "similarity"]
     shape = ", ".join(f"{k} {t.simpleString()}" for k, t in kinds.items())
-    return pairs.select("doc_id", "item_id", "start", "shifts", "region_tokens", "item_tokens").mapInPandas(
+    return pairs.select("doc_id", "item_id", "start", "region_tokens", "item_tokens").mapInPandas(
         work, f"{shape}, doc_start long, item_start long, n_tokens long, n_matched long, similarity double"
     )
 
