@@ -395,6 +395,65 @@ def test_html(wrap):
     assert text == "Title & more\n\nFirst paragraph with bold text that is long enough.\n\nOk.\n\nLast é paragraph of the article, with a link."
 
 
+ARTICLE = "".join(f"<p>Paragraph {k} of the article says something at length, in words that follow each other.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("named", ["class='no-sidebar'", "class='layout-with-sidebar'", "class='sponsor-wall page'", "id='content-share-page'", "class='related-to-topic'", "class='widget'"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>"])
+def test_html_keeps_articles_under_odd_names(named, inner):
+    text = html.extract_text(f"<html><body><nav>Home</nav><div {named}>{inner.format(ARTICLE)}</div><footer>c</footer></body></html>")
+    assert text.split("\n\n") == [f"Paragraph {k} of the article says something at length, in words that follow each other." for k in range(6)]
+
+
+def test_html_regions():
+    two = "<body><div id=content><section>" + ARTICLE + "</section><section>" + ARTICLE[: len(ARTICLE) // 2] + "</section></div></body>"
+    assert html.extract_text(two).count("Paragraph") == 9
+    quote = "<body><div><p>Short start.</p><blockquote>" + ARTICLE + "</blockquote>" + ARTICLE + "<p>End.</p></div></body>"
+    assert html.extract_text(quote).startswith("Short start.") and html.extract_text(quote).count("Paragraph") == 12
+    many = "<body><article>" + ARTICLE + "</article><article>" + ARTICLE + "</article></body>"
+    assert html.extract_text(many).count("Paragraph") == 12
+    title = "<body><main><h1>The title</h1><article>" + ARTICLE + "</article></main></body>"
+    assert html.extract_text(title).startswith("The title\n\nParagraph 0")
+    readers = "<div id='comments'>" + "<p>A reader writes a comment that is as long as any paragraph of the article above it is.</p>" * 20 + "</div>"
+    assert "reader" not in html.extract_text("<body><article>" + ARTICLE + "</article>" + readers + "</body>")
+
+
+def test_html_ratio_decides_where_no_name_does(monkeypatch):
+    links = "".join(f"<div><a href=/{k}>Item {k}</a> <a href=/x>more</a></div>" for k in range(12))
+    page = f"<body><div class=a1>{links}</div><div class=a2>{ARTICLE}</div><div class=a3>{links}</div></body>"
+    text = html.extract_text(page)
+    assert text.startswith("Paragraph 0") and "Item" not in text
+    monkeypatch.setattr(html, "text_to_tag_ratios", lambda lines, elements: [1.0] * len(lines))
+    assert "Item" in html.extract_text(page)
+
+
+def plain_clusters(ratios, sigma):
+    smooth = []
+    for i in range(len(ratios)):
+        w = {j: np.exp(-((i - j) ** 2) / (2 * sigma * sigma)) for j in range(len(ratios)) if abs(i - j) <= np.ceil(3 * sigma)}
+        smooth.append(sum(w[j] * ratios[j] for j in w) / sum(w.values()))
+    keep = [r > 0 and s >= np.std(smooth) / 2 for r, s in zip(ratios, smooth)]
+    return [k for k, x in enumerate(keep) if x]
+
+
+def test_html_clusters_equal_a_plain_version():
+    r = random.Random(4)
+    for _ in range(100):
+        ratios = [r.choice([0.0, 1.0, 3.0, 80.0, 200.0]) for _ in range(r.randint(1, 60))]
+        got = [k for a, b in html.content_clusters(ratios) for k in range(a, b + 1)]
+        assert got == plain_clusters(ratios, html.SIGMA)
+
+
+def test_html_time_is_linear():
+    import time
+
+    start = time.time()
+    for page in ("<div>x" * 100_000, "<u><div>" + "<i>x" * 50_000 + "</u>" * 50_000, "<ul>" * 50_000 + "<li>x" * 50_000, "<p>" * 100_000):
+        html.extract_text(page)
+    assert time.time() - start < 60
+    assert html.extract_text("<div>" * 100_000 + ARTICLE).count("Paragraph") == 6
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 0), (2, None, "", 0), (3, "u", "<p>a", 0), (3, "u", "<nav>x</nav>", 0)], "page_id long, url string, html string, text int")
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract_pages(pages).collect())

@@ -1,17 +1,24 @@
 """Operator 6, HTML extraction: parser events, text-to-tag ratio per line, smoothing, clustering.
 
 The standard library's streaming parser sends events; a line is the text between two block boundaries,
-and its ratio is its characters over the tags met in it. Ratios are smoothed with a Gaussian along the
-page, and lines above a threshold, half the standard deviation of the smoothed ratios, form clusters.
-Clusters vote for regions: each gives its text to every enclosing element, and the region is the
-innermost element with most of the text, an ``article`` or ``main`` first. All lines in the region are
-content, however short, but for those in elements that are boilerplate by their tag, role or class
-(menus, headers, footers, side bars, notices, adverts, forms, scripts, styles, reader comments).
+and its ratio is its characters of content over the tags met in it. Characters don't count as content in
+elements that are boilerplate by their tag or role (menus, headers, footers, forms, scripts and so on),
+nor in elements that a class or id names as boilerplate (``cookie-notice``, but not ``no-sidebar``)
+where the text agrees: they hold less than half of the page's other text, or an article lies elsewhere.
 
-White space within a line becomes one space; lines are trimmed and joined by two newlines.
+Ratios are smoothed with a Gaussian along the page. Lines whose smoothed ratio reaches a threshold, half
+the standard deviation of the smoothed ratios, form clusters of neighbours. The content regions are
+the articles that hold clusters; without any, ``main``; without that, the lowest common ancestor of the
+clusters. A region's lines with a ratio above 0 are content however short they are, and so is a main
+heading above an article; but outside articles, lines before the first and behind the last cluster are
+content only if they are headings or have text that isn't a link.
+
+White space within a line becomes one space; lines are trimmed and joined by two newlines. Time is linear
+in the page, however deep its elements are nested.
 
 Defined results: null and empty pages give an empty text; a page whose every line is boilerplate gives an
-empty text; broken markup is read as far as the parser can; repeated rows are rows of their own.
+empty text; broken markup is read as far as the parser can; repeated rows are rows of their own; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,7 +48,17 @@ BOILERPLATE = frozenset(
 BOILERPLATE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
 )
-#: An element is boilerplate if a word of its class or id is one of these.
+#: Start tags that end an open element of these, as HTML allows those end tags to be left out.
+CLOSES = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
+    "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+}
+SCOPES = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
+#: Elements within which a new block ends an open paragraph no further out.
+HOLDERS = SCOPES | frozenset(("article", "main", "section", "div", "td", "body", "blockquote", "center"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+#: A class or id names boilerplate if one of its words is among these and all others are among ``NEUTRAL_WORDS``.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adsbox advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments"
     " commentlist consent cookie cookies copyright disqus footer gdpr header masthead menu menus modal nav navbar"
@@ -48,96 +66,132 @@ BOILERPLATE_WORDS = frozenset(
     " related replies respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe"
     " toolbar topbar widget widgets".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block blog bottom box buttons container form global inline inner item items left link"
+    " links list main message middle overlay page post posts primary reader right secondary section shell site slot"
+    " sticky the thread top unit user wrap wrapper".split()
+)
 #: But not these within an article, where they hold its title.
-HEADER_WORDS = frozenset(("header", "masthead", "banner"))
+TITLE_WORDS = frozenset(("header", "masthead", "banner"))
 #: Elements that no class or id makes boilerplate.
 KEPT_WHOLE = frozenset(("html", "body", "main", "article"))
-#: Start tags that end an open element of these, as HTML allows those end tags to be left out.
-CLOSES = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
-    "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-}
-SCOPES = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
-REGIONS = frozenset(("article", "main", "section", "div", "td", "body", "blockquote", "center"))
+
 _SPACE = re.compile(r"\s+")
-_WORDS = re.compile(r"[a-z0-9]+")
+_WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
 
+def named_boilerplate(value: str, inside: bool) -> bool:
+    """Whether a token of a class or id says boilerplate as a whole."""
+    for token in value.split():
+        found = set(_WORDS.findall(_CAMEL.sub(" ", token).lower()))
+        named = found & BOILERPLATE_WORDS
+        if named and found <= BOILERPLATE_WORDS | NEUTRAL_WORDS and not (inside and named <= TITLE_WORDS):
+            return True
+    return False
+
+
+@dataclass(slots=True)
+class Element:
+    parent: int
+    tag: str
+    #: within an article or main
+    inside: bool
+    #: boilerplate by tag, role or as it isn't shown
+    hidden: bool
+    #: boilerplate by its class or id, if the text agrees
+    suspect: bool = False
+
+
+@dataclass(slots=True)
+class Line:
+    text: str
+    tags: int
+    element: int
+    #: all of its text lies in links
+    linked: bool
+
+
 class LineParser(HTMLParser):
-    """Collects (text, tags, path of region numbers) of each line that isn't boilerplate."""
+    """Collects lines and elements; an element knows its parent, and children come after it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, bool, tuple[int, ...]]] = []
-        self.regions: list[str] = ["page"]
+        self.lines: list[Line] = []
+        self.elements = [Element(-1, "page", False, False)]
+        #: open elements, and the places of each tag and of blocks among them
+        self.stack: list[int] = [0]
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
         self.text: list[str] = []
+        self.free = False
         self.tags = 0
 
-    def state(self) -> tuple[bool, tuple[int, ...]]:
-        return self.stack[-1][1:] if self.stack else (False, (0,))
-
     def end_line(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.lines.append((text, max(1, self.tags), self.state()[1]))
+                at = self.stack[-1]
+                while self.elements[at].tag not in BLOCKS and at:
+                    at = self.elements[at].parent
+                self.lines.append(Line(text, max(1, self.tags), at, not self.free))
             self.text.clear()
-        self.tags = 0
+        self.tags, self.free = 0, False
 
-    def marked(self, tag: str, attrs: list[tuple[str, str | None]], path: tuple[int, ...]) -> bool:
-        if tag in BOILERPLATE:
-            return True
-        inside = any(self.regions[k] in ("article", "main") for k in path)
-        if tag == "header":
-            return not inside
+    def judge(self, element: Element, attrs: list[tuple[str, str | None]]) -> None:
+        tag, inside = element.tag, element.inside
+        if tag in BOILERPLATE or (tag == "header" and not inside):
+            element.hidden = True
+            return
         if tag in KEPT_WHOLE:
-            return False
+            return
         for name, value in attrs:
             if name in ("class", "id") and value:
-                found = BOILERPLATE_WORDS.intersection(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-                if found - (HEADER_WORDS if inside else set()):
-                    return True
+                element.suspect = element.suspect or named_boilerplate(value, inside)
             elif name == "role":
-                if (value or "").lower() in BOILERPLATE_ROLES:
-                    return True
+                element.hidden = element.hidden or (value or "").lower() in BOILERPLATE_ROLES
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
+                element.hidden = True
             elif name == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
-        return False
+                element.hidden = True
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
-            if tag != "option" and self.stack and any(t == "p" for t, _, _ in self.stack[-4:]):
-                self.pop("p", REGIONS | SCOPES)
+            if tag != "option":
+                self.end_within("p", HOLDERS)
             for other in CLOSES.get(tag, ()):
-                self.pop(other, SCOPES)
+                self.end_within(other, SCOPES)
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
         if tag in VOID:
             return
-        hidden, path = self.state()
-        hidden = hidden or self.marked(tag, attrs, path)
-        if tag in REGIONS:
-            path = (*path, len(self.regions))
-            self.regions.append(tag)
-        self.stack.append((tag, hidden, path))
-
-    def pop(self, tag: str, barrier: frozenset[str]) -> None:
-        for at in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[at][0]
-            if name == tag:
-                del self.stack[at:]
-                return
-            if name in barrier:
-                return
+        above = self.elements[self.stack[-1]]
+        element = Element(self.stack[-1], tag, above.inside or above.tag in ("article", "main"), above.hidden)
+        if not element.hidden:
+            self.judge(element, attrs)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(len(self.elements))
+        self.elements.append(element)
+
+    def cut(self, place: int) -> None:
+        """Close the element at that place of the stack and all above it."""
+        while len(self.stack) > place:
+            tag = self.elements[self.stack.pop()].tag
+            self.open[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def end_within(self, tag: str, barrier: frozenset[str]) -> None:
+        places = self.open.get(tag)
+        if places and all(not at or at[-1] < places[-1] for at in map(self.open.get, barrier)):
+            self.cut(places[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -146,19 +200,15 @@ class LineParser(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        if tag in VOID:
-            return
-        inline = tag not in BLOCKS
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                del self.stack[at:]
-                return
-            if inline and self.stack[at][0] in BLOCKS:
-                return  # a stray end tag doesn't close a block
+        places = self.open.get(tag)
+        # a stray end tag of an inline element doesn't close a block
+        if places and (tag in BLOCKS or not self.blocks or self.blocks[-1] < places[-1]):
+            self.cut(places[-1])
 
     def handle_data(self, data: str) -> None:
-        if not self.state()[0]:
+        if not self.elements[self.stack[-1]].hidden:
             self.text.append(data)
+            self.free = self.free or (not self.open.get("a") and not data.isspace())
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -176,24 +226,105 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content_lines(shown: list[tuple[str, int, tuple[int, ...]]], regions: list[str]) -> list[str]:
-    if not shown:
-        return []
-    ratios = smoothed([len(text) / tags for text, tags, _ in shown])
+def text_to_tag_ratios(lines: list[Line], elements: list[Element]) -> list[float]:
+    """Characters of content over tags, for each line."""
+    sizes = [0] * len(elements)
+    articles = [0] * len(elements)
+    for line in lines:
+        sizes[line.element] += len(line.text)
+    for k in range(len(elements) - 1, 0, -1):  # children before their parents
+        element = elements[k]
+        if element.tag in ("article", "main") and sizes[k] and not element.hidden:
+            articles[k] += 1
+        if not element.suspect:
+            articles[element.parent] += articles[k]
+        sizes[element.parent] += sizes[k]
+    out_of = [e.hidden for e in elements]
+    for k in range(1, len(elements)):
+        element = elements[k]
+        # an article within a suspect isn't counted above it, so these lie elsewhere
+        weak = element.suspect and (2 * sizes[k] < sizes[0] or (articles[0] > 0 and not articles[k]))
+        out_of[k] = out_of[k] or out_of[element.parent] or weak
+    return [0.0 if out_of[line.element] else len(line.text) / line.tags for line in lines]
+
+
+def content_threshold(ratios: list[float]) -> float:
+    """Half the standard deviation of smoothed ratios."""
     mean = sum(ratios) / len(ratios)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)) / 2
-    votes: dict[int, int] = {}
-    for (text, _, path), ratio in zip(shown, ratios, strict=True):
-        if ratio >= threshold:
-            for region in path:
-                votes[region] = votes.get(region, 0) + len(text)
-    named = [r for r in votes if regions[r] == "article"] or [r for r in votes if regions[r] == "main"]
-    if named:
-        best = max(named, key=lambda r: (votes[r], -r))
-    else:
-        # later regions lie deeper or further on; the deepest with over half of the votes
-        best = max((r for r in votes if 2 * votes[r] > votes.get(0, 0)), default=0)
-    return [text for text, _, path in shown if best in path]
+    return math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)) / 2
+
+
+def content_clusters(ratios: list[float]) -> list[tuple[int, int]]:
+    """Runs (first, last) of neighbouring lines whose smoothed ratio reaches the threshold."""
+    smooth = smoothed(ratios)
+    least = content_threshold(smooth)
+    found: list[tuple[int, int]] = []
+    for k, (ratio, average) in enumerate(zip(ratios, smooth, strict=True)):
+        if ratio > 0 and average >= least:
+            if found and found[-1][1] == k - 1:
+                found[-1] = found[-1][0], k
+            else:
+                found.append((k, k))
+    return found
+
+
+def trimmed(clusters: list[tuple[int, int]], lines: list[Line]) -> list[tuple[int, int]]:
+    """Clusters without link lines at their ends, which smoothing lifts next to long lines; all of them if nothing is left."""
+    found = []
+    for first, last in clusters:
+        while first <= last and lines[first].linked:
+            first += 1
+        while first <= last and lines[last].linked:
+            last -= 1
+        if first <= last:
+            found.append((first, last))
+    return found or clusters
+
+
+def common_ancestor(elements: list[Element], members: set[int]) -> int:
+    """The lowest element that holds all members."""
+    held = [0] * len(elements)
+    for k in members:
+        held[k] += 1
+    for k in range(len(elements) - 1, 0, -1):
+        if held[k] == len(members):
+            return k  # children come after their parents, so no lower one holds all
+        held[elements[k].parent] += held[k]
+    return 0
+
+
+def content_lines(lines: list[Line], elements: list[Element]) -> list[str]:
+    if not lines:
+        return []
+    ratios = text_to_tag_ratios(lines, elements)
+    clusters = trimmed(content_clusters(ratios), lines)
+    if not clusters:
+        return []
+    # the outermost article and main that an element lies in
+    article, main = [0] * len(elements), [0] * len(elements)
+    for k in range(1, len(elements)):
+        e = elements[k]
+        article[k] = article[e.parent] or (k if e.tag == "article" else 0)
+        main[k] = main[e.parent] or (k if e.tag == "main" else 0)
+    members = {lines[k].element for first, last in clusters for k in range(first, last + 1) if ratios[k] > 0}
+    first, last = clusters[0][0], clusters[-1][1]
+    articles = {article[m] for m in members} - {0}
+    mains = {main[m] for m in members} - {0}
+    regions = articles or mains or {common_ancestor(elements, members)}
+    within = [False] * len(elements)
+    for k in range(len(elements)):
+        within[k] = k in regions or (k > 0 and within[elements[k].parent])
+    out = []
+    for k, (line, ratio) in enumerate(zip(lines, ratios, strict=True)):
+        if ratio <= 0:
+            continue
+        e = elements[line.element]
+        if within[line.element]:
+            if articles or mains or first <= k <= last or e.tag in HEADINGS or not line.linked:
+                out.append(line.text)
+        elif articles and e.tag == "h1" and main[line.element] in mains:
+            out.append(line.text)
+    return out
 
 
 def extract_text(html: str) -> str:
@@ -201,7 +332,7 @@ def extract_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    return "\n\n".join(content_lines(parser.lines, parser.regions))
+    return "\n\n".join(content_lines(parser.lines, parser.elements))
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
