@@ -566,18 +566,56 @@ def test_lm_equals_a_plain_model(spark, monkeypatch):
     assert lm.score_texts(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_sharding(spark, monkeypatch):
+def plain_packing(loads, shards):
+    left = [[1 / shards] * 3 for _ in range(shards)]
+    out = {}
+    for item in sorted(range(len(loads)), key=lambda k: (-max(loads[k]), k)):
+        w = loads[item]
+        fits = [s for s in range(shards) if all(left[s][d] >= w[d] - 1e-12 for d in range(3))]
+        fits = fits or [s for s in range(shards) if left[s][0] >= w[0] - 1e-12]
+        best = max(fits, key=lambda s: (sum(a * b for a, b in zip(left[s], w)), -s)) if fits else max(range(shards), key=lambda s: (left[s][0], -s))
+        out[item] = best
+        left[best] = [a - b for a, b in zip(left[best], w)]
+    return [out[k] for k in range(len(loads))]
+
+
+def test_vectors_go_where_the_dot_product_is_highest():
+    rng = np.random.default_rng(5)
+    for n, shards in ((1, 3), (40, 4), (300, 7)):
+        loads = rng.integers(1, 1000, (n, 3)) ** 2 / 1.0
+        loads /= loads.sum(axis=0)
+        assert sharding.pack_vectors(loads, shards).tolist() == plain_packing(loads.tolist(), shards)
+
+
+@pytest.mark.parametrize("most_groups", [10, 100_000])
+def test_sharding(spark, monkeypatch, most_groups):
     monkeypatch.setattr(sharding, "SLICE_ROWS", 5)
-    texts = prose(600, 41) + [t for t in AWKWARD if t != LONG] + ["the same text again"] * 300
-    got = sharding.assign_shards(frame(spark, texts), 6).toPandas()
-    assert len(got) == len(texts)
+    texts = prose(600, 41) + AWKWARD + ["the same text again"] * 300
+    docs = frame(spark, [*texts, "no id"], [*range(len(texts)), None]).withColumn("shard", F.lit(1)).withColumn("size", F.lit("x"))
+    got = sharding.assign_shards(docs, 6, most_groups=most_groups).toPandas()
+    assert len(got) == len(texts) + 1
+    for r in got.dropna(subset="doc_id").itertuples():
+        body = (texts[int(r.doc_id)] or "").encode()
+        assert (r.size, r.text_crc32, r.tokens) == (len(body) + 8, zlib.crc32(body), len(body.split()))
     for _, s in got.groupby("shard"):
         assert sorted(s["slot"]) == list(range(len(s)))
+    # the long text is larger than a shard of equal bytes and fills one alone, so the others share the rest
     load = got.groupby("shard")["size"].sum()
-    assert load.max() < 1.02 * load.mean()
+    others = load.sum() - len(LONG)
+    assert load.sort_values().iloc[:-1].max() < 1.3 * others / 5
+    if most_groups > 10:
+        by_text = got[~got["text_crc32"].isin([zlib.crc32(b"the same text again")])].groupby("text_crc32")["shard"].nunique()
+        assert (by_text == 1).all()
     assert sharding.assign_shards(frame(spark, texts).limit(0), 6).count() == 0
 
 
+def test_chat_on_long_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, 0, "user", LONG), (1, 1, "assistant", LONG + "</s>"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    got = {x["conv_id"]: x for x in chat.format_conversations(df).withColumn("turns", chat.parse_formatted(F.col("formatted"))).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [LONG, LONG + "</s>"] and [t["text"] for t in got[2]["turns"]] == [""]
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
 def test_chat(spark):
     r = random.Random(8)
     marks = chat.INSTRUCTION_TEMPLATE.controls() + ["\\", "<", "[", "/", "s>", "ok", "<\\/s>"]

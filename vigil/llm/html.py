@@ -268,13 +268,14 @@ def content_clusters(ratios: list[float]) -> list[tuple[int, int]]:
     return found
 
 
-def trimmed(clusters: list[tuple[int, int]], lines: list[Line]) -> list[tuple[int, int]]:
-    """Clusters without link lines at their ends, which smoothing lifts next to long lines; all of them if nothing is left."""
+def trimmed(clusters: list[tuple[int, int]], lines: list[Line], ratios: list[float]) -> list[tuple[int, int]]:
+    """Clusters without link lines at their ends that only smoothing lifts over the threshold; all of them if nothing is left."""
+    least = content_threshold(smoothed(ratios))
     found = []
     for first, last in clusters:
-        while first <= last and lines[first].linked:
+        while first <= last and lines[first].linked and ratios[first] < least:
             first += 1
-        while first <= last and lines[last].linked:
+        while first <= last and lines[last].linked and ratios[last] < least:
             last -= 1
         if first <= last:
             found.append((first, last))
@@ -297,7 +298,7 @@ def content_lines(lines: list[Line], elements: list[Element]) -> list[str]:
     if not lines:
         return []
     ratios = text_to_tag_ratios(lines, elements)
-    clusters = trimmed(content_clusters(ratios), lines)
+    clusters = trimmed(content_clusters(ratios), lines, ratios)
     if not clusters:
         return []
     # the outermost article and main that an element lies in
