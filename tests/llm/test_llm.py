@@ -155,6 +155,73 @@ def test_classifier_learns_and_scores_everything(spark):
     assert cotraining.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_exchange_makes_few_labels_go_further(spark, monkeypatch):
+    """Sources tell the classes apart almost perfectly; the words that do are too many for the labels to show."""
+    monkeypatch.setattr(cotraining, "CONFIDENT", 0.9)  # 48 rows of calibration can't make answers surer than 0.96
+    r = random.Random(11)
+    vocabulary = ["w%d" % k for k in range(600)]
+    rows, truth = [], []
+    for i in range(3000):
+        good = r.random() < 0.5
+        lean = vocabulary[:300] if good else vocabulary[300:]
+        text = " ".join(r.choice(lean) if r.random() < 0.12 else r.choice(vocabulary) for _ in range(60))
+        source = ("a%d" if good == (r.random() < 0.998) else "b%d") % r.randint(0, 1)
+        truth.append(good)
+        rows.append((i, text, "en", source, 100))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(truth[i]), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    right = {}
+    for rounds in (0, 4):
+        model = cotraining.train(docs, labels, rounds=rounds)
+        got = cotraining.score_documents(docs.where("doc_id >= 240"), model).collect()
+        right[rounds] = sum((x["quality_text"] > 0.5) == truth[x["doc_id"]] for x in got) / len(got)
+    assert right[4] > right[0] + 0.05, right
+
+
+def plain_taught(docs, model, ids):
+    """Sums of the pseudo-labelled documents, row by row."""
+    known, out = cotraining.WordFeatures(), {}
+    for doc in docs:
+        if doc["doc_id"] in ids:
+            continue
+        words_, statistics = cotraining.text_features((doc["text"] or "").encode(), known)
+        meta = cotraining.meta_features(doc["lang"], doc["source"], doc["n_chars"])
+        bins = [cotraining.TEXT_SPACE + k * cotraining.BINS + int(np.searchsorted(model.edges[k], v)) for k, v in enumerate(statistics)]
+        value = min(1, cotraining.FULL_VALUE / max(1, len(words_))) ** 0.5
+        sets = [[*((f, value) for f in words_.tolist()), *((f, 1.0) for f in bins)], [(f, 1.0) for f in meta]]
+        for target in cotraining.TARGETS:
+            raw = [sum(v.weights[f] * x for f, x in s) + v.bias for v, s in zip(model.views[target], sets)]
+            p = [1 / (1 + np.exp(-(v.slope * x + v.shift))) for v, x in zip(model.views[target], raw)]
+            for k in (0, 1):
+                if max(p[1 - k], 1 - p[1 - k]) >= cotraining.CONFIDENT:
+                    error = 1 / (1 + np.exp(-raw[k])) - (p[1 - k] > 0.5)
+                    sums = out.setdefault((target, k), collections.defaultdict(lambda: np.zeros(2)))
+                    sums["all"] += (1, error)
+                    for f, x in sets[k]:
+                        sums[f] += (x, error * x)
+    return out
+
+
+def test_taught_sums_equal_a_plain_version(spark):
+    texts = prose(60, 1) + [t.upper().replace(" ", "!! ") for t in prose(40, 2)] + AWKWARD
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 60), int(i % 3 == 0)) for i in range(0, 100, 2)], "doc_id long, quality int, toxic int")
+    model = cotraining.train(docs, labels, rounds=0)
+    ids = frozenset(range(0, 100, 2))
+    got = cotraining.taught_sums(cotraining.features(docs), model, ids)
+    want = plain_taught([x.asDict() for x in docs.collect()], model, ids)
+    some = False
+    for key, taught in got.items():
+        sums = want.get(key, {})
+        assert taught.documents == (sums["all"][0] if sums else 0)
+        some |= taught.documents > 0
+        for f, (count, gradient) in sums.items():
+            if f != "all":
+                assert (taught.count[f], taught.gradient[f]) == pytest.approx((count, gradient), abs=1e-5)
+        assert np.count_nonzero(taught.count) == max(0, len(sums) - 1)
+    assert some
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(500, 560)] + [(700, i) for i in range(701, 760)]

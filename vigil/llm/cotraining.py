@@ -2,24 +2,30 @@
 
 Two targets are learned, good quality and toxic. For each, one logistic regression sees the text (words
 that tell the classes apart, and binned statistics of characters, words and lines) and one sees the
-metadata (language, source, length). In each round both label a pool of unlabelled documents, and
-each one's confident answers join the other's training set at half weight. Then each view is
-calibrated by Platt scaling on labelled documents held back from training, and the views are combined
-by adding their calibrated log-odds over the prior. All documents are scored.
-
-Bounds: training sees at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, those with the
-smallest hashes of their ids; a fifth of the labelled ones calibrates. Their features are the only rows
-that reach the driver.
+metadata (language, source, length). Both are fitted on a bounded sample of labelled documents. In each
+round both score all other documents, in a Spark job: where one view is confident, its answer is a
+pseudo-label for the other view. Tasks add up, per feature, how many such documents have it and the
+gradient of the other view's loss, so that only sums for a fixed number of features reach the driver,
+however many documents teach. The other view is then fitted again to the labelled sample and to a
+quadratic approximation of the loss on its pseudo-labels, at half weight. Its curvature is the greatest
+that a logistic loss has (Böhning and Lindsay, 1988), for the mean number of features of a document. After the last round each view is calibrated by Platt scaling on labelled documents that were
+held back from training, and the calibrated views are combined by adding their log-odds over the prior.
+All documents are scored.
+
+Bounds: ``labelled`` documents at most are used as labelled, those with the smallest hashes of their
+ids; a fifth of them calibrates. Their features are the only rows that reach the driver. Features are
+hashed to ``TEXT_SPACE`` and ``META_SPACE`` numbers.
 
 Defined results: null text is empty, null metadata is a value of its own; ids may be null or repeated in
 documents (every row is scored); contradictory labels of an id count as bad and as toxic; with no
 labels, or one class only, a view answers with the smoothed share of its labels, so nothing is
-rejected without evidence.
+rejected without evidence; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,24 +35,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.storage import table
+from vigil.llm.storage import discard, stored, table
 from vigil.llm.words import utf8
 
-LABELLED, POOL = 5_000, 1_500
+#: Labelled documents that are used, at most.
+LABELLED = 12_000
 ROUNDS = 3
-#: Answers at least this sure teach the other view, and at most this share of the pool in a round.
-CONFIDENT, PER_ROUND = 0.97, 0.1
-#: Features are numbered by hash; the statistics' numbers come after them.
-SPACE = 1 << 30
-#: Rows that are scored together.
-AT_ONCE = 500
+#: Answers at least this sure teach the other view.
+CONFIDENT = 0.97
+#: Weight of pseudo-labels against labels.
+TAUGHT_WEIGHT = 0.5
+#: Numbers that words and metadata are hashed to; the statistics' numbers come after the words.
+TEXT_SPACE, META_SPACE = 1 << 18, 1 << 16
+#: A text's words count fully up to this many; the more there are, the less each one counts.
+FULL_VALUE = 100
 #: Bytes of a word's beginnings, which inflected and compound words share.
 BEGINNINGS = (5, 7)
-#: Least z-score of the log-odds of a word between the classes.
+#: Least z-score of a feature between the classes.
 TELLING = 2.8
 BINS = 12
 STATISTICS = 12
 TARGETS = ("quality", "toxic")
+VIEWS = ("text", "meta")
+DIMENSIONS = (TEXT_SPACE + STATISTICS * BINS, META_SPACE)
 
 _EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_=+/\\~`^@"
 _LETTER = np.zeros(256, bool)
@@ -63,26 +74,22 @@ _STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
 class WordFeatures(dict):
-    """Word -> feature numbers of two beginnings and of the word, without the marks around it; 4 bytes each."""
+    """Word -> feature numbers of the word without the marks around it, and of its beginnings; 4 bytes each."""
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= 300_000:
             self.clear()
         core = word.strip(_EDGES)
-        parts = (*(b"%d:" % n + core[:n] for n in BEGINNINGS), core)
-        value = self[word] = struct.pack("<3i", *(xxhash.xxh3_64_intdigest(x) % SPACE for x in parts))
+        parts = [core, *(b"%d:" % n + core[:n] for n in BEGINNINGS if len(core) > n)]
+        value = self[word] = struct.pack(f"<{len(parts)}i", *(xxhash.xxh3_64_intdigest(x) % TEXT_SPACE for x in parts))
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4").reshape(-1, 3)
-
 
 def text_features(text: bytes, known: WordFeatures) -> tuple[np.ndarray, list[float]]:
     """Numbers of the distinct words and beginnings, and statistics of the text."""
     words = text.lower().split()
-    found = known.of(words)
-    distinct, repeats = np.unique(found[:, 2], return_counts=True)
-    ids = np.unique(found)
+    counts = Counter(words)
+    ids = np.unique(np.frombuffer(b"".join(map(known.__getitem__, counts)), "<i4"))
     seen = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     n, w = max(1, len(text)), max(1, len(words))
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -97,8 +104,8 @@ def text_features(text: bytes, known: WordFeatures) -> tuple[np.ndarray, list[fl
         int(marks.max()) / n,
         len(text) / w,
         float(np.log1p(len(words))),
-        len(distinct) / w,
-        int(repeats.max(initial=0)) / w,
+        len(counts) / w,
+        max(counts.values(), default=0) / w,
         len(set(lines)) / max(1, len(lines)),
         len(lines) / w,
     ]
@@ -107,90 +114,171 @@ def text_features(text: bytes, known: WordFeatures) -> tuple[np.ndarray, list[fl
 
 def meta_features(lang, source, n_chars) -> list[int]:
     size = "none" if n_chars is None else str(int(np.log2(max(1, n_chars)) * 2))
-    return [xxhash.xxh3_64_intdigest(f"{k}={v}".encode()) % SPACE for k, v in (("lang", lang), ("source", source), ("size", size))]
+    named = (("lang", lang), ("source", source), ("size", size))
+    return [xxhash.xxh3_64_intdigest(f"{k}={v}".encode()) % META_SPACE for k, v in named]
 
 
-def binned(statistics: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Feature numbers of statistics: after the words, BINS for each."""
-    at = np.stack([np.searchsorted(edges[k], statistics[:, k]) for k in range(STATISTICS)], axis=1)
-    return (SPACE + np.arange(STATISTICS) * BINS + at).astype(np.int32)
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _feature_columns(batch: pa.RecordBatch, known: WordFeatures) -> list[pa.Array]:
+    found = [text_features(t, known) for t in utf8(batch.column("text"))]
+    meta = [meta_features(*m) for m in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
+    return [
+        pa.array([f for f, _ in found], pa.list_(pa.int32())),
+        pa.array([s for _, s in found], pa.list_(pa.float64())),
+        pa.array(meta, pa.list_(pa.int32())),
+    ]
+
+
+FEATURES = ["words", "statistics", "meta"]
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, words (numbers), statistics, meta (numbers)."""
+    rows = docs.select(*COLUMNS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordFeatures()
+        for batch in batches:
+            arrays = [batch.column("doc_id"), *_feature_columns(batch, known)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *FEATURES])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"doc_id {kind}, words array<int>, statistics array<double>, meta array<int>")
 
 
 @dataclass
 class Rows:
-    """Sets of features, one after the other."""
+    """Features with their values, one row after the other."""
 
     features: np.ndarray
-    lengths: np.ndarray
+    owner: np.ndarray
+    value: np.ndarray
+    n: int
 
-    @staticmethod
-    def of(parts: list[np.ndarray]) -> Rows:
-        lengths = np.array([len(p) for p in parts], np.int64)
-        return Rows(np.concatenate(parts) if parts else np.empty(0, np.int32), lengths)
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, weights=weights[self.features] * self.value, minlength=self.n)
 
-    def sums(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(ids, self.features), len(ids) - 1)
-        total = np.concatenate(([0.0], np.cumsum(np.where(ids[at] == self.features, weights[at], 0.0))))
-        ends = np.cumsum(self.lengths)
-        return total[ends] - total[ends - self.lengths]
+    def totals(self, numbers: np.ndarray, size: int, by_value: bool = True) -> np.ndarray:
+        """Sum over rows of their numbers, times the value of the feature if wanted, per feature."""
+        each = numbers[self.owner] * self.value if by_value else numbers[self.owner]
+        return np.bincount(self.features, weights=each, minlength=size)
 
     def take(self, rows: np.ndarray) -> Rows:
-        starts, n = (np.cumsum(self.lengths) - self.lengths)[rows], self.lengths[rows]
-        at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
-        return Rows(self.features[at], n)
+        place = np.full(self.n, -1, np.int32)
+        place[rows] = np.arange(len(rows))
+        owner = place[self.owner]
+        some = owner >= 0
+        return Rows(self.features[some], owner[some], self.value[some], len(rows))
+
+
+def view_rows(columns, edges: np.ndarray) -> tuple[Rows, Rows]:
+    """The text and metadata of feature columns (words, statistics, meta)."""
+
+    def flat(column) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+        return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column), dtype=np.int32), lengths)
+
+    words, owner = flat(columns[0])
+    n = len(columns[0])
+    statistics = flat(columns[1])[0].reshape(n, STATISTICS)
+    at = np.stack([np.searchsorted(edges[k], statistics[:, k]) for k in range(STATISTICS)], axis=1)
+    binned = (TEXT_SPACE + np.arange(STATISTICS) * BINS + at).astype(np.int32)
+    of_binned = np.repeat(np.arange(n, dtype=np.int32), STATISTICS)
+    size = np.bincount(owner, minlength=n)
+    value = np.sqrt(np.minimum(1, FULL_VALUE / np.maximum(1, size))).astype(np.float32)
+    text = Rows(
+        np.concatenate((words, binned.ravel())),
+        np.concatenate((owner, of_binned)),
+        np.concatenate((value[owner], np.ones(len(of_binned), np.float32))),
+        n,
+    )
+    meta, of_meta = flat(columns[2])
+    return text, Rows(meta, of_meta, np.ones(len(meta), np.float32), n)
 
 
 @dataclass
 class View:
     """Logistic regression over sets of features, with calibration."""
 
-    ids: np.ndarray = field(default_factory=lambda: np.full(1, -1, np.int32))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    weights: np.ndarray
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
     def raw(self, rows: Rows) -> np.ndarray:
-        return rows.sums(self.ids, self.weights) + self.bias
+        return rows.sums(self.weights) + self.bias
 
     def logit(self, rows: Rows) -> np.ndarray:
         return self.slope * self.raw(rows) + self.shift
 
 
+@dataclass
+class Taught:
+    """Sums over the pseudo-labelled documents: per feature its values and gradient, their number, and the bias's gradient."""
+
+    count: np.ndarray
+    gradient: np.ndarray
+    documents: float = 0.0
+    total: float = 0.0
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_view(rows: Rows, y: np.ndarray, weight: np.ndarray, select: bool, steps: int = 150, penalty: float = 2e-4) -> View:
-    view = View()
-    positive, total = float((y * weight).sum()), float(weight.sum())
+def telling(a: np.ndarray, b: np.ndarray, positive: float, total: float) -> np.ndarray:
+    """Features seen twice or more whose log-odds between the classes are far from 0; a, b: documents with them."""
+    odds = np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (total - positive + 1))
+    return (a + b >= 2) & (np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= TELLING)
+
+
+def fit_view(
+    rows: Rows, y: np.ndarray, size: int, select: bool, start: View | None = None, taught: Taught | None = None,
+    steps: int = 150, penalty: float = 2e-4,
+) -> View:
+    """Fit to labels and to the approximate loss on pseudo-labels around the view ``start``."""
+    positive, total = float(y.sum()), float(len(y))
     share = (positive + 1) / (total + 2)
-    view.bias = float(np.log(share / (1 - share)))
+    view = View(np.zeros(size), float(np.log(share / (1 - share))))
     if total == 0 or positive == 0 or positive == total:
         return view
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), rows.lengths)
-    names, numbers = np.unique(rows.features, return_inverse=True)
-    a = np.bincount(numbers, weights=(y * weight)[owner])
-    b = np.bincount(numbers, weights=((1 - y) * weight)[owner])
-    odds = np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (total - positive + 1))
-    z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    used = np.flatnonzero((a + b >= 2) & ((z >= TELLING) if select else (a + b > 0)))
-    if not len(used):
-        return view
-    place = np.full(len(names), -1, np.int32)
+    a, b = rows.totals(y, size, by_value=False), rows.totals(1 - y, size, by_value=False)
+    use = telling(a, b, positive, total) if select else a + b > 0
+    use[TEXT_SPACE:] |= (a + b > 0)[TEXT_SPACE:]  # the statistics
+    pulled = taught is not None and taught.documents > 0
+    if pulled:
+        # the gradient's surplus over the mean one, against what chance would make of it
+        mean = taught.total / taught.documents
+        surplus = np.abs(taught.gradient - mean * taught.count) / np.sqrt(0.25 * taught.count + 1e-9)
+        use |= (taught.count >= 2) & ((surplus >= TELLING) if select else True)
+    used = np.flatnonzero(use)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    at = place[numbers]
-    col, row = at[at >= 0], owner[at >= 0]
-    del numbers, owner, at
-    w, m, v, bias = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1), view.bias
-    w[-1] = bias
+    at = place[rows.features]
+    col, row, value = at[at >= 0], rows.owner[at >= 0], rows.value[at >= 0]
+    del at
+    w = np.append(start.weights[used], start.bias) if start is not None else np.append(np.zeros(len(used)), view.bias)
+    if pulled:
+        n = taught.documents
+        origin = w.copy()
+        slope = TAUGHT_WEIGHT * np.append(taught.gradient[used], taught.total) / n
+        per_document = 1 + taught.count[used].sum() / n
+        curve = TAUGHT_WEIGHT * np.append(taught.count[used], n) / n * per_document / 4
+    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
-        score = np.bincount(row, weights=w[col], minlength=len(y)) + w[-1]
-        error = (_sigmoid(score) - y) * weight / total
-        g = np.append(np.bincount(col, weights=error[row], minlength=len(used)) + penalty * w[:-1], error.sum())
+        score = np.bincount(row, weights=w[col] * value, minlength=len(y)) + w[-1]
+        error = (_sigmoid(score) - y) / total
+        g = np.append(np.bincount(col, weights=error[row] * value, minlength=len(used)) + penalty * w[:-1], error.sum())
+        if pulled:
+            g += slope + curve * (w - origin)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    view.ids, view.weights, view.bias = names[used], w[:-1], float(w[-1])
+        rate = 0.15 * min(1.0, 2 * (steps - step + 1) / steps)
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    view.weights[used], view.bias = w[:-1], float(w[-1])
     return view
 
 
@@ -214,8 +302,8 @@ def calibrate(view: View, rows: Rows, y: np.ndarray) -> None:
 @dataclass
 class Model:
     edges: np.ndarray
-    views: dict[str, tuple[View, View]]
-    prior: dict[str, float]
+    views: dict[str, tuple[View, View]] = field(default_factory=dict)
+    prior: dict[str, float] = field(default_factory=dict)
 
     def scores(self, target: str, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities by text, by metadata, and by both."""
@@ -223,145 +311,139 @@ class Model:
         return _sigmoid(one), _sigmoid(two), _sigmoid(one + two - self.prior[target])
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, hold: np.ndarray, rounds: int = ROUNDS) -> tuple[View, View, float]:
-    """y: 1, 0, or -1 for the pool. hold: labelled rows kept for calibration."""
-    views = text, meta
-    train = [np.flatnonzero((y >= 0) & ~hold)] * 2
-    labels, weights = [y.astype(float)] * 2, [np.ones(len(y))] * 2
-    check, pool = np.flatnonzero((y >= 0) & hold), np.flatnonzero(y < 0)
-
-    def fitted(k: int) -> View:
-        view = fit_view(views[k].take(train[k]), labels[k][train[k]], weights[k][train[k]], select=k == 0)
-        calibrate(view, views[k].take(check), y[check].astype(float))
-        return view
-
-    models = [fitted(0), fitted(1)]
-    for _ in range(rounds):
-        taught = False
-        for k in (0, 1):
-            if not len(pool):
-                break
-            p = _sigmoid(models[k].logit(views[k].take(pool)))
-            sure = np.flatnonzero(np.maximum(p, 1 - p) >= CONFIDENT)
-            sure = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: int(PER_ROUND * len(pool)) + 1]
-            other, rows = 1 - k, pool[sure]
-            fresh = ~np.isin(rows, train[other])
-            rows, answer = rows[fresh], (p[sure][fresh] > 0.5).astype(float)
-            if not len(rows):
-                continue
-            taught = True
-            labels[other], weights[other] = labels[other].copy(), weights[other].copy()
-            labels[other][rows], weights[other][rows] = answer, 0.5
-            train[other] = np.concatenate((train[other], rows))
-        if not taught:
-            break
-        models = [fitted(0), fitted(1)]
-    for k in (0, 1):  # the rows held back train the final weights too; the calibration stays
-        train[k] = np.concatenate((train[k], check))
-        final = fit_view(views[k].take(train[k]), labels[k][train[k]], weights[k][train[k]], select=k == 0)
-        models[k].ids, models[k].weights, models[k].bias = final.ids, final.weights, final.bias
-    share = (y[y >= 0].sum() + 1) / ((y >= 0).sum() + 2)
-    return models[0], models[1], float(np.log(share / (1 - share)))
-
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _features(batch: pa.RecordBatch, known: WordFeatures) -> tuple[list[np.ndarray], np.ndarray, list[list[int]]]:
-    found = [text_features(t, known) for t in utf8(batch.column("text"))]
-    meta = [meta_features(*m) for m in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
-    return [f for f, _ in found], np.array([s for _, s in found], float).reshape(-1, STATISTICS), meta
-
-
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Features and labels of at most LABELLED + POOL documents."""
+def labelled_sample(rows: DataFrame, labels: DataFrame, labelled: int) -> pa.Table:
+    """Features and labels of at most so many labelled documents."""
     known = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     )
     order = F.xxhash64("doc_id")
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id")
-    some = known.join(ids, "doc_id", "left_semi").orderBy(order).limit(LABELLED)
-    pool = (
-        ids.join(known, "doc_id", "left_anti")
-        .distinct()
-        .orderBy(order)
-        .limit(POOL)
-        .select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"))
-    )
-    chosen = some.select("doc_id", "quality", "toxic").unionByName(pool)
-    rows = docs.select(*COLUMNS).join(F.broadcast(chosen), "doc_id")  # at most LABELLED + POOL rows
+    some = known.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled)
+    return rows.join(F.broadcast(some), "doc_id").toArrow().sort_by("doc_id")  # at most ``labelled`` rows of some
+
+
+def taught_sums(rows: DataFrame, model: Model, sample_ids: frozenset) -> dict[tuple[str, int], Taught]:
+    """Sums over all documents outside the sample on which the other view is confident, by target and view."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, sample_ids))  # bounded by the spaces and the sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_ = WordFeatures()
+        known, ids = shared.value
+        sums = {(t, v): Taught(np.zeros(DIMENSIONS[v]), np.zeros(DIMENSIONS[v])) for t in range(len(TARGETS)) for v in (0, 1)}
         for batch in batches:
-            ids_, statistics, meta = _features(batch, words_)
-            arrays = [batch.column(c) for c in ("doc_id", "quality", "toxic")]
-            arrays += [
-                pa.array(ids_, pa.list_(pa.int32())),
-                pa.array(list(statistics), pa.list_(pa.float64())),
-                pa.array(meta, pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "quality", "toxic", "words", "statistics", "meta"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(
-        work,
-        f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, toxic {kinds['toxic']},"
-        " words array<int>, statistics array<double>, meta array<long>",
+            both = view_rows([batch.column(c) for c in FEATURES], known.edges)
+            free = np.array([i is None or i not in ids for i in batch.column("doc_id").to_pylist()], bool)
+            for t, target in enumerate(TARGETS):
+                views = known.views[target]
+                for v in (0, 1):
+                    teacher = _sigmoid(views[1 - v].logit(both[1 - v]))
+                    sure = np.flatnonzero(free & (np.maximum(teacher, 1 - teacher) >= CONFIDENT))
+                    if not len(sure):
+                        continue
+                    taught, own = sums[t, v], both[v].take(sure)
+                    error = _sigmoid(views[v].raw(own)) - (teacher[sure] > 0.5)
+                    taught.count += own.totals(np.ones(len(sure)), DIMENSIONS[v])
+                    taught.gradient += own.totals(error, DIMENSIONS[v])
+                    taught.documents += len(sure)
+                    taught.total += float(error.sum())
+        for (t, v), taught in sums.items():
+            at = np.flatnonzero(taught.count)
+            columns = np.append(at, -1), np.append(taught.count[at], taught.documents), np.append(taught.gradient[at], taught.total)
+            slot = np.full(len(at) + 1, 2 * t + v, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot), pa.array(columns[0].astype(np.int32)), pa.array(columns[1]), pa.array(columns[2])],
+                names=["slot", "feature", "count", "gradient"],
+            )
+
+    found = (
+        rows.mapInArrow(work, "slot int, feature int, count double, gradient double")
+        .groupBy("slot", "feature")
+        .agg(F.sum("count").alias("count"), F.sum("gradient").alias("gradient"))
+        .toArrow()  # at most one row per feature number, view and target
     )
+    slot, at, count, gradient = (found[c].to_numpy() for c in ("slot", "feature", "count", "gradient"))
+    out = {}
+    for t, target in enumerate(TARGETS):
+        for v in (0, 1):
+            mine, whole = (slot == 2 * t + v) & (at >= 0), (slot == 2 * t + v) & (at < 0)
+            taught = Taught(np.zeros(DIMENSIONS[v]), np.zeros(DIMENSIONS[v]), float(count[whole].sum()), float(gradient[whole].sum()))
+            taught.count[at[mine]], taught.gradient[at[mine]] = count[mine], gradient[mine]
+            out[target, v] = taught
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    got = sample(docs, labels).toArrow().sort_by("doc_id")
+def train_on(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """A model from stored features and labels."""
+    got = labelled_sample(rows, labels, labelled)
     n = got.num_rows
-    statistics = np.array(got["statistics"].to_pylist(), float).reshape(n, STATISTICS)
+    ids = got["doc_id"].to_pylist()
     cuts = np.linspace(0, 1, BINS + 1)[1:-1]
-    edges = np.quantile(statistics, cuts, axis=0).T if n else np.zeros((STATISTICS, BINS - 1))
-    extra = binned(statistics, edges)
-    words_ = got["words"].combine_chunks()
-    flat = words_.flatten().to_numpy(zero_copy_only=False)
-    parts = np.split(flat, np.cumsum(words_.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if n else []
-    text = Rows.of([np.concatenate((w, e)) for w, e in zip(parts, extra, strict=True)])
-    meta = Rows.of([np.array(m, np.int32) for m in got["meta"].to_pylist()])
-    hold = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) % 5 == 0 for i in got["doc_id"].to_pylist()], bool)
-    views, prior = {}, {}
+    flat = got["statistics"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, STATISTICS)
+    model = Model(np.quantile(flat, cuts, axis=0).T if n else np.zeros((STATISTICS, BINS - 1)))
+    both = view_rows([got[c] for c in FEATURES], model.edges)
+    hold = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) % 5 == 0 for i in ids], bool)
+    fit, check = np.flatnonzero(~hold), np.flatnonzero(hold)
+    own, held = [r.take(fit) for r in both], [r.take(check) for r in both]
+    goal = {t: got[t].to_numpy().astype(float) for t in TARGETS}
+    del got, both
+    for target, y in goal.items():
+        share = (y.sum() + 1) / (n + 2)
+        model.prior[target] = float(np.log(share / (1 - share)))
+
+    def fitted(target: str, v: int, taught: Taught | None) -> View:
+        start = model.views[target][v] if taught is not None else None
+        view = fit_view(own[v], goal[target][fit], DIMENSIONS[v], v == 0, start, taught)
+        calibrate(view, held[v], goal[target][check])
+        return view
+
     for target in TARGETS:
-        one, two, prior[target] = co_train(text, meta, np.array(got[target].to_pylist(), np.int64), hold)
-        views[target] = one, two
-    return Model(edges, views, prior)
+        model.views[target] = fitted(target, 0, None), fitted(target, 1, None)
+    for _ in range(rounds if n else 0):
+        taught = taught_sums(rows, model, frozenset(ids))
+        if not any(x.documents for x in taught.values()):
+            break
+        for target in TARGETS:
+            model.views[target] = fitted(target, 0, taught[target, 0]), fitted(target, 1, taught[target, 1])
+    return model
 
 
-def _batch_scores(batch: pa.RecordBatch, known: WordFeatures, model: Model) -> dict[str, np.ndarray]:
-    parts: dict[str, list[np.ndarray]] = {f"{t}_{v}": [np.empty(0)] for t in TARGETS for v in ("text", "meta", "both")}
-    for at in range(0, batch.num_rows, AT_ONCE):
-        ids, statistics, meta = _features(batch.slice(at, AT_ONCE), known)
-        text = Rows.of([np.concatenate((w, e)) for w, e in zip(ids, binned(statistics, model.edges), strict=True)])
-        rows = Rows.of([np.array(m, np.int32) for m in meta])
-        for target in TARGETS:
-            for name, values in zip(("text", "meta", "both"), model.scores(target, text, rows), strict=True):
-                parts[f"{target}_{name}"].append(values)
-    out = {name: np.concatenate(values) for name, values in parts.items()}
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Labels: doc_id, quality and toxic (0 or 1)."""
+    rows = stored(features(docs), "features")
+    model = train_on(rows, labels, labelled, rounds)
+    discard(rows)
+    return model
+
+
+NAMES = [f"{t}_{v}" for t in TARGETS for v in (*VIEWS, "both")]
+
+
+def _batch_scores(columns: list[pa.Array], model: Model) -> dict[str, np.ndarray]:
+    text, meta = view_rows(columns, model.edges)
+    out: dict[str, np.ndarray] = {}
+    for target in TARGETS:
+        for name, values in zip((*VIEWS, "both"), model.scores(target, text, meta), strict=True):
+            out[f"{target}_{name}"] = values
     out["keep"] = (out["quality_both"] >= 0.5) & (out["toxic_both"] <= 0.5)
     return out
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per input row: doc_id, keep, and probabilities of good quality and of toxicity by each view and both."""
-    rows = docs.select(*COLUMNS)
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample's features
-    names = [f"{t}_{v}" for t in TARGETS for v in ("text", "meta", "both")]
+def score_features(rows: DataFrame, model: Model) -> DataFrame:
+    """One row per row of features: doc_id, keep, and probabilities of good quality and of toxicity by each view and both."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the spaces
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordFeatures()
         for batch in batches:
-            found = _batch_scores(batch, known, shared.value)
-            arrays = [batch.column("doc_id"), pa.array(found["keep"]), *(pa.array(found[n]) for n in names)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "keep", *names])
+            found = _batch_scores([batch.column(c) for c in FEATURES], shared.value)
+            arrays = [batch.column("doc_id"), pa.array(found["keep"]), *(pa.array(found[n]) for n in NAMES)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "keep", *NAMES])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, keep boolean, " + ", ".join(f"{n} double" for n in names))
+    return rows.mapInArrow(work, f"doc_id {kind}, keep boolean, " + ", ".join(f"{n} double" for n in NAMES))
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    return score_features(features(docs), model)
 
 
 def keep_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -371,12 +453,12 @@ def keep_documents(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures()
         for batch in batches:
-            yield batch.filter(pa.array(_batch_scores(batch, known, shared.value)["keep"]))
+            yield batch.filter(pa.array(_batch_scores(_feature_columns(batch, known), shared.value)["keep"]))
 
     return docs.mapInArrow(work, docs.schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents, by a model trained on the labelled ones."""
-    docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    """Scores of all documents, by a model trained on the labelled ones and on all others."""
+    rows = stored(features(table(spark, sf_dir, "documents")), "features")
+    return score_features(rows, train_on(rows, table(spark, sf_dir, "labels")))

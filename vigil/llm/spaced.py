@@ -137,10 +137,13 @@ def hit_regions(docs: DataFrame, filter_bytes: np.ndarray, reach: int, short_ite
     masks = masks_of(short_items)
 
     def passing(x: np.ndarray) -> np.ndarray:
-        bits, ok = shared.value, np.arange(len(x))
+        bits, ok = shared.value, None
         for k in range(SLOTS):
-            at = _slot(x[ok], k, 8 * len(bits))
-            ok = ok[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1) == 1]
+            at = _slot(x if ok is None else x[ok], k, 8 * len(bits))
+            hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            ok = hit if ok is None else ok[hit]
+            if not len(ok):
+                break
         return ok
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
