@@ -190,15 +190,13 @@ def plain_taught(docs, model, ids):
         value = min(1, cotraining.FULL_VALUE / max(1, len(words_))) ** 0.5
         sets = [[*((f, value) for f in words_.tolist()), *((f, 1.0) for f in bins)], [(f, 1.0) for f in meta]]
         for target in cotraining.TARGETS:
-            raw = [sum(v.weights[f] * x for f, x in s) + v.bias for v, s in zip(model.views[target], sets)]
-            p = [1 / (1 + np.exp(-(v.slope * x + v.shift))) for v, x in zip(model.views[target], raw)]
+            p = [1 / (1 + np.exp(-(sum(v.weights[f] * x for f, x in s) + v.bias))) for v, s in zip(model.views[target], sets)]
             for k in (0, 1):
                 if max(p[1 - k], 1 - p[1 - k]) >= cotraining.CONFIDENT:
-                    error = 1 / (1 + np.exp(-raw[k])) - (p[1 - k] > 0.5)
-                    sums = out.setdefault((target, k), collections.defaultdict(lambda: np.zeros(2)))
-                    sums["all"] += (1, error)
+                    sums = out.setdefault((target, k, int(p[1 - k] > 0.5)), collections.Counter())
+                    sums["all"] += 1
                     for f, x in sets[k]:
-                        sums[f] += (x, error * x)
+                        sums[f] += x
     return out
 
 
@@ -212,13 +210,13 @@ def test_taught_sums_equal_a_plain_version(spark):
     want = plain_taught([x.asDict() for x in docs.collect()], model, ids)
     some = False
     for key, taught in got.items():
-        sums = want.get(key, {})
-        assert taught.documents == (sums["all"][0] if sums else 0)
-        some |= taught.documents > 0
-        for f, (count, gradient) in sums.items():
-            if f != "all":
-                assert (taught.count[f], taught.gradient[f]) == pytest.approx((count, gradient), abs=1e-5)
-        assert np.count_nonzero(taught.count) == max(0, len(sums) - 1)
+        for answer in (0, 1):
+            sums = dict(want.get((*key, answer), {}))
+            assert taught.documents[answer] == sums.pop("all", 0)
+            some |= len(sums) > 0
+            assert np.count_nonzero(taught.values[answer]) == len(sums)
+            for f, x in sums.items():
+                assert taught.values[answer][f] == pytest.approx(x, abs=1e-5)
     assert some
 
 

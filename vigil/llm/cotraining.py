@@ -1,16 +1,15 @@
 """Operator 2, quality classifier: co-training of a text view and a metadata view.
 
-Two targets are learned, good quality and toxic. For each, one logistic regression sees the text (words
-that tell the classes apart, and binned statistics of characters, words and lines) and one sees the
-metadata (language, source, length). Both are fitted on a bounded sample of labelled documents. In each
-round both score all other documents, in a Spark job: where one view is confident, its answer is a
-pseudo-label for the other view. Tasks add up, per feature, how many such documents have it and the
-gradient of the other view's loss, so that only sums for a fixed number of features reach the driver,
-however many documents teach. The other view is then fitted again to the labelled sample and to a
-quadratic approximation of the loss on its pseudo-labels, at half weight. Its curvature is the greatest
-that a logistic loss has (Böhning and Lindsay, 1988), for the mean number of features of a document. After the last round each view is calibrated by Platt scaling on labelled documents that were
-held back from training, and the calibrated views are combined by adding their log-odds over the prior.
-All documents are scored.
+Two targets are learned, good quality and toxic. For each, one classifier sees the text (words that tell
+the classes apart, and binned statistics of characters, words and lines) and one sees the metadata
+(language, source, length). Both start as logistic regressions on a bounded sample of labelled
+documents. In each round both score all other documents, in a Spark job: where one view is confident, its
+answer is a pseudo-label for the other view. Tasks add up how often each feature occurs in
+pseudo-labelled documents of either class, so that only sums for a fixed number of features reach the
+driver, however many documents teach. Their log-odds are the view's second part (naive Bayes), and a
+logistic regression on labelled documents that were held back weighs the two parts and calibrates the view.
+At the end the calibrated views are combined by adding their log-odds over the prior, and all documents
+are scored.
 
 Bounds: ``labelled`` documents at most are used as labelled, those with the smallest hashes of their
 ids; a fifth of them calibrates. Their features are the only rows that reach the driver. Features are
@@ -43,8 +42,6 @@ LABELLED = 12_000
 ROUNDS = 3
 #: Answers at least this sure teach the other view.
 CONFIDENT = 0.97
-#: Weight of pseudo-labels against labels.
-TAUGHT_WEIGHT = 0.5
 #: Numbers that words and metadata are hashed to; the statistics' numbers come after the words.
 TEXT_SPACE, META_SPACE = 1 << 18, 1 << 16
 #: A text's words count fully up to this many; the more there are, the less each one counts.
@@ -202,79 +199,61 @@ def view_rows(columns, edges: np.ndarray) -> tuple[Rows, Rows]:
 
 @dataclass
 class View:
-    """Logistic regression over sets of features, with calibration."""
+    """Log-odds of a class: a weighted sum over features."""
 
     weights: np.ndarray
     bias: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
-
-    def raw(self, rows: Rows) -> np.ndarray:
-        return rows.sums(self.weights) + self.bias
 
     def logit(self, rows: Rows) -> np.ndarray:
-        return self.slope * self.raw(rows) + self.shift
+        return rows.sums(self.weights) + self.bias
 
 
 @dataclass
 class Taught:
-    """Sums over the pseudo-labelled documents: per feature its values and gradient, their number, and the bias's gradient."""
+    """Sums over pseudo-labelled documents, for answers no and yes: values of each feature, and documents."""
+
+    values: np.ndarray
+    documents: np.ndarray
 
-    count: np.ndarray
-    gradient: np.ndarray
-    documents: float = 0.0
-    total: float = 0.0
+    @staticmethod
+    def none(size: int) -> Taught:
+        return Taught(np.zeros((2, size)), np.zeros(2))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(a: np.ndarray, b: np.ndarray, positive: float, total: float) -> np.ndarray:
-    """Features seen twice or more whose log-odds between the classes are far from 0; a, b: documents with them."""
-    odds = np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (total - positive + 1))
-    return (a + b >= 2) & (np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= TELLING)
+def log_odds(a: np.ndarray, b: np.ndarray, positive: float, negative: float) -> np.ndarray:
+    """Of each feature between the classes, where it occurs twice or more and it is far from 0; otherwise 0."""
+    odds = np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (negative + 1))
+    far = (a + b >= 2) & (np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= TELLING)
+    return np.where(far, odds, 0.0)
 
 
-def fit_view(
-    rows: Rows, y: np.ndarray, size: int, select: bool, start: View | None = None, taught: Taught | None = None,
-    steps: int = 150, penalty: float = 2e-4,
-) -> View:
-    """Fit to labels and to the approximate loss on pseudo-labels around the view ``start``."""
+def fit_view(rows: Rows, y: np.ndarray, size: int, select: bool, steps: int = 150, penalty: float = 2e-4) -> View:
+    """Logistic regression; with ``select`` on telling words and all statistics only."""
     positive, total = float(y.sum()), float(len(y))
     share = (positive + 1) / (total + 2)
     view = View(np.zeros(size), float(np.log(share / (1 - share))))
     if total == 0 or positive == 0 or positive == total:
         return view
     a, b = rows.totals(y, size, by_value=False), rows.totals(1 - y, size, by_value=False)
-    use = telling(a, b, positive, total) if select else a + b > 0
-    use[TEXT_SPACE:] |= (a + b > 0)[TEXT_SPACE:]  # the statistics
-    pulled = taught is not None and taught.documents > 0
-    if pulled:
-        # the gradient's surplus over the mean one, against what chance would make of it
-        mean = taught.total / taught.documents
-        surplus = np.abs(taught.gradient - mean * taught.count) / np.sqrt(0.25 * taught.count + 1e-9)
-        use |= (taught.count >= 2) & ((surplus >= TELLING) if select else True)
+    use = a + b > 0
+    if select:
+        use[:TEXT_SPACE] = log_odds(a, b, positive, total - positive)[:TEXT_SPACE] != 0
     used = np.flatnonzero(use)
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
     at = place[rows.features]
     col, row, value = at[at >= 0], rows.owner[at >= 0], rows.value[at >= 0]
     del at
-    w = np.append(start.weights[used], start.bias) if start is not None else np.append(np.zeros(len(used)), view.bias)
-    if pulled:
-        n = taught.documents
-        origin = w.copy()
-        slope = TAUGHT_WEIGHT * np.append(taught.gradient[used], taught.total) / n
-        per_document = 1 + taught.count[used].sum() / n
-        curve = TAUGHT_WEIGHT * np.append(taught.count[used], n) / n * per_document / 4
+    w = np.append(np.zeros(len(used)), view.bias)
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         score = np.bincount(row, weights=w[col] * value, minlength=len(y)) + w[-1]
         error = (_sigmoid(score) - y) / total
         g = np.append(np.bincount(col, weights=error[row] * value, minlength=len(used)) + penalty * w[:-1], error.sum())
-        if pulled:
-            g += slope + curve * (w - origin)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         rate = 0.15 * min(1.0, 2 * (steps - step + 1) / steps)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -282,21 +261,35 @@ def fit_view(
     return view
 
 
-def calibrate(view: View, rows: Rows, y: np.ndarray) -> None:
-    """Platt scaling; a view that says nothing gets slope 0 and the prior."""
+def calibrated(parts: list[View], rows: Rows, y: np.ndarray) -> View:
+    """The sum of the parts with weights from a logistic regression on held-back labels, as in Platt scaling.
+
+    A part that would get a weight below 0 is left out; with too few labels the first part stays as it is.
+    """
     if len(y) < 10 or y.min() == y.max():
-        return
-    x, slope, shift = view.raw(rows), 1.0, 0.0
-    hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
-    goal = np.where(y > 0, hi, lo)
-    for _ in range(60):
-        p = _sigmoid(slope * x + shift)
-        g = np.array([((p - goal) * x).sum() + 1e-3 * slope, (p - goal).sum()])
-        r = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(r * x * x).sum() + 1e-3, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        slope, shift = slope - float(np.clip(step[0], -1, 1)), shift - float(np.clip(step[1], -5, 5))
-    view.slope, view.shift = max(0.0, slope), shift
+        return parts[0]
+    x = np.stack([*(p.logit(rows) for p in parts), np.ones(len(y))], axis=1)
+    goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    # parts are brought to unit size, and pulled a little towards 0
+    size = np.maximum(x.std(axis=0), 1e-6)
+    size[-1] = 1.0
+    x /= size
+    ridge = np.append(np.full(len(parts), 0.1), 1e-6)
+    use = np.ones(len(parts) + 1, bool)
+    while True:
+        w = np.zeros(len(parts) + 1)
+        for _ in range(80):
+            p = _sigmoid(x @ w)
+            g = (x.T @ (p - goal) + ridge * w)[use]
+            h = (x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(ridge)
+            w[use] -= np.clip(np.linalg.solve(h[use][:, use], g), -1, 1)
+        wrong = np.flatnonzero(w[:-1] < 0)
+        if not len(wrong):
+            break
+        use[wrong] = False
+    w /= size
+    weights = sum(k * p.weights for k, p in zip(w, parts, strict=False))
+    return View(weights, float(w[-1] + sum(k * p.bias for k, p in zip(w, parts, strict=False))))
 
 
 @dataclass
@@ -329,7 +322,7 @@ def taught_sums(rows: DataFrame, model: Model, sample_ids: frozenset) -> dict[tu
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ids = shared.value
-        sums = {(t, v): Taught(np.zeros(DIMENSIONS[v]), np.zeros(DIMENSIONS[v])) for t in range(len(TARGETS)) for v in (0, 1)}
+        sums = {(t, v): Taught.none(DIMENSIONS[v]) for t in range(len(TARGETS)) for v in (0, 1)}
         for batch in batches:
             both = view_rows([batch.column(c) for c in FEATURES], known.edges)
             free = np.array([i is None or i not in ids for i in batch.column("doc_id").to_pylist()], bool)
@@ -337,37 +330,36 @@ def taught_sums(rows: DataFrame, model: Model, sample_ids: frozenset) -> dict[tu
                 views = known.views[target]
                 for v in (0, 1):
                     teacher = _sigmoid(views[1 - v].logit(both[1 - v]))
-                    sure = np.flatnonzero(free & (np.maximum(teacher, 1 - teacher) >= CONFIDENT))
-                    if not len(sure):
-                        continue
-                    taught, own = sums[t, v], both[v].take(sure)
-                    error = _sigmoid(views[v].raw(own)) - (teacher[sure] > 0.5)
-                    taught.count += own.totals(np.ones(len(sure)), DIMENSIONS[v])
-                    taught.gradient += own.totals(error, DIMENSIONS[v])
-                    taught.documents += len(sure)
-                    taught.total += float(error.sum())
+                    for answer, sure in enumerate((teacher <= 1 - CONFIDENT, teacher >= CONFIDENT)):
+                        some = np.flatnonzero(free & sure)
+                        if len(some):
+                            own = both[v].take(some)
+                            sums[t, v].values[answer] += own.totals(np.ones(len(some)), DIMENSIONS[v])
+                            sums[t, v].documents[answer] += len(some)
         for (t, v), taught in sums.items():
-            at = np.flatnonzero(taught.count)
-            columns = np.append(at, -1), np.append(taught.count[at], taught.documents), np.append(taught.gradient[at], taught.total)
+            at = np.flatnonzero(taught.values.any(axis=0))
             slot = np.full(len(at) + 1, 2 * t + v, np.int32)
+            numbers = [np.append(taught.values[k][at], taught.documents[k]) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(columns[0].astype(np.int32)), pa.array(columns[1]), pa.array(columns[2])],
-                names=["slot", "feature", "count", "gradient"],
+                [pa.array(slot), pa.array(np.append(at, -1).astype(np.int32)), *map(pa.array, numbers)],
+                names=["slot", "feature", "no", "yes"],
             )
 
     found = (
-        rows.mapInArrow(work, "slot int, feature int, count double, gradient double")
+        rows.mapInArrow(work, "slot int, feature int, no double, yes double")
         .groupBy("slot", "feature")
-        .agg(F.sum("count").alias("count"), F.sum("gradient").alias("gradient"))
+        .agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
         .toArrow()  # at most one row per feature number, view and target
     )
-    slot, at, count, gradient = (found[c].to_numpy() for c in ("slot", "feature", "count", "gradient"))
+    slot, at = found["slot"].to_numpy(), found["feature"].to_numpy()
+    both = np.stack([found["no"].to_numpy(), found["yes"].to_numpy()])
     out = {}
     for t, target in enumerate(TARGETS):
         for v in (0, 1):
             mine, whole = (slot == 2 * t + v) & (at >= 0), (slot == 2 * t + v) & (at < 0)
-            taught = Taught(np.zeros(DIMENSIONS[v]), np.zeros(DIMENSIONS[v]), float(count[whole].sum()), float(gradient[whole].sum()))
-            taught.count[at[mine]], taught.gradient[at[mine]] = count[mine], gradient[mine]
+            taught = Taught.none(DIMENSIONS[v])
+            taught.values[:, at[mine]] = both[:, mine]
+            taught.documents = both[:, whole].sum(axis=1)
             out[target, v] = taught
     return out
 
@@ -390,20 +382,22 @@ def train_on(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, round
         share = (y.sum() + 1) / (n + 2)
         model.prior[target] = float(np.log(share / (1 - share)))
 
-    def fitted(target: str, v: int, taught: Taught | None) -> View:
-        start = model.views[target][v] if taught is not None else None
-        view = fit_view(own[v], goal[target][fit], DIMENSIONS[v], v == 0, start, taught)
-        calibrate(view, held[v], goal[target][check])
-        return view
+    own = {(t, v): fit_view(own[v], y[fit], DIMENSIONS[v], v == 0) for t, y in goal.items() for v in (0, 1)}
+
+    def answer(target: str, v: int, taught: Taught | None = None) -> View:
+        parts = [own[target, v]]
+        if taught is not None and taught.documents.all():
+            parts.append(View(log_odds(taught.values[1], taught.values[0], taught.documents[1], taught.documents[0])))
+        return calibrated(parts, held[v], goal[target][check])
 
     for target in TARGETS:
-        model.views[target] = fitted(target, 0, None), fitted(target, 1, None)
+        model.views[target] = answer(target, 0), answer(target, 1)
     for _ in range(rounds if n else 0):
         taught = taught_sums(rows, model, frozenset(ids))
-        if not any(x.documents for x in taught.values()):
+        if not any(x.documents.all() for x in taught.values()):
             break
         for target in TARGETS:
-            model.views[target] = fitted(target, 0, taught[target, 0]), fitted(target, 1, taught[target, 1])
+            model.views[target] = answer(target, 0, taught[target, 0]), answer(target, 1, taught[target, 1])
     return model
 
 
