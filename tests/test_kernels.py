@@ -161,6 +161,95 @@ def test_rows_behind_the_last_window_get_a_score(spark):
     assert set(D.scores(p.where("idx < 200"), D.DETECTORS["global"]).toPandas()["value"]) == {0.0}
 
 
+def plain_scores(values, detector):
+    """Scores of one series, window by window with loops."""
+    side, width, step = detector.side, detector.window, detector.step
+    x = np.arange(len(values))
+    slope, base = np.polyfit(x, values, 1)
+    v = values - (base + slope * x)
+    v = (v - v.min()) / (v.max() - v.min())
+    n = (len(v) - width) // step + 1
+    scales = []
+    for w in range(n):
+        patches = detector.encoder(v[w * step : w * step + width], side).reshape(side, side, -1)
+        scales.append([[patches[r : r + g, c : c + g].mean(axis=(0, 1)) for r in range(side - g + 1) for c in range(side - g + 1)] for g in (1, 2, 3)])
+    total, count = np.zeros((n - 1) * step + width), np.zeros((n - 1) * step + width)
+    for w in range(n):
+        others = [u for u in range(n) if u != w and abs(u - w) <= detector.k]
+        if detector.reference == "others" or len(others) < detector.min_ref:
+            others = [u for u in range(n) if u != w]
+        if detector.reference == "global":
+            others = range(n)
+        grid = np.zeros((3, side, side))
+        for s, g in enumerate((1, 2, 3)):
+            ref = np.sort([scales[u][s] for u in others], axis=0)[(len(others) - 1) // 2]
+            score = [min((1 - t @ r / np.sqrt((t @ t) * (r @ r))) / 2 for r in ref) for t in np.array(scales[w][s])]
+            for r in range(side):
+                for c in range(side):
+                    cell = r * side + c + (detector.shift if g > 1 else 0)
+                    held = [score[a * (side - g + 1) + b] for a in range(side - g + 1) for b in range(side - g + 1) if 0 <= cell // side - a < g and 0 <= cell % side - b < g and cell < side * side]
+                    grid[s, r, c] = len(held) / sum(1 / max(h, 1e-300) for h in held) if held else np.nan
+        cells = np.nan_to_num(grid.sum(axis=0) / 3)
+        at = np.clip((np.arange(width) + 0.5) * side / width - 0.5, 0, side - 1)
+        wide = np.array([np.interp(at, np.arange(side), row) for row in cells])
+        tall = np.array([np.interp(at, np.arange(side), col) for col in wide.T])  # a row per column of the window
+        top = int(np.ceil(width * detector.share))
+        total[w * step : w * step + width] += np.sort(tall, axis=1)[:, -top:].mean(axis=1)
+        count[w * step : w * step + width] += 1
+    return total / count
+
+
+@pytest.mark.parametrize("change", [{}, {"reference": "others"}, {"reference": "local", "k": 3}, {"reference": "local", "k": 6, "shift": 0}])
+def test_detector_equals_a_plain_version(spark, monkeypatch, change):
+    monkeypatch.setattr(D, "BLOCK", 4)
+    detector = D.Detector(window=24, side=4, **change)
+    values = np.cumsum(np.random.default_rng(3).normal(size=150))
+    want = plain_scores(values, detector)
+    p = points(spark, values).withColumn("ts", F.col("idx").cast("timestamp"))
+    got = D.scores(p, detector).toPandas().sort_values("idx")["value"].to_numpy()
+    assert got[: len(want)] == pytest.approx(want, abs=1e-9)
+
+
+def test_zoom_refines_candidates_only(spark):
+    rng = np.random.default_rng(8)
+    values = np.sin(np.arange(2400) / 9) + rng.normal(size=2400) * 0.02
+    values[1500:1540] += 1.5
+    p = points(spark, values).withColumn("ts", F.col("idx").cast("timestamp"))
+    zoom = D.DETECTORS["zoom_sigma"]
+    got = D.scores(p, zoom).toPandas().sort_values("idx")["value"].to_numpy()
+    ready = D.standardised(p)
+    coarse = D.per_length(ready, zoom.coarse).toPandas().sort_values("idx")["score"].to_numpy()
+    scaled = (coarse - coarse.min()) / (coarse.max() - coarse.min() + 1e-8)
+    assert (got >= scaled - 1e-9).all()
+    changed = np.flatnonzero(got > scaled + 1e-6)
+    assert len(changed) and len(changed) < 1200
+    found = D.detect(p, zoom).collect()
+    assert any(r["start"] <= 1540 and r["end"] >= 1500 for r in found)
+
+
+def test_adaptive_detectors_choose_per_series(spark):
+    rng = np.random.default_rng(4)
+    calm = np.sin(np.arange(1500) * 2 * np.pi / 56) + rng.normal(size=1500) * 0.01
+    wild = np.concatenate((rng.normal(size=750) * 0.1, rng.normal(size=750) * 5))
+    both = points(spark, calm, "calm").unionAll(points(spark, wild, "wild")).withColumn("ts", F.col("idx").cast("timestamp"))
+    sizes = {r["series_id"]: r["window"] for r in N.window_sizes(D.standardised(both)).collect()}
+    assert sizes == {"calm": 56, "wild": N.spectrum_window(wild)}
+    for name, choose in (("adaptive_window", lambda s: D.Detector(reference="local", window=sizes[s])), ("adaptive_variation", lambda s: D.Detector(reference="early" if s == "calm" else "local"))):
+        got = D.scores(both, D.DETECTORS[name]).toPandas().set_index(["series_id", "idx"])["value"]
+        for s in ("calm", "wild"):
+            alone = D.scores(both.where(F.col("series_id") == s), choose(s)).toPandas().set_index(["series_id", "idx"])["value"]
+            assert np.allclose(got.loc[[s]].sort_index(), alone.sort_index())
+
+
+def test_exponential_means_across_slices(spark, monkeypatch):
+    monkeypatch.setattr(N, "SLICE", 7)
+    values = np.random.default_rng(1).normal(size=60)
+    want = pd.Series(values)
+    assert smooth(N.ewm_alpha(points(spark, values), 0.3)) == pytest.approx(want.ewm(alpha=0.3, adjust=False).mean().tolist())
+    assert smooth(N.ewm_span(points(spark, values), 0.2)) == pytest.approx(want.ewm(span=12).mean().tolist())
+    assert smooth(N.ewm_span(points(spark, values))) == pytest.approx(values.tolist())
+
+
 def test_sliding_windows_reach_the_end(spark):
     values = [0.0] * 1000
     values[960] = 9.0  # whole windows end at row 932

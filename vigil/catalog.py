@@ -6,6 +6,7 @@ rounded on both sides, since engines add in different orders.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -824,29 +825,98 @@ def custom_order(spark, sf):
 # --- detectors
 
 
-@query("detect_global")
-def detect_global(spark, sf):
-    return D.detect(event_points(spark, sf), D.DETECTORS["global"], ALPHAS)
-
-
-@query("detect_local")
-def detect_local(spark, sf):
-    return D.detect(event_points(spark, sf), D.DETECTORS["local"], ALPHAS)
-
-
-@query("detect_early")
-def detect_early(spark, sf):
-    return D.detect(event_points(spark, sf), D.DETECTORS["early"], ALPHAS)
-
-
-@query("detect_dual_anchor")
-def detect_dual_anchor(spark, sf):
-    return D.detect(event_points(spark, sf), D.DETECTORS["dual_anchor"], ALPHAS)
+def detector_sql(detector: D.Detector) -> str:
+    """The whole chain of a detector with the default encoder, from points to intervals."""
+    side, width, step = detector.side, detector.window, detector.step
+    each, cells = width // side, side * side
+    top = math.ceil(width * detector.share)
+    local = detector.reference in ("local", "others")
+    keys = "series_id, w, sc, tok" if local else "series_id, sc, tok"
+    if detector.reference == "local":
+        near = f"abs(a.w - b.w) <= {detector.k} AND a.w <> b.w"
+    else:
+        near = "a.w <> b.w"
+    early = f"WHERE w < least(greatest({detector.min_ref}, floor({detector.early} * l)), l - 1)" if detector.reference == "early" else ""
+    members = " UNION ALL ".join(
+        f"SELECT {g} AS sc, g AS tok, (g // {side - g + 1} + k // {g}) * {side} + g % {side - g + 1} + k % {g} AS cell "
+        f"FROM range({(side - g + 1) ** 2}) t1(g) CROSS JOIN range({g * g}) t2(k)"
+        for g in (2, 3)
+    )
+    if local:
+        reference = f"""rd AS (SELECT a.series_id, a.w, a.sc, a.tok, a.d, quantile_disc(b.v, 0.5) AS v FROM tf a JOIN tf b
+   ON a.series_id = b.series_id AND a.sc = b.sc AND a.tok = b.tok AND a.d = b.d AND {near} GROUP BY ALL)"""
+    else:
+        reference = f"rd AS (SELECT series_id, sc, tok, d, quantile_disc(v, 0.5) AS v FROM tf JOIN wl USING (series_id) {early} GROUP BY ALL)"
+    with_window = "AND r.w = t.w" if local else ""
+    parts = f"""WITH {POINTS},
+  ln AS (SELECT series_id, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a FROM p GROUP BY series_id),
+  rs AS (SELECT p.series_id, idx, ts, value - (a + b * idx) AS v FROM p JOIN ln USING (series_id)),
+  mm AS (SELECT series_id, min(v) AS lo, max(v) AS hi FROM rs GROUP BY series_id),
+  z AS (SELECT series_id, idx, ts, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END AS v, t FROM rs JOIN mm USING (series_id) JOIN n USING (series_id)),
+  wl AS (SELECT series_id, t, (t - {width}) // {step} + 1 AS l FROM n WHERE t >= {width}),
+  wi AS (SELECT series_id, unnest(generate_series(0, l - 1)) AS w FROM wl),
+  co AS (SELECT z.series_id, w, (idx - w * {step}) // {each} AS c, min(v) AS lo, max(v) AS hi, avg(v) AS m, arg_max(v, idx) - arg_min(v, idx) AS ch
+   FROM wi JOIN z ON z.series_id = wi.series_id AND idx >= w * {step} AND idx < w * {step} + {width} GROUP BY ALL),
+  pt AS (SELECT series_id, w, r * {side} + c AS tok,
+    [1.0::DOUBLE, greatest(0, least(hi, r / {side}.0::DOUBLE + 1 / {side}.0::DOUBLE) - greatest(lo, r / {side}.0::DOUBLE)) * {side},
+     1 / (1 + power((m - r / {side}.0::DOUBLE) * {side} - 0.5, 2)), ch] AS x FROM co CROSS JOIN range({side}) t0(r)),
+  mb AS ({members}),
+  pf AS (SELECT series_id, w, tok, d, x[d] AS v FROM pt CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS d)),
+  tf AS (SELECT series_id, w, 1 AS sc, tok, d, v FROM pf UNION ALL
+    SELECT series_id, w, mb.sc, mb.tok, d, avg(v) FROM pf JOIN mb ON mb.cell = pf.tok GROUP BY series_id, w, mb.sc, mb.tok, d),
+  tl AS (SELECT series_id, w, sc, tok, list(v ORDER BY d) AS x FROM tf GROUP BY ALL),
+  {reference},
+  rl AS (SELECT {keys}, list(v ORDER BY d) AS y FROM rd GROUP BY ALL),
+  ds AS (SELECT t.series_id, t.w, t.sc, t.tok, (1 - max(list_cosine_similarity(x, y))) / 2 AS s FROM tl t JOIN rl r ON r.series_id = t.series_id AND r.sc = t.sc {with_window} GROUP BY ALL),
+  hm AS (SELECT series_id, w, tok AS cell, s FROM ds WHERE sc = 1 UNION ALL
+    SELECT series_id, w, cell - {detector.shift}, CASE WHEN min(s) <= 0 THEN 0 ELSE count(*) / sum(1 / CASE WHEN s > 0 THEN s ELSE 1 END) END FROM ds JOIN mb USING (sc, tok) GROUP BY series_id, w, sc, cell),
+  gd AS (SELECT series_id, w, cell // {side} AS r, cell % {side} AS c, CASE WHEN count(*) = 3 THEN sum(s) / 3 ELSE 0 END AS s FROM hm WHERE cell BETWEEN 0 AND {cells - 1} GROUP BY ALL),
+  ip AS (SELECT x, a, least(a + 1, {side - 1}) AS b, u - a AS f FROM (SELECT x, u, CAST(floor(u) AS BIGINT) AS a FROM (SELECT x, greatest(0, least({side - 1}, (x + 0.5) * {side} / {width}.0::DOUBLE - 0.5)) AS u FROM range({width}) t3(x)))),
+  ux AS (SELECT g.series_id, g.w, g.r, x, g.s * (1 - f) + h.s * f AS s FROM ip JOIN gd g ON g.c = a JOIN gd h ON h.c = b AND h.series_id = g.series_id AND h.w = g.w AND h.r = g.r),
+  uy AS (SELECT g.series_id, g.w, g.x, g.s * (1 - f) + h.s * f AS s FROM ip JOIN ux g ON g.r = a JOIN ux h ON h.r = b AND h.series_id = g.series_id AND h.w = g.w AND h.x = g.x),
+  cs AS (SELECT series_id, w, x, list_avg(list_sort(list(s), 'DESC')[1:{top}]) AS s FROM uy GROUP BY ALL),
+  st AS (SELECT series_id, w * {step} + x AS idx, avg(s) AS score FROM cs GROUP BY ALL)"""
+    if detector.mix < 1:
+        dims = "4" if detector.pooled == "mean" else "8"
+        if detector.pooled == "mean":
+            vectors = "pv AS (SELECT series_id, w, d, avg(v) AS v FROM pf GROUP BY ALL)"
+        else:
+            vectors = """pa AS (SELECT series_id, w, d, avg(v) AS m, sqrt(avg(v * v)) AS q FROM pf GROUP BY ALL),
+  pn AS (SELECT series_id, w, sqrt(sum(m * m)) AS nm, sqrt(sum(q * q)) AS nq FROM pa GROUP BY ALL),
+  pv AS (SELECT series_id, w, d, m / nm AS v FROM pa JOIN pn USING (series_id, w) UNION ALL SELECT series_id, w, d + 4, q / nq FROM pa JOIN pn USING (series_id, w))"""
+        parts += f""", {vectors},
+  pm AS (SELECT series_id, d, quantile_disc(v, 0.5) AS y FROM pv GROUP BY ALL),
+  ps AS (SELECT series_id, w, 1 - sum(v * y) / sqrt(sum(v * v) * sum(y * y)) AS s FROM pv JOIN pm USING (series_id, d) WHERE d <= {dims} GROUP BY ALL),
+  pu AS (SELECT series_id, w, (s - min(s) OVER q) / (max(s) OVER q - min(s) OVER q + 1e-8) AS s FROM ps WINDOW q AS (PARTITION BY series_id)),
+  pg AS (SELECT series_id, slice, max(s) AS s FROM (SELECT series_id, s, unnest(generate_series(w, w + {detector.ratio - 1})) AS slice FROM pu) GROUP BY ALL),
+  su AS (SELECT series_id, idx, (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q + 1e-8) AS score FROM st WINDOW q AS (PARTITION BY series_id)),
+  fs AS (SELECT su.series_id, idx, {detector.mix} * score + (1 - {detector.mix}::DOUBLE) * s AS score FROM su JOIN pg ON pg.series_id = su.series_id AND slice = idx // {step})"""
+    else:
+        parts += ", fs AS (SELECT * FROM st)"
+    return f"""{parts},
+  en AS (SELECT fs.series_id, t, l, arg_max(score, idx) AS e1, arg_min(score, idx) AS e0 FROM fs JOIN wl USING (series_id) WHERE idx >= (l - 1) * {step} + {width} - 2 GROUP BY ALL),
+  al AS (SELECT series_id, idx, score FROM fs UNION ALL
+    SELECT series_id, i, e1 + (e1 - e0) * (i - ((l - 1) * {step} + {width}) + 1) FROM (SELECT *, unnest(generate_series((l - 1) * {step} + {width}, t - 1)) AS i FROM en)),
+  sc AS (SELECT p.series_id, p.idx, p.ts, coalesce(score, 0) AS raw FROM p LEFT JOIN al ON al.series_id = p.series_id AND al.idx = p.idx),
+  sp AS (SELECT series_id, greatest(1, CAST(floor(0.01::DOUBLE * t) AS BIGINT)) AS s FROM n),
+  ew AS (SELECT a.series_id, a.idx, any_value(a.ts) AS ts, any_value(a.raw) AS raw, sum(power(1 - 2.0::DOUBLE / (s + 1), a.idx - b.idx) * b.raw) / sum(power(1 - 2.0::DOUBLE / (s + 1), a.idx - b.idx)) AS v
+    FROM sc a JOIN sp ON sp.series_id = a.series_id JOIN sc b ON b.series_id = a.series_id AND b.idx <= a.idx AND b.idx > a.idx - 20 * s - 20 GROUP BY a.series_id, a.idx),
+  cu AS (SELECT series_id, avg(v) AS m, stddev_pop(v) AS s FROM ew GROUP BY series_id),
+  fl AS (SELECT ew.series_id, alpha, idx, ts, raw, idx - row_number() OVER (PARTITION BY ew.series_id, alpha ORDER BY idx) AS g FROM ew JOIN cu USING (series_id)
+    CROSS JOIN (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in ALPHAS)}]) AS alpha, unnest([{', '.join(f'{upper_z(a)!r}::DOUBLE' for a in ALPHAS)}]) AS zz) WHERE v > m + zz * s)
+  SELECT series_id, alpha, min(idx) AS "start", max(idx) AS "end", count(*) AS n_points, round(avg(raw), 6) AS severity, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_ts
+  FROM fl GROUP BY series_id, alpha, g"""
+
+
+def _detection(spark, sf, name: str):
+    found = D.detect(event_points(spark, sf), D.DETECTORS[name], ALPHAS)
+    return found.select("series_id", "alpha", "start", "end", "n_points", _rounded("severity"), _time("start_ts"), _time("end_ts"))
 
 
-@query("detect_zoom")
-def detect_zoom(spark, sf):
-    return D.detect(event_points(spark, sf), D.DETECTORS["zoom"], ALPHAS)
+for _name, _detector in D.DETECTORS.items():
+    QUERIES[f"detect_{_name}"] = lambda spark, sf, name=_name: _detection(spark, sf, name)
+    if isinstance(_detector, D.Detector):
+        SQL[f"detect_{_name}"] = detector_sql(_detector)
 
 
 @query("window_sizes")

@@ -40,31 +40,72 @@ def detrended(points: DataFrame) -> DataFrame:
     return fit.withColumn("value", F.col("value") - line).drop("_slope", "_base")
 
 
-def _smooth(points: DataFrame, kernel) -> DataFrame:
-    """kernel(values of one series) -> values; a task holds one series."""
+#: Rows of a series that one task smooths together.
+SLICE = 8192
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        return pd.DataFrame(
-            {"series_id": part["series_id"], "idx": part["idx"], "value": part["value"], "smooth": kernel(part["value"])}
-        )
 
+def _smooth(points: DataFrame, keep_share: Column, adjusted: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """series_id, idx, value, smooth (and ``keep``): exponential means by slices of a series.
+
+    Each slice is smoothed as if nothing came before it; what its predecessors leave behind is a few numbers
+    a slice, and fades by a power of the row's distance from the start of the slice. ``keep_share``: how
+    much of the mean a row later is left of a value, from t, the length of the series.
+    """
+    lengths = points.groupBy("series_id").agg(F.count(F.lit(1)).alias("t"))
+    rows = points.join(lengths, "series_id").select(
+        "series_id", "idx", "value", *keep, keep_share.cast("double").alias("_q"), F.floor(F.col("idx") / SLICE).alias("_slice")
+    )
     kind = points.schema["series_id"].dataType.simpleString()
-    return (
-        points.select("series_id", "idx", "value")
-        .groupBy("series_id")
-        .applyInPandas(one, f"series_id {kind}, idx long, value double, smooth double")
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        """The slice's own sums: of its values (recursive: the first value of a series counts whole) and of weights."""
+        part = part.sort_values("idx", kind="stable")
+        q, x = float(part["_q"].iloc[0]), part["value"].to_numpy(float)
+        if adjusted:
+            w = np.ones(len(x))
+        else:
+            w = np.full(len(x), 1 - q)
+            w[part["idx"].to_numpy() == 0] = 1.0
+        total, weight = np.empty(len(x)), np.empty(len(x))
+        a = b = 0.0
+        for k in range(len(x)):
+            a, b = a * q + w[k] * x[k], b * q + w[k]
+            total[k], weight[k] = a, b
+        return part.assign(_total=total, _weight=weight)
+
+    extra = "".join(f", {c} {points.schema[c].dataType.simpleString()}" for c in keep)
+    shape = f"series_id {kind}, idx long, value double{extra}, _q double, _slice long, _total double, _weight double"
+    own = rows.groupBy("series_id", "_slice").applyInPandas(one, shape)
+    last = own.groupBy("series_id", "_slice").agg(
+        F.max_by("_total", "idx").alias("a"), F.max_by("_weight", "idx").alias("b"), F.count(F.lit(1)).alias("n"), F.max("_q").alias("q")
     )
 
+    def carried(part: pd.DataFrame) -> pd.DataFrame:
+        """What the slices before leave at the start of each slice."""
+        part = part.sort_values("_slice", kind="stable")
+        a = b = 0.0
+        out = []
+        for r in part.itertuples(index=False):
+            out.append((r.series_id, r[1], a, b))
+            fade = r.q**r.n
+            a, b = a * fade + r.a, b * fade + r.b
+        return pd.DataFrame(out, columns=["series_id", "_slice", "_a", "_b"])
+
+    before = last.groupBy("series_id").applyInPandas(carried, f"series_id {kind}, _slice long, _a double, _b double")
+    fade = F.pow("_q", F.col("idx") - F.col("_slice") * SLICE + 1)
+    top, bottom = F.col("_total") + F.col("_a") * fade, F.col("_weight") + F.col("_b") * fade
+    return own.join(before, ["series_id", "_slice"]).select("series_id", "idx", "value", *keep, (top / bottom).alias("smooth"))
+
 
 def ewm_alpha(points: DataFrame, alpha: float) -> DataFrame:
     """Recursive exponential mean; alpha of 1 or more leaves values alone."""
-    return _smooth(points, lambda v: v if alpha >= 1 else v.ewm(alpha=alpha, adjust=False).mean())
+    return _smooth(points, F.lit(max(0.0, 1 - alpha)), adjusted=False)
 
 
-def ewm_span(points: DataFrame, share: float = 0.01) -> DataFrame:
+def ewm_span(points: DataFrame, share: float = 0.01, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adjusted exponential mean over a span of that share of the series, 1 at least."""
-    return _smooth(points, lambda v: v.ewm(span=max(1, int(share * len(v))), adjust=True).mean())
+    span = F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("t")))
+    return _smooth(points, 1 - 2 / (span + 1), adjusted=True, keep=keep)
 
 
 def autocorrelation(points: DataFrame, lags: int) -> DataFrame:
@@ -119,16 +160,19 @@ def deseasonalised(points: DataFrame, period: int) -> DataFrame:
 
 
 def spectrum_window(values: np.ndarray, sizes=(56, 112, 224), default: int = 224, snr: float = 3.0, high: float = 0.4) -> int:
-    """Window size from the spectrum: nearest to a multiple of the dominant period, the smallest for noisy series."""
+    """Window size from the spectrum: the smallest for noisy series, the default without a clear period, else the
+    size that is nearest to a multiple of the period (the smallest of equals)."""
     x = np.asarray(values, float)
-    if len(x) < 8 or x.std() == 0:
+    if len(x) < min(sizes):
         return default
-    power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-    power[0] = 0
-    if power[int(0.75 * len(power)) :].sum() / power.sum() > high:
+    size = np.abs(np.fft.rfft(x - x.mean()))
+    size[0] = 0.0
+    power = size**2
+    if power[max(1, int(len(size) * 0.75)) :].sum() / (power.sum() + 1e-12) > high:
         return min(sizes)
-    top = int(np.argmax(power))
-    if power[top] / (np.delete(power, [0, top]).mean() + 1e-12) < snr:
+    top = int(np.argmax(size[1:])) + 1
+    noise = float(np.median(size[1:]))
+    if noise < 1e-10 or size[top] < snr * noise:
         return default
     period = len(x) / top
     return min(sizes, key=lambda s: (abs(s - max(1, round(s / period)) * period), s))
