@@ -48,15 +48,16 @@ LEAST_MATCHED, LEAST_SHARE = 10, 0.7
 
 
 def window_hashes(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
-    """Hash of the masked tokens at each position where the whole mask fits."""
+    """Hash of the masked tokens at each position where the whole mask fits: mixed sum of token hashes by odd factors."""
     n = len(hashes) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(number + 1), np.uint64)
+    out, factor = np.full(n, np.uint64(number + 1), np.uint64), 1
     for k, bit in enumerate(mask):
         if bit == "1":
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
-    return out
+            factor = factor * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+            out += hashes[k : k + n] * np.uint64(factor)
+    return mixed(out)
 
 
 def masks_of(shortest: bool) -> list[str]:
@@ -152,16 +153,13 @@ def hit_regions(docs: DataFrame, filter_bytes: np.ndarray, reach: int, short_ite
             out: list[list] = [[] for _ in range(5)]
             for index, body in enumerate(utf8(batch.column("text"))):
                 h = known.of(words(body))
-                at, found = [], []
-                for k, mask in enumerate(masks):
-                    x = window_hashes(h, mask, k)
-                    ok = passing(x) if len(x) else np.empty(0, np.int64)
-                    if len(ok):
-                        at.append(ok)
-                        found.append(x[ok].view(np.int64))
-                if not at:
+                windows = [window_hashes(h, mask, k) for k, mask in enumerate(masks)]
+                x = np.concatenate(windows)
+                ok = passing(x) if len(x) else np.empty(0, np.int64)
+                if not len(ok):
                     continue
-                position, value = np.concatenate(at), np.concatenate(found)
+                starts = np.cumsum([0, *map(len, windows)])
+                position, value = ok - starts[np.searchsorted(starts, ok, side="right") - 1], x[ok].view(np.int64)
                 order = np.argsort(position, kind="stable")
                 position, value = position[order], value[order]
                 cuts = np.flatnonzero(np.diff(position) > 2 * reach) + 1
