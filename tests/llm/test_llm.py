@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,37 @@ def test_vectors(spark, monkeypatch):
                 seen.add(n)
                 todo.append(n)
         assert (r["n_links"], r["component_id"], r["kept"]) == (len(links[i]), min(seen), i == min(seen))
+    clash = spark.createDataFrame([(1, [1.0, 0.0], 0, 9, "x"), (2, [1.0, 0.0], 0, 9, "y")], "vec_id long, embedding array<float>, label int, rep int, codes string")
+    assert sorted((r["vec_id"], r["component_id"]) for r in vectors.linked_vectors(clash).collect()) == [(1, 1), (2, 1)]
+    assert vectors.linked_vectors(clash.limit(0)).count() == 0
+
+
+def test_candidates_hold_every_pair_at_the_threshold():
+    rng = np.random.default_rng(7)
+    bits, tables = vectors.tables_needed(50_000, 0.98, 1e-7)
+    apart = np.arccos(0.98) / np.pi
+    most = int(np.ceil(bits * tables * apart + vectors.SURE * np.sqrt(bits * tables * apart * (1 - apart)) + bits))
+    a = vectors.unit_rows(rng.standard_normal((3000, 64)))
+    b = vectors.unit_rows(a * 0.98 + vectors.unit_rows(rng.standard_normal((3000, 64))) * 0.198)
+    one, two = (vectors.bucket_codes(x, bits, tables) for x in (a, b))
+    differ = np.array([sum(int(u ^ v).bit_count() for u, v in zip(x, y)) for x, y in zip(one, two)])
+    near = (a * b).sum(axis=1) >= 0.98
+    assert near.sum() > 500 and (differ[near] <= most).all()
+    part = pd.DataFrame({"codes": [c.tobytes() for c in np.concatenate((one[:200], two[:200]))]})
+    kept = vectors.candidates(part, bits, most)
+    assert kept[:200][near[:200]].all() and vectors.candidates(part[:200], bits, most).mean() < 0.2
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    from vigil.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    left = spark.createDataFrame([(1, x) for x in range(20)] + [(2, 1), (3, 1), (None, 7)], "k long, v long")
+    right = spark.createDataFrame([(1, 20, "a"), (2, 1, "b"), (4, 0, "c")], "k long, n long, w string")
+    for how, size in (("inner", 21), ("left", 23), ("left_semi", 21)):
+        got = skew.join_by_size(left, right, ["k"], "n", 23, how)
+        want = left.join(right.drop("n"), "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == size
 
 
 def test_hyperplane_recall():

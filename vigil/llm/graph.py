@@ -3,8 +3,8 @@
 Alternating large-star and small-star steps (Kiveris et al., Connected Components in MapReduce and
 Beyond, 2014): each step points a node's neighbours at the smallest of them. It ends when every
 component is a star around its smallest node, after a number of rounds about logarithmic in the size
-of a component. Minima are aggregated before the shuffle, and a hub's edges meet its minimum in a
-join whose large partitions can be split.
+of a component. Minima are aggregated before the shuffle, and the edges of hubs meet their minimum in a
+broadcast of a bounded number of hubs, so that no task gets more than a bounded share of the edges.
 """
 
 from __future__ import annotations
@@ -12,19 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.skew import join_by_size
 from vigil.llm.storage import discard, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_by_size(both, least, ["a"], "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = join_by_size(down, least, ["a"], "n", total)
+    moved = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -46,7 +48,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
-        then, now = now, stored(_small_star(_large_star(now)), "edges")
+        # a large star has an edge at most for each edge that it is given, and so has a small one
+        then, now = now, stored(_small_star(_large_star(now, mark[0]), 2 * mark[0]), "edges")
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -15,6 +15,9 @@ are compared with the smallest one, which is linear in its size; an estimate fro
 0.8 fails it with probability about 1e-8), then full sets confirm. Links so confirmed are contracted to
 components; then, in buckets whose other members still lie in several components, members are
 compared across components on full sets, in blocks that return links to the smallest member only.
+Blocks are cut by their number of members and of shingles. Large buckets and classes of copies meet
+what belongs to them in a bounded broadcast. A bucket of many near misses, documents on one
+template that are no duplicates, costs the square of its size, block by block.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than the
 width make one shingle; repeated rows are copies; rows with a null id link with nothing and are kept,
@@ -33,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.graph import components
-from vigil.llm.storage import stored, table
+from vigil.llm.skew import join_by_size
+from vigil.llm.storage import discard, stored, table
 from vigil.llm.vectors import smallest_connected
 from vigil.llm.words import WordHashes, mixed, seeded, shingles, utf8, words
 
@@ -41,8 +45,8 @@ from vigil.llm.words import WordHashes, mixed, seeded, shingles, utf8, words
 COORDINATES, ROWS = 128, 4
 #: Pairs whose sketches agree in a smaller share aren't verified: 6 standard deviations below 0.8.
 SKETCH_LEAST = 0.58
-#: Members of a block, and shingles that a comparison of blocks holds at once.
-BLOCK, WIDE = 400, 16_384
+#: Members and shingles of a block, and shingles that a comparison of blocks holds at once.
+BLOCK, BLOCK_SHINGLES, WIDE = 400, 4_000_000, 16_384
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -192,26 +196,28 @@ def compare_members(part: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids, "b": least})[least != ids]
 
 
-def _across(crowd: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(crowd: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
     """Links between members of a bucket that lie in several components (all were compared with its head).
 
     Whole sets meet in blocks of at most 2 * BLOCK members, so a large bucket is many tasks and no pair
-    is ever a row.
+    is ever a row. ``total``: rows of crowd.
     """
-    labelled = (
+    labelled = stored(
         crowd.where("n > 2 AND rep <> head")
         .join(joined, F.col("rep") == F.col("node"), "left")
-        .select("hash", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        .select("hash", "rep", "n", "shingles_in_all", F.coalesce("component", "rep").alias("component")),
+        "labelled",
     )
     several = (
         labelled.groupBy("hash")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"))
         .where("least <> most")
-        .select("hash")
+        .select("hash", "size")
     )
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    cuts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("shingles_in_all") / F.lit(BLOCK_SHINGLES)))
+    blocks = F.least(cuts, F.col("n")).cast("int")
     cut = (
-        labelled.join(several, "hash", "left_semi")
+        join_by_size(labelled, several, ["hash"], "size", total, "left_semi")
         .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("hash", "rep", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -228,20 +234,25 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = stored(sketched(docs, width, doc_id, text), "sketches")
-    classes = rows.where("h1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = rows.alias("r").join(
-        classes.alias("c"),
-        (F.col("r.h1") == F.col("c.h1")) & (F.col("r.h2") == F.col("c.h2")) & (F.col("r.doc_id") == F.col("c.rep")),
+    n_rows = rows.count()
+    # the sketch of a class comes from the row with its smallest id
+    classes = (
+        rows.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     )
-    reps = stored(
-        reps.select("c.rep", "r.h1", "r.h2", "n_shingles", "bands", "short").dropDuplicates(["h1", "h2"]), "classes"
-    )
-    member = reps.select("rep", F.explode("bands").alias("hash"))  # a band's number is part of its hash
+    first = rows.withColumnRenamed("doc_id", "rep").join(classes, ["h1", "h2", "rep"])
+    reps = stored(first.dropDuplicates(["h1", "h2"]).select("rep", "h1", "h2", "size", "n_shingles", "bands", "short"), "classes")
+    member = reps.select("rep", "n_shingles", F.explode("bands").alias("hash"))  # a band's number is part of its hash
     # the smallest member of each bucket that has others
     heads = (
-        member.groupBy("hash").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        member.groupBy("hash")
+        .agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles_in_all"))
+        .where("n > 1")
+        .withColumn("size", F.col("n"))
     )
-    crowd = stored(member.join(heads, "hash"), "buckets")
+    n_members = reps.count() * (COORDINATES // ROWS)
+    crowd = stored(join_by_size(member, heads, ["hash"], "size", n_members).drop("n_shingles"), "buckets")
     one, two = (
         reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("short").alias(f"short_{c}"))
         for c in ("a", "b")
@@ -270,18 +281,19 @@ def near_duplicates(
     )
     links = stored(_confirmed(tried, sets, percent), "links")
     joined = components(links)
-    more = stored(_across(crowd, joined, sets, percent), "links")
-    if not more.isEmpty():
-        joined = components(links.unionAll(more))
+    more = stored(_across(crowd, joined, sets, percent, n_members), "links")
+    for done in (crowd, tried, sets, links):
+        discard(done)
+    if not more.isEmpty():  # go on from the components that there are
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = (
-        reps.select("h1", "h2", "rep")
+        reps.select("h1", "h2", "rep", "size")
         .join(joined, F.col("rep") == F.col("node"), "left")
-        .select("h1", "h2", F.coalesce("component", "rep").alias("component"))
+        .select("h1", "h2", "size", F.coalesce("component", "rep").alias("component"))
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
-        rows.select("doc_id", "n_shingles", "h1", "h2")
-        .join(of_class, ["h1", "h2"], "left")
+        join_by_size(rows.select("doc_id", "n_shingles", "h1", "h2"), of_class, ["h1", "h2"], "size", n_rows, "left")
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

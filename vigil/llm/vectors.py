@@ -1,17 +1,22 @@
 """Operator 3, embedding near-dedup: random-hyperplane sign hashing, exact cosine, components.
 
 Equal vectors of a label form a class at once. Of each class one vector is hashed in several tables: the
-signs of its projections on ``bits`` random hyperplanes name its bucket, and vectors of a bucket are
-compared exactly, in double precision. Bits grow with the logarithm of the number of vectors of the
-largest label, so that buckets keep their size; tables grow with them so that a pair at the threshold shares no bucket with
-probability ``miss`` at most. A pair counts only in the first table that brings it together, so nothing
-needs to be made unique afterwards. A bucket of over ``BLOCK`` vectors is cut into blocks, and each
-pair of blocks is a task of its own. Tasks return a row per vector with its number of links and the
-smallest id it is connected to there, never pairs.
+signs of its projections on ``bits`` random hyperplanes name its bucket. Bits grow with the logarithm of
+the number of vectors of the largest label, so that buckets keep their size; tables grow with them so
+that a pair at the threshold shares no bucket with probability ``miss`` at most.
+
+Only ids and signs are dealt to buckets. There, vectors whose signs over all tables differ in more places
+than a pair at the threshold ever would (``SURE`` standard deviations above its mean) have no partner; the
+rest fetch their vectors and are compared exactly, in double precision. A pair counts only in the first table
+that brings it together, so nothing needs to be made unique afterwards. A bucket of over ``BLOCK``
+vectors is cut into blocks, and each pair of blocks is a task of its own. Tasks return a row per
+vector with its number of links and the smallest id it is connected to there, never pairs. Large
+classes of copies meet their results in a bounded broadcast.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component, and rows
 with a null label or id, link with nothing; vectors of different lengths aren't compared; repeated rows
-are copies; a row with a null id has a null component and is kept.
+are copies; a row with a null id has a null component and is kept; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.graph import components
+from vigil.llm.skew import join_by_size
 from vigil.llm.storage import stored, table
 
 #: Vectors that a bucket of the largest label should hold on average (about where comparing costs as much
 #: as starting on a bucket), and the most that a task compares with each other.
 BUCKET, BLOCK = 512, 1500
 SEED = 20_240_517
+#: Standard deviations of sign differences that a candidate pair may lie above the mean at the threshold.
+SURE = 6.5
 
 
 def tables_needed(vectors: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -65,6 +73,15 @@ def smallest_connected(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
+def candidates(part: pd.DataFrame, bits: int, most: int) -> np.ndarray:
+    """Which vectors of a pair of blocks differ from some other one in at most ``most`` signs."""
+    codes = np.stack([np.frombuffer(c, np.int32) for c in part["codes"]])
+    signs = ((codes[:, :, None] >> np.arange(bits)) & 1).reshape(len(part), -1).astype(np.float32) * 2 - 1
+    near = signs @ signs.T >= signs.shape[1] - 2 * most
+    np.fill_diagonal(near, False)
+    return near.any(axis=1)
+
+
 def compare_block(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links between the vectors of block ``low`` and those of block ``high`` of one bucket."""
     part = part.sort_values("rep", kind="stable").reset_index(drop=True)
@@ -129,6 +146,10 @@ def linked_vectors(
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_needed(largest, threshold, miss)
 
+    # of a pair at the threshold, each sign differs with this probability; signs of other tables are independent
+    apart = math.acos(threshold) / math.pi
+    most = math.ceil(bits * tables * apart + SURE * math.sqrt(bits * tables * apart * (1 - apart)) + bits)
+
     def hashed(parts):
         for part in parts:
             for length, same in part.groupby(part["embedding"].map(len)):
@@ -142,31 +163,32 @@ def linked_vectors(
                             "length": length,
                             "label": same["label"].to_numpy(),
                             "rep": same["rep"].to_numpy(),
-                            "n": same["n"].to_numpy(),
-                            "embedding": same["embedding"].to_numpy(),
                             "codes": [c.tobytes() for c in codes],
                         }
                     )
 
     kind = classes.schema["label"].dataType.simpleString()
-    floats = classes.schema["embedding"].dataType.simpleString()
-    shape = f"tab int, code int, length int, label {kind}, rep long, n long, embedding {floats}, codes binary"
+    shape = f"tab int, code int, length int, label {kind}, rep long, codes binary"
     key = ["tab", "code", "length", "label"]
-    hashes = classes.select("label", "rep", "n", "embedding").mapInPandas(hashed, shape)
+    hashes = stored(classes.select("label", "rep", "embedding").mapInPandas(hashed, shape), "hashes")
     # buckets with one vector leave here; large ones are cut into blocks
     sizes = hashes.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     cut = (
-        hashes.join(sizes, key)
+        join_by_size(hashes, sizes.withColumn("members", F.col("size")), key, "size", classes.count() * tables)
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
-        .drop("other", "blocks", "size")
+        .drop("other", "blocks", "members")
+    )
+    some = stored(
+        cut.groupBy(*key, "low", "high").applyInPandas(lambda part: part[candidates(part, bits, most)], cut.schema), "candidates"
     )
+    met = some.join(classes.select("rep", "n", "embedding"), "rep")
     found = stored(
-        cut.groupBy(*key, "low", "high").applyInPandas(
+        met.groupBy(*key, "low", "high").applyInPandas(
             lambda part: compare_block(part, threshold), "rep long, links long, least long"
         ),
         "vector-links",
@@ -183,11 +205,12 @@ def linked_vectors(
             "k2",
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
             F.coalesce("component", "rep").alias("component"),
+            F.col("n").alias("size"),
         )
     )
+    every = keyed.drop("embedding")
     return (
-        keyed.drop("embedding")
-        .join(of_class, ["label", "k1", "k2"], "left")
+        join_by_size(every, of_class, ["label", "k1", "k2"], "size", rows.count(), "left")
         .select(
             "vec_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
