@@ -620,47 +620,71 @@ def test_shortest_pack_first_equals_placing_piece_by_piece():
         assert sorted(fills) == fills_one_by_one(histogram, 64)
 
 
-def test_lm_equals_a_plain_model(spark, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK_TOKENS", 500)
-    texts = prose(120, 31, 40) + AWKWARD[:5] + [AWKWARD[6]]
-    rows = {r["doc_id"]: r for r in lm.score_texts(frame(spark, texts)).collect()}
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("hot", [10**9, 3])
+def test_lm_equals_a_plain_model(spark, monkeypatch, order, hot):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 700)
+    monkeypatch.setattr(lm, "max", lambda a, b: hot if a == 1000 else max(a, b), raising=False)
+    texts = prose(120, 31, 40) + AWKWARD[:5] + [AWKWARD[6]] + ["a b c d e f g"] * 8 + ["a b c x", "q b c d e"]
+    rows = {r["doc_id"]: r for r in lm.score_texts(frame(spark, texts), order=order).collect()}
     tokens = {i: (t or "").encode().lower().split() + ["END"] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     c = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
-    pairs = collections.Counter(p for i, t in tokens.items() if not held[i] for p in zip(["START", *t[:-1]], t))
     n, v = sum(c.values()), len(c)
 
     def counts(x):
         k = collections.Counter(x.values())
         return np.array([k.get(i, 0) for i in range(7)], float)
 
-    d1, d2 = lm.discounts(counts(c)), lm.discounts(counts(pairs))
     kept = lambda d, r: (d[r] if r <= 5 else 1) * r
+    d1 = lm.discounts(counts(c))
     p1 = {w: kept(d1, k) / n for w, k in c.items()}
     unknown = 1 - sum(p1.values())
-    after = collections.defaultdict(dict)
-    for (h, w), k in pairs.items():
-        after[h][w] = k
+    after, d = {}, {}
+    for k in range(2, order + 1):
+        grams = collections.Counter()
+        for i, t in tokens.items():
+            if not held[i]:
+                padded = ["START"] * (k - 1) + t
+                grams.update(tuple(padded[j : j + k]) for j in range(len(t)))
+        d[k], after[k] = lm.discounts(counts(grams)), collections.defaultdict(dict)
+        for g, r in grams.items():
+            after[k][g[:-1]][g[-1]] = r
+    memory = {}
 
     def p(h, w):
-        base = p1.get(w, unknown)
-        if h not in after:
-            return base
-        total, seen = sum(after[h].values()), after[h]
-        closed = all(k > 5 for k in seen.values())
-        if w in seen:
-            return kept(d2, seen[w]) / (total + closed)
-        left = 1 / (total + 1) if closed else 1 - sum(kept(d2, k) for k in seen.values()) / total
-        return left / (1 - sum(p1[x] for x in seen)) * base
-
-    for h in [*list(after)[:20], "START"]:
-        assert sum(p(h, w) for w in c) + p(h, "never seen") == pytest.approx(1)
+        if (h, w) not in memory:
+            k = len(h) + 1
+            if k == 1:
+                memory[h, w] = p1.get(w, unknown)
+            elif h not in after[k]:
+                memory[h, w] = p(h[1:], w)
+            else:
+                seen, total = after[k][h], sum(after[k][h].values())
+                closed = all(r > 5 for r in seen.values())
+                if w in seen:
+                    memory[h, w] = kept(d[k], seen[w]) / (total + closed)
+                else:
+                    left = 1 / (total + 1) if closed else 1 - sum(kept(d[k], r) for r in seen.values()) / total
+                    memory[h, w] = left / (1 - sum(p(h[1:], x) for x in seen)) * p(h[1:], w)
+        return memory[h, w]
+
+    for k in range(2, order + 1):
+        for h in [*list(after[k])[:6], ("START",) * (k - 1), ("b", "c", "d")[: k - 1]]:
+            assert sum(p(h, w) for w in c) + p(h, "never seen") == pytest.approx(1)
     for i, t in tokens.items():
         r = rows[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert r["score"] == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip(["START", *t[:-1]], t)))
-    assert lm.score_texts(frame(spark, texts).limit(0)).count() == 0
+        padded = ["START"] * (order - 1) + t
+        assert r["score"] == pytest.approx(sum(np.log10(p(tuple(padded[j : j + order - 1]), w)) for j, w in enumerate(t)))
+
+
+def test_lm_on_long_and_empty_tables(spark):
+    texts = [LONG, *prose(20, 3)]
+    rows = lm.score_texts(frame(spark, texts), order=3).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(t.split()) + 1 for i, t in enumerate(texts)}
+    assert lm.score_texts(frame(spark, texts).limit(0), order=3).count() == 0
 
 
 def plain_packing(loads, shards):

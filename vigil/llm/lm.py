@@ -1,34 +1,39 @@
-"""Operator 8, LM scoring: a Katz back-off bigram model with Good-Turing discounts.
-
-Model. Tokens are words and one end per text; the first token's context is a start mark. A bigram seen r
-times has probability d(r) r / c(h), with Good-Turing discounts d for r <= 5 and none above; any other
-has alpha(h) P(w), where alpha(h) = (1 - sum of seen P(w|h)) / (1 - sum of P(w) over those w), so every
-context's probabilities sum to one exactly. P(w) is discounted alike, and what is left is the
-probability of the unknown word. A context that leaves nothing (no bigram seen five times or less)
+"""Operator 8, LM scoring: a Katz back-off model of any order with Good-Turing discounts.
+
+Model. Tokens are words and one end per text; contexts before the first token are start marks. An n-gram
+of order k seen r times has probability d(r) r / c(h), with Good-Turing discounts d of its order for
+r <= 5 and none above; any other has alpha(h) P(w | h without its first word), evaluated the same way one
+order lower, where alpha(h) = (1 - sum of seen P(w|h)) / (1 - sum of the lower order's P over those w),
+so every context's probabilities sum to one exactly. P(w) is discounted alike, and what is left is the
+probability of the unknown word. A context that leaves nothing (no n-gram seen five times or less)
 gets one more count, for back-off; one that was never seen has alpha 1. Should the counts of counts
 give no valid discount, r - 0.5 replaces r.
 
 Jobs. Rows of documents become chunks: the chunk's distinct words as hashes, and its tokens as indices of
-them. Chunks then talk twice to tables that are partitioned by buckets:
+them. Chunks then talk once per order to tables that are partitioned by buckets:
 
 1. words: each chunk sends its distinct words with their counts; a bucket adds them up over all chunks,
    numbers the words, frequent ones first, and answers with number and count;
-2. bigrams: each chunk sends its distinct bigrams, as numbers, with their counts; a bucket adds them up and
-   answers with the counts, and for contexts that back off with what alpha needs.
+2. n-grams of order 2 and up: each chunk sends its distinct n-grams, a context and a word's number, with
+   their counts and what gives their lower order's probability; a bucket adds them up and answers with
+   the counts, and for contexts that back off with what alpha needs. A context of three words or more is
+   a 64-bit hash of its words' numbers.
 
 Both are one row per chunk and bucket with packed arrays, so a token costs a few bytes, and no word or
-bigram table ever has to fit anywhere as a whole. A context goes to one bucket; a frequent one (there
+n-gram table ever has to fit anywhere as a whole. A context goes to one bucket; a frequent one (there
 are at most ``2 * buckets``) is spread over all buckets by its next word, and its sums are added up
 afterwards. Then each chunk scores its own texts. The driver sees counts of counts and sums of
 frequent contexts only.
 
 Defined results: null text is empty and has its end token only; a null id counts as training text; ids may
-repeat; with no training text every token is unknown and has probability one.
+repeat; with no training text every token is unknown and has probability one; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -219,7 +224,7 @@ def answer_words(part: pd.DataFrame, buckets: int) -> pd.DataFrame:
     rank[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(total), dtype=np.uint64)
     number = np.where(total > 0, rank * np.uint64(buckets) + np.uint64(bucket + FIRST), np.uint64(UNKNOWN))
     rows = [
-        (chunk, 0, bucket, pack(n), pack(c), None)
+        (chunk, 1, bucket, pack(n), pack(c), None)
         for chunk, n, c in zip(part["chunk"], np.split(number[at], cuts), np.split(total[at], cuts), strict=True)
     ]
     low = np.bincount(np.minimum(total, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)
@@ -230,45 +235,56 @@ def answer_words(part: pd.DataFrame, buckets: int) -> pd.DataFrame:
 ANSWER = "chunk long, kind int, bucket int, one binary, two binary, sums array<double>"
 
 
-# --- bigrams
+# --- n-grams of order 2 and up
 
 
 class Chunk:
-    """A chunk whose words have their numbers and counts."""
+    """A chunk whose words have their numbers and counts, at some order.
+
+    Per token: ``log`` (log10 of its probability by the orders done), ``h`` (its context at the present
+    order), ``ch`` (that context's count), and the count and divisor behind the order below (``cl``, ``dl``).
+    ``advance`` takes the answers of the present order and goes on to the next.
+    """
 
-    def __init__(self, row, numbers: np.ndarray, counts: np.ndarray):
+    def __init__(self, row, numbers: np.ndarray, counts: np.ndarray, unigrams: Unigrams):
         lengths, tokens = unpack(row.lengths).astype(np.int64), unpack(row.tokens).astype(np.int64)
         self.ids, self.held_out, self.lengths = row.doc_ids, np.array(row.held_out, bool), lengths
         self.starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.tokens, self.counts = tokens, counts
-        words_ = unpack(row.words, True)
-        end = int(np.searchsorted(words_, END))
-        number = numbers[tokens]
-        before = np.concatenate((np.array([START], np.uint64), number[:-1]))
-        before[self.starts] = START
-        context_count = np.concatenate((counts[end : end + 1], counts[tokens[:-1]]))
-        context_count[self.starts] = counts[end]
-        # bigrams with a context that training texts hold
-        self.asked = context_count > 0
-        order = np.lexsort((number[self.asked], before[self.asked]))
-        h, w = before[self.asked][order], number[self.asked][order]
+        self.trained = ~np.repeat(self.held_out, lengths)
+        self.number, self.count, self.unigrams = numbers[tokens], counts[tokens], unigrams
+        self.texts = int(counts[np.searchsorted(unpack(row.words, True), END)])  # of training
+        self.log = np.log10(unigrams.p(self.count))
+        self.cl, self.dl = self.count, np.full(len(tokens), unigrams.bottom, np.uint64)
+        self.h = self.shifted(self.number, START)
+        self.ch = self.shifted(self.count, self.texts)
+        self.pairs()
+
+    def shifted(self, values: np.ndarray, first: int) -> np.ndarray:
+        """The value of the token before; ``first`` at the start of a text."""
+        out = np.concatenate((np.array([first], values.dtype), values[:-1]))
+        out[self.starts] = first
+        return out
+
+    def pairs(self) -> None:
+        """The distinct n-grams whose context training texts hold: context, word, and what is sent of them."""
+        self.asked = self.ch > 0
+        h, w = self.h[self.asked], self.number[self.asked]
+        order = np.lexsort((w, h))
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        pair = np.cumsum(new) - 1
+        new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
         first = order[new]
-        self.h, self.w = h[new], w[new]
         self.pair_of = np.empty(len(order), np.int64)
-        self.pair_of[order] = pair
-        self.ch = context_count[self.asked][first]
-        self.cw = counts[tokens[self.asked][first]]
-        trained = ~np.repeat(self.held_out, lengths)[self.asked]
-        self.sent = np.bincount(self.pair_of[trained], minlength=len(self.h))
+        self.pair_of[order] = np.cumsum(new) - 1
+        self.pair_h, self.pair_w, self.pair_ch = h[first], w[first], self.ch[self.asked][first]
+        self.pair_cl, self.pair_dl = self.cl[self.asked][first], self.dl[self.asked][first]
+        self.pair_log = self.log[self.asked][first]
+        self.sent = np.bincount(self.pair_of[self.trained[self.asked]], minlength=len(first))
 
     def split(self, buckets: int, hot: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Bigrams of each bucket, in order."""
-        by_context = mixed(self.h)
-        frequent = self.ch > hot
-        by_context[frequent] = mixed(by_context[frequent] + self.w[frequent])
+        """n-grams of each bucket, in order."""
+        by_context = mixed(self.pair_h)
+        frequent = self.pair_ch > hot
+        by_context[frequent] = mixed(by_context[frequent] + self.pair_w[frequent])
         bucket = (by_context % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -276,27 +292,74 @@ class Chunk:
             if cuts[b + 1] > cuts[b]:
                 yield b, order[cuts[b] : cuts[b + 1]]
 
-
-def numbered_chunk(row, answers: pd.DataFrame) -> Chunk:
-    mine = answers[answers["kind"] == 0].sort_values("bucket")
-    numbers = np.concatenate([unpack(x) for x in mine["one"]])
-    counts = np.concatenate([unpack(x) for x in mine["two"]])
-    return Chunk(row, numbers, counts)
-
-
-def send_bigrams(corpus: DataFrame, answers: DataFrame, buckets: int, hot: int) -> DataFrame:
+    def advance(self, answers: pd.DataFrame, d: np.ndarray, frequent: dict[int, np.ndarray], buckets: int, hot: int, last: bool) -> None:
+        log, count, divisor = self.pair_log.copy(), np.zeros(len(self.pair_h), np.uint64), np.ones(len(self.pair_h), np.uint64)
+        heard = {int(r.bucket): r for r in answers.itertuples(index=False)}
+        for b, k in self.split(buckets, hot):
+            row = heard[b]
+            c = unpack(row.one)
+            closed_bits, *columns = _blocks(row.two)
+            contexts, at = np.unique(self.pair_h[k], return_inverse=True)
+            closed = unpack(closed_bits) > 0
+            is_hot = self.pair_ch[k] > hot
+            alpha = np.ones(len(contexts))
+            need = np.unique(at[(c == 0) & ~is_hot])
+            if len(need):
+                sums = np.stack([unpack_reals(x) for x in columns], axis=1)
+                alpha[need] = backoff(sums[:, :DISCOUNTED], sums[:, DISCOUNTED], sums[:, DISCOUNTED + 1], d)
+            for h in np.unique(at[is_hot]):
+                s = frequent[int(contexts[h])]
+                closed[h] = not s[:DISCOUNTED].any()
+                alpha[h] = backoff(s[None, :DISCOUNTED], s[None, DISCOUNTED], s[None, DISCOUNTED + 1], d)[0]
+            count[k], divisor[k] = c, self.pair_ch[k] + closed[at].astype(np.uint64)
+            known = c > 0
+            log[k] += np.log10(alpha[at])
+            log[k[known]] = np.log10(kept_counts(c[known], d) / divisor[k[known]].astype(np.float64))
+        self.log[self.asked] = log[self.pair_of]
+        if last:
+            return
+        cl, dl = np.zeros(len(self.number), np.uint64), np.ones(len(self.number), np.uint64)
+        cl[self.asked], dl[self.asked] = count[self.pair_of], divisor[self.pair_of]
+        self.cl, self.dl = cl, dl
+        self.h = self.shifted(mixed(self.h * np.uint64(0x9E3779B97F4A7C15) + self.number), START)
+        self.ch = self.shifted(cl, self.texts)
+        self.pairs()
+
+
+@dataclass
+class Model:
+    """What the driver knows: discounts of the orders from 2 on, and sums of their frequent contexts."""
+
+    unigrams: Unigrams
+    buckets: int
+    hot: int
+    discounts: list[np.ndarray] = field(default_factory=list)
+    frequent: list[dict[int, np.ndarray]] = field(default_factory=list)
+
+    def chunk(self, row, answers: pd.DataFrame, order: int) -> Chunk:
+        """The chunk after all orders that are known, ready to ask or, if they reach ``order``, to score."""
+        mine = answers[answers["kind"] == 1].sort_values("bucket")
+        numbers, counts = (np.concatenate([unpack(x) for x in mine[c]]) for c in ("one", "two"))
+        out = Chunk(row, numbers, counts, self.unigrams)
+        for k, (d, frequent) in enumerate(zip(self.discounts, self.frequent, strict=True), start=2):
+            out.advance(answers[answers["kind"] == k], d, frequent, self.buckets, self.hot, k == order)
+        return out
+
+
+def send_ngrams(corpus: DataFrame, answers: DataFrame, model: Model, order: int) -> DataFrame:
     def work(own: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in own.itertuples(index=False):
-            c = numbered_chunk(row, heard)
-            for b, k in c.split(buckets, hot):
-                rows.append((b, row.chunk, pack(c.h[k], True), pack(c.w[k]), pack(c.sent[k]), pack(c.cw[k]), pack(c.ch[k] > hot)))
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "h", "w", "sent", "cw", "hot"])
+            c = model.chunk(row, heard, order)
+            for b, k in c.split(model.buckets, model.hot):
+                columns = (c.pair_w, c.sent, c.pair_cl, c.pair_dl, c.pair_ch > model.hot)
+                rows.append((b, row.chunk, pack(c.pair_h[k], True), *(pack(x[k]) for x in columns)))
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "h", "w", "sent", "cl", "dl", "hot"])
 
     return (
         corpus.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInPandas(work, "bucket int, chunk long, h binary, w binary, sent binary, cw binary, hot binary")
+        .applyInPandas(work, "bucket int, chunk long, h binary, w binary, sent binary, cl binary, dl binary, hot binary")
     )
 
 
@@ -312,27 +375,32 @@ def context_sums(h_index: np.ndarray, contexts: int, counts: np.ndarray, p: np.n
     return out
 
 
-def answer_bigrams(part: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
-    """For each chunk: counts of its bigrams (one), and sums of contexts that need them (two).
+def answering(order: int, below: np.ndarray):
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        return answer_ngrams(part, order, below)
+
+    return work
+
 
-    Rows with chunk -1 have counts of counts (kind 2) and sums of frequent contexts (kind 3).
+def answer_ngrams(part: pd.DataFrame, order: int, below: np.ndarray) -> pd.DataFrame:
+    """For each chunk: counts of its n-grams (one), and sums of contexts that need them (two).
+
+    ``below``: discounts of the order below. Rows with chunk -1 have counts of counts (kind 0) and sums of
+    frequent contexts (kind -1).
     """
     part = part.sort_values("chunk")
     bucket = int(part["bucket"].iloc[0])
     h, cuts = _grouped([unpack(x, True) for x in part["h"]])
-    w, _ = _grouped([unpack(x) for x in part["w"]])
-    sent, _ = _grouped([unpack(x) for x in part["sent"]])
-    cw, _ = _grouped([unpack(x) for x in part["cw"]])
-    hot, _ = _grouped([unpack(x) for x in part["hot"]])
+    w, sent, cl, dl, hot = (_grouped([unpack(x) for x in part[c]])[0] for c in ("w", "sent", "cl", "dl", "hot"))
     contexts, h_at = np.unique(h, return_inverse=True)
-    order = np.lexsort((w, h_at))
-    new = np.ones(len(order), bool)
-    new[1:] = (h_at[order][1:] != h_at[order][:-1]) | (w[order][1:] != w[order][:-1])
-    pair = np.empty(len(order), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    first = order[new]
+    by = np.lexsort((w, h_at))
+    new = np.ones(len(by), bool)
+    new[1:] = (h_at[by][1:] != h_at[by][:-1]) | (w[by][1:] != w[by][:-1])
+    pair = np.empty(len(by), np.int64)
+    pair[by] = np.cumsum(new) - 1
+    first = by[new]
     counts = np.bincount(pair, weights=sent.astype(np.float64), minlength=len(first)).astype(np.int64)
-    sums = context_sums(h_at[first], len(contexts), counts, unigrams.p(cw[first]))
+    sums = context_sums(h_at[first], len(contexts), counts, kept_counts(cl[first], below) / np.maximum(1, dl[first].astype(np.float64)))
     frequent = np.zeros(len(contexts), bool)
     frequent[h_at[hot > 0]] = True
     rows = []
@@ -343,11 +411,12 @@ def answer_bigrams(part: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
         closed = ~sums[mine, :DISCOUNTED].any(axis=1) & ~frequent[mine]
         need = np.unique(at[(c == 0) & ~frequent[at]])
         two = b"".join(len(x).to_bytes(8, "little") + x for x in (pack(closed), *(pack_reals(v) for v in sums[need].T)))
-        rows.append((chunk, 1, bucket, pack(c), two, None))
+        rows.append((chunk, order, bucket, pack(c), two, None))
     low = np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
-    rows.append((-1, 2, bucket, None, None, [float(v) for v in low]))
+    rows.append((-1, 0, bucket, None, None, [float(v) for v in low]))
     for k in np.flatnonzero(frequent):
-        rows.append((-1, 3, bucket, None, None, [float(contexts[k]), *sums[k].tolist()]))
+        high, rest = divmod(int(contexts[k]), 1 << 32)
+        rows.append((-1, -1, bucket, None, None, [float(high), float(rest), *sums[k].tolist()]))
     return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "one", "two", "sums"])
 
 
@@ -360,54 +429,21 @@ def _blocks(data: bytes) -> list[bytes]:
     return out
 
 
-def bigram_probabilities(
-    c: Chunk, answers: pd.DataFrame, unigrams: Unigrams, d: np.ndarray, frequent: dict[int, np.ndarray], buckets: int, hot: int
-) -> np.ndarray:
-    """log10 P(w|h) of each of the chunk's bigrams."""
-    out = np.empty(len(c.h))
-    heard = {int(r.bucket): r for r in answers[answers["kind"] == 1].itertuples(index=False)}
-    p_word = unigrams.p(c.cw)
-    for b, k in c.split(buckets, hot):
-        row = heard[b]
-        counts = unpack(row.one)
-        closed_bits, *columns = _blocks(row.two)
-        contexts, at = np.unique(c.h[k], return_inverse=True)
-        closed = unpack(closed_bits) > 0
-        ch = c.ch[k].astype(np.float64)
-        is_hot = c.ch[k] > hot
-        alpha = np.ones(len(contexts))
-        need = np.unique(at[(counts == 0) & ~is_hot])
-        if len(need):
-            sums = np.stack([unpack_reals(x) for x in columns], axis=1)
-            alpha[need] = backoff(sums[:, :DISCOUNTED], sums[:, DISCOUNTED], sums[:, DISCOUNTED + 1], d)
-        for h in np.unique(at[is_hot]):
-            s = frequent[int(contexts[h])]
-            closed[h] = not s[:DISCOUNTED].any()
-            alpha[h] = backoff(s[None, :DISCOUNTED], s[None, DISCOUNTED], s[None, DISCOUNTED + 1], d)[0]
-        seen = kept_counts(counts, d) / (ch + closed[at])
-        out[k] = np.log10(np.where(counts > 0, seen, alpha[at] * p_word[k]))
-    return out
-
-
-def score_chunks(
-    corpus: DataFrame, answers: DataFrame, unigrams: Unigrams, d: np.ndarray, frequent: dict[int, np.ndarray], buckets: int, hot: int, kind: str
-) -> DataFrame:
+def score_chunks(corpus: DataFrame, answers: DataFrame, model: Model, order: int, kind: str) -> DataFrame:
     def work(own: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for row in own.itertuples(index=False):
-            c = numbered_chunk(row, heard)
-            logs = np.log10(unigrams.p(c.counts))[c.tokens]
-            logs[c.asked] = bigram_probabilities(c, heard, unigrams, d, frequent, buckets, hot)[c.pair_of]
+            c = model.chunk(row, heard, order)
             parts.append(
                 pd.DataFrame(
                     {
                         "doc_id": c.ids,
                         "held_out": c.held_out,
                         "n_tokens": c.lengths,
-                        "n_known": np.add.reduceat((c.counts > 0)[c.tokens].astype(np.int64), c.starts),
-                        "train_tokens": unigrams.total,
-                        "base_score": np.add.reduceat(unigrams.base(c.counts)[c.tokens], c.starts),
-                        "score": np.add.reduceat(logs, c.starts),
+                        "n_known": np.add.reduceat((c.count > 0).astype(np.int64), c.starts),
+                        "train_tokens": model.unigrams.total,
+                        "base_score": np.add.reduceat(model.unigrams.base(c.count), c.starts),
+                        "score": np.add.reduceat(c.log, c.starts),
                     }
                 )
             )
@@ -418,7 +454,12 @@ def score_chunks(
     return corpus.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(work, shape)
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _total(answers: DataFrame, kind: int, size: int) -> np.ndarray:
+    row = answers.where(F.col("kind") == kind).agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(size))).first()
+    return np.array([v or 0.0 for v in row])
+
+
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
     """One row per input row; the model learns from rows whose crc32(id as text) mod 7 isn't HELD_OUT."""
     kind = docs.schema[doc_id].dataType.simpleString()
     corpus = stored(chunked(docs, doc_id, text), "corpus")
@@ -427,35 +468,35 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     buckets = 8
     while buckets * TOKENS_PER_BUCKET < tokens / 2:
         buckets *= 2
-    words_ = stored(
+    answers = stored(
         send_words(corpus, buckets).groupBy("bucket").applyInPandas(lambda p: answer_words(p, buckets), ANSWER), "words"
     )
     k = DISCOUNTED + 2
-    size = k + 2
-    row = words_.where("chunk = -1").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(size))).first()
-    sums = np.array([v or 0.0 for v in row])
+    sums = _total(answers, 0, k + 2)
     unigrams = Unigrams(sums[:k], int(sums[k]), int(sums[k + 1]))
-    # at most 2 * buckets contexts are more frequent than this
-    hot = max(1000, unigrams.total // (2 * buckets))
-    bigrams = stored(
-        send_bigrams(corpus, words_.where("chunk >= 0"), buckets, hot)
-        .groupBy("bucket")
-        .applyInPandas(lambda p: answer_bigrams(p, unigrams), ANSWER),
-        "bigrams",
-    )
-    row = bigrams.where("kind = 2").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(k))).first()
-    d = discounts(np.array([v or 0.0 for v in row]))
-    found = (
-        bigrams.where("kind = 3")
-        .groupBy(F.col("sums")[0].alias("h"))
-        .agg(*(F.sum(F.col("sums")[i + 1]).alias(f"s{i}") for i in range(DISCOUNTED + 2)))
-        .collect()
-    )
-    frequent = {int(r[0]): np.array(r[1:], float) for r in found}
-    answers = words_.where("chunk >= 0").unionByName(bigrams.where("chunk >= 0"))
-    return score_chunks(corpus, answers, unigrams, d, frequent, buckets, hot, kind)
+    # at most 2 * buckets contexts of an order are more frequent than this
+    model = Model(unigrams, buckets, max(1000, unigrams.total // (2 * buckets)))
+    below = unigrams.d
+    answers = answers.where("chunk >= 0")
+    for n in range(2, order + 1):
+        found = stored(
+            send_ngrams(corpus, answers, model, order).groupBy("bucket").applyInPandas(answering(n, below), ANSWER),
+            f"ngrams-{n}",
+        )
+        below = discounts(_total(found, 0, k))
+        context = [F.col("sums")[i].alias(f"h{i}") for i in (0, 1)]
+        rows = (
+            found.where("kind = -1")
+            .groupBy(*context)
+            .agg(*(F.sum(F.col("sums")[i + 2]).alias(f"s{i}") for i in range(DISCOUNTED + 2)))
+            .collect()  # at most 2 * buckets rows
+        )
+        model.discounts.append(below)
+        model.frequent.append({(int(r[0]) << 32) + int(r[1]): np.array(r[2:], float) for r in rows})
+        answers = answers.unionByName(found.where("chunk >= 0"))
+    return score_chunks(corpus, answers, model, order, kind)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents."""
-    return score_texts(table(spark, sf_dir, "documents"))
+    """Scores of all documents by bigrams: tables of longer n-grams would exceed the disk that the text allows."""
+    return score_texts(table(spark, sf_dir, "documents"), order=2)
