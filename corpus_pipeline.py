@@ -1,6 +1,10 @@
 """Five stages from raw documents to packed sequences, each one calling an operator of vigil.llm.
 
-Each stage gets what its predecessor wrote. All but the last return the columns of ``documents``.
+Each stage gets what its predecessor wrote. All but the last return the columns of ``documents``, and the
+rows that they keep are as they were, but for the text and n_chars where secrets were replaced.
+
+Stages decide by rows, not by ids: ids may be null or repeated. Null and empty texts are no duplicates, leak
+nothing and hold no secrets; the classifier judges them like others. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -12,27 +16,36 @@ from vigil.llm.cotraining import keep_documents, train
 from vigil.llm.minhash import near_duplicates
 from vigil.llm.packing import default_tokenizer, pack_documents
 from vigil.llm.secrets import redact_secrets
+from vigil.llm.skew import join_by_size
 from vigil.llm.spaced import find_leaks
 from vigil.llm.storage import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. It learns from the labels and from all documents here."""
     return keep_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id; all without an id stay.
+    """One document of each near-duplicate group stays, the one with the smallest id (null is the largest).
 
-    Texts that share an id are documents of their own; only rows with the same id and text are copies.
+    Equal texts are copies whatever their ids; texts without words all stay.
     """
-    named = docs.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = near_duplicates(named, width=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id")
-    rows = groups.unionByName(named.select("_key", "doc_id"), allowMissingColumns=True)
-    each = rows.groupBy("_key").agg(F.min("component_id").alias("component_id"), F.min("doc_id").alias("doc_id"))
-    first = each.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
-    kept = named.join(first, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(words).withColumn("_key", F.xxhash64("text"))
+    groups = near_duplicates(keyed, width=5, percent=80, doc_id="_key").groupBy(F.col("doc_id").alias("_key")).agg(
+        F.min("component_id").alias("component_id")
+    )
+    id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    texts = keyed.groupBy("_key").agg(F.min(id_).alias("least"), F.count(F.lit(1)).alias("size"))
+    first = (
+        texts.join(groups, "_key")
+        .groupBy("component_id")
+        .agg(F.min(F.struct("least", "_key", "size")).alias("first"))
+        .select("first._key", "first.size", F.col("first.least.id").alias("_id"))
+    )
+    kept = join_by_size(keyed, first, ["_key"], "size", keyed.count()).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_key"]).select(*docs.columns).unionByName(docs.where(~F.coalesce(words, F.lit(False))))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +56,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; n_chars follows the text."""
+    """Secrets are replaced by their kind; n_chars follows the text, and is null with it."""
     clean = redact_secrets(docs, "text")
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens, one row each; a text without tokens has its end token only."""
     return pack_documents(docs, default_tokenizer(), length=2048, end_id=1)
 
 
