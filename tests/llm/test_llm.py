@@ -420,9 +420,83 @@ def test_decontamination_with_null_and_repeated_ids(spark, tmp_path):
 
 def test_near_dedup_with_null_and_repeated_ids(spark):
     a, b, c = (t for t in prose(6, 21, 90)[:3])
-    docs = frame(spark, [a, a, b, b, c, a, b, b], [1, 2, 2, 2, 2, None, None, 3])
+    near = b + " one more word"
+    docs = frame(spark, [a, a, b, b, c, a, b, b, near, None, "", " \n", None], [1, 2, 2, 2, 2, None, None, 3, 0, 5, 5, None, 5])
     left = corpus_pipeline.near_dedup(spark, docs, "").collect()
-    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, [(1, a), (2, b), (2, c), (None, a), (None, b)]))
+    want = [(1, a), (2, c), (0, near), (5, None), (5, ""), (None, " \n"), (5, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, want))
+    lone = frame(spark, [c, c], [None, None])
+    assert [r["text"] for r in corpus_pipeline.near_dedup(spark, lone, "").collect()] == [c]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts, ids):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in zip(ids, texts)], DOCUMENTS)
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    r = random.Random(17)
+    good = prose(260, 61)
+    bad = [t.upper().replace(" ", "!! ") for t in prose(90, 62)]
+    items = [t for t in prose(30, 63, 60) if len(t.split()) >= 20][:4]
+    texts, ids = good + bad, [*range(len(good) + len(bad))]
+    extra = [
+        (good[0], None), (good[0], 7), (good[1], 7), (good[1] + " tail", None), (None, 1), ("", None), (LONG, 9),
+        (f"{good[2]} {items[0]} {good[3]}", None), (f"{good[4]} {items[1]}", 3), (f"{good[5]} password=abcdef12 and AKIA{'Q' * 16}", 4),
+    ]
+    texts, ids = texts + [t for t, _ in extra], ids + [i for _, i in extra]
+    docs = documents(spark, texts, ids)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    known = [(i, int(i < len(good)), 0) for i in range(len(good) + len(bad)) if i % 2 and i not in (1, 3, 7, 9)]
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    plain = lambda df: [(x["doc_id"], x["text"]) for x in df.collect()]
+    order = lambda rows: sorted(rows, key=str)
+
+    first = stage["quality classifier"](spark, docs, str(tmp_path))
+    assert first.columns == docs.columns
+    kept = plain(first)
+    every = collections.Counter(map(str, zip(ids, texts)))
+    assert not collections.Counter(map(str, kept)) - every
+    assert sum(t in bad for _, t in kept) <= 3 and sum(t in good for _, t in kept) >= 0.97 * (len(good) + 3)
+
+    now = spark.createDataFrame(first.collect(), DOCUMENTS)
+    second = plain(stage["near dedup"](spark, now, str(tmp_path)))
+    parts = brute_components({k: t for k, (_, t) in enumerate(kept)}, 5, 80)
+    best = {}
+    for k, (i, t) in enumerate(kept):
+        mine = (i is None, i or 0, k)
+        group = parts[k][1] if parts[k][0] else ("alone", k)
+        best[group] = min(best.get(group, mine), mine)
+    want = [kept[k] for _, _, k in best.values()]
+    assert order(second) == order(want)
+
+    now = documents(spark, [t for _, t in second], [i for i, _ in second])
+    third = plain(stage["decontamination"](spark, now, str(tmp_path)))
+    assert order(third) == order([(i, t) for i, t in second if not any(plain_leaks(t, m) for m in items if set((t or "").split()) & set(m.split()))])
+
+    now = documents(spark, [t for _, t in third], [i for i, _ in third])
+    fourth = stage["secret scans"](spark, now, str(tmp_path))
+    assert fourth.columns == docs.columns
+    clean = [(i, t and secrets.redacted(t, sum(secrets.scan_text(t), []))) for i, t in third]
+    assert order(plain(fourth)) == order(clean) and "abcdef12" not in str(plain(fourth))
+    assert all(x["n_chars"] == (None if x["text"] is None else len(x["text"])) for x in fourth.collect())
+
+    last = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    e = packing.RunEncoder(packing.default_tokenizer())
+    sizes = collections.Counter(len(e.encode(t or "")) // 4 + 1 for _, t in clean)
+    assert collections.Counter(last[last["start"] == 0]["doc_tokens"].tolist()) == sizes
+    assert last["length"].sum() == sum(k * n for k, n in sizes.items())
+
+
+def test_pipeline_on_empty_documents(spark, tmp_path):
+    documents(spark, ["x"], [1]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def plain_leaks(text, item, least=10, share=0.7):
