@@ -153,13 +153,13 @@ def percentile_baseline(spark, sf):
 @query(
     "sliding_threshold_flags",
     f"""WITH {POINTS}, w AS (SELECT series_id, greatest(1, t // 3) AS size, greatest(1, t // 10) AS step, t FROM n),
-  k AS (SELECT series_id, unnest(generate_series(0, (t - size) // step)) AS window_id, size, step FROM w),
+  k AS (SELECT series_id, unnest(generate_series(0, (t - 1) // step)) AS window_id, size, step FROM w),
   x AS (SELECT p.series_id, idx, value, window_id FROM p JOIN k ON p.series_id = k.series_id AND idx >= window_id * step AND idx < window_id * step + size),
   s AS (SELECT series_id, window_id, avg(value) AS m, stddev_pop(value) AS s FROM x GROUP BY ALL)
   SELECT DISTINCT x.series_id, idx FROM x JOIN s USING (series_id, window_id) WHERE value > m + {upper_z(0.01)!r}::DOUBLE * s""",
 )
 def sliding_threshold_flags(spark, sf):
-    return T.sliding_flags(event_points(spark, sf), 0.01)
+    return T.sliding_flags(event_points(spark, sf), 0.01, tails=True)
 
 
 @query("islands_inclusive", f'WITH {POINTS}, {FOUND} SELECT series_id, "start", "end", n_points FROM d')
@@ -389,10 +389,30 @@ def eda_statistics(spark, sf):
     return out.select("series", _rounded("share_without"), _rounded("mean_intervals"), "max_intervals", _rounded("mean_length"), "max_length", _rounded("ratio"))
 
 
-@query("affiliation_prf")
+_AFFILIATION = """tr AS (SELECT series_id, "start"::DOUBLE AS s, "end" + 1.0::DOUBLE AS e FROM g),
+  zn AS (SELECT tr.series_id, s, e, coalesce((lag(e) OVER w + s) / 2, 0) AS low, coalesce((e + lead(s) OVER w) / 2, t) AS high FROM tr JOIN n USING (series_id) WINDOW w AS (PARTITION BY tr.series_id ORDER BY s)),
+  pc AS (SELECT zn.*, greatest(d."start"::DOUBLE, low) AS a, least(d."end" + 1.0::DOUBLE, high) AS b FROM zn JOIN d ON d.series_id = zn.series_id AND d."start" < high AND d."end" + 1 > low),
+  pb AS (SELECT *, list_sort(list_distinct(list_filter([a, b, s, e, s - (high - e), e + (s - low)], lambda x: x >= a AND x <= b))) AS c FROM pc),
+  pi AS (SELECT series_id, s, e, low, high, c[k] AS x0, c[k + 1] AS x1, (c[k] + c[k + 1]) / 2 AS x FROM (SELECT *, unnest(range(1, len(c))) AS k FROM pb)),
+  pp AS (SELECT series_id, s, sum((x1 - x0) * CASE WHEN x >= s AND x <= e THEN 1 WHEN x < s THEN (greatest(0, s - (s - x) - low) + greatest(0, high - e - (s - x))) / (high - low)
+     ELSE (greatest(0, s - (x - e) - low) + greatest(0, high - e - (x - e))) / (high - low) END) / sum(x1 - x0) AS p FROM pi GROUP BY ALL),
+  rl AS (SELECT series_id, s, e, low, high, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb FROM pc GROUP BY ALL),
+  rb AS (SELECT *, list_sort(list_distinct(list_filter(list_concat([s, e], la, lb, list_transform(range(1, len(la)), lambda k: (lb[k] + la[k + 1]) / 2), list_transform(la, lambda v: (low + v) / 2), list_transform(lb, lambda v: (low + v) / 2),
+     list_transform(la, lambda v: (high + v) / 2), list_transform(lb, lambda v: (high + v) / 2)), lambda v: v >= s AND v <= e))) AS c FROM rl),
+  ri AS (SELECT series_id, s, e, low, high, c[k + 1] - c[k] AS w, (c[k] + c[k + 1]) / 2 AS y, list_min(list_transform(range(1, len(la) + 1), lambda j: CASE WHEN (c[k] + c[k + 1]) / 2 BETWEEN la[j] AND lb[j] THEN 0
+     ELSE least(abs((c[k] + c[k + 1]) / 2 - la[j]), abs((c[k] + c[k + 1]) / 2 - lb[j])) END)) AS dist FROM (SELECT *, unnest(range(1, len(c))) AS k FROM rb)),
+  rr AS (SELECT series_id, s, sum(w * (greatest(0, y - dist - low) + greatest(0, high - y - dist)) / (high - low)) / (e - s) AS q FROM ri GROUP BY series_id, s, e),
+  fi AS (SELECT n.series_id, coalesce(avg(p), 0) AS p, coalesce(avg(CASE WHEN zn.s IS NULL THEN NULL ELSE coalesce(q, 0) END), 0) AS q FROM n LEFT JOIN zn USING (series_id) LEFT JOIN pp ON pp.series_id = zn.series_id AND pp.s = zn.s LEFT JOIN rr ON rr.series_id = zn.series_id AND rr.s = zn.s GROUP BY n.series_id)"""
+
+
+@query(
+    "affiliation_prf",
+    f"WITH {POINTS}, {FOUND}, {_AFFILIATION} SELECT series_id, round(p, 6) AS affi_precision, round(q, 6) AS affi_recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS affi_f1 FROM fi",
+)
 def affiliation_prf(spark, sf):
     points = event_points(spark, sf)
-    return V.affiliation_metrics(_found(points, 0.01), _found(points, 0.1), T.lengths(points))
+    out = V.affiliation_metrics(_found(points, 0.01), _found(points, 0.1), T.lengths(points))
+    return out.select("series_id", *(_rounded(c) for c in ("affi_precision", "affi_recall", "affi_f1")))
 
 
 # --- windows
@@ -454,19 +474,19 @@ def topk_mean_per_column(spark, sf):
 
 @query(
     "align_interpolate_extrapolate",
-    f"""WITH {POINTS}, s AS (SELECT series_id, idx AS pos, value AS score FROM p WHERE idx < 100),
-  q AS (SELECT series_id, count(*) AS c FROM s GROUP BY series_id),
-  gr AS (SELECT series_id, c, unnest(generate_series(0, 249)) AS k FROM q), gx AS (SELECT *, k * (c - 1) / 249.0::DOUBLE AS x FROM gr),
-  dr AS (SELECT gx.series_id, k, a.score + (b.score - a.score) * (x - floor(x)) AS v FROM gx JOIN s a ON a.series_id = gx.series_id AND a.pos = floor(x)
-    JOIN s b ON b.series_id = gx.series_id AND b.pos = least(floor(x) + 1, c - 1)),
-  en AS (SELECT series_id, max(v) FILTER (k = 249) AS l, max(v) FILTER (k = 249) - max(v) FILTER (k = 248) AS sl FROM dr GROUP BY series_id)
-  SELECT series_id, CAST(k AS BIGINT) AS idx, round(v, 6) AS score FROM dr JOIN n USING (series_id) WHERE k < t
-  UNION ALL SELECT series_id, CAST(k AS BIGINT), round(l + sl * (k - 249), 6) FROM (SELECT en.series_id, l, sl, unnest(generate_series(250, t - 1)) AS k FROM en JOIN n USING (series_id) WHERE t > 250)""",
+    f"""WITH {POINTS}, q AS (SELECT series_id, t, t - t // 10 AS covered FROM n),
+  gr AS (SELECT series_id, t, covered, unnest(generate_series(0, covered - 1)) AS k FROM q), gx AS (SELECT *, k * (t - 1) / (covered - 1)::DOUBLE AS x FROM gr),
+  dr AS (SELECT gx.series_id, t, covered, k, a.value + (b.value - a.value) * (x - floor(x)) AS v FROM gx JOIN p a ON a.series_id = gx.series_id AND a.idx = floor(x)
+    JOIN p b ON b.series_id = gx.series_id AND b.idx = least(floor(x) + 1, t - 1)),
+  en AS (SELECT series_id, t, covered, max(v) FILTER (k = covered - 1) AS l, max(v) FILTER (k = covered - 1) - max(v) FILTER (k = covered - 2) AS sl FROM dr GROUP BY ALL)
+  SELECT series_id, CAST(k AS BIGINT) AS idx, round(v, 6) AS score FROM dr
+  UNION ALL SELECT series_id, CAST(k AS BIGINT), round(l + sl * (k - covered + 1), 6) FROM (SELECT *, unnest(generate_series(covered, t - 1)) AS k FROM en)""",
 )
 def align_interpolate_extrapolate(spark, sf):
     points = event_points(spark, sf)
-    first = points.where("idx < 100").select("series_id", F.col("idx").alias("pos"), F.col("value").alias("score"))
-    return W.aligned(first, T.lengths(points), 250).withColumn("score", F.round("score", 6))
+    targets = T.lengths(points).withColumn("covered", F.col("t") - F.floor(F.col("t") / 10))
+    whole = points.select("series_id", F.col("idx").alias("pos"), F.col("value").alias("score"))
+    return W.aligned(whole, targets).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -488,13 +508,22 @@ def ewm_span(spark, sf):
     return N.ewm_span(event_points(spark, sf)).select("series_id", "idx", _rounded("smooth", 5))
 
 
+_ACF = """c AS (SELECT series_id, idx, value - avg(value) OVER (PARTITION BY series_id) AS v FROM p),
+  r AS (SELECT a.series_id, b.idx - a.idx AS lag, sum(a.v * b.v) AS acf FROM c a JOIN n USING (series_id) JOIN c b ON b.series_id = a.series_id AND b.idx >= a.idx AND b.idx <= a.idx + floor(t * 0.5::DOUBLE) GROUP BY ALL)"""
+
+
+@query("autocorr_lags", f"WITH {POINTS}, {_ACF} SELECT series_id, CAST(lag AS BIGINT) AS lag, round(acf, 3) AS acf FROM r")
+def autocorr_lags(spark, sf):
+    return N.autocorrelation(event_points(spark, sf)).select("series_id", "lag", F.round("acf", 3).alias("acf"))
+
+
 @query(
-    "autocorr_lags",
-    f"""WITH {POINTS}, c AS (SELECT series_id, idx, value - avg(value) OVER (PARTITION BY series_id) AS v FROM p), l AS (SELECT unnest(generate_series(0, 30)) AS lag)
-  SELECT a.series_id, CAST(lag AS BIGINT) AS lag, round(sum(a.v * b.v), 3) AS acf FROM c a CROSS JOIN l JOIN c b ON b.series_id = a.series_id AND b.idx = a.idx + lag GROUP BY a.series_id, lag""",
+    "period_by_autocorrelation",
+    f"""WITH {POINTS}, {_ACF}, k AS (SELECT series_id, lag, acf, first_value(acf) OVER w AS zero, acf > lag(acf) OVER w AND acf > lead(acf) OVER w AS peak FROM r WINDOW w AS (PARTITION BY series_id ORDER BY lag))
+  SELECT series_id, CAST(coalesce(arg_max(lag, acf) FILTER (peak AND lag > 2 AND acf >= floor(zero / 5)), 0) AS BIGINT) AS period FROM k GROUP BY series_id""",
 )
-def autocorr_lags(spark, sf):
-    return N.autocorrelation(event_points(spark, sf), 30).select("series_id", "lag", F.round("acf", 3).alias("acf"))
+def period_by_autocorrelation(spark, sf):
+    return N.best_period(N.autocorrelation(event_points(spark, sf))).withColumn("period", F.col("period").cast("long"))
 
 
 @query(
@@ -523,18 +552,24 @@ def zoom_candidates(spark, sf):
     return T.zoom_candidates(event_points(spark, sf)).select("series_id", "idx")
 
 
-@query("zoom_fusion_weighted", f"WITH {POINTS} SELECT series_id, idx, round(CASE WHEN idx % 3 = 0 THEN 0.3 * value + 0.7 * (value * value / 10) ELSE value END, 9) AS score FROM p")
+_CANDIDATES = "q AS (SELECT series_id, quantile_cont(value, 0.7) AS c FROM p GROUP BY series_id)"
+
+
+def _coarse_and_fine(spark, sf):
+    """Values as coarse scores, and other scores for the candidates to zoom into."""
+    points = event_points(spark, sf)
+    fine = T.zoom_candidates(points).select("series_id", "idx", (F.col("value") * F.col("value") / 10).alias("score"))
+    return points.select("series_id", "idx", F.col("value").alias("score")), fine
+
+
+@query("zoom_fusion_weighted", f"WITH {POINTS}, {_CANDIDATES} SELECT series_id, idx, round(CASE WHEN value >= c THEN 0.3 * value + 0.7 * (value * value / 10) ELSE value END, 9) AS score FROM p JOIN q USING (series_id)")
 def zoom_fusion_weighted(spark, sf):
-    coarse = event_points(spark, sf).select("series_id", "idx", F.col("value").alias("score"))
-    fine = coarse.where("idx % 3 = 0").select("series_id", "idx", (F.col("score") * F.col("score") / 10).alias("score"))
-    return W.fused(coarse, fine, 0.7).withColumn("score", F.round("score", 9))
+    return W.fused(*_coarse_and_fine(spark, sf), 0.7).withColumn("score", F.round("score", 9))
 
 
-@query("zoom_fusion_max", f"WITH {POINTS} SELECT series_id, idx, round(CASE WHEN idx % 3 = 0 THEN greatest(value, value * value / 10) ELSE value END, 9) AS score FROM p")
+@query("zoom_fusion_max", f"WITH {POINTS}, {_CANDIDATES} SELECT series_id, idx, round(CASE WHEN value >= c THEN greatest(value, value * value / 10) ELSE value END, 9) AS score FROM p JOIN q USING (series_id)")
 def zoom_fusion_max(spark, sf):
-    coarse = event_points(spark, sf).select("series_id", "idx", F.col("value").alias("score"))
-    fine = coarse.where("idx % 3 = 0").select("series_id", "idx", (F.col("score") * F.col("score") / 10).alias("score"))
-    return W.fused(coarse, fine).withColumn("score", F.round("score", 9))
+    return W.fused(*_coarse_and_fine(spark, sf)).withColumn("score", F.round("score", 9))
 
 
 @query("rank_min_desc", f"WITH {_ALPHA_ROWS} SELECT model, dataset, signal, alpha, rank() OVER (PARTITION BY model, dataset ORDER BY f1 DESC) AS rank FROM ap")
@@ -919,6 +954,15 @@ for _name, _detector in D.DETECTORS.items():
         SQL[f"detect_{_name}"] = detector_sql(_detector)
 
 
-@query("window_sizes")
+@query(
+    "window_sizes",
+    f"""WITH {POINTS}, c AS (SELECT series_id, idx, value - avg(value) OVER (PARTITION BY series_id) AS v FROM p),
+  f AS (SELECT series_id, t, unnest(generate_series(1, t // 2)) AS k FROM n WHERE t >= 56),
+  m AS (SELECT f.series_id, t, k, sqrt(pow(sum(v * cos(2 * pi() * k * idx / t)), 2) + pow(sum(v * sin(2 * pi() * k * idx / t)), 2)) AS a FROM f JOIN c USING (series_id) GROUP BY ALL),
+  g AS (SELECT series_id, t, sum(a * a) FILTER (k >= greatest(1, CAST(floor((t // 2 + 1) * 0.75::DOUBLE) AS BIGINT))) / (sum(a * a) + 1e-12) AS high, arg_max(k, a) AS top, max(a) AS peak, median(a) AS noise FROM m GROUP BY ALL),
+  d AS (SELECT series_id, s, abs(s - greatest(1, round_even(s * top / t::DOUBLE, 0)) * t / top::DOUBLE) AS gap FROM g CROSS JOIN (SELECT unnest([56, 112, 224]) AS s)),
+  b AS (SELECT series_id, first(s ORDER BY gap, s) AS s FROM d GROUP BY series_id)
+  SELECT n.series_id, CAST(CASE WHEN high > 0.4 THEN 56 WHEN n.t < 56 OR noise < 1e-10 OR peak < 3 * noise THEN 224 ELSE s END AS BIGINT) AS "window" FROM n LEFT JOIN g USING (series_id) LEFT JOIN b USING (series_id)""",
+)
 def window_sizes(spark, sf):
     return N.window_sizes(event_points(spark, sf))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigil.functions.numbers import f1, ratio
+from vigil.operators.intervals import BUCKET, bucketed
 
 
 def overlap_metrics(counts: DataFrame) -> DataFrame:
@@ -139,24 +140,41 @@ def affiliation(truth: list[tuple[float, float]], found: list[tuple[float, float
     return (float(np.mean(precisions)) if precisions else 0.0), float(np.mean(recalls))
 
 
-def affiliation_metrics(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFrame:
-    """series_id, affi_precision, affi_recall, affi_f1 from inclusive index intervals; intervals only are gathered."""
+def zones(truth: DataFrame, lengths: DataFrame) -> DataFrame:
+    """series_id, s, e (half-open event), low, high: the stretch that is nearer to this event than to any other."""
+    order = Window.partitionBy("series_id").orderBy("start")
+    rows = truth.join(lengths, "series_id").select("series_id", "t", F.col("start").cast("double").alias("s"), (F.col("end") + 1).cast("double").alias("e"), "start")
+    low = F.coalesce((F.lag("e").over(order) + F.col("s")) / 2, F.lit(0.0))
+    high = F.coalesce((F.col("e") + F.lead("s").over(order)) / 2, F.col("t").cast("double"))
+    return rows.select("series_id", "s", "e", low.alias("low"), high.alias("high"))
 
-    def listed(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
 
-    joined = lengths.join(listed(truth, "truth"), "series_id", "left").join(listed(found, "found"), "series_id", "left")
+def affiliation_metrics(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """series_id, affi_precision, affi_recall, affi_f1 from inclusive index intervals.
+
+    Found intervals are cut by zones in a bucketed join; each zone is scored by itself with its own pieces.
+    """
+    parts = zones(truth, lengths).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("low") / BUCKET), F.floor(F.col("high") / BUCKET))))
+    pieces = bucketed(found).select("series_id", "_bucket", F.col("start").cast("double").alias("a"), (F.col("end") + 1).cast("double").alias("b"))
+    cut = parts.join(pieces, ["series_id", "_bucket"], "left").select(
+        "series_id", "s", "e", "low", "high", F.greatest("a", "low").alias("a"), F.least("b", "high").alias("b")
+    )
+    each = cut.groupBy("series_id", "s", "e", "low", "high").agg(
+        F.array_sort(F.collect_set(F.when(F.col("b") > F.col("a"), F.struct("a", "b")))).alias("pieces")
+    )
 
-    def work(parts):
-        for part in parts:
+    def work(batches):
+        for part in batches:
             rows = []
             for r in part.itertuples(index=False):
-                spans = [[(float(x["start"]), float(x["end"]) + 1) for x in (v if v is not None else [])] for v in (r.truth, r.found)]
-                p, q = affiliation(*spans, float(r.t))
-                rows.append((r.series_id, p, q, 2 * p * q / (p + q) if p + q else 0.0))
-            yield pd.DataFrame(rows, columns=["series_id", "affi_precision", "affi_recall", "affi_f1"])
+                spans = [(x["a"] - r.low, x["b"] - r.low) for x in r.pieces]
+                p, q = affiliation([(r.s - r.low, r.e - r.low)], spans, r.high - r.low)
+                rows.append((r.series_id, p if spans else None, q))
+            yield pd.DataFrame(rows, columns=["series_id", "p", "q"])
 
     kind = lengths.schema["series_id"].dataType.simpleString()
-    return joined.select("series_id", "t", "truth", "found").mapInPandas(
-        work, f"series_id {kind}, affi_precision double, affi_recall double, affi_f1 double"
+    scored = each.mapInPandas(work, f"series_id {kind}, p double, q double").groupBy("series_id").agg(F.avg("p").alias("p"), F.avg("q").alias("q"))
+    p, q = F.coalesce("p", F.lit(0.0)), F.coalesce("q", F.lit(0.0))
+    return lengths.select("series_id").join(scored, "series_id", "left").select(
+        "series_id", p.alias("affi_precision"), q.alias("affi_recall"), f1(p, q).alias("affi_f1")
     )

@@ -108,20 +108,40 @@ def ewm_span(points: DataFrame, share: float = 0.01, keep: tuple[str, ...] = ())
     return _smooth(points, 1 - 2 / (span + 1), adjusted=True, keep=keep)
 
 
-def autocorrelation(points: DataFrame, lags: int) -> DataFrame:
-    """series_id, lag, acf (not normalised), of values less their mean."""
-    centred = per_series(points, F.avg("value").alias("_mean")).withColumn("v", F.col("value") - F.col("_mean"))
-    shifted = centred.select("series_id", "v", *(F.lead("v", k).over(ordered()).alias(f"_{k}") for k in range(1, lags + 1)))
-    sums = shifted.groupBy("series_id").agg(
-        F.sum(F.col("v") * F.col("v")).alias("_0"),
-        *(F.coalesce(F.sum(F.col("v") * F.col(f"_{k}")), F.lit(0.0)).alias(f"_{k}") for k in range(1, lags + 1)),
+def autocorrelation(points: DataFrame, share: float = 0.5) -> DataFrame:
+    """series_id, lag, acf (not normalised), of values less their mean, for all lags up to ``share`` of the series.
+
+    Slices of a series meet in pairs no further apart than the lags reach; a pair gives the sums of its
+    lags by a Fourier transform, and sums of equal lags are added up.
+    """
+    centred = per_series(points, F.avg("value").alias("_mean"), F.count(F.lit(1)).alias("t")).select(
+        "series_id", "t", F.floor(F.col("idx") / SLICE).alias("slice"), F.struct("idx", (F.col("value") - F.col("_mean")).alias("v")).alias("p")
     )
-    each = F.array(*(F.col(f"_{k}") for k in range(lags + 1)))
-    return sums.select("series_id", F.posexplode(each).alias("lag", "acf")).withColumn("lag", F.col("lag").cast("long"))
+    slices = centred.groupBy("series_id", "t", "slice").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["v"]).alias("v"))
+    most = F.floor(F.col("t") * share)
+    other = F.sequence(F.col("slice"), F.least(F.floor((F.col("t") - 1) / SLICE), F.col("slice") + F.ceil(most / SLICE)))
+    left = slices.select("series_id", most.alias("most"), "slice", F.col("v").alias("a"), F.explode(other).alias("other"))
+    right = slices.select("series_id", F.col("slice").alias("other"), F.col("v").alias("b"))
+    kind = points.schema["series_id"].dataType.simpleString()
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples(index=False):
+                a, b = np.asarray(r.a), np.asarray(r.b)
+                n = 1 << (len(a) + len(b)).bit_length()
+                both = np.fft.irfft(np.fft.rfft(b, n) * np.conj(np.fft.rfft(a, n)), n)
+                lag = np.arange(1 - len(a), len(b))
+                far = lag + (r.other - r.slice) * SLICE
+                ok = (far >= 0) & (far <= r.most)
+                yield pd.DataFrame({"series_id": r.series_id, "lag": far[ok], "acf": both[lag[ok]]})
+
+    pairs = left.join(right, ["series_id", "other"]).select("series_id", "most", "slice", "other", "a", "b")
+    found = pairs.mapInPandas(sums, f"series_id {kind}, lag long, acf double")
+    return found.groupBy("series_id", "lag").agg(F.sum("acf").alias("acf"))
 
 
 def best_period(acf: DataFrame) -> DataFrame:
-    """Lag of the highest local peak of the autocorrelation; 0 without one, or below acf(0) // 5."""
+    """Lag, of 3 or more, of the highest local peak of the autocorrelation; 0 without one, or below acf(0) // 5."""
     w = Window.partitionBy("series_id").orderBy("lag")
     marked = acf.select(
         "series_id",
@@ -130,7 +150,7 @@ def best_period(acf: DataFrame) -> DataFrame:
         F.first("acf").over(w).alias("zero"),
         ((F.col("acf") > F.lag("acf").over(w)) & (F.col("acf") > F.lead("acf").over(w))).alias("peak"),
     )
-    good = F.col("peak") & (F.col("acf") >= F.floor(F.col("zero") / 5))
+    good = F.col("peak") & (F.col("lag") > 2) & (F.col("acf") >= F.floor(F.col("zero") / 5))
     return marked.groupBy("series_id").agg(
         F.coalesce(F.max_by(F.when(good, F.col("lag")), F.when(good, F.col("acf"))), F.lit(0)).alias("period")
     )

@@ -68,6 +68,13 @@ def first_signals(points: DataFrame, n: int) -> DataFrame:
 
 
 def labelled_only(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """Series with a label that covers at least one of their points."""
-    hit = points.join(labels.select("series_id", "start", "end"), "series_id").where("ts BETWEEN start AND end")
-    return points.join(hit.select("series_id").distinct(), "series_id", "left_semi")
+    """Series with a label (series_id, start, end in time) that covers at least one of their points.
+
+    A label meets the points of the days that it touches.
+    """
+    day = F.date_trunc("day", F.col("ts"))
+    days = F.explode(F.sequence(F.date_trunc("day", F.col("start")), F.date_trunc("day", F.col("end")), F.expr("INTERVAL 1 DAY"))).alias("_day")
+    spans = labels.where(F.col("start") <= F.col("end")).select(F.col("series_id").alias("_s"), "start", "end", days)
+    hit = (F.col("series_id") == F.col("_s")) & (day == F.col("_day")) & F.col("ts").between(F.col("start"), F.col("end"))
+    covered = points.select("series_id", "ts").join(spans, hit, "left_semi").select("series_id").distinct()
+    return points.join(covered, "series_id", "left_semi")

@@ -36,28 +36,27 @@ def top_mean(cells: DataFrame, keys: list[str], value: str, share: float) -> Dat
     return cells.groupBy(*keys).agg(ordered.alias("_v")).select(*keys, mean.alias("score"))
 
 
-def aligned(scores: DataFrame, targets: DataFrame, covered: int) -> DataFrame:
+def aligned(scores: DataFrame, targets: DataFrame) -> DataFrame:
     """Stretch pos 0..L-1 of each series over ``covered`` rows, then on to t rows by the last slope, or cut there.
 
-    targets: series_id, t. Two equality joins fetch the neighbours of each position.
+    targets: series_id, t, covered. Two equality joins fetch the neighbours of each position.
     """
     size = scores.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    x = F.col("k") * (F.col("n") - 1) / F.lit(float(max(1, covered - 1)))
-    grid = size.select("series_id", "n", F.explode(F.sequence(F.lit(0), F.lit(covered - 1))).alias("k")).withColumn("x", x)
+    known = targets.select("series_id", F.col("t").cast("long").alias("t"), F.col("covered").cast("long").alias("covered"))
+    x = F.col("k") * (F.col("n") - 1) / F.greatest(F.lit(1), F.col("covered") - 1)
+    grid = size.join(known, "series_id").select("series_id", "n", "t", "covered", F.explode(F.sequence(F.lit(0).cast("long"), F.col("covered") - 1)).alias("k")).withColumn("x", x)
     grid = grid.withColumn("a", F.floor("x")).withColumn("b", F.least(F.col("a") + 1, F.col("n") - 1))
     low = scores.select("series_id", F.col("pos").alias("a"), F.col("score").alias("va"))
     high = scores.select("series_id", F.col("pos").alias("b"), F.col("score").alias("vb"))
     drawn = grid.join(low, ["series_id", "a"]).join(high, ["series_id", "b"]).select(
-        "series_id", F.col("k").cast("long").alias("idx"), (F.col("va") + (F.col("vb") - F.col("va")) * (F.col("x") - F.col("a"))).alias("score")
+        "series_id", "t", "covered", F.col("k").alias("idx"), (F.col("va") + (F.col("vb") - F.col("va")) * (F.col("x") - F.col("a"))).alias("score")
     )
-    ends = drawn.where(F.col("idx") >= covered - 2).groupBy("series_id").agg(
+    ends = drawn.where(F.col("idx") >= F.col("covered") - 2).groupBy("series_id", "t", "covered").agg(
         F.max_by("score", "idx").alias("last"), (F.max_by("score", "idx") - F.min_by("score", "idx")).alias("slope")
     )
-    tail = ends.join(targets.where(F.col("t") > covered), "series_id").select(
-        "series_id", F.explode(F.sequence(F.lit(covered), F.col("t").cast("int") - 1)).alias("k"), "last", "slope"
-    ).select("series_id", F.col("k").cast("long").alias("idx"), (F.col("last") + F.col("slope") * (F.col("k") - covered + 1)).alias("score"))
-    kept = drawn.join(targets, "series_id").where("idx < t").drop("t")
-    return kept.unionByName(tail)
+    tail = ends.where("t > covered").select("series_id", "covered", "last", "slope", F.explode(F.sequence(F.col("covered"), F.col("t") - 1)).alias("idx"))
+    behind = tail.select("series_id", "idx", (F.col("last") + F.col("slope") * (F.col("idx") - F.col("covered") + 1)).alias("score"))
+    return drawn.where("idx < t").select("series_id", "idx", "score").unionByName(behind)
 
 
 def fused(coarse: DataFrame, fine: DataFrame, weight: float | None = None) -> DataFrame:
