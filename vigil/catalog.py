@@ -6,11 +6,13 @@ rounded on both sides, since engines add in different orders.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.functions.numbers import ALPHAS, image_tokens, upper_z
 from vigil.operators import embeddings as E
@@ -808,6 +810,156 @@ def adaptive_k(spark, sf):
     return known.withColumn("k", N.neighbours_for(F.col("windows")))
 
 
+# --- variants, requests and verification
+
+
+def _examples(spark, sf):
+    """series_id, shown (text of the resampled series), examples: its own first quarter with the intervals there."""
+    points = event_points(spark, sf)
+    small = P.resampled(points, 0.3)
+    return P.series_text(small, "plain").withColumnRenamed("text", "shown"), points
+
+
+@query(
+    "prompt_variants",
+    f"""WITH {POINTS}, {FOUND}, m AS (SELECT series_id, list('{{"start":' || floor("start" * 0.3::DOUBLE)::BIGINT || ',"end":' || floor("end" * 0.3::DOUBLE)::BIGINT || '}}' ORDER BY "start") AS i FROM g GROUP BY series_id)
+  SELECT series_id, v.variant, CAST(1 + 2 * v.shots + 4 * v.worked AS BIGINT) AS n_messages, CASE WHEN v.shots = 1 THEN '[' || array_to_string(i, ',') || ']' END AS example
+  FROM m CROSS JOIN (SELECT unnest([{', '.join(f"'{k}'" for k in P.VARIANTS if not P.VARIANTS[k].vision and not P.VARIANTS[k].reasoning and P.VARIANTS[k].scale < 1)}]) AS variant,
+    unnest([{', '.join(str(x.shots) for x in P.VARIANTS.values() if not x.vision and not x.reasoning and x.scale < 1)}]) AS shots,
+    unnest([{', '.join(str(int(x.worked is not None)) for x in P.VARIANTS.values() if not x.vision and not x.reasoning and x.scale < 1)}]) AS worked) v""",
+)
+def prompt_variants(spark, sf):
+    shown, points = _examples(spark, sf)
+    found = _found(points, 0.01).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("i"))
+    each = []
+    for name, variant in P.VARIANTS.items():
+        if not variant.vision and not variant.reasoning and variant.scale < 1:
+            answer = P.example_answer(variant, P.Wording(), F.col("i"), F.lit(""), F.lit(""))
+            examples = F.array(F.struct(F.col("shown").alias("shown"), answer.alias("answer")))
+            made = P.variant_messages(variant, F.col("shown"), examples)
+            example = F.element_at(made, -2)["text"] if variant.shots else F.lit(None).cast("string")
+            each.append(F.struct(F.lit(name).alias("variant"), F.size(made).cast("long").alias("n_messages"), example.alias("example")))
+    rows = found.join(shown, "series_id").select("series_id", F.explode(F.array(*each)).alias("x"))
+    return rows.select("series_id", "x.variant", "x.n_messages", "x.example")
+
+
+@query(
+    "prompt_reasoning",
+    """SELECT doc_id, CASE WHEN toxic = 1 THEN 'Usually: ' || coalesce(lang, '?') || '. Here: ' || coalesce(source, '?') || '. Answer: [{"start":' || floor(n_chars * 0.3::DOUBLE)::BIGINT || ',"end":' || floor(n_chars * 0.3::DOUBLE)::BIGINT || '}]'
+    ELSE 'Usually: ' || coalesce(lang, '?') || '. Nothing departs from it. Answer: []' END AS answer FROM documents JOIN labels USING (doc_id)""",
+)
+def prompt_reasoning(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    one = F.array(F.struct(F.col("n_chars").cast("long").alias("start"), F.col("n_chars").cast("long").alias("end")))
+    marked = F.when(F.col("toxic") == 1, one).otherwise(F.slice(one, 1, 0))
+    answer = P.example_answer(P.VARIANTS["0shot-text-s0.3-cot"], P.Wording(), marked, F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?")))
+    return rows.select("doc_id", answer.alias("answer"))
+
+
+@query(
+    "contents_request",
+    """SELECT conv_id, turn, 2::BIGINT AS n_parts, coalesce(text, '') AS text, base64(encode(role)) AS image, 0.4::DOUBLE AS temperature FROM conversations WHERE role = 'user'""",
+)
+def contents_request(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
+    image = F.concat(F.lit("data:image/jpeg;base64,"), F.base64(F.col("role").cast("binary")))
+    message = F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("text"), image.alias("image")))
+    read = rows.select("conv_id", "turn", F.from_json(P.contents_request(message), "contents array<struct<text:string,inline_data:string>>, temperature double").alias("r"))
+    return read.select(
+        "conv_id", "turn", F.size("r.contents").cast("long").alias("n_parts"), F.col("r.contents")[0]["text"].alias("text"),
+        F.col("r.contents")[1]["inline_data"].alias("image"), F.col("r.temperature").alias("temperature"),
+    )
+
+
+@query(
+    "postprocess_variants",
+    f"""WITH {POINTS}, {FOUND} SELECT series_id, "start", v.variant, CASE WHEN v.variant IN ({', '.join(f"'{x}'" for x in P.RESCALED)}) THEN floor("start" / 0.3::DOUBLE)::BIGINT::VARCHAR || ' to ' || floor("end" / 0.3::DOUBLE)::BIGINT
+    ELSE "start" || ' to ' || "end" END AS answer FROM d CROSS JOIN (SELECT unnest([{', '.join(f"'{x}'" for x in P.VARIANTS)}]) AS variant) v""",
+)
+def postprocess_variants(spark, sf):
+    text = F.concat(F.col("start").cast("string"), F.lit(" to "), F.col("end").cast("string"))
+    each = F.array(*(F.struct(F.lit(k).alias("variant"), P.postprocessed(text, k).alias("answer")) for k in P.VARIANTS))
+    return _found(event_points(spark, sf), 0.1).select("series_id", "start", F.explode(each).alias("x")).select("series_id", "start", "x.variant", "x.answer")
+
+
+@query("anomaly_budget", f"WITH {POINTS} SELECT series_id, CAST(greatest(3, floor(t * 0.05::DOUBLE)) AS BIGINT) AS budget FROM n")
+def anomaly_budget(spark, sf):
+    return T.lengths(event_points(spark, sf)).select("series_id", P.budget(F.col("t")).cast("long").alias("budget"))
+
+
+def _replayed(prompts: list[str]) -> list[str]:
+    """Answers of a stand-in for a model: it keeps every second proposal, reversed; for odd lengths it says nothing useful."""
+    out = []
+    for prompt in prompts:
+        length, pairs = int(prompt.split()[1].rstrip(".")), json.loads(prompt[prompt.index("[") : prompt.rindex("]") + 1])
+        kept = [[b + 5, a - 5] for a, b in pairs[::2]]
+        sure = [k % 3 + 1 for k in range(len(kept))][:4]
+        answer = json.dumps({"interval_index": kept, "confidence": sure, "abnormal_description": "x"})
+        out.append(f"```json\n{answer}\n```" if length % 2 == 0 else "I can't tell.")
+    return out
+
+
+@query(
+    "verify_proposals",
+    f"""WITH {POINTS}, {FOUND}, r AS (SELECT g.*, t, row_number() OVER (PARTITION BY g.series_id ORDER BY "start") - 1 AS k FROM g JOIN n USING (series_id))
+  SELECT series_id, greatest(0, least(t - 1, "start" - 5)) AS "start", greatest(0, least(t - 1, "end" + 5)) AS "end", CAST(CASE WHEN k // 2 < 4 THEN (k // 2) % 3 + 1 ELSE 1 END AS BIGINT) AS severity, 'verified' AS status FROM r WHERE t % 2 = 0 AND k % 2 = 0
+  UNION ALL SELECT series_id, "start", "end", 1, 'fallback' FROM r WHERE t % 2 = 1""",
+)
+def verify_proposals(spark, sf):
+    points = event_points(spark, sf)
+    asked = P.verification_prompts(_found(points, 0.01), T.lengths(points))
+    return P.verified_intervals(D.verified(asked, _replayed))
+
+
+@query(
+    "metric_maps",
+    """SELECT l_returnflag, metric, round(avg(value), 6) AS mean, count(value) AS samples, round(any_value(c), 6) AS coverage FROM (
+    SELECT l_returnflag, unnest(['f1', 'recall']) AS metric, unnest([l_discount, l_tax]) AS value, l_quantity FROM lineitem WHERE l_quantity > 5) JOIN
+    (SELECT l_returnflag, count(*) FILTER (l_quantity > 5) / 7000.0::DOUBLE AS c FROM lineitem GROUP BY l_returnflag) USING (l_returnflag) GROUP BY l_returnflag, metric""",
+)
+def metric_maps(spark, sf):
+    metrics = F.create_map(F.lit("f1"), "l_discount", F.lit("recall"), "l_tax")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", F.when(F.col("l_quantity") > 5, metrics).alias("metrics"))
+    out = V.metric_means(rows, ["l_returnflag"], 7000)
+    return out.select("l_returnflag", "metric", _rounded("mean"), "samples", _rounded("coverage"))
+
+
+@query("membership_filter", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('P')")
+def membership_filter(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet")
+    return rows.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & ~F.col("o_orderstatus").isin("P")).select("o_orderkey", "o_orderpriority")
+
+
+@query(
+    "sorted_summary",
+    "SELECT row_number() OVER (ORDER BY n_name, c_mktsegment) AS place, * FROM (SELECT n_name, c_mktsegment, round(avg(c_acctbal), 4) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)",
+)
+def sorted_summary(spark, sf):
+    nations = spark.read.parquet(f"{sf}/nation.parquet")
+    means = spark.read.parquet(f"{sf}/customer.parquet").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "c_mktsegment")
+    rows = means.agg(F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    # one row a group: few enough to be numbered in order
+    return rows.select(F.row_number().over(Window.orderBy("n_name", "c_mktsegment")).cast("long").alias("place"), "n_name", "c_mktsegment", "mean")
+
+
+@query(
+    "description_lookup",
+    "SELECT c_custkey, coalesce(n_name, 'no description') AS description FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey",
+)
+def description_lookup(spark, sf):
+    known = spark.read.parquet(f"{sf}/nation.parquet").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("description"))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey").join(known, "c_nationkey", "left")
+    return rows.select("c_custkey", F.coalesce("description", F.lit("no description")).alias("description"))
+
+
+@query(
+    "unit_range_epsilon",
+    f"WITH {POINTS} SELECT series_id, idx, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8), 6) AS value FROM p WINDOW w AS (PARTITION BY series_id)",
+)
+def unit_range_epsilon(spark, sf):
+    return D.unit_range(event_points(spark, sf), "value").select("series_id", "idx", _rounded("value"))
+
+
 # --- ledgers and comparisons
 
 

@@ -63,6 +63,16 @@ def experiment_summary(progress: DataFrame) -> DataFrame:
     return summary(ok, ["dataset", "model"], ["f1_max", "precision", "recall", "affi_f1"])
 
 
+def metric_means(rows: DataFrame, keys: list[str], expected: int, metrics: str = "metrics") -> DataFrame:
+    """Mean of each entry of a map of metrics over the samples of a group, and how many of ``expected`` there were.
+
+    A sample without a result has no row or a null map; it counts as missing and never as the sample before.
+    """
+    size = rows.groupBy(*keys).agg((F.count(metrics) / F.lit(expected)).alias("coverage"))
+    each = rows.select(*keys, F.explode(metrics).alias("metric", "value"))
+    return each.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("samples")).join(size, keys)
+
+
 def win_tie_loss(rows: DataFrame, keys: list[str], delta: Column) -> DataFrame:
     return rows.withColumn("_d", delta).groupBy(*keys).agg(
         F.count_if(F.col("_d") > 0).alias("wins"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,135 @@ def chat_request(system: Column, user: Column, image: Column | None = None, temp
     return F.to_json(F.struct(F.array(first, second).alias("messages"), F.lit(temperature).alias("temperature")))
 
 
+@dataclass(frozen=True)
+class Variant:
+    """What a prompt variant is made of. shots: solved examples before the question. scale: of the time axis.
+
+    worked: True puts correct sums before everything, False wrong ones, None nothing.
+    """
+
+    vision: bool = False
+    shots: int = 0
+    reasoning: bool = False
+    worked: bool | None = None
+    definition: bool = False
+    scale: float = 1.0
+    form: str = "plain"
+
+
+def _variants() -> dict[str, Variant]:
+    """All variants by name: shots, kind, scale and the rest, joined by dashes."""
+    small = Variant(scale=0.3)
+    out = {"0shot-text-def": Variant(definition=True), "0shot-vision-def": Variant(vision=True, definition=True)}
+    for shots in (0, 1):
+        seen = Variant(vision=True, shots=shots)
+        out |= {
+            f"{shots}shot-vision": seen,
+            f"{shots}shot-vision-calc": replace(seen, worked=True),
+            f"{shots}shot-vision-dyscalc": replace(seen, worked=False),
+            f"{shots}shot-vision-cot": replace(seen, reasoning=True),
+            f"{shots}shot-text": Variant(shots=shots),
+            f"{shots}shot-text-s0.3": replace(small, shots=1),  # one example under either name
+            f"{shots}shot-text-s0.3-cot": replace(small, shots=shots, reasoning=True),
+        }
+    out |= {"0shot-text-s0.3-calc": replace(small, worked=True), "0shot-text-s0.3-dyscalc": replace(small, worked=False)}
+    for end, form in (("csv", "csv"), ("tpd", "digits"), ("pap", "described")):
+        out |= {f"0shot-text-s0.3-{end}": replace(small, form=form), f"0shot-text-s0.3-cot-{end}": replace(small, form=form, reasoning=True)}
+    return out
+
+
+#: Prompt variants by name.
+VARIANTS = _variants()
+#: Variants whose answers count in the scaled time axis.
+RESCALED = ("0shot-text-s0.3", "1shot-text-s0.3", "0shot-text-s0.3-cot", "1shot-text-s0.3-cot")
+
+
+@dataclass(frozen=True)
+class Wording:
+    """The sentences of prompts; answers of examples have places for a data set's descriptions and the intervals."""
+
+    question: str = 'Which ranges of the series are anomalous? Answer with a list like [{"start": 1, "end": 2}], or [] if there are none.'
+    definition: str = "An anomaly is a stretch that departs from the pattern of the rest."
+    limit: str = "At most five ranges. "
+    reasoning: str = "Describe the usual pattern first, then what departs from it, then answer as asked: "
+    reasoned: str = "Usually: {normal}. Here: {abnormal}. Answer: {intervals}"
+    reasoned_normal: str = "Usually: {normal}. Nothing departs from it. Answer: []"
+    sums: tuple[tuple[str, str, str], ...] = (("What is 17 + 25?", "42", "52"), ("What is 9 * 8?", "72", "63"))
+
+    def asked(self, variant: Variant) -> str:
+        head = "" if variant.vision else self.limit
+        head += self.reasoning if variant.reasoning else (self.definition + " " if variant.definition else "")
+        return head + self.question
+
+
+def scaled_intervals(intervals: Column, scale: float) -> Column:
+    """Starts and ends of array<struct<start,end>> on the scaled time axis, rounded down."""
+    return F.transform(
+        intervals,
+        lambda x: F.struct(F.floor(x["start"] * F.lit(scale)).alias("start"), F.floor(x["end"] * F.lit(scale)).alias("end")),
+    )
+
+
+def example_answer(variant: Variant, wording: Wording, intervals: Column, normal: Column, abnormal: Column) -> Column:
+    """What an example's assistant says: its intervals as JSON, within an explanation if the variant reasons."""
+    body = F.to_json(intervals if variant.vision else scaled_intervals(intervals, variant.scale))
+    if not variant.reasoning:
+        return body
+    some = F.size(intervals) > 0
+    text = F.when(some, F.lit(wording.reasoned)).otherwise(F.lit(wording.reasoned_normal))
+    for name, value in (("{normal}", normal), ("{abnormal}", abnormal), ("{intervals}", body)):
+        text = F.replace(text, F.lit(name), value)
+    return text
+
+
+def variant_messages(variant: Variant, shown: Column, examples: Column, wording: Wording = Wording()) -> Column:
+    """array<struct<role, text, image>> of a request: sums, examples and the question, in that order.
+
+    ``shown``: the series as text, or its picture for a vision variant; ``examples``:
+    array<struct<shown, answer>>, of which the first ``shots`` are used.
+    """
+
+    def message(role: str, text: Column, image: Column | None = None) -> Column:
+        return F.struct(F.lit(role).alias("role"), text.alias("text"), (F.lit(None).cast("string") if image is None else image).alias("image"))
+
+    def question(series: Column) -> Column:
+        asked = F.lit(wording.asked(variant))
+        if variant.vision:
+            return message("user", asked, F.concat(F.lit("data:image/jpeg;base64,"), series))
+        return message("user", F.concat(series, F.lit("\n\n"), asked))
+
+    parts = []
+    if variant.worked is not None:
+        parts.append(F.array(*(m for q, right, wrong in wording.sums for m in (message("user", F.lit(q)), message("assistant", F.lit(right if variant.worked else wrong))))))
+    if variant.shots:
+        pairs = F.transform(F.slice(examples, 1, variant.shots), lambda e: F.array(question(e["shown"]), message("assistant", e["answer"])))
+        parts.append(F.flatten(pairs))
+    return F.concat(*parts, F.array(question(shown)))
+
+
+def contents_request(messages: Column, temperature: float = 0.4) -> Column:
+    """The request of a provider that takes one flat list of parts: texts, and images as bare base64; JSON."""
+
+    def part(text: Column, image: Column) -> Column:
+        return F.struct(text.alias("text"), image.alias("inline_data"))
+
+    none = F.lit(None).cast("string")
+    parts = F.flatten(
+        F.transform(
+            messages,
+            lambda m: F.when(m["image"].isNull(), F.array(part(m["text"], none))).otherwise(
+                F.array(part(m["text"], none), part(none, F.element_at(F.split(m["image"], ","), -1)))
+            ),
+        )
+    )
+    return F.to_json(F.struct(parts.alias("contents"), F.lit(temperature).alias("temperature")))
+
+
+def postprocessed(answer: Column, variant: str) -> Column:
+    """The answer with its numbers back on the series' own time axis, for variants that scale it."""
+    return rescale_digits(answer, VARIANTS[variant].scale) if variant in RESCALED else answer
+
+
 def parse_intervals(answer: Column) -> Column:
     """array<struct<start,end>> between the first [ and the last ]; null if that isn't such a list."""
     low, high = F.instr(answer, "["), F.length(answer) - F.instr(F.reverse(answer), "]") + 1
@@ -89,6 +220,41 @@ def verdict_intervals(rows: DataFrame, answer: str) -> DataFrame:
     )
 
 
+def verification_prompts(proposals: DataFrame, lengths: DataFrame) -> DataFrame:
+    """series_id, t, proposals (sorted array<struct<start, end>>), prompt: one question a series with proposals."""
+    listed = proposals.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("proposals"))
+    pairs = F.transform("proposals", lambda x: F.array(x["start"], x["end"]))
+    known = listed.join(lengths.select("series_id", "t"), "series_id")
+    prompt = F.concat(F.lit("Length "), F.col("t").cast("string"), F.lit(". Proposed anomalies: "), F.to_json(pairs), F.lit(". Which hold, and how sure are you (1 to 3)?"))
+    return known.withColumn("prompt", prompt)
+
+
+def verified_intervals(answered: DataFrame) -> DataFrame:
+    """series_id, start, end, severity, status from prompts with answers.
+
+    Intervals of an answer are turned if reversed and clamped to the series; their severity is the confidence,
+    1 where it is missing. An answer that doesn't parse, or an empty one, leaves the proposals, with severity 1.
+    """
+    read = answered.withColumn("_v", parse_verdict(F.col("answer")))
+    good = F.coalesce(F.size("_v.interval_index") > 0, F.lit(False)) & F.forall("_v.interval_index", lambda x: F.size(x) == 2)
+
+    def inside(x: Column) -> Column:
+        return F.greatest(F.lit(0).cast("long"), F.least(x.cast("long"), F.col("t") - 1))
+
+    found = F.transform(
+        "_v.interval_index",
+        lambda x, k: F.struct(
+            inside(F.least(x[0], x[1])).alias("start"),
+            inside(F.greatest(x[0], x[1])).alias("end"),
+            F.coalesce(F.get("_v.confidence", k), F.lit(1)).cast("long").alias("severity"),
+        ),
+    )
+    kept = F.transform("proposals", lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), F.lit(1).cast("long").alias("severity")))
+    status = F.when(good, "verified").otherwise("fallback")
+    each = read.select("series_id", status.alias("status"), F.explode(F.when(good, found).otherwise(kept)).alias("x"))
+    return each.select("series_id", "x.start", "x.end", "x.severity", "status")
+
+
 def parse_times(answer: Column) -> Column:
     """array<struct<start,end>> of timestamps from every {...}; objects that don't parse are skipped."""
     found = F.regexp_extract_all(answer, F.lit(r"\{[^}]+\}"), F.lit(0))
