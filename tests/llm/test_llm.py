@@ -274,18 +274,15 @@ def test_vectors(spark, monkeypatch):
 
 def test_candidates_hold_every_pair_at_the_threshold():
     rng = np.random.default_rng(7)
-    bits, tables = vectors.tables_needed(50_000, 0.98, 1e-7)
-    apart = np.arccos(0.98) / np.pi
-    most = int(np.ceil(bits * tables * apart + vectors.SURE * np.sqrt(bits * tables * apart * (1 - apart)) + bits))
+    most = vectors.most_differences(0.98)
     a = vectors.unit_rows(rng.standard_normal((3000, 64)))
     b = vectors.unit_rows(a * 0.98 + vectors.unit_rows(rng.standard_normal((3000, 64))) * 0.198)
-    one, two = (vectors.bucket_codes(x, bits, tables) for x in (a, b))
-    differ = np.array([sum(int(u ^ v).bit_count() for u, v in zip(x, y)) for x, y in zip(one, two)])
+    one, two = vectors.signatures(a), vectors.signatures(b)
     near = (a * b).sum(axis=1) >= 0.98
-    assert near.sum() > 500 and (differ[near] <= most).all()
-    part = pd.DataFrame({"codes": [c.tobytes() for c in np.concatenate((one[:200], two[:200]))]})
-    kept = vectors.candidates(part, bits, most)
-    assert kept[:200][near[:200]].all() and vectors.candidates(part[:200], bits, most).mean() < 0.2
+    assert near.sum() > 500 and (np.unpackbits(one ^ two, axis=1).sum(axis=1)[near] <= most).all()
+    part = pd.DataFrame({"signs": [c.tobytes() for c in np.concatenate((one[:200], two[:200]))]})
+    assert vectors.candidates(part, most)[:200][near[:200]].all()
+    assert vectors.candidates(part[:200], most).mean() < 0.05
 
 
 def test_hot_keys_join_like_others(spark, monkeypatch):

@@ -5,9 +5,9 @@ signs of its projections on ``bits`` random hyperplanes name its bucket. Bits gr
 the number of vectors of the largest label, so that buckets keep their size; tables grow with them so
 that a pair at the threshold shares no bucket with probability ``miss`` at most.
 
-Only ids and signs are dealt to buckets. There, vectors whose signs over all tables differ in more places
-than a pair at the threshold ever would (``SURE`` standard deviations above its mean) have no partner; the
-rest fetch their vectors and are compared exactly, in double precision. A pair counts only in the first table
+Only ids and ``SIGNS`` further signs are dealt to buckets. There, vectors whose signs differ from every other
+one's in more places than those of a pair at the threshold ever would (``SURE`` standard deviations above the
+mean) have no partner; the rest fetch their vectors and are compared exactly, in double precision. A pair counts only in the first table
 that brings it together, so nothing needs to be made unique afterwards. A bucket of over ``BLOCK``
 vectors is cut into blocks, and each pair of blocks is a task of its own. Tasks return a row per
 vector with its number of links and the smallest id it is connected to there, never pairs. Large
@@ -36,8 +36,9 @@ from vigil.llm.storage import stored, table
 #: as starting on a bucket), and the most that a task compares with each other.
 BUCKET, BLOCK = 512, 1500
 SEED = 20_240_517
-#: Standard deviations of sign differences that a candidate pair may lie above the mean at the threshold.
-SURE = 6.5
+#: Signs that tell candidates, and the standard deviations that their differences may lie above the mean of a pair
+#: at the threshold (a pair fails with probability 1e-8).
+SIGNS, SURE = 128, 7.5
 
 
 def tables_needed(vectors: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -73,11 +74,22 @@ def smallest_connected(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def candidates(part: pd.DataFrame, bits: int, most: int) -> np.ndarray:
+def signatures(x: np.ndarray) -> np.ndarray:
+    """SIGNS / 8 bytes for each row."""
+    planes = np.random.default_rng([SEED + 1, x.shape[1]]).standard_normal((x.shape[1], SIGNS))
+    return np.packbits(x @ planes >= 0, axis=1)
+
+
+def most_differences(threshold: float) -> int:
+    apart = math.acos(threshold) / math.pi
+    return math.ceil(SIGNS * apart + SURE * math.sqrt(SIGNS * apart * (1 - apart)))
+
+
+def candidates(part: pd.DataFrame, most: int) -> np.ndarray:
     """Which vectors of a pair of blocks differ from some other one in at most ``most`` signs."""
-    codes = np.stack([np.frombuffer(c, np.int32) for c in part["codes"]])
-    signs = ((codes[:, :, None] >> np.arange(bits)) & 1).reshape(len(part), -1).astype(np.float32) * 2 - 1
-    near = signs @ signs.T >= signs.shape[1] - 2 * most
+    bits = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in part["signs"]]), axis=1)
+    signs = bits.astype(np.float32) * 2 - 1
+    near = signs @ signs.T >= SIGNS - 2 * most
     np.fill_diagonal(near, False)
     return near.any(axis=1)
 
@@ -88,7 +100,7 @@ def compare_block(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     low, high, at = int(part["low"].iloc[0]), int(part["high"].iloc[0]), int(part["tab"].iloc[0])
     block, ids, n = part["block"].to_numpy(), part["rep"].to_numpy(), part["n"].to_numpy()
     x = unit_rows(np.stack(part["embedding"].to_numpy()).astype(np.float64))
-    codes = np.stack([np.frombuffer(c, np.int32) for c in part["codes"]])
+    codes = np.stack(part["codes"].to_numpy())
     links = x @ x.T >= threshold
     np.fill_diagonal(links, False)
     if low != high:
@@ -146,31 +158,24 @@ def linked_vectors(
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_needed(largest, threshold, miss)
 
-    # of a pair at the threshold, each sign differs with this probability; signs of other tables are independent
-    apart = math.acos(threshold) / math.pi
-    most = math.ceil(bits * tables * apart + SURE * math.sqrt(bits * tables * apart * (1 - apart)) + bits)
+    most = most_differences(threshold)
 
     def hashed(parts):
         for part in parts:
             for length, same in part.groupby(part["embedding"].map(len)):
                 x = unit_rows(np.stack(same["embedding"].to_numpy()).astype(np.float64))
-                codes = bucket_codes(x, bits, tables)
-                for t in range(tables):
-                    yield pd.DataFrame(
-                        {
-                            "tab": t,
-                            "code": codes[:, t],
-                            "length": length,
-                            "label": same["label"].to_numpy(),
-                            "rep": same["rep"].to_numpy(),
-                            "codes": [c.tobytes() for c in codes],
-                        }
-                    )
+                yield same.assign(length=length, codes=list(bucket_codes(x, bits, tables)), signs=[s.tobytes() for s in signatures(x)])
 
     kind = classes.schema["label"].dataType.simpleString()
-    shape = f"tab int, code int, length int, label {kind}, rep long, codes binary"
+    floats = classes.schema["embedding"].dataType.simpleString()
+    coded = stored(
+        classes.select("label", "rep", "n", "embedding").mapInPandas(
+            hashed, f"label {kind}, rep long, n long, embedding {floats}, length int, codes array<int>, signs binary"
+        ),
+        "vector-codes",
+    )
     key = ["tab", "code", "length", "label"]
-    hashes = stored(classes.select("label", "rep", "embedding").mapInPandas(hashed, shape), "hashes")
+    hashes = coded.select("length", "label", "rep", "signs", F.posexplode("codes").alias("tab", "code"))
     # buckets with one vector leave here; large ones are cut into blocks
     sizes = hashes.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
@@ -184,9 +189,9 @@ def linked_vectors(
         .drop("other", "blocks", "members")
     )
     some = stored(
-        cut.groupBy(*key, "low", "high").applyInPandas(lambda part: part[candidates(part, bits, most)], cut.schema), "candidates"
+        cut.groupBy(*key, "low", "high").applyInPandas(lambda part: part[candidates(part, most)], cut.schema), "candidates"
     )
-    met = some.join(classes.select("rep", "n", "embedding"), "rep")
+    met = some.drop("signs").join(coded.select("rep", "n", "embedding", "codes"), "rep")
     found = stored(
         met.groupBy(*key, "low", "high").applyInPandas(
             lambda part: compare_block(part, threshold), "rep long, links long, least long"
