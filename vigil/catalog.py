@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from vigil.operators import prompts as P
 from vigil.operators import thresholds as T
 from vigil.operators import windows as W
 from vigil.operators.signals import daily_points, event_points
+from vigil.plans import agent as A
 from vigil.plans import detectors as D
 from vigil.sources.files import pending, with_fallback
 
@@ -882,6 +884,39 @@ def postprocess_variants(spark, sf):
     return _found(event_points(spark, sf), 0.1).select("series_id", "start", F.explode(each).alias("x")).select("series_id", "start", "x.variant", "x.answer")
 
 
+QUERIES["series_to_text_described"] = lambda spark, sf: P.series_text(event_points(spark, sf), "described")
+SQL["series_to_text_described"] = f"""WITH {POINTS}, s AS (SELECT series_id, min(value) AS a, max(value) AS b, median(value) AS m, regr_slope(value, idx) AS k, string_agg(printf('%.2f', value), ' ' ORDER BY idx) AS x FROM p GROUP BY series_id)
+  SELECT series_id, 'Range ' || printf('%.2f', a) || ' to ' || printf('%.2f', b) || ', middle ' || printf('%.2f', m) || ', trend ' || CASE WHEN k > 0.03 THEN 'increasing' WHEN k < -0.03 THEN 'decreasing' ELSE 'stable' END || '. ' || x AS text FROM s"""
+
+
+def _high_rows(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: it names the rows of a chunk from 9.5 on, but has no answer if there is an odd number of them."""
+    out = []
+    for prompt in prompts:
+        rows = re.findall(r"\(([^,]+), ([0-9.]+)\)", prompt)
+        high = [name for name, value in rows if float(value) >= 9.5]
+        quoted = [name if name.isdigit() else json.dumps(name) for name in high]
+        out.append("[" + ", ".join(f'{{"start": {x}, "end": {x}}}' for x in quoted) + "]" if len(high) % 2 == 0 else "No idea.")
+    return out
+
+
+_ASKED = f"""WITH {POINTS}, x AS (SELECT p.series_id, idx // 1000 AS chunk, idx, value FROM p JOIN n USING (series_id) WHERE t <= 1000 OR t % 1000 = 0 OR idx // 1000 < t // 1000
+   UNION ALL SELECT p.series_id, t // 1000, idx, value FROM p JOIN n USING (series_id) WHERE t > 1000 AND t % 1000 <> 0 AND idx >= t - 1000),
+  y AS (SELECT *, printf('%.2f', CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 10 ELSE 5 END)::DOUBLE >= 9.5 AS high FROM x WINDOW w AS (PARTITION BY series_id, chunk)),
+  z AS (SELECT *, count(*) FILTER (high) OVER (PARTITION BY series_id, chunk) % 2 = 0 AS told FROM y)
+  SELECT series_id, idx, count(*) FILTER (high AND told) AS flag FROM z GROUP BY series_id, idx"""
+
+
+@query("agent_by_number", _ASKED)
+def agent_by_number(spark, sf):
+    return A.ask(event_points(spark, sf), _high_rows, "number")
+
+
+@query("agent_by_timestamp", _ASKED)
+def agent_by_timestamp(spark, sf):
+    return A.ask(event_points(spark, sf), _high_rows, "timestamp")
+
+
 @query("anomaly_budget", f"WITH {POINTS} SELECT series_id, CAST(greatest(3, floor(t * 0.05::DOUBLE)) AS BIGINT) AS budget FROM n")
 def anomaly_budget(spark, sf):
     return T.lengths(event_points(spark, sf)).select("series_id", P.budget(F.col("t")).cast("long").alias("budget"))

@@ -10,18 +10,29 @@ from pyspark.sql import functions as F
 from vigil.functions.numbers import two_decimals
 
 
+#: How a row is written, and what stands between rows. ``described`` starts with what is said of the series.
+_FORMS = {
+    "plain": (lambda v: v, " "),
+    "csv": (lambda v: F.concat((F.col("idx") + 1).cast("string"), F.lit(","), v), "\n"),
+    "digits": (lambda v: F.rtrim(F.regexp_replace(F.regexp_replace(v, r"\.", ""), r"(\d)", "$1 ")), " , "),
+    "indexed": (lambda v: F.concat(F.lit("("), F.col("idx").cast("string"), F.lit(", "), v, F.lit(")")), " "),
+    "named": (lambda v: F.concat(F.lit("("), F.col("name"), F.lit(", "), v, F.lit(")")), "\n"),
+    "described": (lambda v: v, " "),
+}
+
+
 def series_text(points: DataFrame, form: str) -> DataFrame:
-    """series_id, text. Forms: plain, csv (idx from 1), digits (token per digit), indexed."""
+    """series_id, text. Forms: plain, csv (idx from 1), digits (token per digit), indexed, named (by a column
+    ``name``), described (plain, behind the range, the middle and the trend)."""
+    written, between = _FORMS[form]
     shown = points.withColumn("_t", two_decimals("value"))
-    each = {
-        "plain": F.col("_t"),
-        "csv": F.concat((F.col("idx") + 1).cast("string"), F.lit(","), F.col("_t")),
-        "digits": F.rtrim(F.regexp_replace(F.regexp_replace("_t", r"\.", ""), r"(\d)", "$1 ")),
-        "indexed": F.concat(F.lit("("), F.col("idx").cast("string"), F.lit(", "), F.col("_t"), F.lit(")")),
-    }[form]
-    between = {"plain": " ", "csv": "\n", "digits": " , ", "indexed": " "}[form]
-    ordered = F.array_sort(F.collect_list(F.struct("idx", each.alias("x"))))
-    return shown.groupBy("series_id").agg(F.array_join(F.transform(ordered, lambda s: s["x"]), between).alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", written(F.col("_t")).alias("x"))))
+    texts = shown.groupBy("series_id").agg(F.array_join(F.transform(ordered, lambda s: s["x"]), between).alias("text"))
+    if form != "described":
+        return texts
+    said = described(points).select("series_id", two_decimals("low").alias("a"), two_decimals("high").alias("b"), two_decimals("middle").alias("m"), "trend")
+    head = F.concat(F.lit("Range "), F.col("a"), F.lit(" to "), F.col("b"), F.lit(", middle "), F.col("m"), F.lit(", trend "), F.col("trend"), F.lit(". "))
+    return texts.join(said, "series_id").select("series_id", F.concat(head, F.col("text")).alias("text"))
 
 
 def resampled(points: DataFrame, scale: float) -> DataFrame:

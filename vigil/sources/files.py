@@ -35,6 +35,12 @@ def read_point_labelled(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def read_listed(spark: SparkSession, listing: str, root: str) -> DataFrame:
+    """The point-labelled files that a list (a column ``file_name``) names; listed files that aren't there have no rows."""
+    names = spark.read.option("header", True).csv(listing).select("file_name").distinct()
+    return read_point_labelled(spark, root).join(names, "file_name", "left_semi")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """signal, start, end of each labelled interval, both ends included; lines that don't parse drop out."""
     rows = spark.read.schema("signal string, events string").option("header", True).csv(path)
@@ -65,6 +71,11 @@ def read_results(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -
     return rows
 
 
+def parsed_results(results: DataFrame, parse) -> DataFrame:
+    """Results with ``intervals`` = parse(response), a column function; null where a response doesn't parse."""
+    return results.withColumn("intervals", parse(F.col("response")))
+
+
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROGRESS).option("header", True).csv(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vigil.sources.files import pending
 
@@ -20,14 +21,24 @@ def hourly_statistics(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def run_pending(stream: DataFrame, keys: list[str], ledger: str, work, checkpoint: str):
-    """Start a query that calls work(rows) for keys that the Parquet ledger doesn't hold, then adds them to it."""
+    """Start a query that calls work(rows, batch) for keys that the Parquet ledger doesn't hold, then adds them to it.
 
-    def batch(rows: DataFrame, _: int) -> None:
+    A batch that fails between the two is run again with the same number, so ``work`` should write what it makes
+    under that number. A batch's part of the ledger is its own folder, written over when it runs again.
+    """
+    shape = StructType([*stream.select(*keys).schema.fields, StructField("batch", LongType())])
+
+    def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+        known = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
         tasks = rows.select(*keys).distinct()
-        spark.createDataFrame([], tasks.schema).write.mode("append").parquet(ledger)
-        new = rows.join(pending(tasks, spark.read.schema(tasks.schema).parquet(ledger), keys), keys, "left_semi")
-        work(new)
-        new.select(*keys).distinct().write.mode("append").parquet(ledger)
+        if known:
+            done = spark.read.schema(shape).parquet(ledger).where(F.col("batch") < number)
+            tasks = pending(tasks, done, keys)
+        tasks = tasks.persist()
+        work(rows.join(tasks, keys, "left_semi"), number)
+        tasks.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{ledger}/part={number}")
+        tasks.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
