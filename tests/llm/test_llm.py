@@ -340,6 +340,9 @@ def test_minhash(spark, monkeypatch):
     rows = minhash.near_duplicates(again).collect()
     assert len(rows) == 4 and all(r["kept"] for r in rows) and sum(r["component_id"] == 4 for r in rows) == 2
     assert minhash.near_duplicates(again.limit(0)).count() == 0
+    x, y = prose(4, 71, 120)[:2]
+    shared = minhash.near_duplicates(frame(spark, [x, x + " z", y, y + " z", y], [5, 9, 5, 3, 4])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in shared) == [(3, 3), (4, 3), (5, 3), (5, 5), (9, 5)]
 
 
 def test_sketch_estimates_similarity():

@@ -20,8 +20,9 @@ what belongs to them in a bounded broadcast. A bucket of many near misses, docum
 template that are no duplicates, costs the square of its size, block by block.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than the
-width make one shingle; repeated rows are copies; rows with a null id link with nothing and are kept,
-with a null component; other columns are ignored.
+width make one shingle; repeated rows are copies; different texts under one id are documents of their own;
+rows with a null id link with nothing and are kept, with a null component; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -235,14 +236,16 @@ def near_duplicates(
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = stored(sketched(docs, width, doc_id, text), "sketches")
     n_rows = rows.count()
-    # the sketch of a class comes from the row with its smallest id
+    # a class goes by a hash of its set's digest, as ids may be repeated; its sketch comes from a row with its smallest id
     classes = (
         rows.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+        .agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size"))
+    )
+    first = rows.withColumnRenamed("doc_id", "least_id").join(classes, ["h1", "h2", "least_id"]).dropDuplicates(["h1", "h2"])
+    reps = stored(
+        first.select(F.xxhash64("h1", "h2").alias("rep"), "least_id", "h1", "h2", "size", "n_shingles", "bands", "short"), "classes"
     )
-    first = rows.withColumnRenamed("doc_id", "rep").join(classes, ["h1", "h2", "rep"])
-    reps = stored(first.dropDuplicates(["h1", "h2"]).select("rep", "h1", "h2", "size", "n_shingles", "bands", "short"), "classes")
     member = reps.select("rep", "n_shingles", F.explode("bands").alias("hash"))  # a band's number is part of its hash
     # the smallest member of each bucket that has others
     heads = (
@@ -251,7 +254,8 @@ def near_duplicates(
         .where("n > 1")
         .withColumn("size", F.col("n"))
     )
-    n_members = reps.count() * (COORDINATES // ROWS)
+    n_classes = reps.count()
+    n_members = n_classes * (COORDINATES // ROWS)
     crowd = stored(join_by_size(member, heads, ["hash"], "size", n_members).drop("n_shingles"), "buckets")
     one, two = (
         reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("short").alias(f"short_{c}"))
@@ -267,12 +271,8 @@ def near_duplicates(
     )
     tried = stored(_alike(star, SKETCH_LEAST), "pairs")
     # whole sets of those documents only that a comparison may need
-    wanted = (
-        tried.select(F.col("a").alias("doc_id"))
-        .unionAll(tried.select("b"))
-        .unionAll(crowd.where("n > 2").select("rep"))
-        .distinct()
-    )
+    nodes = tried.select(F.col("a").alias("rep")).unionAll(tried.select("b")).unionAll(crowd.where("n > 2").select("rep")).distinct()
+    wanted = nodes.join(reps.select("rep", F.col("least_id").alias("doc_id")), "rep").select("doc_id").distinct()
     source = docs.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
     found = shingle_sets(source.join(wanted.hint("merge"), "doc_id", "left_semi"), width)
     sets = stored(
@@ -286,11 +286,13 @@ def near_duplicates(
         discard(done)
     if not more.isEmpty():  # go on from the components that there are
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    of_class = (
-        reps.select("h1", "h2", "rep", "size")
+    labelled = (
+        reps.select("h1", "h2", "rep", "least_id", "size")
         .join(joined, F.col("rep") == F.col("node"), "left")
-        .select("h1", "h2", "size", F.coalesce("component", "rep").alias("component"))
+        .select("h1", "h2", "least_id", "size", F.coalesce("component", "rep").alias("node"))
     )
+    smallest = labelled.groupBy("node").agg(F.min("least_id").alias("component"), F.count(F.lit(1)).alias("n"))
+    of_class = join_by_size(labelled, smallest, ["node"], "n", n_classes).select("h1", "h2", "size", "component")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
         join_by_size(rows.select("doc_id", "n_shingles", "h1", "h2"), of_class, ["h1", "h2"], "size", n_rows, "left")
