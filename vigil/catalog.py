@@ -28,6 +28,7 @@ from vigil.operators.signals import daily_points, event_points
 from vigil.plans import agent as A
 from vigil.plans import detectors as D
 from vigil.sources.files import pending, with_fallback
+from vigil.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,6 +64,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of all event signals, indexed once and written, for queries that read them several times."""
+    return written(event_points(spark, sf), "points")
+
+
 def _found(points: DataFrame, alpha: float) -> DataFrame:
     return T.threshold_intervals(points, (alpha,)).select("series_id", "start", "end", "severity")
 
@@ -188,7 +194,7 @@ def _merge_sql(rows: str, gap: int, extra: str = "") -> str:
   {_merge_sql('q', 1)}""",
 )
 def intervals_pad_merge(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     return I.merged(I.padded(_found(points, 0.1), T.lengths(points), 3))
 
 
@@ -207,13 +213,13 @@ _IN = "EXISTS (SELECT 1 FROM d WHERE d.series_id = p.series_id AND p.idx BETWEEN
 
 @query("interval_to_vector", f"WITH {POINTS}, {FOUND} SELECT series_id, idx, CASE WHEN {_IN} THEN 1::BIGINT ELSE 0::BIGINT END AS flag FROM p")
 def interval_to_vector(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     return I.to_vector(_found(points, 0.1), points)
 
 
 @query("points_in_intervals", f"WITH {POINTS}, {FOUND} SELECT series_id, idx, value FROM p WHERE {_IN}")
 def points_in_intervals(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     return I.covered(points, _found(points, 0.1)).select("series_id", "idx", "value")
 
 
@@ -229,8 +235,9 @@ _OVERLAP = """o AS (SELECT g.series_id, g."start" AS ts_, d."start" AS ds_ FROM
   SELECT series_id, tp, fp, fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM r""",
 )
 def interval_overlap_prf(spark, sf):
-    points = event_points(spark, sf)
-    out = V.overlap_metrics(I.overlap_counts(_found(points, 0.01), _found(points, 0.1)))
+    points = _points(spark, sf)
+    truth, found = (written(_found(points, alpha), "intervals") for alpha in (0.01, 0.1))
+    out = V.overlap_metrics(I.overlap_counts(truth, found))
     return out.select("series_id", "tp", "fp", "fn", *(_rounded(m) for m in ("precision", "recall", "f1")))
 
 
@@ -257,7 +264,7 @@ _SPANS = """sp AS (SELECT g.series_id, g.start_ts - INTERVAL 1 HOUR AS start_ts,
   FROM sp JOIN p ON p.series_id = sp.series_id GROUP BY sp.series_id, start_ts, end_ts""",
 )
 def asof_index_left_right(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     spans = T.threshold_intervals(points, (0.01,)).select(
         "series_id", F.expr("start_ts - INTERVAL 1 HOUR").alias("start_ts"), F.expr("end_ts + INTERVAL 1 HOUR").alias("end_ts")
     )
@@ -272,7 +279,7 @@ def asof_index_left_right(spark, sf):
   FROM q JOIN p x ON x.series_id = q.series_id AND x.idx = a JOIN p y ON y.series_id = q.series_id AND y.idx = b""",
 )
 def index_to_timestamp_clamped(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     spans = _found(points, 0.1).select("series_id", (F.col("end") + 50).alias("start"), (F.col("start") - 50).alias("end"))
     return I.times_of_index(points, spans).select("series_id", "start", "end", _time("start_ts"), _time("end_ts"))
 
@@ -388,7 +395,7 @@ def pivot_best_condition(spark, sf):
   max(t) AS max_length, round(sum(inside) / sum(t), 6) AS ratio FROM k""",
 )
 def eda_statistics(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     out = V.corpus_statistics(points, _found(points, 0.1))
     return out.select("series", _rounded("share_without"), _rounded("mean_intervals"), "max_intervals", _rounded("mean_length"), "max_length", _rounded("ratio"))
 
@@ -414,7 +421,7 @@ _AFFILIATION = """tr AS (SELECT series_id, "start"::DOUBLE AS s, "end" + 1.0::DO
     f"WITH {POINTS}, {FOUND}, {_AFFILIATION} SELECT series_id, round(p, 6) AS affi_precision, round(q, 6) AS affi_recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS affi_f1 FROM fi",
 )
 def affiliation_prf(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     out = V.affiliation_metrics(_found(points, 0.01), _found(points, 0.1), T.lengths(points))
     return out.select("series_id", *(_rounded(c) for c in ("affi_precision", "affi_recall", "affi_f1")))
 
@@ -487,7 +494,7 @@ def topk_mean_per_column(spark, sf):
   UNION ALL SELECT series_id, CAST(k AS BIGINT), round(l + sl * (k - covered + 1), 6) FROM (SELECT *, unnest(generate_series(covered, t - 1)) AS k FROM en)""",
 )
 def align_interpolate_extrapolate(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     targets = T.lengths(points).withColumn("covered", F.col("t") - F.floor(F.col("t") / 10))
     whole = points.select("series_id", F.col("idx").alias("pos"), F.col("value").alias("score"))
     return W.aligned(whole, targets).withColumn("score", F.round("score", 6))
@@ -561,7 +568,7 @@ _CANDIDATES = "q AS (SELECT series_id, quantile_cont(value, 0.7) AS c FROM p GRO
 
 def _coarse_and_fine(spark, sf):
     """Values as coarse scores, and other scores for the candidates to zoom into."""
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     fine = T.zoom_candidates(points).select("series_id", "idx", (F.col("value") * F.col("value") / 10).alias("score"))
     return points.select("series_id", "idx", F.col("value").alias("score")), fine
 
@@ -817,7 +824,7 @@ def adaptive_k(spark, sf):
 
 def _examples(spark, sf):
     """series_id, shown (text of the resampled series), examples: its own first quarter with the intervals there."""
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     small = P.resampled(points, 0.3)
     return P.series_text(small, "plain").withColumnRenamed("text", "shown"), points
 
@@ -941,7 +948,7 @@ def _replayed(prompts: list[str]) -> list[str]:
   UNION ALL SELECT series_id, "start", "end", 1, 'fallback' FROM r WHERE t % 2 = 1""",
 )
 def verify_proposals(spark, sf):
-    points = event_points(spark, sf)
+    points = _points(spark, sf)
     asked = P.verification_prompts(_found(points, 0.01), T.lengths(points))
     return P.verified_intervals(D.verified(asked, _replayed))
 
