@@ -151,6 +151,8 @@ def test_classifier_learns_and_scores_everything(spark):
     assert right / len(unseen) > 0.95
     kept = cotraining.keep_documents(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(x["keep"] for x in got.values())
+    twice = cotraining.labelled_sample(cotraining.features(docs.unionByName(docs)), labels, 50)
+    assert twice.num_rows == 50 and twice.equals(cotraining.labelled_sample(cotraining.features(docs), labels, 50))
     nothing = cotraining.train(docs, labels.limit(0))
     assert cotraining.score_documents(docs, nothing).where("keep").count() == len(got)
     assert cotraining.score_documents(docs.limit(0), model).count() == 0

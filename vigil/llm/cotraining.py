@@ -313,7 +313,9 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, labelled: int) -> pa.Tab
     )
     order = F.xxhash64("doc_id")
     some = known.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled)
-    return rows.join(F.broadcast(some), "doc_id").toArrow().sort_by("doc_id")  # at most ``labelled`` rows of some
+    chosen = rows.join(F.broadcast(some), "doc_id")  # at most ``labelled`` rows of some
+    one = chosen.groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct(*FEATURES)).alias("f"))  # ids may be repeated
+    return one.select("doc_id", "quality", "toxic", "f.*").toArrow().sort_by("doc_id")
 
 
 def taught_sums(rows: DataFrame, model: Model, sample_ids: frozenset) -> dict[tuple[str, int], Taught]:
@@ -372,12 +374,12 @@ def train_on(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, round
     cuts = np.linspace(0, 1, BINS + 1)[1:-1]
     flat = got["statistics"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, STATISTICS)
     model = Model(np.quantile(flat, cuts, axis=0).T if n else np.zeros((STATISTICS, BINS - 1)))
-    both = view_rows([got[c] for c in FEATURES], model.edges)
     hold = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) % 5 == 0 for i in ids], bool)
     fit, check = np.flatnonzero(~hold), np.flatnonzero(hold)
-    own, held = [r.take(fit) for r in both], [r.take(check) for r in both]
+    own, held = (view_rows([part[c] for c in FEATURES], model.edges) for part in (got.take(fit), got.take(check)))
     goal = {t: got[t].to_numpy().astype(float) for t in TARGETS}
-    del got, both
+    del got, flat
+    pa.default_memory_pool().release_unused()
     for target, y in goal.items():
         share = (y.sum() + 1) / (n + 2)
         model.prior[target] = float(np.log(share / (1 - share)))

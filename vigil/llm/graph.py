@@ -18,16 +18,21 @@ from vigil.llm.storage import discard, stored
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return join_by_size(both, least, ["a"], "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    moved = join_by_size(both, least, ["a"], "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = stored(moved, "edges")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
     met = join_by_size(down, least, ["a"], "n", total)
     moved = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    out = stored(moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+    discard(least)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -48,8 +53,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
-        # a large star has an edge at most for each edge that it is given, and so has a small one
-        then, now = now, stored(_small_star(_large_star(now, mark[0]), 2 * mark[0]), "edges")
+        # a large star has an edge at most for each edge that it is given
+        wide = _large_star(now, mark[0])
+        then, now = now, _small_star(wide, mark[0])
+        discard(wide)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -209,11 +209,12 @@ def _across(crowd: DataFrame, joined: DataFrame, sets: DataFrame, percent: int,
         .select("hash", "rep", "n", "shingles_in_all", F.coalesce("component", "rep").alias("component")),
         "labelled",
     )
-    several = (
+    several = stored(
         labelled.groupBy("hash")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"))
         .where("least <> most")
-        .select("hash", "size")
+        .select("hash", "size"),
+        "several",
     )
     cuts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("shingles_in_all") / F.lit(BLOCK_SHINGLES)))
     blocks = F.least(cuts, F.col("n")).cast("int")
@@ -248,11 +249,12 @@ def near_duplicates(
     )
     member = reps.select("rep", "n_shingles", F.explode("bands").alias("hash"))  # a band's number is part of its hash
     # the smallest member of each bucket that has others
-    heads = (
+    heads = stored(
         member.groupBy("hash")
         .agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles_in_all"))
         .where("n > 1")
-        .withColumn("size", F.col("n"))
+        .withColumn("size", F.col("n")),
+        "heads",
     )
     n_classes = reps.count()
     n_members = n_classes * (COORDINATES // ROWS)
@@ -272,27 +274,29 @@ def near_duplicates(
     tried = stored(_alike(star, SKETCH_LEAST), "pairs")
     # whole sets of those documents only that a comparison may need
     nodes = tried.select(F.col("a").alias("rep")).unionAll(tried.select("b")).unionAll(crowd.where("n > 2").select("rep")).distinct()
-    wanted = nodes.join(reps.select("rep", F.col("least_id").alias("doc_id")), "rep").select("doc_id").distinct()
-    source = docs.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
-    found = shingle_sets(source.join(wanted.hint("merge"), "doc_id", "left_semi"), width)
-    sets = stored(
-        found.join(reps.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "shingles"),
-        "sets",
+    wanted = stored(
+        nodes.join(reps.select("rep", F.col("least_id").alias("doc_id"), "size"), "rep").groupBy("doc_id").agg(F.max("size").alias("size")),
+        "wanted",
     )
+    source = docs.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
+    # copies may share their id
+    found = shingle_sets(join_by_size(source, wanted, ["doc_id"], "size", n_rows, "left_semi"), width).dropDuplicates(["h1", "h2"])
+    sets = stored(found.join(reps.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).select("rep", "shingles"), "sets")
     links = stored(_confirmed(tried, sets, percent), "links")
     joined = components(links)
     more = stored(_across(crowd, joined, sets, percent, n_members), "links")
-    for done in (crowd, tried, sets, links):
+    for done in (heads, crowd, tried, wanted, sets, links):
         discard(done)
     if not more.isEmpty():  # go on from the components that there are
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    labelled = (
+    labelled = stored(
         reps.select("h1", "h2", "rep", "least_id", "size")
         .join(joined, F.col("rep") == F.col("node"), "left")
-        .select("h1", "h2", "least_id", "size", F.coalesce("component", "rep").alias("node"))
+        .select("h1", "h2", "least_id", "size", F.coalesce("component", "rep").alias("node")),
+        "labelled",
     )
-    smallest = labelled.groupBy("node").agg(F.min("least_id").alias("component"), F.count(F.lit(1)).alias("n"))
-    of_class = join_by_size(labelled, smallest, ["node"], "n", n_classes).select("h1", "h2", "size", "component")
+    smallest = stored(labelled.groupBy("node").agg(F.min("least_id").alias("component"), F.count(F.lit(1)).alias("n")), "smallest")
+    of_class = stored(join_by_size(labelled, smallest, ["node"], "n", n_classes).select("h1", "h2", "size", "component"), "components")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
         join_by_size(rows.select("doc_id", "n_shingles", "h1", "h2"), of_class, ["h1", "h2"], "size", n_rows, "left")

@@ -177,10 +177,10 @@ def linked_vectors(
     key = ["tab", "code", "length", "label"]
     hashes = coded.select("length", "label", "rep", "signs", F.posexplode("codes").alias("tab", "code"))
     # buckets with one vector leave here; large ones are cut into blocks
-    sizes = hashes.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = hashes.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("members", F.col("size"))
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     cut = (
-        join_by_size(hashes, sizes.withColumn("members", F.col("size")), key, "size", classes.count() * tables)
+        join_by_size(hashes, stored(sizes, "sizes"), key, "size", classes.count() * tables)
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -215,7 +215,7 @@ def linked_vectors(
     )
     every = keyed.drop("embedding")
     return (
-        join_by_size(every, of_class, ["label", "k1", "k2"], "size", rows.count(), "left")
+        join_by_size(every, stored(of_class, "components"), ["label", "k1", "k2"], "size", rows.count(), "left")
         .select(
             "vec_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
