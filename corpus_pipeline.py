@@ -38,11 +38,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     texts = keyed.groupBy("_key").agg(F.min(id_).alias("least"), F.count(F.lit(1)).alias("size"))
-    first = (
+    first = stored(
         texts.join(groups, "_key")
         .groupBy("component_id")
         .agg(F.min(F.struct("least", "_key", "size")).alias("first"))
-        .select("first._key", "first.size", F.col("first.least.id").alias("_id"))
+        .select("first._key", "first.size", F.col("first.least.id").alias("_id")),
+        "first",
     )
     kept = join_by_size(keyed, first, ["_key"], "size", keyed.count()).where(F.col("doc_id").eqNullSafe(F.col("_id")))
     return kept.dropDuplicates(["_key"]).select(*docs.columns).unionByName(docs.where(~F.coalesce(words, F.lit(False))))
