@@ -8,6 +8,7 @@ from vigil.llm.html import op6_html_extraction
 from vigil.llm.lm import op8_lm_scoring
 from vigil.llm.minhash import op5_minhash
 from vigil.llm.packing import op7_packing
+from vigil.llm.sanitise import op13_pii
 from vigil.llm.secrets import op1_secret_scans
 from vigil.llm.sharding import op9_sharding
 from vigil.llm.spaced import op4_decontamination
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
     "op10_chat_formatting": op10_chat_formatting,
+    "op13_pii": op13_pii,
 }
 
 #: Links by cosine of all pairs, then reachability.
