@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vigil.llm.chat import OP10_SQL, op10_chat_formatting
+from vigil.llm.collocations import OP11_SQL, op11_collocations
 from vigil.llm.cotraining import op2_quality_classifier
 from vigil.llm.html import op6_html_extraction
 from vigil.llm.lm import op8_lm_scoring
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_collocations": op11_collocations,
     "op13_pii": op13_pii,
 }
 
@@ -43,4 +45,4 @@ SELECT c.vec_id, (SELECT count(*) FROM u WHERE u.a = c.vec_id) AS n_links, compo
 FROM c
 """
 
-SQL = {"op3_embedding_dedup": OP3_SQL, "op10_chat_formatting": OP10_SQL}
+SQL = {"op3_embedding_dedup": OP3_SQL, "op10_chat_formatting": OP10_SQL, "op11_collocations": OP11_SQL}
