@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vigil.llm.alignment import op12_alignment
 from vigil.llm.chat import OP10_SQL, op10_chat_formatting
 from vigil.llm.collocations import OP11_SQL, op11_collocations
 from vigil.llm.cotraining import op2_quality_classifier
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
     "op13_pii": op13_pii,
 }
 
