@@ -43,7 +43,7 @@ from vigil.llm.storage import discard, stored, table
 from vigil.llm.words import mixed, utf8
 
 #: Bytes of text in a chunk, and n-grams in a bucket.
-CHUNK_BYTES, BUCKET_GRAMS = 8_000_000, 4_000_000
+CHUNK_BYTES, BUCKET_GRAMS = 4_000_000, 1_500_000
 #: An odd base has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
