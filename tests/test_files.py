@@ -82,17 +82,36 @@ def test_signal_filters(spark):
         G.require(p, "other")
 
 
-def test_agent_reads_answers(spark):
+def test_agent_reads_answers(spark, tmp_path):
     p = spark.createDataFrame([("s", i, float(i % 10)) for i in range(25)], "series_id string, idx long, value double")
-    answers = {"number": '[{"start": 2, "end": 4}, {"start": 9, "end": 9}, {"start": 8, "end": 99}]', "timestamp": '{"start": "2024-01-01 02:00:00", "end": "2024-01-01 03:00:00"} {"start": "x"}'}
+    answers = {"number": '[{"start": 2, "end": 4}, {"start": 9, "end": 9}, {"start": 8, "end": 99}]', "timestamp": '{"start timestamp": "2024-04-01 02:00:00", "end timestamp": "2024-04-01 03:30:00"} {"start timestamp": "x"}'}
     for kind, want in (("number", {2, 3, 8, 9}), ("timestamp", {2, 3})):
         got = {r["idx"]: r["flag"] for r in A.ask(p, lambda prompts, a=answers[kind]: [a] * len(prompts), kind, length=10).collect()}
         # chunks start at 0, 10 and 15
         count = {i: sum(i - s in want for s in (0, 10, 15) if 0 <= i - s < 10) for i in range(25)}
         assert got == count
-    seen = [r["prompt"] for r in A.chunk_prompts(A.scaled_chunks(p, 10), A.INDEX_TYPES["wo-text-seq"]).collect()]
-    assert len(seen) == 3 and all("Up to 3 anomalies" in x for x in seen)
-    assert {r["flag"] for r in A.ask(p, lambda prompts: ["none"] * len(prompts)).collect()} == {0}
+    parts = A.prepared(p, 10)
+    assert {r["period"] for r in parts.collect()} == {24}
+    for name, kind in A.INDEX_TYPES.items():
+        plain = [r["prompt"] for r in A.chunk_prompts(parts, kind).collect()]
+        assert len(plain) == 3 and all("Up to 3 anomalies" in x and "10.00" in x for x in plain)
+        seen = A.chunk_prompts(parts, kind, pictures=True).collect()
+        assert all(bytes(r["png"])[1:4] == b"PNG" for r in seen) and all(("10.00" in r["prompt"]) == (name not in ("wo-text-seq", "anomllm")) for r in seen)
+    lost = A.ask(p, lambda prompts: ["none", None, "[]"][: len(prompts)] + ["[]"] * (len(prompts) - 3), length=10).collect()
+    assert {r["flag"] for r in lost} == {0} and {r["unread"] for r in lost} == {0, 1}
+    # two periods of 24 don't fit into ten rows
+    short = A.prepared(p, 10, deseasonal=True)
+    assert {r["status"] for r in A.asked(short, lambda prompts: ["[]"] * len(prompts), A.INDEX_TYPES["number"]).collect()} == {"too short"}
+    calls = tmp_path / "calls"
+
+    def counted(prompts):
+        with calls.open("a") as file:
+            file.write(f"{len(prompts)}\n")
+        return ["[]"] * len(prompts)
+
+    flags = A.ask(p, counted, length=10)
+    assert flags.count() == 25 and flags.count() == 25
+    assert sum(map(int, calls.read_text().split())) == 3  # a second action asks nobody again
 
 
 def test_stream_statistics_drop_late_rows(spark, tmp_path):

@@ -11,16 +11,19 @@ import math
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigil.functions.numbers import ALPHAS, image_tokens, upper_z
+from vigil.functions.png import picture_of
 from vigil.operators import embeddings as E
 from vigil.operators import evaluate as V
 from vigil.operators import intervals as I
 from vigil.operators import ledger as L
 from vigil.operators import normalise as N
+from vigil.operators import pictures as PIC
 from vigil.operators import prompts as P
 from vigil.operators import thresholds as T
 from vigil.operators import windows as W
@@ -822,34 +825,36 @@ def adaptive_k(spark, sf):
 # --- variants, requests and verification
 
 
-def _examples(spark, sf):
-    """series_id, shown (text of the resampled series), examples: its own first quarter with the intervals there."""
-    points = _points(spark, sf)
-    small = P.resampled(points, 0.3)
-    return P.series_text(small, "plain").withColumnRenamed("text", "shown"), points
+def _variant_table(some: dict) -> str:
+    """The variants as a table of SQL."""
+    rows = ", ".join(f"('{k}', {v.shots}, {int(v.worked is not None)})" for k, v in some.items())
+    return f"(VALUES {rows}) AS v(variant, shots, worked)"
+
+
+_SMALL_TEXT = {k: v for k, v in P.VARIANTS.items() if not v.vision and not v.reasoning and v.scale < 1}
+#: Each series and the answer of its example: that of the first other series by a hash.
+_OTHERS = """o AS (SELECT a.series_id, arg_min(b.series_id, sha256('0:' || b.series_id)) AS other FROM m a JOIN m b ON a.series_id <> b.series_id GROUP BY a.series_id)"""
 
 
 @query(
     "prompt_variants",
-    f"""WITH {POINTS}, {FOUND}, m AS (SELECT series_id, list('{{"start":' || floor("start" * 0.3::DOUBLE)::BIGINT || ',"end":' || floor("end" * 0.3::DOUBLE)::BIGINT || '}}' ORDER BY "start") AS i FROM g GROUP BY series_id)
-  SELECT series_id, v.variant, CAST(1 + 2 * v.shots + 4 * v.worked AS BIGINT) AS n_messages, CASE WHEN v.shots = 1 THEN '[' || array_to_string(i, ',') || ']' END AS example
-  FROM m CROSS JOIN (SELECT unnest([{', '.join(f"'{k}'" for k in P.VARIANTS if not P.VARIANTS[k].vision and not P.VARIANTS[k].reasoning and P.VARIANTS[k].scale < 1)}]) AS variant,
-    unnest([{', '.join(str(x.shots) for x in P.VARIANTS.values() if not x.vision and not x.reasoning and x.scale < 1)}]) AS shots,
-    unnest([{', '.join(str(int(x.worked is not None)) for x in P.VARIANTS.values() if not x.vision and not x.reasoning and x.scale < 1)}]) AS worked) v""",
+    f"""WITH {POINTS}, {FOUND}, m AS (SELECT series_id, list('{{"start":' || floor("start" * 0.3::DOUBLE)::BIGINT || ',"end":' || floor("end" * 0.3::DOUBLE)::BIGINT || '}}' ORDER BY "start") AS i FROM g GROUP BY series_id), {_OTHERS}
+  SELECT o.series_id, variant, CAST(1 + 2 * shots + 4 * worked AS BIGINT) AS n_messages, CASE WHEN shots = 1 THEN '[' || array_to_string(i, ',') || ']' END AS example
+  FROM o JOIN m ON m.series_id = o.other CROSS JOIN {_variant_table(_SMALL_TEXT)}""",
 )
 def prompt_variants(spark, sf):
-    shown, points = _examples(spark, sf)
+    points = _points(spark, sf)
+    shown = P.series_text(P.resampled(points, 0.3), "plain").withColumnRenamed("text", "shown")
     found = _found(points, 0.01).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("i"))
+    answer = P.example_answer(P.Variant(scale=0.3), P.Wording(), F.col("i"), F.lit(""), F.lit(""))
+    training = written(found.join(shown, "series_id").select("series_id", "shown", answer.alias("answer")), "training")
+    asked = P.few_shots(training.select("series_id", "shown"), training, 1)
     each = []
-    for name, variant in P.VARIANTS.items():
-        if not variant.vision and not variant.reasoning and variant.scale < 1:
-            answer = P.example_answer(variant, P.Wording(), F.col("i"), F.lit(""), F.lit(""))
-            examples = F.array(F.struct(F.col("shown").alias("shown"), answer.alias("answer")))
-            made = P.variant_messages(variant, F.col("shown"), examples)
-            example = F.element_at(made, -2)["text"] if variant.shots else F.lit(None).cast("string")
-            each.append(F.struct(F.lit(name).alias("variant"), F.size(made).cast("long").alias("n_messages"), example.alias("example")))
-    rows = found.join(shown, "series_id").select("series_id", F.explode(F.array(*each)).alias("x"))
-    return rows.select("series_id", "x.variant", "x.n_messages", "x.example")
+    for name, variant in _SMALL_TEXT.items():
+        made = P.variant_messages(variant, F.col("shown"), F.col("examples"))
+        example = F.element_at(made, -2)["text"] if variant.shots else F.lit(None).cast("string")
+        each.append(F.struct(F.lit(name).alias("variant"), F.size(made).cast("long").alias("n_messages"), example.alias("example")))
+    return asked.select("series_id", F.explode(F.array(*each)).alias("x")).select("series_id", "x.variant", "x.n_messages", "x.example")
 
 
 @query(
@@ -865,21 +870,6 @@ def prompt_reasoning(spark, sf):
     return rows.select("doc_id", answer.alias("answer"))
 
 
-@query(
-    "contents_request",
-    """SELECT conv_id, turn, 2::BIGINT AS n_parts, coalesce(text, '') AS text, base64(encode(role)) AS image, 0.4::DOUBLE AS temperature FROM conversations WHERE role = 'user'""",
-)
-def contents_request(spark, sf):
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
-    image = F.concat(F.lit("data:image/jpeg;base64,"), F.base64(F.col("role").cast("binary")))
-    message = F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("text"), image.alias("image")))
-    read = rows.select("conv_id", "turn", F.from_json(P.contents_request(message), "contents array<struct<text:string,inline_data:string>>, temperature double").alias("r"))
-    return read.select(
-        "conv_id", "turn", F.size("r.contents").cast("long").alias("n_parts"), F.col("r.contents")[0]["text"].alias("text"),
-        F.col("r.contents")[1]["inline_data"].alias("image"), F.col("r.temperature").alias("temperature"),
-    )
-
-
 @query(
     "postprocess_variants",
     f"""WITH {POINTS}, {FOUND} SELECT series_id, "start", v.variant, CASE WHEN v.variant IN ({', '.join(f"'{x}'" for x in P.RESCALED)}) THEN floor("start" / 0.3::DOUBLE)::BIGINT::VARCHAR || ' to ' || floor("end" / 0.3::DOUBLE)::BIGINT
@@ -892,36 +882,106 @@ def postprocess_variants(spark, sf):
 
 
 QUERIES["series_to_text_described"] = lambda spark, sf: P.series_text(event_points(spark, sf), "described")
-SQL["series_to_text_described"] = f"""WITH {POINTS}, s AS (SELECT series_id, min(value) AS a, max(value) AS b, median(value) AS m, regr_slope(value, idx) AS k, string_agg(printf('%.2f', value), ' ' ORDER BY idx) AS x FROM p GROUP BY series_id)
-  SELECT series_id, 'Range ' || printf('%.2f', a) || ' to ' || printf('%.2f', b) || ', middle ' || printf('%.2f', m) || ', trend ' || CASE WHEN k > 0.03 THEN 'increasing' WHEN k < -0.03 THEN 'decreasing' ELSE 'stable' END || '. ' || x AS text FROM s"""
+SQL["series_to_text_described"] = f"""WITH {POINTS}, s AS (SELECT series_id, min(value) AS a, max(value) AS b, median(value) AS m, stddev_pop(value) AS d, regr_slope(value, idx) AS k, string_agg(printf('%.2f', value), ' ' ORDER BY idx) AS x FROM p GROUP BY series_id)
+  SELECT series_id, 'Range ' || printf('%.2f', a) || ' to ' || printf('%.2f', b) || ', middle ' || printf('%.2f', m) || ', deviation ' || printf('%.2f', d) || ', trend ' || CASE WHEN k > 0.03 THEN 'increasing' WHEN k < -0.03 THEN 'decreasing' ELSE 'stable' END || '. ' || x AS text FROM s"""
 
 
 def _high_rows(prompts: list[str]) -> list[str]:
     """A stand-in for a model: it names the rows of a chunk from 9.5 on, but has no answer if there is an odd number of them."""
     out = []
     for prompt in prompts:
-        rows = re.findall(r"\(([^,]+), ([0-9.]+)\)", prompt)
-        high = [name for name, value in rows if float(value) >= 9.5]
-        quoted = [name if name.isdigit() else json.dumps(name) for name in high]
-        out.append("[" + ", ".join(f'{{"start": {x}, "end": {x}}}' for x in quoted) + "]" if len(high) % 2 == 0 else "No idea.")
+        text = prompt.split("History:\n")[1].split("\nWhich")[0]
+        rows = re.findall(r"\(([^,]*), (-?[0-9.]+)\)", text) or [("", v) for v in text.split(" ")]
+        high = [name or str(k) for k, (name, value) in enumerate(rows) if float(value) >= 9.5]
+        quoted = [(name, "") if name.isdigit() else (json.dumps(name), " timestamp") for name in high]
+        said = "[" + ", ".join(f'{{"start{k}": {x}, "end{k}": {x}}}' for x, k in quoted) + "]"
+        out.append(said if len(high) % 2 == 0 else "No idea.")
+    return out
+
+
+def _top_of_picture(prompts: list[str], pictures: list[bytes]) -> list[str]:
+    """A stand-in that looks at the picture alone: the columns where the line touches the top, as rows, in a fence and with a slip."""
+    out = []
+    for prompt, data in zip(prompts, pictures, strict=True):
+        size = prompt.split("History:\n")[1].split("\nWhich")[0].count("\n") + 1
+        columns = np.flatnonzero(picture_of(data)[0] == PIC.LINE).tolist()
+        rows = [(c * size // A.WIDTH, (c + 1) * size // A.WIDTH + 1) for c in columns]
+        out.append("```json\n[" + "".join(f"{{'start': {a}, 'end': {b}}}, " for a, b in rows) + "]\n```")
     return out
 
 
-_ASKED = f"""WITH {POINTS}, x AS (SELECT p.series_id, idx // 1000 AS chunk, idx, value FROM p JOIN n USING (series_id) WHERE t <= 1000 OR t % 1000 = 0 OR idx // 1000 < t // 1000
+#: Chunks of 1000 rows, the last one moved left; v is scaled to 0 to 10, i counts within the chunk.
+_PARTS = f"""WITH {POINTS}, x AS (SELECT p.series_id, idx // 1000 AS chunk, idx, value FROM p JOIN n USING (series_id) WHERE t <= 1000 OR t % 1000 = 0 OR idx // 1000 < t // 1000
    UNION ALL SELECT p.series_id, t // 1000, idx, value FROM p JOIN n USING (series_id) WHERE t > 1000 AND t % 1000 <> 0 AND idx >= t - 1000),
-  y AS (SELECT *, printf('%.2f', CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 10 ELSE 5 END)::DOUBLE >= 9.5 AS high FROM x WINDOW w AS (PARTITION BY series_id, chunk)),
+  v AS (SELECT *, idx - min(idx) OVER w AS i, count(*) OVER w AS size, value - avg(value) OVER w AS c,
+    CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 10 ELSE 5 END AS v FROM x WINDOW w AS (PARTITION BY series_id, chunk))"""
+_PERIODS = """r AS (SELECT a.series_id, a.chunk, a.size, b.i - a.i AS lag, sum(a.c * b.c) AS acf FROM v a JOIN v b ON b.series_id = a.series_id AND b.chunk = a.chunk AND b.i BETWEEN a.i AND a.i + floor(a.size * 0.5::DOUBLE) GROUP BY ALL),
+  k AS (SELECT *, first_value(acf) OVER w AS zero, acf > lag(acf) OVER w AND acf > lead(acf) OVER w AS peak FROM r WINDOW w AS (PARTITION BY series_id, chunk ORDER BY lag)),
+  f AS (SELECT series_id, chunk, size, CAST(coalesce(arg_max(lag, acf) FILTER (peak AND lag > 2 AND acf >= floor(zero / 5)), 0) AS BIGINT) AS l FROM k GROUP BY ALL),
+  pe AS (SELECT series_id, chunk, size, CASE WHEN l < 24 OR l > size // 2 THEN 24 ELSE l END AS period FROM f)"""
+#: Moving averages with half weights at the ends of an even period, means by phase, centred.
+_SEASONS = """tr AS (SELECT a.series_id, a.chunk, a.i, period, any_value(a.v) - sum(b.v * CASE WHEN period % 2 = 0 AND abs(b.i - a.i) = period // 2 THEN 0.5::DOUBLE ELSE 1 END) / period AS rest
+    FROM v a JOIN pe USING (series_id, chunk) JOIN v b ON b.series_id = a.series_id AND b.chunk = a.chunk AND b.i BETWEEN a.i - period // 2 AND a.i + period // 2
+    WHERE a.i >= period // 2 AND a.i < a.size - period // 2 GROUP BY a.series_id, a.chunk, a.i, period),
+  ph AS (SELECT series_id, chunk, i % period AS phase, avg(rest) AS m FROM tr GROUP BY ALL),
+  se AS (SELECT series_id, chunk, phase, m - avg(m) OVER (PARTITION BY series_id, chunk) AS seasonal FROM ph)"""
+
+
+def _flags_sql(rows: str) -> str:
+    """Flags and unread chunks from (series_id, chunk, idx, shown) of ``rows``."""
+    return f"""y AS (SELECT *, printf('%.2f', shown)::DOUBLE >= 9.5 AS high FROM {rows}),
   z AS (SELECT *, count(*) FILTER (high) OVER (PARTITION BY series_id, chunk) % 2 = 0 AS told FROM y)
-  SELECT series_id, idx, count(*) FILTER (high AND told) AS flag FROM z GROUP BY series_id, idx"""
+  SELECT series_id, idx, count(*) FILTER (high AND told) AS flag, count(*) FILTER (NOT told) AS unread FROM z GROUP BY series_id, idx"""
+
+
+_ASKED = f"{_PARTS}, q AS (SELECT *, v AS shown FROM v), {_flags_sql('q')}"
 
 
 @query("agent_by_number", _ASKED)
 def agent_by_number(spark, sf):
-    return A.ask(event_points(spark, sf), _high_rows, "number")
+    return A.ask(_points(spark, sf), _high_rows, "number")
 
 
 @query("agent_by_timestamp", _ASKED)
 def agent_by_timestamp(spark, sf):
-    return A.ask(event_points(spark, sf), _high_rows, "timestamp")
+    return A.ask(_points(spark, sf), _high_rows, "timestamp")
+
+
+@query("agent_without_index", _ASKED)
+def agent_without_index(spark, sf):
+    return A.ask(_points(spark, sf), _high_rows, "wo-index")
+
+
+@query("agent_anomllm", _ASKED)
+def agent_anomllm(spark, sf):
+    return A.ask(_points(spark, sf), _high_rows, "anomllm")
+
+
+@query(
+    "agent_deseasonalised",
+    f"{_PARTS}, {_PERIODS}, {_SEASONS}, q AS (SELECT v.*, v - seasonal AS shown FROM v JOIN pe USING (series_id, chunk) JOIN se ON se.series_id = v.series_id AND se.chunk = v.chunk AND phase = i % period), {_flags_sql('q')}",
+)
+def agent_deseasonalised(spark, sf):
+    return A.ask(_points(spark, sf), _high_rows, "number", deseasonal=True)
+
+
+@query("agent_periods", f"{_PARTS}, {_PERIODS} SELECT chunk || '|' || series_id AS series_id, size, period FROM pe")
+def agent_periods(spark, sf):
+    parts = A.prepared(_points(spark, sf))
+    return parts.groupBy("series_id").agg(F.max("size").alias("size"), F.max("period").alias("period"))
+
+
+@query(
+    "agent_status",
+    f"""{_PARTS}, y AS (SELECT *, printf('%.2f', v)::DOUBLE >= 9.5 AS high FROM v), z AS (SELECT series_id, chunk, count(*) FILTER (high) AS n FROM y GROUP BY ALL)
+  SELECT series_id, CASE WHEN n % 2 = 0 THEN 'parsed' ELSE 'failed' END AS status, count(*) AS chunks, CAST(coalesce(sum(n) FILTER (n % 2 = 0), 0) AS BIGINT) AS items FROM z GROUP BY ALL""",
+)
+def agent_status(spark, sf):
+    parts = A.prepared(_points(spark, sf))
+    answers = A.asked(parts, _high_rows, A.INDEX_TYPES["number"])
+    known = answers.join(parts.groupBy("series_id").agg(F.first("whole").alias("whole")), "series_id")
+    items = F.coalesce(F.sum(F.size("items")), F.lit(0)).cast("long").alias("items")
+    return known.groupBy(F.col("whole").alias("series_id"), "status").agg(F.count(F.lit(1)).alias("chunks"), items)
 
 
 @query("anomaly_budget", f"WITH {POINTS} SELECT series_id, CAST(greatest(3, floor(t * 0.05::DOUBLE)) AS BIGINT) AS budget FROM n")
@@ -1077,9 +1137,14 @@ def detector_sql(detector: D.Detector) -> str:
     else:
         reference = f"rd AS (SELECT series_id, sc, tok, d, quantile_disc(v, 0.5) AS v FROM tf JOIN wl USING (series_id) {early} GROUP BY ALL)"
     with_window = "AND r.w = t.w" if local else ""
-    parts = f"""WITH {POINTS},
-  ln AS (SELECT series_id, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a FROM p GROUP BY series_id),
-  rs AS (SELECT p.series_id, idx, ts, value - (a + b * idx) AS v FROM p JOIN ln USING (series_id)),
+    smooth, rows = "", "p"
+    if detector.smoothing < 1:
+        alpha, rows = detector.smoothing, "e0"
+        smooth = f"""e0 AS (SELECT a.series_id, a.idx, any_value(a.ts) AS ts, sum(CASE WHEN b.idx = 0 THEN 1.0::DOUBLE ELSE {alpha}::DOUBLE END * power({1 - alpha}::DOUBLE, a.idx - b.idx) * b.value) AS value
+   FROM p a JOIN p b ON a.series_id = b.series_id AND b.idx <= a.idx AND b.idx > a.idx - 150 GROUP BY a.series_id, a.idx),"""
+    parts = f"""WITH {POINTS}, {smooth}
+  ln AS (SELECT series_id, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a FROM {rows} GROUP BY series_id),
+  rs AS (SELECT q.series_id, idx, ts, value - (a + b * idx) AS v FROM {rows} q JOIN ln USING (series_id)),
   mm AS (SELECT series_id, min(v) AS lo, max(v) AS hi FROM rs GROUP BY series_id),
   z AS (SELECT series_id, idx, ts, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END AS v, t FROM rs JOIN mm USING (series_id) JOIN n USING (series_id)),
   wl AS (SELECT series_id, t, (t - {width}) // {step} + 1 AS l FROM n WHERE t >= {width}),
@@ -1160,3 +1225,172 @@ for _name, _detector in D.DETECTORS.items():
 )
 def window_sizes(spark, sf):
     return N.window_sizes(event_points(spark, sf))
+
+
+# --- pictures
+
+
+def _runs_sql(name: str, rows: str, keys: str, width: int, height: int) -> str:
+    """Table ``name``: keys, column, low, high of a line through (o, x, v) of ``rows``."""
+    k = keys.split(", ")
+    own = " AND ".join(f"a.{c} = b.{c}" for c in k)
+    return f"""{name}_s AS (SELECT {keys}, o, CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * {width} ELSE 0 END AS x,
+    CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * {height} ELSE {height / 2} END AS y FROM {rows} WINDOW w AS (PARTITION BY {keys})),
+  {name}_c AS (SELECT *, least(floor(x), {width - 1})::BIGINT AS c FROM {name}_s),
+  {name}_l AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(c) OVER w AS c0 FROM {name}_c WINDOW w AS (PARTITION BY {keys} ORDER BY o)),
+  {name}_b AS (SELECT *, unnest(generate_series(c0, c)) AS k FROM {name}_l WHERE c0 < c),
+  {name}_e AS (SELECT {keys}, c AS k, y AS a, y AS b FROM {name}_c UNION ALL
+    SELECT {keys}, k, y0 + (y - y0) / (x - x0) * (greatest(x0, k::DOUBLE) - x0), y0 + (y - y0) / (x - x0) * (least(x, k + 1.0::DOUBLE) - x0) FROM {name}_b),
+  {name} AS (SELECT {keys}, k AS "column", greatest(0, least(floor(min(least(a, b))), {height - 1}))::BIGINT AS low, greatest(0, least(floor(max(greatest(a, b))), {height - 1}))::BIGINT AS high
+    FROM {name}_e GROUP BY {keys}, k)"""
+
+
+_PICTURED = f"""w AS (SELECT series_id, unnest(generate_series(greatest(0, ceil((idx - 223) / 56.0))::BIGINT, least(floor(idx / 56.0), floor((t - 224) / 56.0))::BIGINT)) AS window_id, idx AS o, idx::DOUBLE AS x, value AS v FROM p JOIN n USING (series_id)),
+  {_runs_sql("r", "w", "series_id, window_id", 112, 56)}"""
+
+
+@query(
+    "window_pictures",
+    f"""WITH {POINTS}, {_PICTURED} SELECT series_id, window_id, CAST(sum(high - low + 1) AS BIGINT) AS pixels, CAST(sum("column" * (high - low + 1)) AS BIGINT) AS columns,
+  CAST(sum((low + high) * (high - low + 1) / 2) AS BIGINT) AS rows FROM r GROUP BY series_id, window_id""",
+)
+def window_pictures(spark, sf):
+    points = _points(spark, sf)
+    windows = T.hopping(points.join(T.lengths(points), "series_id"), F.lit(224), F.lit(56))
+    pictures = PIC.window_pictures(windows, 112, 56)
+    return PIC.inks_of(pictures, ["series_id", "window_id"]).where(F.col("ink") == PIC.LINE).drop("ink")
+
+
+@query(
+    "series_picture_by_time",
+    f"""WITH {POINTS}, w AS (SELECT series_id, idx AS o, epoch_us(ts)::DOUBLE AS x, value AS v FROM p), {_runs_sql("r", "w", "series_id", 400, 60)} SELECT * FROM r""",
+)
+def series_picture_by_time(spark, sf):
+    return PIC.line_runs(event_points(spark, sf), ["series_id"], 400, 60, PIC.micros("ts"))
+
+
+def _range_sql(start: str, end: str, least: str, greatest: str, width: int) -> str:
+    """List of the columns of a range."""
+    at = lambda c: f"least(floor((greatest({least}, least({c}, {greatest})) - {least}) / greatest({greatest} - {least}, 1)::DOUBLE * {width}), {width - 1})::BIGINT"
+    return f"generate_series({at(start)}, {at(end)})"
+
+
+@query(
+    "two_panel_pictures",
+    f"""WITH {POINTS}, {FOUND}, b AS (SELECT series_id, arg_max("start", (severity, -"start")) AS s, arg_max("end", (severity, -"start")) AS e FROM d GROUP BY series_id),
+  z AS (SELECT b.*, t - 1 AS last, greatest(0, s - greatest(20, floor((e - s) * 0.15::DOUBLE)))::BIGINT AS lo, least(t - 1, e + greatest(20, floor((e - s) * 0.15::DOUBLE)) - 1)::BIGINT AS hi FROM b JOIN n USING (series_id)),
+  w1 AS (SELECT series_id, idx AS o, idx::DOUBLE AS x, value AS v FROM p), {_runs_sql("r1", "w1", "series_id", 300, 50)},
+  w2 AS (SELECT p.series_id, idx AS o, idx::DOUBLE AS x, value AS v FROM p JOIN z USING (series_id) WHERE idx BETWEEN lo AND hi), {_runs_sql("r2", "w2", "series_id", 300, 50)},
+  a AS (SELECT series_id, "column", low + 54 AS low, high + 54 AS high, 3 AS ink FROM r1 UNION ALL SELECT series_id, "column", low, high, 3 FROM r2
+    UNION ALL SELECT series_id, unnest({_range_sql('d."start"', 'd."end"', "0", "t - 1", 300)}), 54, 103, 1 FROM d JOIN n USING (series_id)
+    UNION ALL SELECT series_id, unnest({_range_sql("s", "e", "0", "last", 300)}), 54, 103, 2 FROM z
+    UNION ALL SELECT series_id, unnest({_range_sql("s", "e", "lo", "hi", 300)}), 0, 49, 2 FROM z),
+  q AS (SELECT series_id, "column", unnest(generate_series(low, high)) AS y, ink FROM a), m AS (SELECT series_id, "column", y, max(ink) AS ink FROM q GROUP BY ALL),
+  f AS (SELECT series_id, ink, count(*) AS pixels, sum("column")::BIGINT AS columns, sum(y)::BIGINT AS rows FROM m GROUP BY ALL)
+  SELECT series_id, ink::BIGINT AS ink, pixels, columns, rows FROM f UNION ALL
+  SELECT series_id, 0, 300 * 104 - sum(pixels)::BIGINT, 104 * 44850 - sum(columns)::BIGINT, 300 * 5356 - sum(rows)::BIGINT FROM f GROUP BY series_id""",
+)
+def two_panel_pictures(spark, sf):
+    points = _points(spark, sf)
+    pictures = PIC.two_panels(points, written(_found(points, 0.1), "found"), 300, 50)
+    return PIC.inks_of(pictures, ["series_id"])
+
+
+_VISION = {k: v for k, v in P.VARIANTS.items() if v.vision}
+_INK = """k AS (SELECT series_id, CAST(sum(high - low + 1) AS BIGINT) AS ink FROM r GROUP BY series_id)"""
+
+
+@query(
+    "vision_requests",
+    f"""WITH {POINTS}, {FOUND}, m AS (SELECT DISTINCT series_id FROM g), {_OTHERS},
+  w AS (SELECT series_id, idx AS o, idx::DOUBLE AS x, value AS v FROM p), {_runs_sql("r", "w", "series_id", 400, 60)}, {_INK}
+  SELECT o.series_id, variant, CAST(1 + 2 * shots + 4 * worked AS BIGINT) AS n_messages, CAST(1 + shots AS BIGINT) AS n_pictures, k.ink, CASE WHEN shots = 1 THEN x.ink END AS example_ink
+  FROM o JOIN k USING (series_id) JOIN k x ON x.series_id = o.other CROSS JOIN {_variant_table(_VISION)}""",
+)
+def vision_requests(spark, sf):
+    """Requests of the vision variants with pictures of the series; the pictures are read back from the base64 of the messages."""
+    points = _points(spark, sf)
+    found = _found(points, 0.01).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("i"))
+    shown = PIC.series_pictures(points).select("series_id", F.base64("png").alias("shown"))
+    answer = P.example_answer(P.Variant(vision=True), P.Wording(), F.col("i"), F.lit(""), F.lit(""))
+    training = written(found.join(shown, "series_id").select("series_id", "shown", answer.alias("answer")), "training")
+    asked = P.few_shots(training.select("series_id", "shown"), training, 1)
+    each = [
+        F.struct(F.lit(k).alias("variant"), P.variant_messages(v, F.col("shown"), F.col("examples")).alias("messages")) for k, v in _VISION.items()
+    ]
+    made = written(asked.select("series_id", F.explode(F.array(*each)).alias("x")).select("series_id", "x.variant", "x.messages"), "requests")
+    bare = F.transform(F.filter("messages", lambda m: m["image"].isNotNull()), lambda m: F.unbase64(F.element_at(F.split(m["image"], ","), -1)))
+    pictures = made.select("series_id", "variant", F.posexplode(F.reverse(bare)).alias("place", "png"))  # the question's comes first
+    inks = PIC.inks_of(pictures, ["series_id", "variant", "place"]).where(F.col("ink") == PIC.LINE)
+    own = inks.groupBy("series_id", "variant").agg(
+        F.count(F.lit(1)).alias("n_pictures"), F.max(F.when(F.col("place") == 0, F.col("pixels"))).alias("ink"), F.max(F.when(F.col("place") == 1, F.col("pixels"))).alias("example_ink")
+    )
+    return made.select("series_id", "variant", F.size("messages").cast("long").alias("n_messages")).join(own, ["series_id", "variant"])
+
+
+@query(
+    "contents_request",
+    f"""WITH {POINTS}, w AS (SELECT series_id, idx AS o, idx::DOUBLE AS x, value AS v FROM p), {_runs_sql("r", "w", "series_id", 400, 60)}, {_INK}
+  SELECT series_id, 2::BIGINT AS n_parts, 'Find anomalies in ' || series_id AS text, ink, 0.4::DOUBLE AS temperature FROM k""",
+)
+def contents_request(spark, sf):
+    pictures = PIC.series_pictures(_points(spark, sf))
+    image = F.concat(F.lit("data:image/jpeg;base64,"), F.base64("png"))
+    message = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("Find anomalies in "), F.col("series_id")).alias("text"), image.alias("image")))
+    read = pictures.select("series_id", F.from_json(P.contents_request(message), "contents array<struct<text:string,inline_data:string>>, temperature double").alias("r"))
+    parts = written(
+        read.select(
+            "series_id", F.size("r.contents").cast("long").alias("n_parts"), F.col("r.contents")[0]["text"].alias("text"),
+            F.unbase64(F.col("r.contents")[1]["inline_data"]).alias("png"), F.col("r.temperature").alias("temperature"),
+        ),
+        "requests",
+    )
+    inks = PIC.inks_of(parts, ["series_id"]).where(F.col("ink") == PIC.LINE).select("series_id", F.col("pixels").alias("ink"))
+    return parts.drop("png").join(inks, "series_id")
+
+
+@query(
+    "agent_by_picture",
+    f"""{_PARTS}, w AS (SELECT series_id, chunk, i AS o, i::DOUBLE AS x, v FROM v), {_runs_sql("r", "w", "series_id, chunk", 500, 75)},
+  h AS (SELECT series_id, chunk, "column" * size // 500 AS a, least(size - 1, ("column" + 1) * size // 500) AS b FROM r JOIN (SELECT DISTINCT series_id, chunk, size FROM v) USING (series_id, chunk) WHERE high = 74),
+  e AS (SELECT DISTINCT series_id, chunk, unnest(generate_series(a, b)) AS i FROM h)
+  SELECT v.series_id, v.idx, count(e.i) AS flag, 0::BIGINT AS unread FROM v LEFT JOIN e ON e.series_id = v.series_id AND e.chunk = v.chunk AND e.i = v.i GROUP BY v.series_id, v.idx""",
+)
+def agent_by_picture(spark, sf):
+    return A.ask(_points(spark, sf), _top_of_picture, "wo-text-seq", pictures=True)
+
+
+@query(
+    "seasonal_by_series",
+    f"""WITH {POINTS}, {_ACF}, k AS (SELECT series_id, lag, acf, first_value(acf) OVER w AS zero, acf > lag(acf) OVER w AND acf > lead(acf) OVER w AS peak FROM r WINDOW w AS (PARTITION BY series_id ORDER BY lag)),
+  f AS (SELECT series_id, CAST(coalesce(arg_max(lag, acf) FILTER (peak AND lag > 2 AND acf >= floor(zero / 5)), 0) AS BIGINT) AS l FROM k GROUP BY series_id),
+  pe AS (SELECT series_id, 0 AS chunk, CASE WHEN l < 24 OR l > t // 2 THEN 24 + length(series_id) ELSE l END AS period FROM f JOIN n USING (series_id)),
+  v AS (SELECT series_id, 0 AS chunk, idx AS i, t AS size, value AS v FROM p JOIN n USING (series_id)), {_SEASONS}
+  SELECT v.series_id, i AS idx, period, round(seasonal, 5) AS seasonal, round(v - seasonal, 5) AS value FROM v JOIN pe USING (series_id) JOIN se ON se.series_id = v.series_id AND phase = i % period""",
+)
+def seasonal_by_series(spark, sf):
+    """With the period found for a series; where none is, with one that differs by series."""
+    points = _points(spark, sf)
+    found = N.known_period(N.best_period(N.autocorrelation(points)), T.lengths(points))
+    none = N.best_period(N.autocorrelation(points)).where("period < 24").select("series_id", F.lit(True).alias("none"))
+    periods = found.join(none, "series_id", "left").select("series_id", F.when(F.col("none") | (F.col("period") == 24), 24 + F.length("series_id")).otherwise(F.col("period")).cast("long").alias("period"))
+    periods = written(periods, "periods")
+    out = N.deseasonalised_by(points, periods).join(periods, "series_id")
+    return out.select("series_id", "idx", "period", _rounded("seasonal", 5), _rounded("value", 5))
+
+
+@query(
+    "series_to_text_steps",
+    f"""WITH {POINTS} SELECT series_id, string_agg(CASE WHEN idx % 50 = 0 THEN chr(10) ELSE '' END || printf('%.2f', value), ' ' ORDER BY idx) || CASE WHEN count(*) % 50 = 0 THEN ' ' || chr(10) ELSE '' END AS text FROM p GROUP BY series_id""",
+)
+def series_to_text_steps(spark, sf):
+    return P.series_text(event_points(spark, sf), "plain", step=50)
+
+
+@query(
+    "percentile99_intervals",
+    f"""WITH {POINTS}, h AS (SELECT p.* FROM p JOIN (SELECT series_id, quantile_cont(value, 0.99) AS q FROM p GROUP BY series_id) USING (series_id) WHERE value > q), {_islands_sql("i", "h")}
+  SELECT series_id, {TIME.format("start_ts")}, {TIME.format("end_ts")}, round(severity, 6) AS severity FROM i""",
+)
+def percentile99_intervals(spark, sf):
+    return T.percentile_intervals(event_points(spark, sf)).select("series_id", _time("start_ts"), _time("end_ts"), _rounded("severity"))

@@ -44,6 +44,19 @@ def detrended(points: DataFrame) -> DataFrame:
 SLICE = 8192
 
 
+def faded_sums(x: np.ndarray, q: float, block: int = 128) -> np.ndarray:
+    """s[k] = q s[k - 1] + x[k]: blocks by one matrix product, and a step per block for what the one before leaves."""
+    n = len(x)
+    padded = np.zeros(-(-n // block) * block)
+    padded[:n] = x
+    apart = np.arange(block)[:, None] - np.arange(block)
+    inner = padded.reshape(-1, block) @ np.where(apart >= 0, q ** np.maximum(apart, 0), 0.0).T
+    fade = q ** np.arange(1, block + 1)
+    for k in range(1, len(inner)):
+        inner[k] += inner[k - 1, -1] * fade
+    return inner.ravel()[:n]
+
+
 def _smooth(points: DataFrame, keep_share: Column, adjusted: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     """series_id, idx, value, smooth (and ``keep``): exponential means by slices of a series.
 
@@ -66,12 +79,7 @@ def _smooth(points: DataFrame, keep_share: Column, adjusted: bool, keep: tuple[s
         else:
             w = np.full(len(x), 1 - q)
             w[part["idx"].to_numpy() == 0] = 1.0
-        total, weight = np.empty(len(x)), np.empty(len(x))
-        a = b = 0.0
-        for k in range(len(x)):
-            a, b = a * q + w[k] * x[k], b * q + w[k]
-            total[k], weight[k] = a, b
-        return part.assign(_total=total, _weight=weight)
+        return part.assign(_total=faded_sums(w * x, q), _weight=faded_sums(w, q))
 
     extra = "".join(f", {c} {points.schema[c].dataType.simpleString()}" for c in keep)
     shape = f"series_id {kind}, idx long, value double{extra}, _q double, _slice long, _total double, _weight double"
@@ -97,9 +105,9 @@ def _smooth(points: DataFrame, keep_share: Column, adjusted: bool, keep: tuple[s
     return own.join(before, ["series_id", "_slice"]).select("series_id", "idx", "value", *keep, (top / bottom).alias("smooth"))
 
 
-def ewm_alpha(points: DataFrame, alpha: float) -> DataFrame:
+def ewm_alpha(points: DataFrame, alpha: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """Recursive exponential mean; alpha of 1 or more leaves values alone."""
-    return _smooth(points, F.lit(max(0.0, 1 - alpha)), adjusted=False)
+    return _smooth(points, F.lit(max(0.0, 1 - alpha)), adjusted=False, keep=keep)
 
 
 def ewm_span(points: DataFrame, share: float = 0.01, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -179,6 +187,54 @@ def deseasonalised(points: DataFrame, period: int) -> DataFrame:
     )
 
 
+def prefix_sums(points: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """series_id, idx, value, before (sum of all earlier values), and ``keep``; summed by slices of a series."""
+    cut = points.select("series_id", "idx", "value", *keep, F.floor(F.col("idx") / SLICE).alias("_slice"))
+    sums = cut.groupBy("series_id", "_slice").agg(F.sum("value").alias("_n"))
+    earlier = Window.partitionBy("series_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    starts = sums.select("series_id", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0.0)).alias("_start"))
+    inside = F.sum("value").over(Window.partitionBy("series_id", "_slice").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_in", inside).join(starts, ["series_id", "_slice"]).select(
+        "series_id", "idx", "value", *keep, (F.col("_start") + F.col("_in") - F.col("value")).alias("before")
+    )
+
+
+def known_period(acf_period: DataFrame, lengths: DataFrame, least: int = 24) -> DataFrame:
+    """series_id, period: ``least`` in place of a shorter period, and of one above half the series."""
+    return acf_period.join(lengths, "series_id").select(
+        "series_id", F.when((F.col("period") < least) | (F.col("period") > F.floor(F.col("t") / 2)), least).otherwise(F.col("period")).cast("long").alias("period")
+    )
+
+
+def deseasonalised_by(points: DataFrame, periods: DataFrame) -> DataFrame:
+    """series_id, idx, seasonal, value less it, with the period of each series (series_id, period).
+
+    A moving average of a width that differs by series is a difference of two prefix sums: each row sends its own to
+    the two rows whose averages end and begin there, so nothing is ordered over a series. Series of fewer than two
+    periods have no seasonal part: null.
+    """
+    half = F.floor(F.col("period") / 2)
+    even = F.col("period") % 2 == 0
+    # less the mean, so that sums stay small
+    flat = per_series(points, F.avg("value").alias("_m"), F.count(F.lit(1)).alias("t"))
+    sums = prefix_sums(flat.withColumn("value", F.col("value") - F.col("_m")).join(periods, "series_id"), keep=("_m", "t", "period"))
+    middle = F.col("before") + F.col("value") / 2  # half weights at both ends of an even period
+    upper, lower = F.when(even, middle).otherwise(F.col("before") + F.col("value")), F.when(even, middle).otherwise(F.col("before"))
+    to = lambda at, v: F.struct(at.alias("idx"), v.alias("v"))
+    sent = sums.select("series_id", "period", "t", F.explode(F.array(to(F.col("idx") - half, upper), to(F.col("idx") + half, -lower))).alias("x"))
+    trend = sent.where("x.idx >= 0 AND x.idx < t AND t >= 2 * period").groupBy("series_id", F.col("x.idx").alias("idx"), "period").agg(
+        F.sum("x.v").alias("v"), F.count(F.lit(1)).alias("n")
+    )
+    trend = trend.where("n = 2").select("series_id", "idx", (F.col("v") / F.col("period")).alias("trend"))
+    phase = (F.col("idx") % F.col("period")).alias("phase")
+    rest = sums.join(trend, ["series_id", "idx"]).select("series_id", phase, (F.col("value") - F.col("trend")).alias("rest"))
+    by_phase = rest.groupBy("series_id", "phase").agg(F.avg("rest").alias("m"))
+    middle_of = by_phase.groupBy("series_id").agg(F.avg("m").alias("centre"))
+    seasonal = by_phase.join(middle_of, "series_id").select("series_id", "phase", (F.col("m") - F.col("centre")).alias("seasonal"))
+    own = sums.select("series_id", "idx", phase, (F.col("value") + F.col("_m")).alias("value"))
+    return own.join(seasonal, ["series_id", "phase"], "left").select("series_id", "idx", "seasonal", (F.col("value") - F.col("seasonal")).alias("value"))
+
+
 def spectrum_window(values: np.ndarray, sizes=(56, 112, 224), default: int = 224, snr: float = 3.0, high: float = 0.4) -> int:
     """Window size from the spectrum: the smallest for noisy series, the default without a clear period, else the
     size that is nearest to a multiple of the period (the smallest of equals)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +21,26 @@ _FORMS = {
 }
 
 
-def series_text(points: DataFrame, form: str) -> DataFrame:
+def series_text(points: DataFrame, form: str, step: int | None = None) -> DataFrame:
     """series_id, text. Forms: plain, csv (idx from 1), digits (token per digit), indexed, named (by a column
-    ``name``), described (plain, behind the range, the middle and the trend)."""
+    ``name``), described (plain, behind the range, the middle, the deviation and the trend).
+
+    ``step``: a line break before every so many rows, and behind the last ones if they are as many.
+    """
     written, between = _FORMS[form]
     shown = points.withColumn("_t", two_decimals("value"))
     ordered = F.array_sort(F.collect_list(F.struct("idx", written(F.col("_t")).alias("x"))))
-    texts = shown.groupBy("series_id").agg(F.array_join(F.transform(ordered, lambda s: s["x"]), between).alias("text"))
+    rows = shown.groupBy("series_id").agg(F.transform(ordered, lambda s: s["x"]).alias("rows"))
+    if step is None:
+        text = F.array_join("rows", between)
+    else:
+        broken = F.transform("rows", lambda x, k: F.when(k % step == 0, F.concat(F.lit("\n"), x)).otherwise(x))
+        text = F.concat(F.array_join(broken, between), F.when(F.size("rows") % step == 0, between + "\n").otherwise(""))
+    texts = rows.select("series_id", text.alias("text"))
     if form != "described":
         return texts
-    said = described(points).select("series_id", two_decimals("low").alias("a"), two_decimals("high").alias("b"), two_decimals("middle").alias("m"), "trend")
-    head = F.concat(F.lit("Range "), F.col("a"), F.lit(" to "), F.col("b"), F.lit(", middle "), F.col("m"), F.lit(", trend "), F.col("trend"), F.lit(". "))
+    said = described(points).select("series_id", two_decimals("low").alias("a"), two_decimals("high").alias("b"), two_decimals("middle").alias("m"), two_decimals("spread").alias("d"), "trend")
+    head = F.concat(F.lit("Range "), F.col("a"), F.lit(" to "), F.col("b"), F.lit(", middle "), F.col("m"), F.lit(", deviation "), F.col("d"), F.lit(", trend "), F.col("trend"), F.lit(". "))
     return texts.join(said, "series_id").select("series_id", F.concat(head, F.col("text")).alias("text"))
 
 
@@ -91,29 +100,33 @@ class Variant:
     form: str = "plain"
 
 
-def _variants() -> dict[str, Variant]:
-    """All variants by name: shots, kind, scale and the rest, joined by dashes."""
-    small = Variant(scale=0.3)
-    out = {"0shot-text-def": Variant(definition=True), "0shot-vision-def": Variant(vision=True, definition=True)}
-    for shots in (0, 1):
-        seen = Variant(vision=True, shots=shots)
-        out |= {
-            f"{shots}shot-vision": seen,
-            f"{shots}shot-vision-calc": replace(seen, worked=True),
-            f"{shots}shot-vision-dyscalc": replace(seen, worked=False),
-            f"{shots}shot-vision-cot": replace(seen, reasoning=True),
-            f"{shots}shot-text": Variant(shots=shots),
-            f"{shots}shot-text-s0.3": replace(small, shots=1),  # one example under either name
-            f"{shots}shot-text-s0.3-cot": replace(small, shots=shots, reasoning=True),
-        }
-    out |= {"0shot-text-s0.3-calc": replace(small, worked=True), "0shot-text-s0.3-dyscalc": replace(small, worked=False)}
-    for end, form in (("csv", "csv"), ("tpd", "digits"), ("pap", "described")):
-        out |= {f"0shot-text-s0.3-{end}": replace(small, form=form), f"0shot-text-s0.3-cot-{end}": replace(small, form=form, reasoning=True)}
-    return out
-
-
-#: Prompt variants by name.
-VARIANTS = _variants()
+# The names of the prompt variants.
+VARIANTS = {
+    "0shot-text": Variant(),
+    "0shot-text-def": Variant(definition=True),
+    "0shot-text-s0.3": Variant(scale=0.3, shots=1),  # one example, as under the other name
+    "0shot-text-s0.3-calc": Variant(scale=0.3, worked=True),
+    "0shot-text-s0.3-dyscalc": Variant(scale=0.3, worked=False),
+    "0shot-text-s0.3-cot": Variant(scale=0.3, reasoning=True),
+    "0shot-text-s0.3-csv": Variant(scale=0.3, form="csv"),
+    "0shot-text-s0.3-cot-csv": Variant(scale=0.3, form="csv", reasoning=True),
+    "0shot-text-s0.3-tpd": Variant(scale=0.3, form="digits"),
+    "0shot-text-s0.3-cot-tpd": Variant(scale=0.3, form="digits", reasoning=True),
+    "0shot-text-s0.3-pap": Variant(scale=0.3, form="described"),
+    "0shot-text-s0.3-cot-pap": Variant(scale=0.3, form="described", reasoning=True),
+    "0shot-vision": Variant(vision=True),
+    "0shot-vision-def": Variant(vision=True, definition=True),
+    "0shot-vision-calc": Variant(vision=True, worked=True),
+    "0shot-vision-dyscalc": Variant(vision=True, worked=False),
+    "0shot-vision-cot": Variant(vision=True, reasoning=True),
+    "1shot-text": Variant(shots=1),
+    "1shot-text-s0.3": Variant(scale=0.3, shots=1),
+    "1shot-text-s0.3-cot": Variant(scale=0.3, shots=1, reasoning=True),
+    "1shot-vision": Variant(vision=True, shots=1),
+    "1shot-vision-calc": Variant(vision=True, shots=1, worked=True),
+    "1shot-vision-dyscalc": Variant(vision=True, shots=1, worked=False),
+    "1shot-vision-cot": Variant(vision=True, shots=1, reasoning=True),
+}
 #: Variants whose answers count in the scaled time axis.
 RESCALED = ("0shot-text-s0.3", "1shot-text-s0.3", "0shot-text-s0.3-cot", "1shot-text-s0.3-cot")
 
@@ -156,6 +169,20 @@ def example_answer(variant: Variant, wording: Wording, intervals: Column, normal
     return text
 
 
+def few_shots(questions: DataFrame, training: DataFrame, shots: int, seed: int = 0) -> DataFrame:
+    """``questions`` (series_id, ...) with ``examples``: array<struct<shown, answer>> of ``shots`` labelled series.
+
+    ``training``: series_id, shown, answer. The order is that of a seeded hash, so it is the same everywhere, and a series
+    is never its own example. Only the first ``shots`` + 1 series leave the training table.
+    """
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("series_id").cast("string")), 256)
+    first = training.withColumn("_o", order).orderBy("_o", "series_id").limit(shots + 1)
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("_o", F.col("series_id").alias("id"), "shown", "answer"))).alias("_all"))
+    others = F.filter("_all", lambda x: x["id"] != F.col("series_id"))
+    one = F.transform(F.slice(others, 1, shots), lambda x: F.struct(x["shown"].alias("shown"), x["answer"].alias("answer")))
+    return questions.crossJoin(F.broadcast(listed)).withColumn("examples", one).drop("_all")  # one row
+
+
 def variant_messages(variant: Variant, shown: Column, examples: Column, wording: Wording = Wording()) -> Column:
     """array<struct<role, text, image>> of a request: sums, examples and the question, in that order.
 
@@ -277,6 +304,32 @@ def parse_times(answer: Column) -> Column:
     return F.filter(F.transform(found, one), lambda x: x["start"].isNotNull() & x["end"].isNotNull())
 
 
+def read_objects(answer: Column) -> Column:
+    """struct<status, items>: the objects of an answer as VARIANT values, and how they were read.
+
+    parsed: the text between the first [ and the last ], or a single object, is JSON as it stands; repaired: it is after single
+    quotes become double ones and commas before a closing bracket go, or else the objects in it are one by one; failed: none is;
+    missing: there is no answer. An empty list is parsed and has no items.
+    """
+
+    def list_in(text: Column) -> Column:
+        low, high = F.instr(text, "["), F.length(text) - F.instr(F.reverse(text), "]") + 1
+        return F.when((low > 0) & (high > low), F.substring(text, low, high - low + 1)).otherwise(text)
+
+    body = list_in(F.trim(F.regexp_replace(answer, r"```(?:json)?", "")))
+    mended = F.regexp_replace(F.replace(body, F.lit("'"), F.lit('"')), r",\s*([\]}])", "$1")
+    objects = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"\{[^{}]*\}"), F.lit(0)), F.try_parse_json), lambda x: x.isNotNull())
+
+    def items(text: Column) -> Column:
+        parsed = F.try_parse_json(text)
+        kind = F.schema_of_variant(parsed)
+        return F.when(kind.startswith("ARRAY"), F.try_variant_get(parsed, "$", "array<variant>")).when(kind.startswith("OBJECT"), F.array(parsed))
+
+    whole, again = items(body), items(mended)
+    status = F.when(answer.isNull(), "missing").when(whole.isNotNull(), "parsed").when(again.isNotNull() | (F.size(objects) > 0), "repaired").otherwise("failed")
+    return F.struct(status.alias("status"), F.coalesce(whole, again, F.when(F.size(objects) > 0, objects)).alias("items"))
+
+
 def rescale_digits(answer: Column, scale: float) -> Column:
     """Every run of digits n in the text becomes floor(n / scale)."""
     texts = F.split(answer, r"\d+", -1)

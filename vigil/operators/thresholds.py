@@ -47,6 +47,18 @@ def outside_percentiles(points: DataFrame, share: float = 0.02) -> DataFrame:
     return q.where((F.col("value") <= F.col("_q")[0]) | (F.col("value") >= F.col("_q")[1]))
 
 
+def above_percentile(points: DataFrame, share: float = 0.99) -> DataFrame:
+    """Points strictly above an interpolated percentile of their series."""
+    q = per_series(points, F.percentile("value", F.lit(share)).alias("_q"))
+    return q.where(F.col("value") > F.col("_q")).drop("_q")
+
+
+def percentile_intervals(points: DataFrame, share: float = 0.99) -> DataFrame:
+    """series_id, start_ts, end_ts, severity (mean value): runs of points above the percentile."""
+    found = islands(above_percentile(points, share), ["series_id"], F.avg("value").alias("severity"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    return found.select("series_id", "start_ts", "end_ts", "severity")
+
+
 def hopping(points: DataFrame, size: Column, step: Column, tails: bool = False) -> DataFrame:
     """A row per point and window it lies in; windows start at multiples of ``step`` and end within the series.
 

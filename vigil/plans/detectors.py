@@ -31,7 +31,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from vigil.operators.intervals import islands, merged
-from vigil.operators.normalise import ewm_span, min_max, neighbours_for, segment_variation, window_sizes
+from vigil.operators.normalise import ewm_alpha, ewm_span, min_max, neighbours_for, segment_variation, window_sizes
 from vigil.operators.thresholds import alphas, hopping
 from vigil.operators.windows import fused
 from vigil.sources.tables import written
@@ -76,6 +76,8 @@ class Detector:
     #: pooled vectors: mean, or mean and root mean square
     pooled: str = "mean"
     encoder: Encoder = describe
+    #: alpha of the recursive exponential mean that points go through before windows; 1 leaves them alone
+    smoothing: float = 1.0
 
     @property
     def step(self) -> int:
@@ -425,6 +427,7 @@ DETECTORS: dict[str, Detector | Zoom | str] = {
     "others": Detector(reference="others"),
     "local": Detector(reference="local", k=10),
     "early": Detector(reference="early"),
+    "smoothed": Detector(smoothing=0.3),
     "dual_anchor": Detector(reference="local", mix=0.7),
     "dual_anchor_rms": Detector(reference="local", mix=0.7, pooled="rms"),
     "zoom": Zoom(),
@@ -440,6 +443,9 @@ DETECTORS: dict[str, Detector | Zoom | str] = {
 
 def scores(points: DataFrame, detector: Detector | Zoom | str) -> DataFrame:
     """series_id, idx, ts, value (the score) for every point; 0 in series shorter than a window."""
+    first = detector.coarse if isinstance(detector, Zoom) else detector
+    if isinstance(first, Detector) and first.smoothing < 1:
+        points = ewm_alpha(points, first.smoothing, keep=("ts",)).drop("value").withColumnRenamed("smooth", "value")
     ready = standardised(points)
     if isinstance(detector, Zoom):
         flat = zoomed_scores(ready, detector)
@@ -475,11 +481,17 @@ def detect(points: DataFrame, detector: Detector | Zoom | str, values: tuple[flo
 # --- verification by a model
 
 
-def verified(proposals: DataFrame, answer: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:
-    """Send the prompts of proposals to a model client, batch by batch, and add its answers as a column."""
+def verified(
+    proposals: DataFrame, answer: Callable[..., list[str | None]], prompt: str = "prompt", picture: str | None = None
+) -> DataFrame:
+    """Send the prompts of proposals to a model client, batch by batch, and add its answers as a column.
+
+    With ``picture``, a binary column, the client gets a list of pictures as well (None where a row has none).
+    """
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(answer=answer(part[prompt].tolist()))
+            more = [] if picture is None else [[None if x is None else bytes(x) for x in part[picture]]]
+            yield part.assign(answer=answer(part[prompt].tolist(), *more))
 
     return proposals.mapInPandas(work, StructType([*proposals.schema.fields, StructField("answer", StringType())]))

@@ -90,13 +90,20 @@ def write_intervals(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("alpha").parquet(path)
 
 
+def write_summary(rows: DataFrame, path: str, order: tuple[str, ...] = ("dataset", "model")) -> None:
+    """A small result table as one sorted CSV file, replacing what was there: summaries and model comparisons."""
+    rows.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_json_lines(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).json(path)
 
 
 def batch_requests(requests: DataFrame, data: str, model: str, variant: str) -> DataFrame:
     """custom_id and the JSON line of each request (idx, body)."""
-    custom_id = F.concat(F.lit(f"{data}_{model}_{variant}_"), F.lpad(F.col("idx").cast("string"), 5, "0"))
+    digits = F.col("idx").cast("string")
+    padded = F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits)  # lpad would cut longer ones
+    custom_id = F.concat(F.lit(f"{data}_{model}_{variant}_"), padded)
     line = F.to_json(
         F.struct(
             custom_id.alias("custom_id"),
