@@ -9,7 +9,7 @@ Jobs:
 1. texts become chunks of one language, a row each, stored;
 2. a chunk's words are hashed, and a prefix polynomial over the hashes gives the fingerprint of every n-gram as
    a difference of two prefixes times a power of the base. Equal fingerprints within a chunk are compared
-   word by word and parted where texts differ. A chunk sends one row per bucket of fingerprints: 32 bits that
+   word by word and parted where texts differ. A chunk sends one row per length and bucket of fingerprints: 32 bits that
    tell n-grams of a bucket apart, counts, and the place of one occurrence;
 3. a bucket adds up the counts and answers each chunk with the places of n-grams that are seen often enough. So
    few bits suffice because a collision can only add phrases here, never lose one;
@@ -43,7 +43,7 @@ from vigil.llm.storage import discard, stored, table
 from vigil.llm.words import mixed, utf8
 
 #: Bytes of text in a chunk, and n-grams in a bucket.
-CHUNK_BYTES, BUCKET_GRAMS = 4_000_000, 1_500_000
+CHUNK_BYTES, BUCKET_GRAMS = 4_000_000, 1_000_000
 #: An odd base has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -116,14 +116,13 @@ def prefix_polynomials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, np.cumprod(up, dtype=np.uint64)
 
 
-def chunk_grams(ids: np.ndarray, hashes: np.ndarray, seed: int, longest: int, buckets: int, bits: int) -> tuple[np.ndarray, ...]:
-    """Distinct n-grams of a chunk: fingerprint (bucket, ``bits`` bits), count, place * longest + n - 1; sorted by the first.
+def chunk_grams(ids: np.ndarray, hashes: np.ndarray, seed: int, longest: int, buckets: int, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Distinct n-grams of a chunk for each n: fingerprint (bucket, ``bits`` bits), count, place * longest + n - 1; sorted by the first.
 
     ``ids`` tell words apart exactly, 0 stands between pieces; ``hashes`` are those of the words at all positions.
     """
     sums, powers = prefix_polynomials(hashes)
     starts = np.flatnonzero(ids != 0)
-    out = []
     for n in range(1, longest + 1):
         if n > 1:
             starts = starts[starts + n <= len(ids)]
@@ -131,7 +130,7 @@ def chunk_grams(ids: np.ndarray, hashes: np.ndarray, seed: int, longest: int, bu
         prints = mixed((sums[starts + n] - sums[starts]) * powers[starts] + np.uint64((seed + n * BASE) % (1 << 64)))
         prints = ((prints >> np.uint64(32)) * np.uint64(buckets) & ~np.uint64(0xFFFFFFFF)) | (prints & np.uint64((1 << bits) - 1))
         order = np.argsort(prints)
-        prints, at = prints[order], starts[order]
+        prints, at, out = prints[order], starts[order], []
         while len(at):
             new = np.concatenate(([True], prints[1:] != prints[:-1]))
             first = at[new][np.cumsum(new) - 1]
@@ -141,9 +140,12 @@ def chunk_grams(ids: np.ndarray, hashes: np.ndarray, seed: int, longest: int, bu
             counts = np.add.reduceat(same.astype(np.int64), np.flatnonzero(new))
             out.append((prints[new], counts.astype(np.uint64), (at[new] * longest + n - 1).astype(np.uint64)))
             prints, at = prints[~same], at[~same]  # other texts with the same fingerprint
-    prints, counts, places = (np.concatenate([x[k] for x in out]) if out else np.empty(0, np.uint64) for k in range(3))
-    order = np.argsort(prints, kind="stable")
-    return prints[order], counts[order], places[order]
+        if len(out) == 1:
+            yield out[0]
+        elif out:
+            prints, counts, places = (np.concatenate([x[k] for x in out]) for k in range(3))
+            order = np.argsort(prints, kind="stable")
+            yield prints[order], counts[order], places[order]
 
 
 def _count(chunks: DataFrame, longest: int, buckets: int, bits: int) -> DataFrame:
@@ -157,17 +159,19 @@ def _count(chunks: DataFrame, longest: int, buckets: int, bits: int) -> DataFram
                 ids = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
                 del found
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-                prints, counts, places = chunk_grams(ids, hashes[ids], xxhash.xxh3_64_intdigest(lang.encode()), longest, buckets, bits)
-                own = (prints >> np.uint64(32)).astype(np.int64)
-                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else [0]
-                rows = [
-                    (int(own[a]), chunk, pack(prints[a:b] & np.uint64(0xFFFFFFFF), rising=True), pack(counts[a:b]), pack(places[a:b]))
-                    for a, b in zip(cuts, cuts[1:])
-                ]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "chunk", "keys", "counts", "places"]
-                )
+                grams = chunk_grams(ids, hashes[ids], xxhash.xxh3_64_intdigest(lang.encode()), longest, buckets, bits)
+                del numbers, hashes
+                for prints, counts, places in grams:
+                    own = (prints >> np.uint64(32)).astype(np.int64)
+                    cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                    rows = [
+                        (int(own[a]), chunk, pack(prints[a:b] & np.uint64(0xFFFFFFFF), rising=True), pack(counts[a:b]), pack(places[a:b]))
+                        for a, b in zip(cuts, cuts[1:])
+                    ]
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "chunk", "keys", "counts", "places"]
+                    )
 
     return chunks.mapInArrow(count, "bucket long, chunk long, keys binary, counts binary, places binary")
 

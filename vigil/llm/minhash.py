@@ -87,9 +87,15 @@ def _long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def with_ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id and text; ids are strings, or else long numbers."""
+    kind = "STRING" if docs.schema[doc_id].dataType.simpleString() == "string" else "LONG"
+    return docs.selectExpr(f"CAST(`{doc_id}` AS {kind}) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
+
+
 def sketched(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, two halves of the set's digest (null if empty), bands, short sketch."""
-    rows = docs.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
+    rows = with_ids(docs, doc_id, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -113,7 +119,7 @@ def sketched(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "h1", "h2", "bands", "short"])
 
     return rows.mapInArrow(
-        work, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, short binary"
+        work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, h1 long, h2 long, bands array<long>, short binary"
     )
 
 
@@ -278,7 +284,7 @@ def near_duplicates(
         nodes.join(reps.select("rep", F.col("least_id").alias("doc_id"), "size"), "rep").groupBy("doc_id").agg(F.max("size").alias("size")),
         "wanted",
     )
-    source = docs.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
+    source = with_ids(docs, doc_id, text)
     # copies may share their id
     found = shingle_sets(join_by_size(source, wanted, ["doc_id"], "size", n_rows, "left_semi"), width).dropDuplicates(["h1", "h2"])
     sets = stored(found.join(reps.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).select("rep", "shingles"), "sets")

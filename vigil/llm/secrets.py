@@ -31,25 +31,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.storage import table
 
-#: Code points around a part within which another part counts as near.
-REACH = 160
-
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: A name may stand behind an underscore, as in DB_HOST, but not within a word.
+_NAME = r"(?<![A-Za-z0-9])"
 ENDPOINT = re.compile(
-    r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[\w.-]{4,}"
+    r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|" + _NAME + r"(?:host(?:name)?|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[\w.-]{4,}"
     r"|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b",
-    re.ASCII,
+    re.IGNORECASE | re.ASCII,
 )
 USER = re.compile(
-    r"\b(?:user(?:name)?|login|account|client_id|access_key(?:_id)?)[\"']?\x20*[:=]\x20*[\"']?[\w.@-]{3,}"
+    _NAME + r"(?<!secret_)(?:user(?:name)?|login|account|client_id|access_key(?:_id)?)[\"']?\x20*[:=]\x20*[\"']?[\w.@-]{3,}"
     r"|(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+",
     re.IGNORECASE | re.ASCII,
 )
 KEY = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*=(?=[^=].{14})")
 #: One of these must occur (in lower case) before a pattern is worth trying.
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 USER_HINTS = ("user", "login", "account", "client_id", "access_key", "@")
@@ -97,6 +97,12 @@ def random_looking(word: str) -> bool:
     return kinds and mixture(word)[0] >= len(word) / 3
 
 
+def value_start(word: str) -> int:
+    """Where the value begins in NAME=value, 0 without a name; = at the end is padding."""
+    name = ASSIGNED.match(word)
+    return name.end() if name else 0
+
+
 def weak_parts(text: str, lowered: str, base: list[Part]) -> list[Part]:
     found: list[Part] = []
     if any(h in lowered for h in ENDPOINT_HINTS) or QUAD.search(text):
@@ -107,10 +113,11 @@ def weak_parts(text: str, lowered: str, base: list[Part]) -> list[Part]:
         taken = sorted((s, e) for s, e, _ in base + found)
         starts = [s for s, _ in taken]
         for m in KEY.finditer(text):
+            begin = value_start(m[0]) + m.start()
             at = bisect_left(starts, m.end())
-            inside = at and taken[at - 1][1] > m.start()
-            if not inside and weak_secret(m[0]):
-                found.append((m.start(), m.end(), "key"))
+            inside = at and taken[at - 1][1] > begin
+            if not inside and weak_secret(text[begin : m.end()]):
+                found.append((begin, m.end(), "key"))
     return found
 
 
@@ -125,19 +132,19 @@ class Links:
     Spans of one kind don't overlap, so their starts and their ends are both sorted.
     """
 
-    def __init__(self, text: str, parts: list[Part], reach: int):
-        self.ends, self.size, self.reach = scopes(text), len(text), reach
+    def __init__(self, text: str, parts: list[Part]):
+        self.ends, self.size = scopes(text), len(text)
         self.by_kind: dict[str, tuple[list[int], list[int]]] = {}
         for kind in KINDS:
             spans = sorted((s, e) for s, e, k in parts if k == kind)
             self.by_kind[kind] = [s for s, _ in spans], [e for _, e in spans]
 
     def bounds(self, start: int, end: int) -> tuple[int, int]:
-        """Where the reach of a linked part may begin and end."""
+        """The scope of a part."""
         scope = bisect_right(self.ends, start)
         low = self.ends[scope - 1] if scope else 0
         high = self.ends[scope] if scope < len(self.ends) else self.size
-        return max(low, start - 2 * self.reach), min(high, end + 2 * self.reach)
+        return low, high
 
     def any(self, start: int, end: int, kinds: set[str]) -> bool:
         low, high = self.bounds(start, end)
@@ -157,9 +164,9 @@ class Links:
         return best and (best[1], best[2], best[3])
 
 
-def linked_parts(text: str, base: list[Part], weak: list[Part], reach: int = REACH) -> list[Part]:
+def linked_parts(text: str, base: list[Part], weak: list[Part]) -> list[Part]:
     """The weak parts that a complementary part confirms."""
-    links = Links(text, base + weak, reach)
+    links = Links(text, base + weak)
     out = []
     for start, end, kind in weak:
         found = links.any(start, end, NEEDS[kind])
@@ -170,15 +177,15 @@ def linked_parts(text: str, base: list[Part], weak: list[Part], reach: int = REA
     # an account name or an endpoint that confirmed a weak secret belongs to its credential
     keys = [p for p in out if p[2] == "key"]
     if keys:
-        confirmed = Links(text, keys, reach)
+        confirmed = Links(text, keys)
         known = set(out)
         out += [p for p in weak if p[2] in ("user", "endpoint") and p not in known and confirmed.any(p[0], p[1], {"key"})]
     return out
 
 
-def credentials(text: str, parts: list[Part], reach: int = REACH) -> list[tuple[Part, ...]]:
+def credentials(text: str, parts: list[Part]) -> list[tuple[Part, ...]]:
     """Each secret with the nearest identifier and endpoint that are linked to it; secrets without any are left out."""
-    links = Links(text, parts, reach)
+    links = Links(text, parts)
     out = []
     for start, end, kind in sorted(parts):
         if kind in SECRETS:
