@@ -4,7 +4,8 @@ Each stage gets what its predecessor wrote. All but the last return the columns
 rows that they keep are as they were, but for the text and n_chars where secrets were replaced.
 
 Stages decide by rows, not by ids: ids may be null or repeated. Null and empty texts are no duplicates, leak
-nothing and hold no secrets; the classifier judges them like others. An empty table passes through all stages.
+nothing and hold no secrets; the classifier judges them like others. Texts of any length are read whole. An empty table
+passes through all stages, and so do further columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,34 +27,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, so that no name can clash), key and text; the key is 128 bits of hashes of the text."""
+    text = F.col("row.text")
+    half = lambda x: F.lpad(F.hex(x), 16, "0")
+    key = F.concat(half(F.xxhash64(text)), half(F.xxhash64(F.lit(5), text)))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", key.alias("key"), text.alias("text"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id (null is the largest).
 
     Equal texts are copies whatever their ids; texts without words all stay.
     """
     words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.where(words).withColumn("_key", F.xxhash64("text"))
-    groups = near_duplicates(keyed, width=5, percent=80, doc_id="_key").groupBy(F.col("doc_id").alias("_key")).agg(
+    keyed = _rows(docs.where(words))
+    groups = near_duplicates(keyed, width=5, percent=80, doc_id="key").groupBy(F.col("doc_id").alias("key")).agg(
         F.min("component_id").alias("component_id")
     )
-    id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    texts = keyed.groupBy("_key").agg(F.min(id_).alias("least"), F.count(F.lit(1)).alias("size"))
+    id_ = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"))
+    texts = keyed.groupBy("key").agg(F.min(id_).alias("least"), F.count(F.lit(1)).alias("size"))
     first = stored(
-        texts.join(groups, "_key")
+        texts.join(groups, "key")
         .groupBy("component_id")
-        .agg(F.min(F.struct("least", "_key", "size")).alias("first"))
-        .select("first._key", "first.size", F.col("first.least.id").alias("_id")),
+        .agg(F.min(F.struct("least", "key", "size")).alias("first"))
+        .select("first.key", "first.size", F.col("first.least.id").alias("id")),
         "first",
     )
-    kept = join_by_size(keyed, first, ["_key"], "size", keyed.count()).where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_key"]).select(*docs.columns).unionByName(docs.where(~F.coalesce(words, F.lit(False))))
+    kept = join_by_size(keyed, first, ["key"], "size", keyed.count()).where(F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return kept.dropDuplicates(["key"]).select("row.*").unionByName(docs.where(~F.coalesce(words, F.lit(False))))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go, whatever their ids."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))  # a leak depends on the text alone
-    leaks = find_leaks(keyed, table(spark, sf_dir, "benchmark"), doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    keyed = _rows(docs)  # a leak depends on the text alone
+    leaks = find_leaks(keyed, table(spark, sf_dir, "benchmark"), doc_id="key").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(leaks, "key", "left_anti").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
