@@ -824,6 +824,24 @@ def plain_packing(loads, shards):
     return [out[k] for k in range(len(loads))]
 
 
+def test_batches_add_up_to_their_classes():
+    counts, loads = np.array([1, 7, 100_000]), np.array([[0.001, 0, 0], [0.2, 0.1, 0.3], [0.6, 0.7, 0.5]])
+    of, taken = sharding.batches_of(counts, loads, 24)
+    assert np.bincount(of, weights=taken).tolist() == counts.tolist() and taken.min() >= 1
+    share = loads[of].max(axis=1) * taken / counts[of]
+    assert ((share <= 1.01 / (24 * sharding.FINE)) | (taken == 1)).all() and len(of) < 2 * 24 * sharding.FINE
+    assert len(sharding.batches_of(np.empty(0, np.int64), np.empty((0, 3)), 24)[0]) == 0
+
+
+def test_copies_with_equal_ids_are_spread(spark):
+    same = [None] * 400 + [5] * 400
+    rows = [(i, "word " * 50) for i in same] + [(k, t) for k, t in enumerate(prose(400, 43))]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 8 and load.max() < 1.25 * load.min()
+    assert len(got.drop_duplicates(["shard", "slot"])) == len(rows)
+
+
 def test_vectors_go_where_the_dot_product_is_highest():
     rng = np.random.default_rng(5)
     for n, shards in ((1, 3), (40, 4), (300, 7)):
@@ -832,12 +850,14 @@ def test_vectors_go_where_the_dot_product_is_highest():
         assert sharding.pack_vectors(loads, shards).tolist() == plain_packing(loads.tolist(), shards)
 
 
-@pytest.mark.parametrize("most_groups", [10, 100_000])
-def test_sharding(spark, monkeypatch, most_groups):
+@pytest.mark.parametrize("fine", [12, 64])
+def test_sharding(spark, monkeypatch, fine):
+    """With 12, nearly all groups are placed by class."""
     monkeypatch.setattr(sharding, "SLICE_ROWS", 5)
+    monkeypatch.setattr(sharding, "FINE", fine)
     texts = prose(600, 41) + AWKWARD + ["the same text again"] * 300
     docs = frame(spark, [*texts, "no id"], [*range(len(texts)), None]).withColumn("shard", F.lit(1)).withColumn("size", F.lit("x"))
-    got = sharding.assign_shards(docs, 6, most_groups=most_groups).toPandas()
+    got = sharding.assign_shards(docs, 6).toPandas()
     assert len(got) == len(texts) + 1
     for r in got.dropna(subset="doc_id").itertuples():
         body = (texts[int(r.doc_id)] or "").encode()
@@ -848,9 +868,8 @@ def test_sharding(spark, monkeypatch, most_groups):
     load = got.groupby("shard")["size"].sum()
     others = load.sum() - len(LONG)
     assert load.sort_values().iloc[:-1].max() < 1.3 * others / 5
-    if most_groups > 10:
-        by_text = got[~got["text_crc32"].isin([zlib.crc32(b"the same text again")])].groupby("text_crc32")["shard"].nunique()
-        assert (by_text == 1).all()
+    by_text = got[~got["text_crc32"].isin([zlib.crc32(b"the same text again")])].groupby("text_crc32")["shard"].nunique()
+    assert (by_text == 1).all()
     assert sharding.assign_shards(frame(spark, texts).limit(0), 6).count() == 0
 
 
