@@ -10,26 +10,59 @@ from pyspark.sql.window import Window
 BUCKET = 256
 
 
+#: Rows of a series that one task looks at together.
+SLICE = 8192
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Joined by keys of which some may be null; the right side's are dropped."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def islands(flagged: DataFrame, keys: list[str], *aggregates: Column, exclusive: bool = False) -> DataFrame:
-    """Runs of consecutive idx among the given rows."""
-    run = F.col("idx") - F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))
+    """Runs of consecutive idx among the given rows.
+
+    Runs are found within slices of idx. Only those that touch an end of their slice, two a slice at most, are
+    ordered over a series, to tell which of them go on with the run before; rows then meet in one group per run.
+    """
+    sliced = flagged.withColumn("_slice", F.floor(F.col("idx") / SLICE))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("idx"))
+    rows = sliced.withColumn("_run", F.col("idx") - rank)
+    own = [*keys, "_slice", "_run"]
+    parts = rows.groupBy(*own).agg(F.min("idx").alias("_a"), F.max("idx").alias("_b"))
+    edges = parts.where((F.col("_a") == F.col("_slice") * SLICE) | (F.col("_b") == (F.col("_slice") + 1) * SLICE - 1))
+    order = Window.partitionBy(*keys).orderBy("_a")
+    fresh = edges.withColumn("_goes_on", F.coalesce(F.lag("_b").over(order) == F.col("_a") - 1, F.lit(False)))
+    head = F.last(F.when(~F.col("_goes_on"), F.col("_a")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    moved = fresh.withColumn("_head", head).where("_goes_on").select(*own, "_head")
+    # a run's first row names it: its first in the slice (ranks begin at 1 there), or that of the run that it goes on with
+    first = F.min("idx").over(Window.partitionBy(*own))
+    named = _same(rows, moved, own, "left").withColumn("_name", F.coalesce("_head", first))
     end = F.max("idx") + 1 if exclusive else F.max("idx")
-    return (
-        flagged.withColumn("_run", run)
-        .groupBy(*keys, "_run")
-        .agg(F.min("idx").alias("start"), end.alias("end"), *aggregates)
-        .drop("_run")
-    )
+    return named.groupBy(*keys, "_name").agg(F.min("idx").alias("start"), end.alias("end"), *aggregates).drop("_name")
 
 
 def merged(intervals: DataFrame, gap: int = 1, keys: tuple[str, ...] = ("series_id",), severity: str | None = None) -> DataFrame:
-    """Intervals that overlap or start at most ``gap`` after the end so far become one; severities are averaged."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    so_far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(so_far.isNull() | (F.col("start") > so_far + gap), 1).otherwise(0)
-    grouped = intervals.withColumn("_new", fresh).withColumn("_group", F.sum("_new").over(order))
+    """Intervals that overlap or start at most ``gap`` after the end so far become one; severities are averaged.
+
+    Intervals are looked at in slices of their starts; a slice tells the later ones its greatest end, and the start of
+    its last merged interval. So only a row a slice is ordered over a series.
+    """
+    by, rows = list(keys), intervals.withColumn("_slice", F.floor(F.col("start") / SLICE))
+    order = Window.partitionBy(*by, "_slice").orderBy("start", "end")
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, "_slice").agg(F.max("end").alias("_e")).withColumn("_far", F.max("_e").over(before)).select(*by, "_slice", "_far")
+    so_far = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    marked = _same(rows, ends, [*by, "_slice"], "inner").withColumn("_so_far", so_far)
+    opens = F.when(F.col("_so_far").isNull() | (F.col("start") > F.col("_so_far") + gap), F.col("start"))
+    marked = marked.withColumn("_opens", opens).drop("_far", "_so_far")
+    lasts = marked.groupBy(*by, "_slice").agg(F.max("_opens").alias("_o")).withColumn("_since", F.max("_o").over(before)).select(*by, "_slice", "_since")
+    group = F.coalesce(F.max("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_since"))
+    grouped = _same(marked, lasts, [*by, "_slice"], "inner").withColumn("_group", group)
     extra = [F.avg(severity).alias(severity)] if severity else []
-    return grouped.groupBy(*keys, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), *extra).drop("_group")
+    return grouped.groupBy(*by, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), *extra).drop("_group")
 
 
 def padded(intervals: DataFrame, lengths: DataFrame, pad: int) -> DataFrame:
