@@ -151,7 +151,7 @@ def global_threshold_intervals(spark, sf):
   SELECT p.series_id, idx FROM p JOIN m USING (series_id) JOIN a USING (series_id) WHERE value > med + {upper_z(0.01)!r}::DOUBLE * mad""",
 )
 def median_mad_threshold(spark, sf):
-    return T.above_median(event_points(spark, sf), 0.01).select("series_id", "idx")
+    return T.above_median(_points(spark, sf), 0.01).select("series_id", "idx")
 
 
 @query(
@@ -160,7 +160,7 @@ def median_mad_threshold(spark, sf):
   SELECT p.series_id, idx FROM p JOIN q USING (series_id) WHERE value <= lo OR value >= hi""",
 )
 def percentile_baseline(spark, sf):
-    return T.outside_percentiles(event_points(spark, sf)).select("series_id", "idx")
+    return T.outside_percentiles(_points(spark, sf)).select("series_id", "idx")
 
 
 @query(
@@ -1393,4 +1393,4 @@ def series_to_text_steps(spark, sf):
   SELECT series_id, {TIME.format("start_ts")}, {TIME.format("end_ts")}, round(severity, 6) AS severity FROM i""",
 )
 def percentile99_intervals(spark, sf):
-    return T.percentile_intervals(event_points(spark, sf)).select("series_id", _time("start_ts"), _time("end_ts"), _rounded("severity"))
+    return T.percentile_intervals(_points(spark, sf)).select("series_id", _time("start_ts"), _time("end_ts"), _rounded("severity"))

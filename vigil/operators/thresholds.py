@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigil.functions.numbers import ALPHAS, upper_z
 from vigil.operators.intervals import islands
 from vigil.operators.normalise import per_series
+from vigil.operators.ranks import quantiles, with_quantiles
 
 
 def alphas(points: DataFrame, values: tuple[float, ...] = ALPHAS) -> DataFrame:
@@ -36,21 +37,22 @@ def threshold_intervals(points: DataFrame, values: tuple[float, ...] = ALPHAS) -
 
 def above_median(points: DataFrame, alpha: float) -> DataFrame:
     """Points above median + z * median absolute deviation (interpolated medians)."""
-    first = per_series(points, F.median("value").alias("med"))
-    both = per_series(first, F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return both.where(F.col("value") > F.col("med") + upper_z(alpha) * F.col("mad"))
+    first = with_quantiles(points, (0.5,), "_q").withColumn("med", F.col("_q")[0]).drop("_q")
+    apart = first.select("series_id", F.abs(F.col("value") - F.col("med")).alias("value"))
+    mad = quantiles(apart, (0.5,)).select("series_id", F.col("q")[0].alias("mad"))
+    return first.join(mad, "series_id").where(F.col("value") > F.col("med") + upper_z(alpha) * F.col("mad"))
 
 
 def outside_percentiles(points: DataFrame, share: float = 0.02) -> DataFrame:
     """Points at or below the low percentile or at or above the high one."""
-    q = per_series(points, F.percentile("value", F.array(F.lit(share), F.lit(1 - share))).alias("_q"))
+    q = with_quantiles(points, (share, 1 - share), "_q")
     return q.where((F.col("value") <= F.col("_q")[0]) | (F.col("value") >= F.col("_q")[1]))
 
 
 def above_percentile(points: DataFrame, share: float = 0.99) -> DataFrame:
     """Points strictly above an interpolated percentile of their series."""
-    q = per_series(points, F.percentile("value", F.lit(share)).alias("_q"))
-    return q.where(F.col("value") > F.col("_q")).drop("_q")
+    q = with_quantiles(points, (share,), "_q")
+    return q.where(F.col("value") > F.col("_q")[0]).drop("_q")
 
 
 def percentile_intervals(points: DataFrame, share: float = 0.99) -> DataFrame:
