@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigil.functions import tables as TF
 from vigil.functions.numbers import ALPHAS, image_tokens, upper_z
 from vigil.functions.png import picture_of
 from vigil.operators import embeddings as E
@@ -1394,3 +1395,37 @@ def series_to_text_steps(spark, sf):
 )
 def percentile99_intervals(spark, sf):
     return T.percentile_intervals(_points(spark, sf)).select("series_id", _time("start_ts"), _time("end_ts"), _rounded("severity"))
+
+
+# --- table functions
+
+
+@query(
+    "sql_hopping_windows",
+    f"""WITH {POINTS}, w AS (SELECT series_id, unnest(generate_series(0, (t - 224) // 56)) AS window_id FROM n WHERE t >= 224)
+  SELECT w.series_id, window_id, window_id * 56 AS "start", window_id * 56 + 223 AS "end", round(avg(value), 9) AS mean, min(value) AS low, max(value) AS high
+  FROM w JOIN p ON p.series_id = w.series_id AND idx BETWEEN window_id * 56 AND window_id * 56 + 223 GROUP BY w.series_id, window_id""",
+)
+def sql_hopping_windows(spark, sf):
+    """From SQL with a registered table function."""
+    TF.register(spark)
+    event_points(spark, sf).createOrReplaceTempView("vigil_points")
+    return spark.sql(
+        """SELECT series_id, window_id, `start`, `end`, round(mean, 9) AS mean, low, high
+        FROM hopping_windows(TABLE(SELECT series_id, idx, value FROM vigil_points) PARTITION BY (series_id) ORDER BY (idx), 224, 56)"""
+    )
+
+
+@query(
+    "sql_value_runs",
+    f"""WITH {POINTS}, h AS (SELECT * FROM p WHERE value > 60), {_islands_sql("i", "h")}
+  SELECT i.series_id, "start", "end", n_points AS n, round(i.severity, 6) AS mean, min(value) AS low, max(value) AS high
+  FROM i JOIN h ON h.series_id = i.series_id AND idx BETWEEN "start" AND "end" GROUP BY ALL""",
+)
+def sql_value_runs(spark, sf):
+    TF.register(spark)
+    event_points(spark, sf).createOrReplaceTempView("vigil_points")
+    return spark.sql(
+        """SELECT series_id, `start`, `end`, n, round(mean, 6) AS mean, low, high
+        FROM value_runs(TABLE(SELECT series_id, idx, value FROM vigil_points) PARTITION BY (series_id) ORDER BY (idx), 60.0D)"""
+    )
