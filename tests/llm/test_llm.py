@@ -479,6 +479,38 @@ def test_stages_keep_columns_whatever_their_names(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(range(8))
 
 
+STORY = "<p>" + "This is a long paragraph of the story with many words in it, and it goes on. " * 4 + "</p>"
+TEASER = "<article class=card><h3><a href=/a>Teaser title here</a></h3><p>Short teaser text of a story elsewhere.</p></article>"
+REMARK = "<article><p>I think that this is a rather good story, thanks.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "body, title",
+    [
+        (f"<div class=content><h2>Head</h2>{STORY * 5}</div><div class=grid>{TEASER * 3}</div>", "Head"),
+        (f"<h1>Title</h1><div id=story>{STORY * 5}</div><div class=thread>{REMARK * 4}</div>", "Title"),
+        (f"<article><h1>Title</h1>{STORY * 5}<div class=discussion><p>Reader remark one is here.</p><p>Reader remark two.</p></div></article>", "Title"),
+        (f"<div class=kopfzeile>Die Zeitung seit 1900 für alle Leser</div><div id=text>{STORY * 5}</div>", None),
+        (f"<main><div class=wrap><h1>Title</h1><div class=text>{STORY * 5}</div></div><div class=more>{TEASER * 2}</div></main>", "Title"),
+    ],
+)
+def test_the_story_lies_where_the_ratios_are(body, title):
+    menu = "<nav><a href=/>Home</a> <a href=/x>More</a></nav>"
+    parts = html.extract_text(f"<html><body>{menu}{body}<footer>All rights reserved</footer></body></html>").split("\n\n")
+    assert parts == ([title] if title else []) + [re.sub("<.*?>", "", STORY).strip()] * 5
+
+
+def test_articles_count_where_they_hold_most_of_the_ratios(monkeypatch):
+    page = f"<html><body><div class=content>{STORY * 3}</div><div class=grid>{TEASER * 6}</div></body></html>"
+    assert "Teaser" not in html.extract_text(page)
+    blog = f"<html><body><div class=posts><article>{STORY}</article><article>{STORY * 2}</article></div></body></html>"
+    assert len(html.extract_text(blog).split("\n\n")) == 3
+    # with flat ratios twelve short lines outweigh three long ones
+    real = html.text_to_tag_ratios
+    monkeypatch.setattr(html, "text_to_tag_ratios", lambda lines, elements: [float(r > 0) for r in real(lines, elements)])
+    assert "Teaser" in html.extract_text(page)
+
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -7,10 +7,11 @@ nor in elements that a class or id names as boilerplate (``cookie-notice``, but
 where the text agrees: they hold less than half of the page's other text, or an article lies elsewhere.
 
 Ratios are smoothed with a Gaussian along the page. Lines whose smoothed ratio reaches a threshold, half
-the standard deviation of the smoothed ratios, form clusters of neighbours. The content regions are
-the articles that hold clusters; without any, ``main``; without that, the lowest common ancestor of the
-clusters. A region's lines with a ratio above 0 are content however short they are, and so is a main
-heading above an article; but outside articles, lines before the first and behind the last cluster are
+the standard deviation of the smoothed ratios, form clusters of neighbours. The region is where the mass of the
+clusters' ratios lies: from the page down, the element that holds nearly all of it, and its articles where they hold most
+of that. So a tag only counts where the ratios agree: a story in a ``div`` wins over teasers and comments that are
+articles, and small articles beside it are left out. A region's lines with a ratio above 0 are content however short they are, and so is a main
+heading above it; but outside articles and ``main``, lines before the first and behind the last cluster are
 content only if they are headings or have text that isn't a link.
 
 White space within a line becomes one space; lines are trimmed and joined by two newlines. Time is linear
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,7 +44,7 @@ BLOCKS = frozenset(
 )
 BOILERPLATE = frozenset(
     "aside audio button canvas datalist dialog embed fieldset footer form head iframe input label menu nav noscript"
-    " object script search select style svg template textarea title video".split()
+    " script search select style svg template textarea title video".split()
 )
 BOILERPLATE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
@@ -57,11 +58,16 @@ SCOPES = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
 #: Elements within which a new block ends an open paragraph no further out.
 HOLDERS = SCOPES | frozenset(("article", "main", "section", "div", "td", "body", "blockquote", "center"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that may hold a story, and how much of the mass above it one has to hold.
+CONTAINERS = frozenset("page html body main article section div table tbody tr td center".split())
+NEARLY_ALL = 0.85
+#: An article beside a story with less of the mass is a teaser or a comment.
+SMALL = 0.2
 
-#: A class or id names boilerplate if one of its words is among these and all others are among ``NEUTRAL_WORDS``.
+#: Chosen words. A class or id names boilerplate if one of its words is among these and all others are among ``NEUTRAL_WORDS``.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adsbox advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments"
-    " commentlist consent cookie cookies copyright disqus footer gdpr header masthead menu menus modal nav navbar"
+    " commentlist consent cookie cookies copyright discussion disqus footer gdpr header masthead menu menus modal nav navbar"
     " navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion"
     " related replies respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe"
     " toolbar topbar widget widgets".split()
@@ -282,16 +288,58 @@ def trimmed(clusters: list[tuple[int, int]], lines: list[Line], ratios: list[flo
     return found or clusters
 
 
-def common_ancestor(elements: list[Element], members: set[int]) -> int:
-    """The lowest element that holds all members."""
-    held = [0] * len(elements)
-    for k in members:
-        held[k] += 1
-    for k in range(len(elements) - 1, 0, -1):
-        if held[k] == len(members):
-            return k  # children come after their parents, so no lower one holds all
-        held[elements[k].parent] += held[k]
-    return 0
+@dataclass
+class Region:
+    """Elements that hold the content, whether they are articles or main, an element that all of them lie in, and what to leave out."""
+
+    elements: set[int]
+    marked: bool
+    within: int
+    without: set[int] = field(default_factory=set)
+
+
+def content_region(lines: list[Line], elements: list[Element], ratios: list[float], clusters: list[tuple[int, int]]) -> Region:
+    """Where most of the clusters' ratios lie.
+
+    From the page down, the child that holds nearly all of an element's mass takes its place, until there is none or an
+    article or main is reached. Articles within that element are the regions if they hold most of its mass; teasers and
+    comments beside a story don't, so then the element itself is.
+    """
+    mass, count = [0.0] * len(elements), [0] * len(elements)
+    for first, last in clusters:
+        for k in range(first, last + 1):
+            mass[lines[k].element] += ratios[k]
+            count[lines[k].element] += ratios[k] > 0
+    heaviest = [0] * len(elements)
+    for k in range(len(elements) - 1, 0, -1):  # children before their parents
+        above = elements[k].parent
+        mass[above] += mass[k]
+        count[above] += count[k]
+        if mass[k] > 0 and (not heaviest[above] or mass[k] >= mass[heaviest[above]]):
+            heaviest[above] = k
+    at = 0
+    while (below := heaviest[at]) and elements[at].tag not in ("article", "main"):
+        whole = count[below] == count[at]
+        tag = elements[below].tag
+        nearly = whole or (tag != "article" and count[below] >= 2 and mass[below] >= NEARLY_ALL * mass[at])
+        if tag not in CONTAINERS or not nearly:  # one article among others doesn't stand for them
+            break
+        at = below
+    if elements[at].tag == "article":
+        return Region({at}, True, at)
+    article = [0] * len(elements)  # the outermost one below ``at``
+    inside = [False] * len(elements)
+    for k in range(len(elements)):
+        above = elements[k].parent
+        inside[k] = k == at or (above >= 0 and inside[above])
+        if inside[k] and k != at:
+            article[k] = article[above] or (k if elements[k].tag == "article" else 0)
+    articles = {k for k in range(1, len(elements)) if article[k] == k}
+    held = {k for k in articles if mass[k] > 0}
+    if held and 2 * sum(mass[k] for k in held) >= mass[at]:
+        return Region(held, True, at)
+    small = {k for k in articles if mass[k] < SMALL * mass[at]}
+    return Region({at}, elements[at].tag == "main", at, small)
 
 
 def content_lines(lines: list[Line], elements: list[Element]) -> list[str]:
@@ -301,29 +349,29 @@ def content_lines(lines: list[Line], elements: list[Element]) -> list[str]:
     clusters = trimmed(content_clusters(ratios), lines, ratios)
     if not clusters:
         return []
-    # the outermost article and main that an element lies in
-    article, main = [0] * len(elements), [0] * len(elements)
-    for k in range(1, len(elements)):
-        e = elements[k]
-        article[k] = article[e.parent] or (k if e.tag == "article" else 0)
-        main[k] = main[e.parent] or (k if e.tag == "main" else 0)
-    members = {lines[k].element for first, last in clusters for k in range(first, last + 1) if ratios[k] > 0}
-    first, last = clusters[0][0], clusters[-1][1]
-    articles = {article[m] for m in members} - {0}
-    mains = {main[m] for m in members} - {0}
-    regions = articles or mains or {common_ancestor(elements, members)}
+    region = content_region(lines, elements, ratios, clusters)
     within = [False] * len(elements)
-    for k in range(len(elements)):
-        within[k] = k in regions or (k > 0 and within[elements[k].parent])
+    main = [0] * len(elements)  # the outermost main that an element lies in
+    for k, e in enumerate(elements):
+        within[k] = k not in region.without and (k in region.elements or (k > 0 and within[e.parent]))
+        main[k] = k and (main[e.parent] or (k if e.tag == "main" else 0))
+    own = [k for first, last in clusters for k in range(first, last + 1) if within[lines[k].element] and ratios[k] > 0]
+    first, last = own[0], own[-1]
+    mains = {main[k] for k in region.elements} - {0}
+    above = set()  # elements that the region lies in
+    at = region.within
+    while at:
+        at = elements[at].parent
+        above.add(at)
     out = []
     for k, (line, ratio) in enumerate(zip(lines, ratios, strict=True)):
         if ratio <= 0:
             continue
         e = elements[line.element]
         if within[line.element]:
-            if articles or mains or first <= k <= last or e.tag in HEADINGS or not line.linked:
+            if region.marked or first <= k <= last or e.tag in HEADINGS or not line.linked:
                 out.append(line.text)
-        elif articles and e.tag == "h1" and main[line.element] in mains:
+        elif e.tag == "h1" and k < first and (main[line.element] in mains if region.marked else e.parent in above):
             out.append(line.text)
     return out
 
