@@ -10,6 +10,7 @@ import json
 import math
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -553,9 +554,12 @@ def seasonal_deseasonalise(spark, sf):
     return N.deseasonalised(event_points(spark, sf), 24).select("series_id", "idx", _rounded("seasonal", 5), _rounded("value", 5))
 
 
+_SEGMENTS = """g AS (SELECT series_id, value, ntile(10) OVER (PARTITION BY series_id ORDER BY idx) AS k FROM p), v AS (SELECT series_id, k, var_pop(value) AS v FROM g GROUP BY ALL)"""
+
+
 @query(
     "segment_cv_strategy",
-    f"""WITH {POINTS}, g AS (SELECT series_id, value, ntile(10) OVER (PARTITION BY series_id ORDER BY idx) AS k FROM p), v AS (SELECT series_id, k, var_pop(value) AS v FROM g GROUP BY ALL)
+    f"""WITH {POINTS}, {_SEGMENTS}
   SELECT series_id, round(stddev_pop(v) / (avg(v) + 1e-8), 6) AS cv, CASE WHEN stddev_pop(v) / (avg(v) + 1e-8) > 0.3 THEN 'ltr_k5' ELSE 'early_ref' END AS strategy FROM v GROUP BY series_id""",
 )
 def segment_cv_strategy(spark, sf):
@@ -1115,15 +1119,17 @@ def custom_order(spark, sf):
 # --- detectors
 
 
-def detector_sql(detector: D.Detector) -> str:
-    """The whole chain of a detector with the default encoder, from points to intervals."""
+def detector_sql(detector: D.Detector, only: str | None = None) -> str:
+    """The whole chain of a detector with the default encoder, from points to intervals; of the series in the query ``only``."""
     side, width, step = detector.side, detector.window, detector.step
     each, cells = width // side, side * side
     top = math.ceil(width * detector.share)
     local = detector.reference in ("local", "others")
     keys = "series_id, w, sc, tok" if local else "series_id, sc, tok"
-    if detector.reference == "local":
-        near = f"abs(a.w - b.w) <= {detector.k} AND a.w <> b.w"
+    if detector.reference == "local":  # with too few neighbours all others count
+        k = detector.k
+        around = f"least(a.w, {k}) + least(a.l - 1 - a.w, {k})"
+        near = f"(abs(a.w - b.w) <= {k} OR ({around} < {detector.min_ref} AND {around} < a.l - 1)) AND a.w <> b.w"
     else:
         near = "a.w <> b.w"
     early = f"WHERE w < least(greatest({detector.min_ref}, floor({detector.early} * l)), l - 1)" if detector.reference == "early" else ""
@@ -1133,8 +1139,8 @@ def detector_sql(detector: D.Detector) -> str:
         for g in (2, 3)
     )
     if local:
-        reference = f"""rd AS (SELECT a.series_id, a.w, a.sc, a.tok, a.d, quantile_disc(b.v, 0.5) AS v FROM tf a JOIN tf b
-   ON a.series_id = b.series_id AND a.sc = b.sc AND a.tok = b.tok AND a.d = b.d AND {near} GROUP BY ALL)"""
+        reference = f"""pw AS (SELECT a.series_id, a.w, b.w AS o FROM (SELECT * FROM wi JOIN wl USING (series_id)) a JOIN wi b ON a.series_id = b.series_id AND {near}),
+  rd AS (SELECT pw.series_id, pw.w, sc, tok, d, quantile_disc(v, 0.5) AS v FROM pw JOIN tf ON tf.series_id = pw.series_id AND tf.w = pw.o GROUP BY ALL)"""
     else:
         reference = f"rd AS (SELECT series_id, sc, tok, d, quantile_disc(v, 0.5) AS v FROM tf JOIN wl USING (series_id) {early} GROUP BY ALL)"
     with_window = "AND r.w = t.w" if local else ""
@@ -1143,7 +1149,8 @@ def detector_sql(detector: D.Detector) -> str:
         alpha, rows = detector.smoothing, "e0"
         smooth = f"""e0 AS (SELECT a.series_id, a.idx, any_value(a.ts) AS ts, sum(CASE WHEN b.idx = 0 THEN 1.0::DOUBLE ELSE {alpha}::DOUBLE END * power({1 - alpha}::DOUBLE, a.idx - b.idx) * b.value) AS value
    FROM p a JOIN p b ON a.series_id = b.series_id AND b.idx <= a.idx AND b.idx > a.idx - 150 GROUP BY a.series_id, a.idx),"""
-    parts = f"""WITH {POINTS}, {smooth}
+    points = POINTS if only is None else POINTS.replace("p AS (", "p AS MATERIALIZED (", 1).replace("FROM events)", f"FROM events WHERE event_type IN ({only}))")
+    parts = f"""WITH {points}, {smooth}
   ln AS (SELECT series_id, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a FROM {rows} GROUP BY series_id),
   rs AS (SELECT q.series_id, idx, ts, value - (a + b * idx) AS v FROM {rows} q JOIN ln USING (series_id)),
   mm AS (SELECT series_id, min(v) AS lo, max(v) AS hi FROM rs GROUP BY series_id),
@@ -1208,24 +1215,51 @@ def _detection(spark, sf, name: str):
     return found.select("series_id", "alpha", "start", "end", "n_points", _rounded("severity"), _time("start_ts"), _time("end_ts"))
 
 
-for _name, _detector in D.DETECTORS.items():
-    QUERIES[f"detect_{_name}"] = lambda spark, sf, name=_name: _detection(spark, sf, name)
-    if isinstance(_detector, D.Detector):
-        SQL[f"detect_{_name}"] = detector_sql(_detector)
-
-
-@query(
-    "window_sizes",
-    f"""WITH {POINTS}, c AS (SELECT series_id, idx, value - avg(value) OVER (PARTITION BY series_id) AS v FROM p),
+_SIZES = """c AS (SELECT series_id, idx, value - avg(value) OVER (PARTITION BY series_id) AS v FROM p),
   f AS (SELECT series_id, t, unnest(generate_series(1, t // 2)) AS k FROM n WHERE t >= 56),
   m AS (SELECT f.series_id, t, k, sqrt(pow(sum(v * cos(2 * pi() * k * idx / t)), 2) + pow(sum(v * sin(2 * pi() * k * idx / t)), 2)) AS a FROM f JOIN c USING (series_id) GROUP BY ALL),
   g AS (SELECT series_id, t, sum(a * a) FILTER (k >= greatest(1, CAST(floor((t // 2 + 1) * 0.75::DOUBLE) AS BIGINT))) / (sum(a * a) + 1e-12) AS high, arg_max(k, a) AS top, max(a) AS peak, median(a) AS noise FROM m GROUP BY ALL),
   d AS (SELECT series_id, s, abs(s - greatest(1, round_even(s * top / t::DOUBLE, 0)) * t / top::DOUBLE) AS gap FROM g CROSS JOIN (SELECT unnest([56, 112, 224]) AS s)),
   b AS (SELECT series_id, first(s ORDER BY gap, s) AS s FROM d GROUP BY series_id)
-  SELECT n.series_id, CAST(CASE WHEN high > 0.4 THEN 56 WHEN n.t < 56 OR noise < 1e-10 OR peak < 3 * noise THEN 224 ELSE s END AS BIGINT) AS "window" FROM n LEFT JOIN g USING (series_id) LEFT JOIN b USING (series_id)""",
+  SELECT n.series_id, CAST(CASE WHEN high > 0.4 THEN 56 WHEN n.t < 56 OR noise < 1e-10 OR peak < 3 * noise THEN 224 ELSE s END AS BIGINT) AS "window" FROM n LEFT JOIN g USING (series_id) LEFT JOIN b USING (series_id)"""
+
+
+SQL["window_sizes"] = f"WITH {POINTS}, {_SIZES}"
+QUERIES["window_sizes"] = lambda spark, sf: N.window_sizes(event_points(spark, sf))
+
+
+#: Detrended points scaled to [0, 1], by which adaptive detectors choose.
+_READY = POINTS.replace("p AS (", "p0 AS (", 1).replace("FROM p GROUP", "FROM p0 GROUP") + """,
+  ln AS (SELECT series_id, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a FROM p0 GROUP BY series_id),
+  rs AS (SELECT p0.series_id, idx, value - (a + b * idx) AS v FROM p0 JOIN ln USING (series_id)),
+  p AS (SELECT series_id, idx, CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 0 END AS value FROM rs WINDOW w AS (PARTITION BY series_id))"""
+_BY_WINDOW = f"WITH {_READY}, {_SIZES}"
+_BY_VARIATION = f"WITH {_READY}, {_SEGMENTS} SELECT series_id, stddev_pop(v) / (avg(v) + 1e-8) > 0.3 AS varies FROM v GROUP BY series_id"
+
+
+def adaptive_sql(choice: str, detectors: dict[str, D.Detector]) -> str:
+    """Each series by the detector whose condition holds for it in the query ``choice``."""
+    each = [f"SELECT * FROM ({detector_sql(d, f'SELECT series_id FROM ({choice}) WHERE {condition}')})" for condition, d in detectors.items()]
+    return " UNION ALL ".join(each)
+
+
+_LOCAL = D.Detector(reference="local")
+SQL["detect_adaptive_window"] = adaptive_sql(_BY_WINDOW, {f'"window" = {s}': replace(_LOCAL, window=s) for s in (56, 112, 224)})
+SQL["detect_adaptive_variation"] = adaptive_sql(_BY_VARIATION, {"varies": _LOCAL, "NOT varies": replace(_LOCAL, reference="early")})
+#: Windows of a series, and how many of them on either side count.
+_BY_BOTH = f"""SELECT series_id, "window" AS s, CASE WHEN k < 15 THEN 0 ELSE greatest(3, least(10, k // 10)) END AS k
+  FROM (SELECT series_id, "window", greatest(0, (t - "window") // ("window" // 4) + 1) AS k FROM ({_BY_WINDOW}) JOIN (SELECT event_type AS series_id, count(*) AS t FROM events GROUP BY 1) USING (series_id))"""
+SQL["detect_adaptive_window_k"] = adaptive_sql(
+    _BY_BOTH,
+    {f"s = {s} AND k = {k}": replace(_LOCAL, window=s, k=k) if k else replace(_LOCAL, window=s, reference="others") for s in (56, 112, 224) for k in (0, *range(3, 11))},
 )
-def window_sizes(spark, sf):
-    return N.window_sizes(event_points(spark, sf))
+
+for _name, _detector in D.DETECTORS.items():
+    QUERIES[f"detect_{_name}"] = lambda spark, sf, name=_name: _detection(spark, sf, name)
+    if isinstance(_detector, D.Detector):
+        SQL[f"detect_{_name}"] = detector_sql(_detector)
+
+
 
 
 # --- pictures
