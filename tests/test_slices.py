@@ -1,10 +1,12 @@
 """Runs and merged intervals by slices: the same at any slice length, series of many slices included."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.operators import evaluate as V
 from vigil.operators import intervals as I
 
 
@@ -64,3 +66,13 @@ def test_no_series_is_ordered_as_a_whole(spark):
     plan = I.islands(points, ["series_id"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\\n") if "Window" in line and "windowspecdefinition" in line]
     assert windows and all("_slice" in w.split("windowspecdefinition(")[1] or "_b" in w for w in windows)
+
+
+def test_affiliation_of_very_many_pieces():
+    start = time.time()
+    pieces = [(10.0 * k, 10.0 * k + 3) for k in range(100_000)]
+    p, r = V.affiliation([(400_000.0, 600_000.0)], pieces, 1_000_000.0)
+    assert time.time() - start < 60 and 0.5 < p < 0.8 and 0.99 < r <= 1
+    near = [(0.0, 2.0), (5.0, 6.0), (5.5, 9.0), (30.0, 31.0)]  # overlapping ones count once
+    merged = [(0.0, 2.0), (5.0, 9.0), (30.0, 31.0)]
+    assert abs(V.affiliation([(4.0, 12.0)], near, 40.0)[1] - V.affiliation([(4.0, 12.0)], merged, 40.0)[1]) < 1e-12
