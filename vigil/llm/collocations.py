@@ -303,19 +303,25 @@ WITH pieces AS (
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
 ), words AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+  SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
 ), places AS (
-  SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM words, (VALUES (1), (2), (3)) AS x(m) WHERE len(w) >= m
-), counts AS (
-  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f FROM places GROUP BY ALL
+  SELECT lang, id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words WHERE len(w) > 0
+), grams AS (
+  SELECT lang, word AS a, lead(word, 1) OVER q AS b, lead(word, 2) OVER q AS c FROM places WINDOW q AS (PARTITION BY id ORDER BY i)
+), counts AS MATERIALIZED (
+  SELECT lang, phrase, m, count(*) AS f FROM (
+    SELECT lang, a AS phrase, 1 AS m FROM grams UNION ALL SELECT lang, a || ' ' || b, 2 FROM grams WHERE b IS NOT NULL
+    UNION ALL SELECT lang, a || ' ' || b || ' ' || c, 3 FROM grams WHERE c IS NOT NULL) GROUP BY ALL
 ), sums AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang),
 candidates AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND f >= 10),
-cuts AS (
+named AS MATERIALIZED (SELECT lang || chr(10) || phrase AS key, f FROM counts WHERE f >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, a, k, lang || chr(10) || array_to_string(w[1:k], ' ') AS first, lang || chr(10) || array_to_string(w[k + 1:], ' ') AS rest
+  FROM candidates, (VALUES (1), (2)) AS x(k) WHERE k < m
+), cuts AS (
   SELECT c.lang, c.phrase, c.a, k, p.f AS l, q.f AS r,
     CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(p.f AS HUGEINT) * q.f) AS BIGINT) AS score
-  FROM candidates c, (VALUES (1), (2)) AS x(k), counts p, counts q
-  WHERE k < c.m AND p.lang = c.lang AND q.lang = c.lang
-    AND p.phrase = array_to_string(c.w[1:k], ' ') AND q.phrase = array_to_string(c.w[k + 1:], ' ')
+  FROM parts c JOIN named p ON p.key = c.first JOIN named q ON q.key = c.rest
 ), scored AS (
   SELECT lang, phrase, a, first(l ORDER BY score, k) AS l, first(r ORDER BY score, k) AS r, min(score) AS score
   FROM cuts GROUP BY lang, phrase, a
