@@ -1267,8 +1267,6 @@ for _name, _detector in D.DETECTORS.items():
 
 def _runs_sql(name: str, rows: str, keys: str, width: int, height: int) -> str:
     """Table ``name``: keys, column, low, high of a line through (o, x, v) of ``rows``."""
-    k = keys.split(", ")
-    own = " AND ".join(f"a.{c} = b.{c}" for c in k)
     return f"""{name}_s AS (SELECT {keys}, o, CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * {width} ELSE 0 END AS x,
     CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * {height} ELSE {height / 2} END AS y FROM {rows} WINDOW w AS (PARTITION BY {keys})),
   {name}_c AS (SELECT *, least(floor(x), {width - 1})::BIGINT AS c FROM {name}_s),
