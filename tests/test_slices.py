@@ -1,5 +1,6 @@
 """Runs and merged intervals by slices: the same at any slice length, series of many slices included."""
 
+import bisect
 import random
 import time
 
@@ -76,3 +77,23 @@ def test_affiliation_of_very_many_pieces():
     near = [(0.0, 2.0), (5.0, 6.0), (5.5, 9.0), (30.0, 31.0)]  # overlapping ones count once
     merged = [(0.0, 2.0), (5.0, 9.0), (30.0, 31.0)]
     assert abs(V.affiliation([(4.0, 12.0)], near, 40.0)[1] - V.affiliation([(4.0, 12.0)], merged, 40.0)[1]) < 1e-12
+
+
+def test_index_of_times_without_pairs(spark):
+    r = random.Random(5)
+    times = {k: sorted(r.randrange(4 * 86400) for _ in range(n)) * 2 for k, n in (("a", 300), ("b", 1), ("c", 40))}
+    times = {k: sorted(v) for k, v in times.items()}
+    points = spark.createDataFrame([(k, i, t) for k, v in times.items() for i, t in enumerate(v)], "series_id string, idx long, s long")
+    points = points.selectExpr("series_id", "idx", "CAST(timestamp_seconds(s + 864000) AS timestamp_ntz) AS ts")
+    asked = [(k, r.choice([*v, r.randrange(-86400, 6 * 86400)]), r.choice([*v, r.randrange(-86400, 6 * 86400)])) for k, v in times.items() for _ in range(60)]
+    asked += [("none", 5, 6)]
+    spans = spark.createDataFrame(asked, "series_id string, a long, b long").selectExpr(
+        "series_id", "CAST(timestamp_seconds(a + 864000) AS timestamp_ntz) AS start_ts", "CAST(timestamp_seconds(b + 864000) AS timestamp_ntz) AS end_ts"
+    )
+    found = I.index_of_times(points, spans)
+    # points and times of a day aren't compared pair by pair
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("<" in line for line in joins)
+    got = found.selectExpr("series_id", "unix_seconds(CAST(start_ts AS timestamp)) - 864000", "unix_seconds(CAST(end_ts AS timestamp)) - 864000", "start", "end").collect()
+    want = {(k, a, b, min(bisect.bisect_left(times[k], a), len(times[k]) - 1), max(0, bisect.bisect_right(times[k], b) - 1)) for k, a, b in asked if k in times}
+    assert sorted(map(tuple, got)) == sorted(want)
